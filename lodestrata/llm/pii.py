@@ -219,9 +219,11 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def joined(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
+    def count(kind: str) -> Column:
+        return F.size(F.filter(plain, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
     plain = F.filter("spans", lambda s: ~s["disguised"])
-    count = {k: F.size(F.filter(plain, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS}
-    return found.select(id_col, *count.values(), F.sha2(joined(plain), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select(id_col, *map(count, KINDS), F.sha2(joined(plain), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
 def mask(text: Column, spans: Column) -> Column:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codec, packing, token_counts
+from ..session import scratch_path
+from . import codec, html_text, packing, pii, token_counts, warc
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -24,12 +25,26 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path)
+
+
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_bpe_codec, op9_token_counts)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_bpe_codec, op5_warc_archive, op6_html_main_text, op9_token_counts, op10_pii_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
