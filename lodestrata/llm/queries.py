@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import codec, html_text, packing, pii, token_counts, warc
+from . import codec, html_text, packing, pii, quality, token_counts, warc
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -35,6 +35,10 @@ def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -44,7 +48,7 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_bpe_codec, op5_warc_archive, op6_html_main_text, op9_token_counts, op10_pii_spans)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_bpe_codec, op5_warc_archive, op6_html_main_text, op8_quality_cnn, op9_token_counts, op10_pii_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
