@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import codec, html_text, packing, pii, quality, token_counts, warc
+from . import codec, html_text, jaccard_join, packing, pii, quality, token_counts, warc
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -25,6 +25,10 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -48,7 +52,7 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_bpe_codec, op5_warc_archive, op6_html_main_text, op8_quality_cnn, op9_token_counts, op10_pii_spans)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_bpe_codec, op4_ngram_jaccard, op5_warc_archive, op6_html_main_text, op8_quality_cnn, op9_token_counts, op10_pii_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
