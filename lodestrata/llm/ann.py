@@ -154,8 +154,8 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
             drop_stored(packed)
             drop_stored(along)
             found = best if found is None else found.union(best)
-            if 2 * reach + 1 >= -(-n // block):
-                break  # the windows hold the whole table: another ordering would find the same
+            if reach + 1 >= -(-n // block):
+                break  # every window holds the whole table: another ordering would find the same
     if found is None:
         found = spark.createDataFrame([], "query bigint, id bigint, score double")
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "id")
