@@ -236,6 +236,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id is the smallest of its component; of repeated rows with that id one stays."""
-    firsts = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_first")).distinct()
-    return docs.join(firsts, docs[id_col].eqNullSafe(firsts["_first"]), "left_semi")
+    """The rows of docs whose id is the smallest of its component. An id is a document: of rows that repeat one, one
+    stays (any of them). Rows with a null id can't be told apart: they all stay unless their component has an id."""
+    firsts = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_first")).agg(F.count("*").alias("_rows"))
+    repeated = firsts.where("_rows > 1 and _first is not null")
+    same = docs[id_col].eqNullSafe(firsts["_first"])
+    if not repeated.limit(1).count():
+        return docs.join(firsts, same, "left_semi")
+    single = docs.join(firsts.where("_rows = 1 or _first is null"), same, "left_semi")
+    return single.union(docs.join(repeated, same, "left_semi").dropDuplicates([id_col]))

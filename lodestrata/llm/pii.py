@@ -15,8 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from .batches import pieces, texts
+from .batches import back, for_arrow, pieces, schema_of, texts
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # kind's place in KINDS, start, end
@@ -192,25 +191,23 @@ def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, *keep, spans array<struct<kind, start, end, disguised>>) for each row of docs, by kind as in KINDS, then start.
 
-    Offsets count code points, ends are exclusive. Null and empty texts have no spans; null ids stay; repeated rows give
+    keep may name the text column. Offsets count code points, ends are exclusive. Null and empty texts have no spans; null ids stay; repeated rows give
     repeated rows; other columns are not read; an empty table gives an empty table.
     """
-    ship_package(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("pii_text"))
-    names = [c for c in rows.columns if c != "pii_text"]
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names) + ", spans array<struct<kind: string, start: bigint, end: bigint, disguised: boolean>>"
+    rows, names = for_arrow(docs, id_col, text_col, keep)
+    schema = schema_of(rows, names) + ", spans array<struct<kind: string, start: bigint, end: bigint, disguised: boolean>>"
     kind_of = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("disguised", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "pii_text"):
+        for b in pieces(batches, "_text"):
             out = []
-            for text in texts(b.column("pii_text")):
+            for text in texts(b.column("_text")):
                 plain = plain_spans(text)
                 spans = sorted([(*s, False) for s in plain] + [(*s, True) for s in disguised_spans(text, plain)])
                 out.append([{"kind": KINDS[k], "start": s, "end": e, "disguised": d} for k, s, e, d in spans])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.list_(kind_of))], [*names, "spans"])
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return back(rows.mapInArrow(run, schema), id_col, text_col)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

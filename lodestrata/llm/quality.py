@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from .batches import pieces, texts
+from .batches import back, for_arrow, pieces, schema_of, texts
 
 WIDTH, EMBED, FILTERS, CHUNK = 8, 6, 24, 256
 #: Windows that one matrix product takes at once.
@@ -165,17 +164,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     return fit([r["text"].encode() for r in rows], y, weight)
 
 
-def score(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) for each row of docs. Null and empty texts are scored as one zero byte; null ids stay; repeated rows
-    give repeated rows; other columns are not read; an empty table gives an empty table."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    ship_package(docs.sparkSession)
+def score(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, *keep, score) for each row of docs; keep may name the text column. Null and empty texts are scored as one
+    zero byte; null ids stay; repeated rows give repeated rows; other columns are not read; an empty table gives an
+    empty table."""
+    rows, names = for_arrow(docs, id_col, text_col, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(net.scores([x.encode() for x in texts(b.column("text"))]))], ["id", "score"])
+        for b in pieces(batches, "_text"):
+            scores = net.scores([x.encode() for x in texts(b.column("_text"))])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(scores)], [*names, "score"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
+    return back(rows.mapInArrow(run, f"{schema_of(rows, names)}, score double"), id_col, text_col)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
