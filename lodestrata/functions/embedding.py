@@ -76,6 +76,18 @@ class NativeHashingEmbedder(Embedder):
         norms = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
         return sums.join(norms, key).select(key, "slot", (F.col("v") / F.col("norm")).alias("weight"))
 
+    def by_token(self, df: DataFrame, key: str, text: str, out: str = "vec") -> DataFrame:
+        """(key, vec array<double>) for a whole corpus. Features are hashed once for each distinct token, not for each
+        occurrence; rows without a token have the zero vector."""
+        words = df.select(key, F.explode(T.tokens(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("t")).groupBy(key, "t").agg(F.count("*").alias("n"))
+        each = words.select("t").distinct().select("t", F.explode(features(F.col("t"))).alias("f")).groupBy("t", self.slot(F.col("f")).alias("slot")).agg(F.sum(self.sign(F.col("f"))).alias("v"))
+        # a token's features as one row, so that a frequent token is joined once for each document, not once a slot
+        packed = each.where("v != 0").groupBy("t").agg(F.collect_list(F.struct("slot", "v")).alias("fs"))
+        sums = words.join(packed, "t").select(key, "n", F.explode("fs").alias("x")).groupBy(key, "x.slot").agg(F.sum(F.col("x.v") * F.col("n")).alias("v")).where("v != 0")
+        got = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+        dense = F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i) / F.col("norm"), F.lit(0.0)))
+        return df.select(key).join(got, key, "left").select(key, dense.alias(out))
+
     def embed(self, df: DataFrame, text: str, out: str = "vec") -> DataFrame:
         # without a shuffle: a row's features in the order of their slots; a slot's sum is what the sorted run holds
         signed = F.array_sort(F.transform(features(F.col(text)), lambda x: F.struct(self.slot(x).alias("s"), self.sign(x).alias("v"))))
