@@ -7,9 +7,9 @@
    shingle in both prefixes, so only sets whose prefix holds a shared shingle stay: they are the index.
 4. Lists of the index are cut into blocks by set size. Sets of one list are compared only across blocks and positions
    whose sizes and remaining lengths still allow the threshold; all else is skipped unread (index-level skipping).
-5. Answer-level skipping: first each list's sets are compared with one leader. A set linked to its leader is in the
+5. Answer-level skipping: first each list's sets are compared with its leaders. A set linked to a leader is in the
    leader's component, and what the leader's answers settle isn't computed again: later rounds take only pairs between
-   different components whose distances to a shared leader don't already rule them out (Jaccard distance is a metric).
+   different components whose distances to a common leader don't already rule them out (Jaccard distance is a metric).
    Rounds take more pairs of each list and component pair, until none is left.
 """
 
@@ -35,6 +35,8 @@ WIDTH = 5
 BATCH_SETS, BATCH_SHINGLES = 60_000, 2_000_000
 #: Pairs of each list and component pair in the rounds: this to the power of the round.
 GROWTH = 8
+#: Leaders of each list's block in the rounds that come before.
+LEADERS = (1, 8, 64)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
@@ -178,43 +180,80 @@ def link_components(index: DataFrame, percent: int) -> DataFrame:
     entries = stored(entries.select("shingle", "block", "set", "n", (F.col("size") - F.col("i")).alias("left")), "lists")
 
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    leader = F.min(F.struct("set", "n", "left"))
-    leaders = entries.groupBy("shingle", "block").agg(leader.alias("y"), F.count("*").alias("n_list")).where("n_list > 1")
-    star = entries.select("shingle", "block", "set", F.col("n").alias("x_n"), F.col("left").alias("x_left")).join(leaders.select("shingle", "block", F.col("y.set").alias("y"), F.col("y.n").alias("y_n"), F.col("y.left").alias("y_left")), ["shingle", "block"])
-    star = star.where((F.col("set") != F.col("y")) & _fits(percent)).select(*pair("set", "y")).distinct()
-    known = stored(_verify(star, index, percent), "pairs")
-    linked = (100 * F.col("both") >= percent * F.col("either")).alias("linked")
-    roots = stored(components(known.where(linked)), "roots")
-
-    k = 1
-    while True:
-        # a list takes part while it holds two components
-        labelled = entries.join(roots.select(F.col("id").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-        span = labelled.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
-        open_ = stored(labelled.join(span, "shingle", "left_semi"), "open")
-        rank = F.row_number().over(Window.partitionBy("shingle", "block", "root").orderBy(F.col("left").desc(), "set"))
-        top = open_.withColumn("rank", rank).where(F.col("rank") <= k)
-        x = top.select("shingle", "block", F.col("set").alias("x"), F.col("n").alias("x_n"), F.col("left").alias("x_left"), F.col("root").alias("x_root"))
-        y = top.select("shingle", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), F.col("block").alias("y_block"), F.col("set").alias("y"), F.col("n").alias("y_n"), F.col("left").alias("y_left"), F.col("root").alias("y_root"))
-        cross = x.join(y, ["shingle", "block"]).where((F.col("x_root") != F.col("y_root")) & ((F.col("block") != F.col("y_block")) | (F.col("x") < F.col("y"))) & _fits(percent))
-        pairs = cross.select(*pair("x", "y")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+    linked = 100 * F.col("both") >= percent * F.col("either")
+    known = roots = None
+
+    def opened() -> DataFrame:
+        """Entries of the lists that hold two components, with their component."""
+        if roots is None:
+            return entries.withColumn("root", F.col("set"))
+        own = entries.join(roots.select(F.col("id").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+        span = own.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
+        return own.join(span, "shingle", "left_semi")
+
+    def settle(cross: DataFrame) -> bool:
+        """Verifies the candidate pairs (x, y) that are new and renews the components; whether any linked."""
+        nonlocal known, roots
+        pairs = cross.select(*pair("x", "y")).distinct()
+        if known is not None:
+            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
         fresh = stored(_verify(pairs, index, percent), "pairs")
-        most = open_.groupBy("shingle", "block", "root").count().agg(F.max("count")).first()[0] or 0
-        found = fresh.where(linked).limit(1).count()
+        found = roots is None or bool(fresh.where(linked).limit(1).count())
+        union = fresh if known is None else stored(known.union(fresh), "pairs")
         if found:
-            links = known.where(linked).select("a", "b").union(fresh.where(linked).select("a", "b"))
-            renewed = stored(components(links), "roots")
-            drop_stored(roots)
+            renewed = stored(components(union.where(linked).select("a", "b")), "roots")
+            if roots is not None:
+                drop_stored(roots)
             roots = renewed
-        union = stored(known.union(fresh), "pairs")
-        for old in (known, fresh, open_):
-            drop_stored(old)
+        if known is not None:
+            drop_stored(known)
+            drop_stored(fresh)
         known = union
-        if most <= k:  # all pairs of this round's components have been compared
+        return found
+
+    x = [F.col("set").alias("x"), F.col("n").alias("x_n"), F.col("left").alias("x_left"), F.col("root").alias("x_root")]
+    y = [F.col("set").alias("y"), F.col("n").alias("y_n"), F.col("left").alias("y_left"), F.col("root").alias("y_root")]
+    near = F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block")
+    # Leaders of a list's block: the sets that have most of their shingles left behind the list's one. They hold fewest
+    # rare shingles of their own, so they lie in the middle of their family. Every set of another component is compared
+    # with them: rows grow with the list times a constant, and families fall together.
+    for leaders in LEADERS:
+        open_ = stored(opened(), "open")
+        first = F.row_number().over(Window.partitionBy("shingle", "block").orderBy(F.desc("left"), "set"))
+        hubs = open_.withColumn("rank", first).where(F.col("rank") <= leaders)
+        cross = open_.select("shingle", near, *x).join(hubs.select("shingle", "block", *y), ["shingle", "block"]).where((F.col("x_root") != F.col("y_root")) & _fits(percent))
+        settle(cross)
+        drop_stored(open_)
+    # What is still apart: all pairs of different components, in growing numbers of each list and component, without
+    # those that the distances to a common leader rule out.
+    k = 1
+    while True:
+        open_ = stored(opened(), "open")
+        most = open_.groupBy("shingle", "block", "root").count().agg(F.max("count")).first()[0] or 0
+        if not most:
+            return roots.select(F.col("id").alias("set"), "root")
+        rank = F.row_number().over(Window.partitionBy("shingle", "block", "root").orderBy(F.desc("left"), "set"))
+        top = _distances(open_.withColumn("rank", rank).where(F.col("rank") <= k), known)
+        one = top.select("shingle", "block", *x, F.col("hub").alias("x_hub"), F.col("distance").alias("x_d"))
+        two = top.select("shingle", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), F.col("block").alias("y_block"), *y, F.col("hub").alias("y_hub"), F.col("distance").alias("y_d"))
+        ruled_out = F.coalesce((F.col("x_hub") == F.col("y_hub")) & (F.abs(F.col("x_d") - F.col("y_d")) > 1 - percent / 100 + 1e-9), F.lit(False))
+        cross = one.join(two, ["shingle", "block"]).where((F.col("x_root") != F.col("y_root")) & ((F.col("block") != F.col("y_block")) | (F.col("x") < F.col("y"))) & ~ruled_out & _fits(percent))
+        settle(cross)
+        drop_stored(open_)
+        if most <= k:  # all pairs of this round's components have been compared or ruled out
             return roots.select(F.col("id").alias("set"), "root")
         k *= GROWTH
 
 
+def _distances(entries: DataFrame, known: DataFrame) -> DataFrame:
+    """Entries with a set that they have been compared with (hub, the smallest such of the list's block) and the Jaccard
+    distance to it; nulls where there is none."""
+    hubs = entries.groupBy("shingle", "block").agg(F.max_by("set", F.struct("left", -F.col("set"))).alias("hub"))
+    pairs = entries.join(hubs, ["shingle", "block"]).withColumns({"a": F.least("set", "hub"), "b": F.greatest("set", "hub")})
+    away = known.select("a", "b", (1 - F.col("both") / F.col("either")).alias("distance"))
+    return pairs.join(away, ["a", "b"], "left").drop("a", "b").withColumn("hub", F.when(F.col("distance").isNotNull(), F.col("hub")))
+
+
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for each row of docs; component_id is the smallest id reachable by links.
 
