@@ -86,7 +86,7 @@ class _Lines(HTMLParser):
         self.open.append(tag)
         if tag in DROPPED or attrs and self._beside(attrs):
             self.drops.append(len(self.open))
-        elif tag in NAMED or tag in ("div", "section", "body", "td", "table", "ul", "ol", "dl"):
+        elif tag in NAMED or tag in ("div", "section", "body"):
             self.count += 1
             named = self.count if tag in NAMED else self.sections[-1][2]
             inner = self.sections[-1][1] if self.sections[-1][2] and tag not in NAMED else self.count

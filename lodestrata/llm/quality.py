@@ -157,6 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     y = np.array([picked[r["id"]] for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
         share = min(max(totals.get(1, 0) / max(1, sum(totals.values())), 0.01), 0.99) if totals else 0.5
+        net.w["mix"][:] = 0
         net.w["offset"][0] = np.log(share / (1 - share))
         return net
     share = {k: totals[k] / sum(totals.values()) for k in (0, 1)}
