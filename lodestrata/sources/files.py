@@ -218,7 +218,7 @@ def scan_records(files: DataFrame, strict_compat: bool = False) -> DataFrame:
     if not strict_compat:
         plain = plain.join(images.select("key").distinct().withColumn("sidecar", F.lit(True)), ["key", "sidecar"], "left_anti")
     every = read.unionByName(plain.select("path", "text", "ocr_engine")).where(F.col("text").isNotNull() & (T.strip(F.col("text")) != ""))
-    name = F.element_at(F.split("path", "/"), -1)
+    every, name = every.join(files.select("path", "name"), "path"), F.col("name")
     line = F.get(F.filter(F.transform(F.split("text", T.LINE_END), T.strip), lambda x: x != ""), F.lit(0))
     return every.select(name.alias("source_file"), F.substring(F.coalesce(line, name), 1, 120).alias("title"), F.col("text").alias("raw_text"), F.lit("page 1").alias("row_or_page"), F.lit("scan").alias("source_type"), _extra(ocr_engine=F.col("ocr_engine")))
 
