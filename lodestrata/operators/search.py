@@ -123,7 +123,9 @@ def why(keyword_rank: Column, vector_rank: Column) -> Column:
 def hits(fused: DataFrame, records: DataFrame, queries: DataFrame, width: int = 220) -> DataFrame:
     """The fused rows with their records' fields, provenance, snippet and explanation. Records are joined last, for the
     few ids that are left."""
-    rows = _small(fused).join(records, "id").join(_small(queries), "qid")
+    asked = _small(queries)
+    # a query has a few fused rows, so counting the queries bounds both sides without running the fusion twice
+    rows = (fused if asked is queries else F.broadcast(fused)).join(records, "id").join(asked, "qid")
     return rows.select(
         "qid", "rank", "id", "score", "keyword_rank", "vector_rank", "title", "category", "source_type", "language", "date", "department",
         provenance(F.col("source_file"), F.col("sheet"), F.col("row_or_page")).alias("provenance"),
