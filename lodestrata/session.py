@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -64,6 +65,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more, instead of when memory runs short."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_stored(df: DataFrame) -> None:
     """Deletes a table that stored() has written and that nothing reads any more."""
     sc = df.sparkSession.sparkContext
