@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import drop_stored, ship_package, stored
+from ..session import drop_stored, release, ship_package, stored
 from .batches import pieces, texts
 from .components import components
 from .shingles import set_numbers, shingle_sets
@@ -86,7 +86,7 @@ def packed_postings(docs: DataFrame, width: int, buckets: int, text_col: str) ->
             for k, (a, b) in enumerate(zip([0, *cut.tolist()], [*cut.tolist(), len(shingles)], strict=True)):
                 if a < b:
                     own, place = np.unique(owner[a:b], return_inverse=True)
-                    out.append((k, _pack(shingles[a:b]), place.astype("<u2").tobytes(), numbers[own].astype("<i8").tobytes(), sizes[own].astype("<i8").tobytes()))
+                    out.append((k, _pack(shingles[a:b]), place.astype("<u2").tobytes(), numbers[own].astype("<i8").tobytes(), sizes[own].astype("<u4").tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[i] for x in out], pa.binary()) for i in range(1, 5))], ["bucket", "shingles", "places", "sets", "sizes"])
 
         for _, shingles, sizes, numbers in _sets(batches, width):
@@ -120,7 +120,7 @@ def _shared(table: pa.Table) -> pa.Table:
         place = np.frombuffer(row["places"], "<u2")
         shingles.append(_unpack(row["shingles"]))
         sets.append(np.frombuffer(row["sets"], "<i8")[place])
-        sizes.append(np.frombuffer(row["sizes"], "<i8")[place])
+        sizes.append(np.frombuffer(row["sizes"], "<u4")[place].astype(np.int64))
     s, x, n = np.concatenate(shingles), np.concatenate(sets), np.concatenate(sizes)
     order = np.argsort(s, kind="stable")
     s = s[order]
@@ -265,6 +265,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     ship_package(spark)
     rows = stored(document_sets(docs, width, id_col, text_col), "sets")
     index = stored(index_of(docs, percent, width, text_col), "index")
+    release(spark)  # the corpus's postings have gone through two shuffles that are over
     roots = link_components(index, percent)
     sets = rows.where("n_shingles > 0").groupBy("set").agg(F.min("id").alias("least")).join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = sets.groupBy("root").agg(F.min("least").alias("component_id"))
