@@ -133,10 +133,14 @@ def _linked(distinct: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([p.min(0).tolist()]), pa.array([p.max(0).tolist()])], ["block", "lo", "hi"])
 
     boxes = blocks.mapInArrow(box, "block bigint, lo array<double>, hi array<double>")
+    # tiles meet by cells of their leading coordinate, as wide as two vectors that link can be apart; then by their boxes
+    reach = (2 - 2 * threshold) ** 0.5 + MARGIN
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / reach), F.floor(hi / reach))).alias("cell")
     one, two = boxes.toDF("i", "lo_i", "hi_i"), boxes.toDF("j", "lo_j", "hi_j")
+    one = one.select("*", cells(F.get("lo_i", F.lit(0)), F.get("hi_i", F.lit(0))))
+    two = two.select("*", cells(F.get("lo_j", F.lit(0)) - reach, F.get("hi_j", F.lit(0)) + reach))
     gap = F.expr("aggregate(sequence(0, size(lo_i) - 1), 0D, (s, k) -> s + pow(greatest(0D, lo_i[k] - hi_j[k], lo_j[k] - hi_i[k]), 2))")
-    # tiles meet by their boxes: a join over tiles, not over vectors
-    pairs = one.join(two, (F.col("i") <= F.col("j")) & (gap <= 2 - 2 * threshold + MARGIN)).select("i", "j")
+    pairs = one.join(two, "cell").where((F.col("i") <= F.col("j")) & (gap <= 2 - 2 * threshold + MARGIN)).select("i", "j").distinct()
     left = blocks.select(F.col("block").alias("i"), *(F.col(c).alias(f"{c}_i") for c in ("ids", "copies", "vecs")))
     right = blocks.select(F.col("block").alias("j"), *(F.col(c).alias(f"{c}_j") for c in ("ids", "copies", "vecs")))
     work = pairs.join(left, "i").join(right, "j").repartition(max(2 * tiles, int(spark.conf.get("spark.sql.shuffle.partitions"))))

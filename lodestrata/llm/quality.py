@@ -151,7 +151,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         part = known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(sample)
         chosen = part if chosen is None else chosen.union(part)
     picked = {r["id"]: r["label"] for r in chosen.collect()}
-    rows = docs.where(F.col(id_col).isin(list(picked))).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).collect() if picked else []
+    # one text for each id, however often the id occurs
+    own = docs.where(F.col(id_col).isin(list(picked))).groupBy(F.col(id_col).alias("id")).agg(F.min(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    rows = own.collect() if picked else []
     rows.sort(key=lambda r: (r["id"], r["text"]))
     net = ByteConvNet.fresh()
     y = np.array([picked[r["id"]] for r in rows], np.float32)

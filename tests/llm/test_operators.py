@@ -204,6 +204,13 @@ def test_html(spark):
     assert html_text.extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_html_never_fails():
+    r = random.Random(8)
+    bits = ["<", ">", "<![", "<!--", "-->", "<!", "</", "<p", "<div class='ad'>", "</div>", "&", "&#", ";", "text", "<![CDATA[", "]]>", "<script>", "</script", "'", '"', "=", "<article>", "<?", " "]
+    for _ in range(2000):
+        html_text.extract("".join(r.choices(bits, k=r.randint(0, 30))))
+
+
 def plain_by_regex(t):
     out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
