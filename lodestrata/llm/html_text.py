@@ -3,14 +3,14 @@
 The standard library's parser streams its events into lines: one line for each run of text between block-level tags,
 with the number of tags it holds and the section it lies in. Sections that the markup itself names as navigation,
 header, footer, aside, form or the like never count. The ratio of text to tags of each line is smoothed over its
-neighbours; lines above a threshold of the page's own spread form clusters, and the section that holds the most
-clustered text is the content region. All lines of that region are kept, short ones too.
+neighbours; lines above a threshold of the page's own spread form clusters. The innermost section that holds all the
+clustered lines, lines of links aside, is the content region. All lines of that region are kept, short ones too.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -43,15 +43,17 @@ WORDS = re.compile(r"[a-z]+")
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, section, named) for each line of a page."""
+    """Collects (text, tags, most of it is links, section, named) for each line of a page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.lines: list[tuple[str, int, bool, int, int]] = []
         self.open: list[str] = []
         self.drops: list[int] = []  # depths at which a dropped element began
         self.sections: list[tuple[int, int, int]] = [(0, 0, 0)]  # depth, number, number of the named section it lies in
-        self.count = 0
+        self.outer = [0]  # for each section the one around it, which has a smaller number
+        self.links = 0  # open <a> elements
+        self.linked = 0  # characters in them
         self.parts: list[str] = []
         self.tags = 0
 
@@ -66,9 +68,9 @@ class _Lines(HTMLParser):
             text = " ".join("".join(self.parts).split())
             if text:
                 _, section, named = self.sections[-1]
-                self.lines.append((text, self.tags, section, named))
+                self.lines.append((text, self.tags, 2 * self.linked > len(text), section, named))
             self.parts = []
-        self.tags = 0
+        self.tags = self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:
@@ -87,13 +89,14 @@ class _Lines(HTMLParser):
                         break
         self.tags += 1
         self.open.append(tag)
+        self.links += tag == "a"
         if tag in DROPPED or attrs and self._beside(attrs):
             self.drops.append(len(self.open))
         elif tag in NAMED or tag in ("div", "section", "body"):
-            self.count += 1
-            named = self.count if tag in NAMED else self.sections[-1][2]
-            inner = self.sections[-1][1] if self.sections[-1][2] and tag not in NAMED else self.count
-            self.sections.append((len(self.open), inner, named))
+            _, around, named = self.sections[-1]
+            number = len(self.outer)
+            self.outer.append(around)
+            self.sections.append((len(self.open), number, number if tag in NAMED else named))
 
     def _fenced(self, tag: str) -> bool:
         """A table cell or the like lies between the innermost open element and the last open ``tag``."""
@@ -123,8 +126,9 @@ class _Lines(HTMLParser):
     def _pop_to(self, tag: str) -> None:
         while self.open:
             depth, last = len(self.open), self.open.pop()
+            self.links -= last == "a"
             if self.drops and self.drops[-1] == depth:
-                self.parts, self.tags = [], 0
+                self.parts, self.tags, self.linked = [], 0, 0
                 self.drops.pop()
             if len(self.sections) > 1 and self.sections[-1][0] == depth:
                 self.flush()
@@ -135,6 +139,8 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.drops:
             self.parts.append(data)
+            if self.links:
+                self.linked += len(" ".join(data.split()))
 
 
 def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -145,6 +151,27 @@ def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratio, kernel)[inside] / np.convolve(np.ones(len(ratio)), kernel)[inside]
 
 
+def _around(sections: Iterable[int], outer: list[int]) -> int:
+    """The innermost section that holds all of ``sections``."""
+    found, *rest = set(sections)
+    for x in rest:
+        while x != found:
+            if x > found:
+                x = outer[x]
+            else:
+                found = outer[found]
+    return found
+
+
+def _content(lines: list[tuple[str, int, bool, int, int]], clustered: list[bool], outer: list[int]) -> list[bool]:
+    """For each line whether it lies in the section around all clustered text. Lines of links don't widen it."""
+    root = _around([s for (_, _, linked, s, _), inside in zip(lines, clustered, strict=True) if inside and not linked] or [s for *_, s, _ in lines], outer)
+    within = [False] * len(outer)
+    for section, around in enumerate(outer):
+        within[section] = section == root or within[around]
+    return [within[s] for *_, s, _ in lines]
+
+
 def extract(html: str) -> str:
     """Main text of one page, blocks in page order joined by a newline; empty if there is none."""
     parser = _Lines()
@@ -154,20 +181,19 @@ def extract(html: str) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratio = smoothed(np.array([len(text) / max(1, tags) for text, tags, _, _ in lines]))
-    clustered = ratio >= min(ratio.max(), max(ratio.std(), 1e-9))
+    ratio = smoothed(np.array([len(text) / max(1, tags) for text, tags, *_ in lines]))
+    clustered = (ratio >= min(ratio.max(), max(ratio.std(), 1e-9))).tolist()
     named = [n for *_, n in lines]
     if any(named):  # the markup names its content: regions are those sections, and their nearest named one holds a line
-        regions = named
+        mass: dict[int, int] = {}
+        for (text, *_), region, inside in zip(lines, named, clustered, strict=True):
+            if region:
+                mass[region] = mass.get(region, 0) + len(text) * (1000 if inside else 1)
+        most = max(mass.values())
+        kept = [region in mass and mass[region] >= 0.5 * most for region in named]
     else:
-        regions = [section for _, _, section, _ in lines]
-    mass: dict[int, int] = {}
-    for (text, *_), region, inside in zip(lines, regions, clustered.tolist(), strict=True):
-        if region or not any(named):
-            mass[region] = mass.get(region, 0) + len(text) * (1000 if inside else 1)
-    most = max(mass.values())
-    kept = {region for region, m in mass.items() if m >= 0.5 * most}
-    return "\n".join(text for (text, *_), region in zip(lines, regions, strict=True) if region in kept)
+        kept = _content(lines, clustered, parser.outer)
+    return "\n".join(text for (text, *_), keep in zip(lines, kept, strict=True) if keep)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

@@ -204,6 +204,16 @@ def test_html(spark):
     assert html_text.extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_html_keeps_the_whole_content_section():
+    long, short = "word " * 120 + "end", "short " * 15 + "end"
+    box = f"<body><div><a href=/>Home</a></div><div id=content><h1>Title</h1><p>{long}</p><div class=box><p>{short}</p></div></div></body>"
+    assert html_text.extract(box) == f"Title\n{long}\n{short}"
+    parts = "".join(f"<section><h2>Part {i}</h2><p>{short}</p></section>" for i in range(9))
+    sections = f"<body><ul><li><a href=/>Home</a><li><a href=/a>About</a></ul><div><section><p>{long * 5}</p></section>{parts}</div></body>"
+    assert html_text.extract(sections).count("\n") == 18
+    assert html_text.extract(f"<body><div><a href=/>{short}</a></div><div><p>{long}</p><p><a href=/>{short}</a></p></div></body>") == f"{long}\n{short}"
+
+
 def test_html_never_fails():
     r = random.Random(8)
     bits = ["<", ">", "<![", "<!--", "-->", "<!", "</", "<p", "<div class='ad'>", "</div>", "&", "&#", ";", "text", "<![CDATA[", "]]>", "<script>", "</script", "'", '"', "=", "<article>", "<?", " "]
