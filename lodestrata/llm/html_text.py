@@ -30,28 +30,36 @@ DROPPED = frozenset("script style noscript template nav header footer aside form
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that an open one of the same kind ends, and the ends that HTML lets authors leave out.
 CLOSED_BY = {"p": BLOCKS - {"body", "html", "head"}, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "option": frozenset({"option"})}
-#: Words of a class, id or role that name a part of the page beside the article.
+#: Words that name a part of the page beside the article, where a whole class, id or role is made of them and digits: "ad", "cookie-notice", not "no-sidebar".
 BESIDE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
     "nav navigation navbar menu breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended share sharing social subscribe newsletter signup "
     "comment comments comentarios kommentare commentaires disqus reply replies discussion respond login search form paywall toolbar pagination pager copyright complementary contentinfo".split()
 )
+#: Elements that no class, id or role makes a part beside the article.
+KEPT = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 #: Elements that name the content themselves.
 NAMED = frozenset({"article", "main"})
 SIGMA = 2.0
-WORDS = re.compile(r"[a-z]+")
+NAME_PARTS = re.compile(r"[-_0-9]+|(?<=[a-z])(?=[A-Z])")
+
+
+Line = tuple[str, int, bool, int, int, int]
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, most of it is links, section, named) for each line of a page."""
+    """Collects (text, tags, most of it is links, section, named, aside) for each line of a page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, int, int]] = []
+        self.lines: list[Line] = []
         self.open: list[str] = []
         self.drops: list[int] = []  # depths at which a dropped element began
         self.sections: list[tuple[int, int, int]] = [(0, 0, 0)]  # depth, number, number of the named section it lies in
         self.outer = [0]  # for each section the one around it, which has a smaller number
+        self.asides: list[tuple[int, int]] = []  # depth and number of each open element that its class, id or role puts beside the article
+        self.beside = [0]  # for each such element the one around it
+        self.aside_named = [0]  # and the named section it lies in
         self.links = 0  # open <a> elements
         self.linked = 0  # characters in them
         self.parts: list[str] = []
@@ -68,7 +76,7 @@ class _Lines(HTMLParser):
             text = " ".join("".join(self.parts).split())
             if text:
                 _, section, named = self.sections[-1]
-                self.lines.append((text, self.tags, 2 * self.linked > len(text), section, named))
+                self.lines.append((text, self.tags, 2 * self.linked > len(text), section, named, self.asides[-1][1] if self.asides else 0))
             self.parts = []
         self.tags = self.linked = 0
 
@@ -90,9 +98,15 @@ class _Lines(HTMLParser):
         self.tags += 1
         self.open.append(tag)
         self.links += tag == "a"
-        if tag in DROPPED or attrs and self._beside(attrs):
+        if tag in DROPPED or attrs and self._hidden(tag, attrs):
             self.drops.append(len(self.open))
-        elif tag in NAMED or tag in ("div", "section", "body"):
+            return
+        if attrs and tag not in KEPT and self._beside(attrs):
+            self.flush()
+            self.asides.append((len(self.open), len(self.beside)))
+            self.beside.append(self.asides[-2][1] if len(self.asides) > 1 else 0)
+            self.aside_named.append(self.sections[-1][2])
+        if tag in NAMED or tag in ("div", "section", "body"):
             _, around, named = self.sections[-1]
             number = len(self.outer)
             self.outer.append(around)
@@ -109,12 +123,13 @@ class _Lines(HTMLParser):
 
     @staticmethod
     def _beside(attrs: list[tuple[str, str | None]]) -> bool:
-        for name, value in attrs:
-            if name in ("class", "id", "role") and value and not BESIDE.isdisjoint(WORDS.findall(value.lower())):
-                return True
-            if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-        return False
+        names = [one for name, value in attrs if name in ("class", "id", "role") and value for one in value.split()]
+        parts = [{part.lower() for part in NAME_PARTS.split(one) if part} for one in names]
+        return any(x and x <= BESIDE for x in parts)
+
+    @staticmethod
+    def _hidden(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        return tag not in ("html", "body") and any(name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attrs)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
@@ -130,6 +145,9 @@ class _Lines(HTMLParser):
             if self.drops and self.drops[-1] == depth:
                 self.parts, self.tags, self.linked = [], 0, 0
                 self.drops.pop()
+            if self.asides and self.asides[-1][0] == depth:
+                self.flush()
+                self.asides.pop()
             if len(self.sections) > 1 and self.sections[-1][0] == depth:
                 self.flush()
                 self.sections.pop()
@@ -163,13 +181,41 @@ def _around(sections: Iterable[int], outer: list[int]) -> int:
     return found
 
 
-def _content(lines: list[tuple[str, int, bool, int, int]], clustered: list[bool], outer: list[int]) -> list[bool]:
+def _clustered(lines: list[Line]) -> list[bool]:
+    """For each line whether its smoothed ratio of text to tags reaches the page's own spread."""
+    ratio = smoothed(np.array([len(text) / max(1, tags) for text, tags, *_ in lines]))
+    return (ratio >= min(ratio.max(), max(ratio.std(), 1e-9))).tolist()
+
+
+def _without_asides(parser: _Lines) -> list[Line]:
+    """The lines that no class, id or role puts beside the article. An element that holds most of the page's clustered
+    text is no such part, unless it lies outside of an article or main that holds clustered text."""
+    lines = parser.lines
+    if len(parser.beside) == 1 or not lines:
+        return lines
+    clustered = _clustered(lines)
+    mass, every, named_text = [0] * len(parser.beside), 0, False
+    for (text, _, _, _, named, aside), inside in zip(lines, clustered, strict=True):
+        if inside:
+            every += len(text)
+            named_text |= bool(named) and not aside
+            while aside:
+                mass[aside] += len(text)
+                aside = parser.beside[aside]
+    dropped = [False] * len(parser.beside)
+    for i in range(1, len(dropped)):
+        content = 2 * mass[i] > every and (parser.aside_named[i] or not named_text)
+        dropped[i] = dropped[parser.beside[i]] or not content
+    return [x for x in lines if not dropped[x[-1]]]
+
+
+def _content(lines: list[Line], clustered: list[bool], outer: list[int]) -> list[bool]:
     """For each line whether it lies in the section around all clustered text. Lines of links don't widen it."""
-    root = _around([s for (_, _, linked, s, _), inside in zip(lines, clustered, strict=True) if inside and not linked] or [s for *_, s, _ in lines], outer)
+    root = _around([s for (_, _, linked, s, *_), inside in zip(lines, clustered, strict=True) if inside and not linked] or [s for _, _, _, s, *_ in lines], outer)
     within = [False] * len(outer)
     for section, around in enumerate(outer):
         within[section] = section == root or within[around]
-    return [within[s] for *_, s, _ in lines]
+    return [within[s] for _, _, _, s, *_ in lines]
 
 
 def extract(html: str) -> str:
@@ -178,12 +224,11 @@ def extract(html: str) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = parser.lines
+    lines = _without_asides(parser)
     if not lines:
         return ""
-    ratio = smoothed(np.array([len(text) / max(1, tags) for text, tags, *_ in lines]))
-    clustered = (ratio >= min(ratio.max(), max(ratio.std(), 1e-9))).tolist()
-    named = [n for *_, n in lines]
+    clustered = _clustered(lines)
+    named = [n for *_, n, _ in lines]
     if any(named):  # the markup names its content: regions are those sections, and their nearest named one holds a line
         mass: dict[int, int] = {}
         for (text, *_), region, inside in zip(lines, named, clustered, strict=True):

@@ -214,6 +214,16 @@ def test_html_keeps_the_whole_content_section():
     assert html_text.extract(f"<body><div><a href=/>{short}</a></div><div><p>{long}</p><p><a href=/>{short}</a></p></div></body>") == f"{long}\n{short}"
 
 
+def test_html_class_names_are_whole():
+    text = "word " * 60 + "end"
+    for page in ('<body class="has-sidebar"><p>{}</p></body>', '<article class="post no-sidebar ad-free"><p>{}</p></article>', '<div class="content with-sidebar"><p>{}</p></div>', '<body class="sidebar"><p>{}</p></body>', '<div class="notice"><p>{}</p></div>', '<div id="promo"><div class="ad">Buy</div><article><p>{}</p></article></div>', '<main role="main" class="social"><p>{}</p></main>'):
+        assert html_text.extract(page.format(text)) == text, page
+    for name in ("discussion", "related-work"):
+        assert html_text.extract(f'<article><h2 id="{name}">Name</h2><p>{text}</p></article>') == f"Name\n{text}"
+    comments = f'<section class="comments"><p>{text}</p><p>{text}</p></section>'
+    assert html_text.extract(f'<article><p>{text}</p></article>{comments}<div class="ad" hidden>Buy</div>') == text
+
+
 def test_html_never_fails():
     r = random.Random(8)
     bits = ["<", ">", "<![", "<!--", "-->", "<!", "</", "<p", "<div class='ad'>", "</div>", "&", "&#", ";", "text", "<![CDATA[", "]]>", "<script>", "</script", "'", '"', "=", "<article>", "<?", " "]
