@@ -4,7 +4,8 @@ The standard library's parser streams its events into lines: one line for each r
 with the number of tags it holds and the section it lies in. Sections that the markup itself names as navigation,
 header, footer, aside, form or the like never count. The ratio of text to tags of each line is smoothed over its
 neighbours; lines above a threshold of the page's own spread form clusters. The innermost section that holds all the
-clustered lines, lines of links aside, is the content region. All lines of that region are kept, short ones too.
+clustered lines, lines of links aside, is the content region; where article and main elements hold at least as much
+clustered text as the rest of the page, they are. All lines of that region are kept, short ones too.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ class _Lines(HTMLParser):
         self.lines: list[Line] = []
         self.open: list[str] = []
         self.drops: list[int] = []  # depths at which a dropped element began
-        self.sections: list[tuple[int, int, int]] = [(0, 0, 0)]  # depth, number, number of the named section it lies in
+        self.sections: list[tuple[int, int, int]] = [(0, 0, 0)]  # depth, number, number of the outermost named section it lies in
         self.outer = [0]  # for each section the one around it, which has a smaller number
         self.asides: list[tuple[int, int]] = []  # depth and number of each open element that its class, id or role puts beside the article
         self.beside = [0]  # for each such element the one around it
@@ -110,7 +111,7 @@ class _Lines(HTMLParser):
             _, around, named = self.sections[-1]
             number = len(self.outer)
             self.outer.append(around)
-            self.sections.append((len(self.open), number, number if tag in NAMED else named))
+            self.sections.append((len(self.open), number, named or (number if tag in NAMED else 0)))
 
     def _fenced(self, tag: str) -> bool:
         """A table cell or the like lies between the innermost open element and the last open ``tag``."""
@@ -228,16 +229,11 @@ def extract(html: str) -> str:
     if not lines:
         return ""
     clustered = _clustered(lines)
-    named = [n for *_, n, _ in lines]
-    if any(named):  # the markup names its content: regions are those sections, and their nearest named one holds a line
-        mass: dict[int, int] = {}
-        for (text, *_), region, inside in zip(lines, named, clustered, strict=True):
-            if region:
-                mass[region] = mass.get(region, 0) + len(text) * (1000 if inside else 1)
-        most = max(mass.values())
-        kept = [region in mass and mass[region] >= 0.5 * most for region in named]
-    else:
-        kept = _content(lines, clustered, parser.outer)
+    named = [n > 0 for *_, n, _ in lines]
+    mass = {True: 0, False: 0}
+    for (text, *_), inside, region in zip(lines, clustered, named, strict=True):
+        mass[region] += len(text) * inside
+    kept = named if mass[True] >= mass[False] else _content(lines, clustered, parser.outer)
     return "\n".join(text for (text, *_), keep in zip(lines, kept, strict=True) if keep)
 
 

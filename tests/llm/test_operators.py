@@ -224,6 +224,14 @@ def test_html_class_names_are_whole():
     assert html_text.extract(f'<article><p>{text}</p></article>{comments}<div class="ad" hidden>Buy</div>') == text
 
 
+def test_html_named_sections_are_whole():
+    long, short = "word " * 120 + "end", "short " * 15 + "end"
+    assert html_text.extract(f"<main><h1>Title</h1><p>lead</p><article>{long}</article></main><div>{short}</div>") == f"Title\nlead\n{long}"
+    assert html_text.extract(f"<body><div><article>{long}</article><article>{short}</article></div><div><a href=/>Home</a></div></body>") == f"{long}\n{short}"
+    teaser = f"<body><div><article><a href=/>Read this</a></article></div><div><h1>Title</h1><p>{long}</p><p>{short}</p></div></body>"
+    assert html_text.extract(teaser) == f"Title\n{long}\n{short}"
+
+
 def test_html_never_fails():
     r = random.Random(8)
     bits = ["<", ">", "<![", "<!--", "-->", "<!", "</", "<p", "<div class='ad'>", "</div>", "&", "&#", ";", "text", "<![CDATA[", "]]>", "<script>", "</script", "'", '"', "=", "<article>", "<?", " "]
