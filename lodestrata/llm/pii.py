@@ -48,10 +48,19 @@ SPELLED = 3
 
 ODD = re.compile("[" + "".join(map(re.escape, [*HOMOGLYPHS, *INVISIBLE])) + "\uff01-\uff5e]")
 BRACKETS = re.compile(r"[\[({<]\s*(?:(at|arroba)|(dot|punkt|punto|point))\s*[\])}>]", re.I)
-PLAIN_AT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(\s+at\s+|\s*@\s*)[A-Za-z0-9-]+((?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])", re.I)
-PLAIN_DOT = re.compile(r"\s+dot\s+", re.I)
+_DOT = "(?:dot|punkt|punto|point)"
+PLAIN_AT = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(\s+(?:at|arroba)\s+|\s*@\s*)[A-Za-z0-9-]+((?:(?:\s+{_DOT}\s+|\.)[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])", re.I)
+PLAIN_LABEL = re.compile(rf"(\s+{_DOT}\s+|\.)([A-Za-z0-9-]+)", re.I)
+DOT_WORD = re.compile(_DOT)
 _DIGIT = "(?:" + "|".join(sorted(DIGIT_WORDS, key=lambda w: (-len(w), w))) + "|[0-9])"
 NUMBER = re.compile(rf"(?<![^\W_])(?:plus[\s,-]+|\+\s*)?{_DIGIT}(?:(?:[\s,-]+(?:dot|punkt|point|punto)[\s,-]+|[\s,.-]+){_DIGIT}){{{SPELLED - 1},}}(?![^\W_])", re.I)
+_GROUP = rf"(?:[0-9]{{2,}}|{_DIGIT}(?:[\s,-]+{_DIGIT}){{0,7}})"
+#: Four numerals or spelled ones with dots between them, some of them in words.
+DOTTED = re.compile(rf"(?<![^\W_])(?<!\.){_GROUP}(?:(?:[\s,-]+{_DOT}[\s,-]+|\.){_GROUP}){{3}}(?![^\W_])", re.I)
+DOTTED_PART = re.compile(rf"({_DOT}|\.)|([0-9]+)|({_DIGIT})", re.I)
+PLUS = re.compile(r"(?:plus[\s,-]+|\+\s*)\Z", re.I)
+#: A quick look for a dot in words before a numeral.
+DOT_DIGIT = re.compile(rf"{_DOT}[\s,-]+{_DIGIT}")
 NUMBER_PART = re.compile(rf"(plus|\+)|(dot|punkt|point|punto|\.)|({_DIGIT})", re.I)
 SPELLED_WORD = re.compile(rf"(?<![^\W_])(?:{'|'.join(w for w in DIGIT_WORDS)})(?:[\s,.-]+(?:dot[\s,-]+)?(?:{'|'.join(w for w in DIGIT_WORDS)})(?![^\W_])){{{SPELLED - 1}}}", re.I)
 #: A quick look for two spelled digits in a row, before the exact patterns.
@@ -59,6 +68,9 @@ TWO_WORDS = re.compile(r"[\s,.:(-](?:" + "|".join(DIGIT_WORDS) + r")[\s,.-]{1,3}
 # Last labels that an address in words ("name at host dot com") may end in, besides those of two letters.
 LAST_LABELS = frozenset("com org net edu gov mil int info biz name pro app dev example test local invalid museum travel online site shop cloud tech".split())
 
+#: Labels that are English words of their own: "at this point in" is no address, so they don't end one after "point".
+WORD_LABELS = frozenset("am an as at be by do go he if in is it me my no of on or so to up us we info name pro app dev example test local invalid museum travel online site shop cloud tech".split())
+
 
 def luhn(digits: str) -> bool:
     """The check digit is right: every second digit from the right doubled, nines cast out."""
@@ -156,25 +168,63 @@ def _number_edits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _address_edits(found: Rewritten) -> list[tuple[int, int, str]]:
+    """Addresses with "at" or dots in words. A dot in words, or one that an earlier edit made, tells them from prose."""
+    edits, at, text = [], 0, found.text
+    while m := PLAIN_AT.search(text, at):
+        at, dots, told = m.end(1), [], False
+        for x in PLAIN_LABEL.finditer(text, m.start(2), m.end(2)):
+            word, last = x[1].strip().lower(), x[2].lower()
+            told |= word != "." or found.edited and found.changed[x.start(1)]
+            dots.append((*x.span(1), "."))
+            ends = last in LAST_LABELS or len(last) == 2 and last.isalpha()
+            if told and ends and not (word == "point" and last in WORD_LABELS):
+                if at == m.end(1):
+                    edits.append((*m.span(1), "@"))
+                edits += dots
+                at, dots = x.end(), []
+    return edits
+
+
+def _dotted_edits(text: str) -> list[tuple[int, int, str]]:
+    """Numbers that dots in words join to an address."""
+    edits = []
+    for m in DOTTED.finditer(text):
+        if PLUS.search(text, max(0, m.start() - 16), m.start()):
+            continue
+        new, values, at = [], [""], m.start()
+        for x in DOTTED_PART.finditer(text, m.start(), m.end()):
+            if x.start() > at:  # what separates the digits goes
+                new.append((at, x.start(), ""))
+            to = "." if x[1] else x[2] or DIGIT_WORDS[x[3].lower()]
+            if to == ".":
+                values.append("")
+            else:
+                values[-1] += to
+            if to != x[0]:
+                new.append((*x.span(), to))
+            at = x.end()
+        if all(len(v.lstrip("0")) <= 3 and int(v[-3:]) <= 255 for v in values):
+            edits += new
+    return edits
+
+
 def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
     """Identifiers that appear only after rewriting, as spans of the source."""
     found = Rewritten(text)
     if not text.isascii() and (edits := _odd_edits(text)):
         found.replace(edits)
     low = found.text.lower()
-    if ("at" in low or "arroba" in low) and (edits := _bracket_edits(found.text)):
+    if edits := _bracket_edits(found.text):
+        found.replace(edits)
+        low = found.text.lower()
+    dots = DOT_WORD.search(low) is not None
+    if (dots or found.edited) and (edits := _address_edits(found)):
+        found.replace(edits)
+        low = found.text.lower()
+    if dots and DOT_DIGIT.search(low) and (edits := _dotted_edits(found.text)):
         found.replace(edits)
         low = found.text.lower()
-    if "dot" in low:
-        edits = []
-        for m in PLAIN_AT.finditer(found.text):
-            last = re.split(r"[\s.]", m[2])[-1].lower()
-            if (last in LAST_LABELS or len(last) == 2 and last.isalpha()) and PLAIN_DOT.search(found.text, m.start(2), m.end(2)):
-                edits.append((*m.span(1), "@"))
-                edits += [(*d.span(), ".") for d in PLAIN_DOT.finditer(found.text, m.start(2), m.end(2))]
-        if edits:
-            found.replace(edits)
-            low = found.text.lower()
     if TWO_WORDS.search(f" {low} ") and SPELLED_WORD.search(low) and (edits := _number_edits(found.text)):
         found.replace(edits)
     if not found.edited:

@@ -272,6 +272,21 @@ def test_pii_disguised(docs, none):
     assert pii.digest(found).first()["spans"] == "email:0:6,ip:30:37,phone:11:28" and pii.digest(pii.find_pii(none)).count() == 0
 
 
+def test_pii_disguises_alone():
+    whole = {
+        "email": ["bob@xyz [dot] com", "john at example [dot] com", "john at example dot com", "juan arroba ejemplo punto com", "hans at beispiel punkt de", "jean at exemple point fr", "jean@exemple point fr"],
+        "ip": ["10[dot]0[dot]0[dot]1", "192 dot 168 dot 0 dot 1", "127 dot zero dot zero dot one", "192 punto 168 punto uno punto 1", "one nine two dot 168 dot 0.1"],
+    }
+    for kind, cases in whole.items():
+        for case in cases:
+            text = f"see {case}, then more"
+            assert [(pii.KINDS[k], text[a:b]) for k, a, b in pii.disguised_spans(text, pii.plain_spans(text))] == [(kind, case)], text
+    text = "john at example dot com point mary at example dot org"
+    assert [text[a:b] for _, a, b in pii.disguised_spans(text, [])] == ["john at example dot com", "mary at example dot org"]
+    for text in ("look at this point in time", "we were at that point online", "look at example.com", "300 dot 168 dot 0 dot 1", "1 dot 2 dot 3"):
+        assert pii.disguised_spans(text, []) == [], text
+
+
 def test_quality(spark, docs, none):
     r = random.Random(4)
     good = lambda: " ".join(r.choice(["the", "river", "was", "calm", "and", "wide"]) for _ in range(60)) + "."
