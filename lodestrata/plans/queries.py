@@ -264,7 +264,7 @@ def _keyword(spark, sf_dir, queries: DataFrame, weights: dict[str, float], fragm
     single = parts.where("n = 1").select("qid", "phrase", "tok")
     # only tokens that a query holds are summed; document lengths and counts are those of the whole corpus
     found = post.join(S._small(single), "tok").groupBy("qid", "phrase", "id").agg(F.sum(I.weight_of(F.col("col"), weights)).alias("f"))
-    phrases = found.unionByName(S.phrase_frequencies(S._small(parts), post, weights)) if fragments is not None else found
+    phrases = found.unionByName(S.phrase_frequencies(S._small(parts), post, weights))
     return S.bm25(phrases, lengths.crossJoin(corpus), F.col("n_docs"), F.col("avgdl"))
 
 

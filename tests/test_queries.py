@@ -19,6 +19,17 @@ def con():
     return c
 
 
+def test_terms_of_several_fragments(spark, tmp_path):
+    texts = ["foo_bar one", "bar foo two", "राष्ट्रपति three", "other", "words", "here"]
+    docs = [(i, t, "en", "src0", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "foo_bar"), (1, "राष्ट्रपति")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name in ("bm25_batch", "bm25_field_weighted"):
+        assert {(r["qid"], r["id"]) for r in QUERIES[name](spark, str(tmp_path)).collect() if r["score"] > 0.1} == {(0, 0), (1, 2)}, name
+    hybrid = QUERIES["hybrid_search_rrf"](spark, str(tmp_path)).collect()
+    assert {(r["qid"], r["id"]) for r in hybrid if "keyword#1" in r["why"]} == {(0, 0), (1, 2)}
+
+
 def cell(v):
     return "None" if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v)
 
