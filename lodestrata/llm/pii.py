@@ -43,7 +43,7 @@ DIGIT_WORDS = {
     **dict(zip("zéro un deux trois quatre cinq six sept huit neuf".split(), "0123456789", strict=True)),
     **dict(zip("cero uno dos tres cuatro cinco seis siete ocho nueve".split(), "0123456789", strict=True)),
 }
-#: So many spelled digits in a row are taken for a number.
+#: So many spelled digits, in a row or with numerals between them, are taken for a number.
 SPELLED = 3
 
 ODD = re.compile("[" + "".join(map(re.escape, [*HOMOGLYPHS, *INVISIBLE])) + "\uff01-\uff5e]")
@@ -63,8 +63,8 @@ PLUS = re.compile(r"(?:plus[\s,-]+|\+\s*)\Z", re.I)
 DOT_DIGIT = re.compile(rf"{_DOT}[\s,-]+{_DIGIT}")
 NUMBER_PART = re.compile(rf"(plus|\+)|(dot|punkt|point|punto|\.)|({_DIGIT})", re.I)
 SPELLED_WORD = re.compile(rf"(?<![^\W_])(?:{'|'.join(w for w in DIGIT_WORDS)})(?:[\s,.-]+(?:dot[\s,-]+)?(?:{'|'.join(w for w in DIGIT_WORDS)})(?![^\W_])){{{SPELLED - 1}}}", re.I)
-#: A quick look for two spelled digits in a row, before the exact patterns.
-TWO_WORDS = re.compile(r"[\s,.:(-](?:" + "|".join(DIGIT_WORDS) + r")[\s,.-]{1,3}(?:dot[\s,-])?(?:" + "|".join(DIGIT_WORDS) + r")[\s,.-]")
+#: A quick look for a spelled digit before another digit, before the exact patterns.
+TWO_DIGITS = re.compile(rf"[\W_](?:{'|'.join(DIGIT_WORDS)})[\s,.-]+(?:{_DOT}[\s,-]+)?{_DIGIT}")
 # Last labels that an address in words ("name at host dot com") may end in, besides those of two letters.
 LAST_LABELS = frozenset("com org net edu gov mil int info biz name pro app dev example test local invalid museum travel online site shop cloud tech".split())
 
@@ -154,6 +154,11 @@ def _bracket_edits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _spelled(text: str) -> bool:
+    """Some number holds enough spelled digits."""
+    return any(sum(x[3] is not None and x[3].isalpha() for x in NUMBER_PART.finditer(m[0])) >= SPELLED for m in NUMBER.finditer(text))
+
+
 def _number_edits(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in NUMBER.finditer(text):
@@ -225,7 +230,7 @@ def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
     if dots and DOT_DIGIT.search(low) and (edits := _dotted_edits(found.text)):
         found.replace(edits)
         low = found.text.lower()
-    if TWO_WORDS.search(f" {low} ") and SPELLED_WORD.search(low) and (edits := _number_edits(found.text)):
+    if TWO_DIGITS.search(f" {low}") and (SPELLED_WORD.search(low) or _spelled(found.text)) and (edits := _number_edits(found.text)):
         found.replace(edits)
     if not found.edited:
         return []

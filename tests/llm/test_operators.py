@@ -287,6 +287,12 @@ def test_pii_disguises_alone():
         assert pii.disguised_spans(text, []) == [], text
 
 
+def test_pii_spelled_over_lines_and_mixed():
+    for case in ("plus one\n     five\n     five\n     five\n     one\n     two\n     three\n     four", "plus one 5 five 5 five 1 two 3 four 5"):
+        text = f"call {case} now"
+        assert [(pii.KINDS[k], text[a:b]) for k, a, b in pii.disguised_spans(text, [])] == [("phone", case)], text
+
+
 def test_quality(spark, docs, none):
     r = random.Random(4)
     good = lambda: " ".join(r.choice(["the", "river", "was", "calm", "and", "wide"]) for _ in range(60)) + "."
