@@ -13,14 +13,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import ship_package, stored
 from . import text as T
 
 
 def l2_normalise(vec: Column) -> Column:
     """Unit length; a zero vector stays."""
     norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
-    return F.transform(vec, lambda v: F.when(norm == 0, v.cast("double")).otherwise(v.cast("double") / norm))
+    return T.let(norm, lambda n: F.transform(vec, lambda v: F.when(n == 0, v.cast("double")).otherwise(v.cast("double") / n)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -76,25 +76,27 @@ class NativeHashingEmbedder(Embedder):
         norms = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
         return sums.join(norms, key).select(key, "slot", (F.col("v") / F.col("norm")).alias("weight"))
 
-    def by_token(self, df: DataFrame, key: str, text: str, out: str = "vec") -> DataFrame:
-        """(key, vec array<double>) for a whole corpus. Features are hashed once for each distinct token, not for each
-        occurrence; rows without a token have the zero vector."""
+    def by_token(self, df: DataFrame, key: str, text: str) -> DataFrame:
+        """As sparse(), for a whole corpus: features are hashed once for each distinct token, not for each occurrence.
+        Rows without a token have no slots."""
         words = df.select(key, F.explode(T.tokens(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("t")).groupBy(key, "t").agg(F.count("*").alias("n"))
         each = words.select("t").distinct().select("t", F.explode(features(F.col("t"))).alias("f")).groupBy("t", self.slot(F.col("f")).alias("slot")).agg(F.sum(self.sign(F.col("f"))).alias("v"))
         # a token's features as one row, so that a frequent token is joined once for each document, not once a slot
-        packed = each.where("v != 0").groupBy("t").agg(F.collect_list(F.struct("slot", "v")).alias("fs"))
+        # and as a table, so that both sides of the join are exchanges and a very frequent token can be split
+        packed = stored(each.where("v != 0").groupBy("t").agg(F.collect_list(F.struct("slot", "v")).alias("fs")), "token_features")
         sums = words.join(packed, "t").select(key, "n", F.explode("fs").alias("x")).groupBy(key, "x.slot").agg(F.sum(F.col("x.v") * F.col("n")).alias("v")).where("v != 0")
-        got = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-        dense = F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i) / F.col("norm"), F.lit(0.0)))
-        return df.select(key).join(got, key, "left").select(key, dense.alias(out))
+        norms = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+        return sums.join(norms, key).select(key, "slot", (F.col("v") / F.col("norm")).alias("weight"))
 
     def embed(self, df: DataFrame, text: str, out: str = "vec") -> DataFrame:
-        # without a shuffle: a row's features in the order of their slots; a slot's sum is what the sorted run holds
-        signed = F.array_sort(F.transform(features(F.col(text)), lambda x: F.struct(self.slot(x).alias("s"), self.sign(x).alias("v"))))
-        slots = F.array_distinct(F.transform(signed, lambda x: x["s"]))
-        sums = F.map_from_arrays(slots, F.transform(slots, lambda s: F.aggregate(F.filter(signed, lambda x: x["s"] == s), F.lit(0.0), lambda t, x: t + x["v"])))
-        dense = F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda i: F.coalesce(F.try_element_at(sums, i), F.lit(0.0)))
-        return df.withColumn(out, F.transform(l2_normalise(dense), lambda v: v.cast("float")))
+        # without a shuffle: each feature is hashed once, then each slot sums its own
+        def sums(signed: Column) -> Column:
+            slots = F.array_distinct(F.transform(signed, lambda x: x["s"]))
+            return F.map_from_arrays(slots, F.transform(slots, lambda s: F.aggregate(F.filter(signed, lambda x: x["s"] == s), F.lit(0.0), lambda t, x: t + x["v"])))
+
+        hashed = F.transform(features(F.col(text)), lambda x: F.struct(self.slot(x).alias("s"), self.sign(x).alias("v")))
+        dense = T.let(T.let(hashed, sums), lambda m: F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0))))
+        return df.withColumn(out, F.transform(T.let(dense, l2_normalise), lambda v: v.cast("float")))
 
 
 _TOKEN = re.compile(r"[\wऀ-ॿ]+")

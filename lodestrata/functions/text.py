@@ -7,6 +7,7 @@ out as classes, since Java's shorthands are narrower.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,6 +30,11 @@ def literals(values) -> Column:
     return F.array(*(F.lit(v) for v in values)) if values else F.array().cast("array<string>")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once for each row, also where use has it in the lambda of another function."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
 
@@ -53,15 +59,19 @@ def expand_terms(text: Column, lexicon=vocab.LEXICON) -> Column:
     """Synonyms of all lexicon terms in the text (words as tokens, phrases as substrings), without those whose lower
     case is a token of the text; in code point order. A phrase is never a token, so it may come back itself."""
     index = vocab.alias_index(lexicon)
-    low, own = F.lower(F.coalesce(text, F.lit(""))), F.array_distinct(tokens(text))
     words = [t for t in index if " " not in t]
-    found = [F.when(F.contains(low, F.lit(p)), literals(index[p])).otherwise(literals(())) for p in index if " " in p]
-    if words:
-        table = F.create_map(*(x for w in words for x in (F.lit(w), literals(index[w]))))
-        # the few tokens that are terms are found by hash first; the map is small
-        found.append(F.flatten(F.transform(F.array_intersect(own, literals(words)), lambda t: table[t])))
-    every = F.array_distinct(F.flatten(F.array(*found))) if found else literals(())
-    return F.array_sort(F.filter(every, lambda a: ~F.array_contains(own, F.lower(a))))
+
+    def synonyms(low: Column, own: Column) -> Column:
+        found = [F.when(F.contains(low, F.lit(p)), literals(index[p])).otherwise(literals(())) for p in index if " " in p]
+        if words:
+            table = F.create_map(*(x for w in words for x in (F.lit(w), literals(index[w]))))
+            # the few tokens that are terms are found by hash first; the map is small
+            found.append(F.flatten(F.transform(F.array_intersect(own, literals(words)), lambda t: table[t])))
+        every = F.array_distinct(F.flatten(F.array(*found))) if found else literals(())
+        return F.array_sort(F.filter(every, lambda a: ~F.array_contains(own, F.lower(a))))
+
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return let(F.struct(low.alias("low"), F.array_distinct(tokens(text)).alias("own")), lambda x: synonyms(x["low"], x["own"]))
 
 
 def alias_text(text: Column, lexicon=vocab.LEXICON) -> Column:
@@ -93,15 +103,21 @@ def detect_language(text: Column, first=("mar", vocab.MARATHI_MARKERS), second=(
 def snippet(raw_text: Column, title: Column, query: Column, width: int = 220, lexicon=vocab.LEXICON) -> Column:
     """An excerpt of at most ``width`` characters around the earliest place of any query token or alias of two
     characters or more (a plain substring, stopwords too); the title where there is no text."""
-    text = squeezed(raw_text)
     terms = F.filter(F.array_union(tokens(query), expand_terms(query, lexicon)), lambda t: F.length(t) >= 2)
-    low = F.lower(text)
-    at = F.array_min(F.filter(F.transform(terms, lambda t: F.position(t, low)), lambda p: p > 0))
-    start = F.greatest(F.lit(0), at - 1 - width // 3)
-    end = F.least(F.length(text), start + width)
-    cut = F.concat(F.when(start > 0, "…").otherwise(""), F.substring(text, start + 1, F.lit(width)), F.when(end < F.length(text), "…").otherwise(""))
-    head = F.concat(F.substring(text, 1, width), F.when(F.length(text) > width, "…").otherwise(""))
-    return F.when(text == "", title).when(at.isNull(), head).otherwise(cut)
+
+    def excerpt(text: Column, at: Column) -> Column:
+        start = F.greatest(F.lit(0), at - 1 - width // 3)
+        end = F.least(F.length(text), start + width)
+        cut = F.concat(F.when(start > 0, "…").otherwise(""), F.substring(text, start + 1, F.lit(width)), F.when(end < F.length(text), "…").otherwise(""))
+        head = F.concat(F.substring(text, 1, width), F.when(F.length(text) > width, "…").otherwise(""))
+        return F.when(text == "", title).when(at.isNull(), head).otherwise(cut)
+
+    def earliest(low: Column) -> Column:
+        return F.array_min(F.filter(F.transform(terms, lambda t: F.position(t, low)), lambda p: p > 0))
+
+    # squeezed and in lower case once, then searched for each term
+    placed = let(squeezed(raw_text), lambda text: F.struct(text.alias("text"), let(F.lower(text), earliest).alias("at")))
+    return let(placed, lambda x: excerpt(x["text"], x["at"]))
 
 
 def accent_fold() -> tuple[str, str]:

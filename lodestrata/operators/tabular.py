@@ -49,18 +49,25 @@ def dedupe_headers(cells: Column) -> Column:
     """Stripped names, empty ones as col1, col2 ..., the second and further ones of a name as name_1, name_2 ..."""
     names = F.transform(cells, lambda c, i: F.when(T.strip(c) == "", F.concat(F.lit("col"), (i + 1).cast("string"))).otherwise(T.strip(c)))
 
-    def numbered(name: Column, i: Column) -> Column:
-        before = F.size(F.filter(F.slice(names, 1, i), lambda x: x == name))
-        return F.when(before > 0, F.concat(name, F.lit("_"), before.cast("string"))).otherwise(name)
+    def numbered(names: Column) -> Column:
+        def one(name: Column, i: Column) -> Column:
+            before = F.size(F.filter(F.slice(names, 1, i), lambda x: x == name))
+            return F.when(before > 0, F.concat(name, F.lit("_"), before.cast("string"))).otherwise(name)
 
-    return F.transform(names, numbered)
+        return F.transform(names, one)
+
+    return T.let(names, numbered)
 
 
 def row_pairs(headers: Column, cells: Column) -> Column:
     """(h, v) of the filled cells, by header; of one header's several values the last one, at the first one's place."""
     every = F.filter(F.transform(headers, lambda h, i: F.struct(h.alias("h"), T.strip(F.coalesce(F.get(cells, i), F.lit(""))).alias("v"))), lambda p: p["v"] != "")
-    first = F.filter(every, lambda p, i: F.size(F.filter(F.slice(every, 1, i), lambda q: q["h"] == p["h"])) == 0)
-    return F.transform(first, lambda p: F.struct(p["h"].alias("h"), F.element_at(F.filter(every, lambda q: q["h"] == p["h"]), -1)["v"].alias("v")))
+
+    def merged(every: Column) -> Column:
+        first = F.filter(every, lambda p, i: F.size(F.filter(F.slice(every, 1, i), lambda q: q["h"] == p["h"])) == 0)
+        return F.transform(first, lambda p: F.struct(p["h"].alias("h"), F.element_at(F.filter(every, lambda q: q["h"] == p["h"]), -1)["v"].alias("v")))
+
+    return T.let(every, merged)
 
 
 def _holds(header: Column, hints) -> Column:

@@ -100,6 +100,9 @@ def test_embedders(spark):
         assert abs(cos(0, 0) - 1) < 1e-5 and cos(0, 1) > cos(0, 2) and cos(3, 3) == 0
     native = E.NativeHashingEmbedder(64)
     one = {r["id"]: r["vec"] for r in native.embed(df, "text").collect()}
-    two = {r["id"]: r["vec"] for r in native.by_token(df, "id", "text").collect()}
-    assert all(abs(a - b) < 1e-6 for i in one for a, b in zip(one[i], two[i], strict=True))
+    for rows in (native.by_token(df, "id", "text"), native.sparse(df, "id", "text")):
+        two = {i: [0.0] * 64 for i in one}
+        for r in rows.collect():
+            two[r["id"]][r["slot"]] = r["weight"]
+        assert all(abs(a - b) < 1e-6 for i in one for a, b in zip(one[i], two[i], strict=True))
     assert E.get_embedder("auto").name == "hashing-ngram-v1"
