@@ -1,17 +1,17 @@
 """The index: tables of records, postings, term frequencies, lengths, document frequencies, corpus figures and vectors.
 
 Tables are Parquet. Postings and frequencies lie sorted by token, so a query's tokens prune row groups. Each build is
-a snapshot of its own; a pointer file names the current one, so readers never see half an index.
+a snapshot of its own; numbered pointer files name them, and the highest one counts, so readers never see half an index.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions.embedding import Embedder
@@ -30,9 +30,19 @@ def index_fields(records: DataFrame, aliases: bool = True) -> DataFrame:
 
 def postings(fields: DataFrame, columns=tuple(WEIGHTS)) -> DataFrame:
     """(id, col, pos, tok) for each token of each column, in one pass over the fields."""
+    return postings_of(tokenised(fields, columns))
+
+
+def tokenised(fields: DataFrame, columns=tuple(WEIGHTS)) -> DataFrame:
+    """(id, len, cols array<struct<col, toks>>): the tokens of each column and how many there are together."""
     per = F.array(*(F.struct(F.lit(c).alias("col"), T.index_tokens(F.col(c)).alias("toks")) for c in columns))
-    rows = fields.select("id", F.explode(per).alias("x")).select("id", "x.col", F.posexplode("x.toks").alias("pos", "tok"))
-    return rows
+    length = F.aggregate("cols", F.lit(0).cast("bigint"), lambda s, x: s + F.size(x["toks"]))
+    return fields.select("id", per.alias("cols")).select("id", length.alias("len"), "cols")
+
+
+def postings_of(cut: DataFrame) -> DataFrame:
+    """postings() of a table that tokenised() has made."""
+    return cut.select("id", F.explode("cols").alias("x")).select("id", "x.col", F.posexplode("x.toks").alias("pos", "tok"))
 
 
 def weight_of(col: Column, weights: dict[str, float]) -> Column:
@@ -46,8 +56,7 @@ def term_frequencies(post: DataFrame, weights: dict[str, float] = WEIGHTS) -> Da
 
 def document_lengths(fields: DataFrame, columns=tuple(WEIGHTS)) -> DataFrame:
     """(id, len): tokens of all columns together; 0 for records without any."""
-    total = sum((F.size(T.index_tokens(F.col(c))) for c in columns), F.lit(0))
-    return fields.select("id", total.cast("bigint").alias("len"))
+    return tokenised(fields, columns).select("id", "len")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id", order: str = "ordinal") -> DataFrame:
@@ -60,7 +69,7 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "id", order: str = "ordina
 class Index:
     """A snapshot folder under ``root``; open() reads the current one."""
 
-    TABLES = ("records", "postings", "tf", "lengths", "df", "vectors")
+    TABLES = ("records", "postings", "tf", "lengths", "vectors")
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -70,10 +79,19 @@ class Index:
         p = sc._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
 
-    def _pointer(self) -> dict | None:
-        fs, p = self._fs(f"{self.root}/current.json")
-        if not fs.exists(p):
-            return None
+    def _pointers(self) -> list[int]:
+        """Numbers of the pointer files, the current one last."""
+        fs, p = self._fs(self.root)
+        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(m[1]) for name in names if (m := re.fullmatch(r"current-(\d+)\.json", name)))
+
+    def _pointer(self, number: int | None = None) -> dict | None:
+        if number is None:
+            numbers = self._pointers()
+            if not numbers:
+                return None
+            number = numbers[-1]
+        fs, p = self._fs(f"{self.root}/current-{number}.json")
         stream = fs.open(p)
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
@@ -115,35 +133,47 @@ class Index:
         old = self.table("records").withColumn("ordinal", F.lit(0).cast("bigint")) if append and self.exists() else given.limit(0)
         upsert(old, given).drop("ordinal").write.parquet(f"{path}/records")
         kept = self.spark.read.parquet(f"{path}/records")
-        fields = index_fields(kept)
-        fields.write.parquet(f"{path}/fields")
+        index_fields(kept).write.parquet(f"{path}/fields")
         fields = self.spark.read.parquet(f"{path}/fields")
-        postings(fields).repartitionByRange("tok").sortWithinPartitions("tok", "id", "col", "pos").write.parquet(f"{path}/postings")
+        tokenised(fields).write.parquet(f"{path}/tokens")
+        cut = self.spark.read.parquet(f"{path}/tokens")
+        # ranges of (token, id): the postings of a word that is in most records are many ranges
+        postings_of(cut).repartitionByRange("tok", "id").sortWithinPartitions("tok", "id", "col", "pos").write.parquet(f"{path}/postings")
         post = self.spark.read.parquet(f"{path}/postings")
-        term_frequencies(post).repartitionByRange("tok").sortWithinPartitions("tok", "id").write.parquet(f"{path}/tf")
-        document_lengths(fields).write.parquet(f"{path}/lengths")
-        self.spark.read.parquet(f"{path}/tf").groupBy("tok").agg(F.count("*").alias("df")).write.parquet(f"{path}/df")
+        term_frequencies(post).repartitionByRange("tok", "id").sortWithinPartitions("tok", "id").write.parquet(f"{path}/tf")
+        cut.select("id", "len").write.parquet(f"{path}/lengths")
         embedder.embed(fields.select("id", "body"), "body").select("id", "vec").write.parquet(f"{path}/vectors")
         lengths = self.spark.read.parquet(f"{path}/lengths").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl")).first()
         meta = {"snapshot": snapshot, "embedder": embedder.name, "dim": embedder.dim, "count": lengths["n"], "avgdl": lengths["avgdl"] or 0.0, "indexed": indexed}
-        for extra in ("given", "fields"):
+        for extra in ("given", "fields", "tokens"):
             fs, p = self._fs(f"{path}/{extra}")
             fs.delete(p, True)
         self._point(meta)
         return meta
 
     def _point(self, meta: dict) -> None:
-        """Writes the pointer beside its place and renames it: readers see the old one or the new one."""
-        fs, tmp = self._fs(f"{self.root}/current-{uuid.uuid4().hex[:8]}.tmp")
+        """Writes the next pointer beside its place and renames it: at any time the highest one is whole. Of two writers
+        at once the second one takes the number after the first one's. The snapshot before stays for its readers; older
+        ones go, pointers first."""
+        fs, tmp = self._fs(f"{self.root}/{uuid.uuid4().hex[:8]}.tmp")
         out = fs.create(tmp, True)
         try:
             out.write(bytearray(json.dumps(meta).encode()))
         finally:
             out.close()
-        _, target = self._fs(f"{self.root}/current.json")
-        if fs.exists(target):
-            fs.delete(target, False)
-        fs.rename(tmp, target)
+        numbers = self._pointers()
+        number = numbers[-1] + 1 if numbers else 0
+        while not fs.rename(tmp, self._fs(f"{self.root}/current-{number}.json")[1]):  # another writer has just taken it
+            if number in (taken := self._pointers()):
+                number = taken[-1] + 1
+            else:
+                raise OSError(f"the pointer under {self.root} can't be written")
+        keep = {self._pointer(n)["snapshot"] for n in self._pointers()[-2:]}
+        for n in self._pointers()[:-2]:
+            old = self._pointer(n)["snapshot"]
+            fs.delete(self._fs(f"{self.root}/current-{n}.json")[1], False)
+            if old not in keep:
+                fs.delete(self._fs(f"{self.root}/{old}")[1], True)
 
 
 def stats(records: DataFrame) -> DataFrame:
@@ -152,7 +182,3 @@ def stats(records: DataFrame) -> DataFrame:
     return records.select(F.explode(kinds).alias("x")).where("x.kind != 'department' or x.value is not null").groupBy("x.kind", "x.value").agg(F.count("*").alias("n"))
 
 
-def last_of_each(table: DataFrame, key: str, order: str) -> DataFrame:
-    """Window form of upsert, for tables whose rows are wide."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
-    return table.withColumn("_rank", rank).where("_rank = 1").drop("_rank")

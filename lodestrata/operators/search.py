@@ -97,6 +97,15 @@ def vector_scores(query_vectors: DataFrame, vectors: DataFrame) -> DataFrame:
     return vectors.join(_small(query_vectors), how="cross").select("qid", "id", dot(F.col("qvec"), F.col("vec")).alias("score"))
 
 
+def sparse_scores(query_slots: DataFrame, slots: DataFrame, queries: DataFrame, ids: DataFrame) -> DataFrame:
+    """(qid, id, score) for each query and each id: dot products of sparse vectors (key, slot, weight). Vectors meet by
+    slot, so there is no dense array and no pair of vectors; tasks sum their own slots before the shuffle. ids without
+    any slot have score 0 for all queries, as have pairs without a common one; queries are a stated set."""
+    hits = slots.join(_small(query_slots.select("qid", "slot", F.col("weight").alias("q"))), "slot").groupBy("qid", "id").agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
+    every = ids.select("id").join(_small(queries.select("qid")), how="cross")
+    return every.join(hits, ["qid", "id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
 def allowed(scored: DataFrame, records: DataFrame, filters: Mapping | None) -> DataFrame:
     """Scores of records that pass the filters; corpus figures stay those of all records."""
     if not filters:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.records import as_records
 
@@ -38,29 +39,36 @@ def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_grid(spark: SparkSession, sf_dir: str, sheets: int = 1) -> DataFrame:
-    """One workbook a market segment: a title row, a note, the header (one name twice, one blank), customers. A second
-    sheet repeats them with one more column, which is empty."""
-    c = table(spark, sf_dir, "customer")
-    file = F.concat(F.lit("register_"), F.col("c_mktsegment"), F.lit(".csv"))
-    cells = F.array(F.col("c_custkey").cast("string"), "c_name", F.lit("Announcements"), F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")), F.lit(""))
-    rows = c.select(file.alias("source_file"), "c_custkey", cells.alias("cells"))
-    place = F.row_number().over(_by_file()) + 2
-    data = rows.select("source_file", place.alias("row_idx"), "cells")
-    top = [["Customer register", "", "", "", ""], ["confidential", "", "", "", ""], ["Sr", "Name", "Category", "Name", ""]]
-    files = rows.select("source_file").distinct()
-    heads = files.select("source_file", F.posexplode(F.array(*(F.array(*map(F.lit, r)) for r in top))).alias("row_idx", "cells"))
-    one = heads.unionByName(data)
-    out = one.select("source_file", F.lit(0).alias("sheet_idx"), F.lit("first").alias("sheet"), "row_idx", "cells")
+    """One file for each nation's customers. By the nation's number the header has up to four rows above it (a title, an
+    empty row, figures), one name twice or not, a blank name; of the customers some rows are empty and some cells blank,
+    padded, numbers or dates. A second sheet repeats every other customer, written and numbered otherwise."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("int").alias("n"), "c_name", "c_mktsegment")
+    kind = F.when(F.col("n") % 3 == 0, "register").when(F.col("n") % 3 == 1, "minutes").otherwise("sheet")
+    c = c.withColumn("source_file", F.concat(kind, F.lit("_"), F.col("n").cast("string"), F.lit(".csv")))
+    k, above = F.col("c_custkey"), F.col("n") % 5
+    row = lambda *values: F.array(*(F.lit(v) if isinstance(v, str) else v for v in values))
+    blank = row("", "", "", "", "", "")
+    person = lambda name: F.when(k % 13 == 0, blank).otherwise(
+        row(k.cast("string"), F.when(k % 7 == 0, "  ").otherwise(name), F.when(k % 5 == 0, " war ROOM ").otherwise(F.col("c_mktsegment")), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("Account  of "), F.floor(k / 3).cast("string"))), F.when(k % 6 == 0, "x").otherwise(""), F.when(k % 3 == 0, "1/2/2024").otherwise(""))
+    )
+    place = above + F.row_number().over(Window.partitionBy("source_file").orderBy("c_custkey")) - 1
+    files = c.select("source_file", "n").distinct()
+    i = F.col("row_idx")
+    figure = F.when((i + F.col("n")) % 3 == 0, row("Customer list", "", "", "", "", "")).when((i + F.col("n")) % 3 == 1, blank).otherwise(row("2024", "15.03", " 7 ", "", "", ""))
+    top = files.select("source_file", "n", F.explode(F.sequence(F.lit(0), above)).alias("row_idx"))
+    header = row("Sr", " Name ", "Type", F.when(F.col("n") % 2 == 0, "Name").otherwise("Subject"), "", "Date")
+    top = top.select("source_file", "row_idx", F.when(i == above, header).otherwise(figure).alias("cells"))
+
+    def sheet(number: int, name: str, rows: DataFrame) -> DataFrame:
+        every = top.unionByName(rows)
+        return every.select("source_file", F.lit(number).alias("sheet_idx"), F.lit(name).alias("sheet"), "row_idx", "cells")
+
+    one = sheet(0, "first", c.select("source_file", (place + 1).alias("row_idx"), person(F.col("c_name")).alias("cells")))
     if sheets == 1:
-        return out
-    again = one.select("source_file", F.lit(1).alias("sheet_idx"), F.lit("second").alias("sheet"), "row_idx", F.concat("cells", F.array(F.lit(""))).alias("cells"))
-    return out.unionByName(again)
-
-
-def _by_file():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("source_file").orderBy("c_custkey")
+        return one
+    other = F.concat(F.lit("  "), F.lower(F.regexp_replace("c_name", "#", " # ")))
+    again = c.where("c_custkey % 2 = 0").select("source_file", (place + 1).alias("row_idx"), person(F.when(k % 10 == 0, other).otherwise(F.upper("c_name"))).alias("cells"))
+    return one.unionByName(sheet(1, "second", again))
 
 
 def manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

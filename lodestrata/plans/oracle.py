@@ -42,9 +42,19 @@ SELECT doc_id, CASE WHEN trim(text) = '' OR a + b = 0 THEN 'und'
   WHEN a > 0.05 * (a + b) THEN CASE WHEN len(list_intersect(w, ['der','die','das','und','ein','ist','mit','von','nicht','für'])) > len(list_intersect(w, ['le','la','et','un','une','des','du','que','qui','est'])) THEN 'deu' ELSE 'fra' END
   ELSE 'lat' END AS language FROM x"""
 
-# a name goes on over a dot and white space to the next capital, so the doctor belongs to the name before
-ENTITIES = r"""
-SELECT c_custkey, concat('Shri Ab', c_custkey, 'ton|Hon''ble President Anna O''Neil-Smith. Dr. Jones') AS entities FROM customer"""
+ENTITY_TEXT = """CASE c_custkey % 6
+    WHEN 0 THEN concat('Letter from Shri Ab', c_custkey, 'ton of ', c_mktsegment, ' to Hon''ble President Anna O''Neil-Smith. Dr. Jones met')
+    WHEN 1 THEN concat('met Dr. Jones and Smt. Ab', c_custkey, ' Rao today, xDr. No, Mr')
+    WHEN 2 THEN concat('the Secretary Finance', c_custkey, ' and Prime Minister  Two', chr(10), 'Spaces; Honble Ab')
+    WHEN 3 THEN 'shri lower Name'
+    WHEN 4 THEN concat('Mr Ab', c_custkey, ' Mr Ab', c_custkey, ' Ms Zed. Governor of X, (Dr Ad)')
+    ELSE concat('Minister Ab', c_custkey, ' , Minister Ab', c_custkey, ' , Chief Minister') END"""
+_TITLES = "Hon'?ble|Shri|Smt\\.?|Dr\\.?|Mr\\.?|Ms\\.?|President|Governor|Prime Minister|Chief Minister|Minister|Secretary".replace("'", "''")
+# a name goes on over a dot and white space to the next capital, so a doctor belongs to the name before
+ENTITIES = rf"""
+WITH t AS (SELECT c_custkey, {ENTITY_TEXT} AS t FROM customer),
+e AS (SELECT c_custkey, regexp_extract_all(t, '(?:^|[^\p{{L}}\p{{N}}_])((?:{_TITLES})\s+[A-Z][\p{{L}}\p{{N}}_.''-]+(?:\s+[A-Z][\p{{L}}\p{{N}}_.''-]+)*)', 1) AS l FROM t)
+SELECT c_custkey, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS entities FROM e"""
 
 STOP = "'the','a','an','to','in','on','of','for','and','or','is','are','was','were','be','with','at','by','from','as','that','this','show','me','all','everything','about','what','which','who','list','give','find','get','letter','letters','regarding','request','please','व','आणि','मध्ये','साठी','आहे','यांना','का','की','के','में','और','को','है','पत्र'"
 CONTENT_TERMS = rf"""
@@ -76,27 +86,88 @@ z AS (SELECT *, greatest(0, p - 1 - 73) AS s FROM y)
 SELECT doc_id, CASE WHEN t = '' THEN 'untitled' WHEN p IS NULL THEN substr(t, 1, 220) || CASE WHEN length(t) > 220 THEN '…' ELSE '' END
   ELSE CASE WHEN s > 0 THEN '…' ELSE '' END || substr(t, s + 1, 220) || CASE WHEN s + 220 < length(t) THEN '…' ELSE '' END END AS snippet FROM z"""
 
-_FILES = "SELECT c_mktsegment, 'register_' || c_mktsegment || '.csv' AS source_file, count(*) AS n FROM customer GROUP BY 1, 2"
-# the filled cells of the six rows are 1, 1, 3, 4, 4, 4 of five; the header's own score is compared with the four rows below it
-HEADER_DETECT = f"""
-WITH f AS ({_FILES}), r AS (SELECT * FROM (VALUES (0, 1), (1, 1), (2, 4), (3, 4), (4, 4), (5, 4)) AS v(row_idx, filled))
-SELECT source_file, CAST(row_idx AS BIGINT) AS row_idx, round(CASE WHEN row_idx < 2 THEN 0.0
-  WHEN row_idx = 2 THEN 4 / 5 * 0.4 + 0.4 + CASE WHEN n > 0 THEN 0.2 ELSE 0 END
-  ELSE 4 / 5 * 0.4 + 3 / 4 * 0.4 + CASE WHEN n > row_idx - 2 THEN 0.2 ELSE 0 END END, 6) AS score
-FROM f, r WHERE row_idx < 3 OR row_idx - 3 < n"""
-HEADER_PICK = f"SELECT source_file, CAST(2 AS BIGINT) AS header_idx FROM ({_FILES})"
-
-_ROWS = "SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) + 3 AS place FROM customer"
-SHAPE_ROWS = f"""
-SELECT 'register_' || c_mktsegment || '.csv' AS source_file, 'row ' || place AS row_or_page, c_name AS title,
-  concat('Sr: ', c_custkey, chr(10), 'Name: ', c_name, chr(10), 'Category: Announcements', chr(10), 'Name_1: nation ', c_nationkey) AS raw_text,
-  'Announcements' AS category, concat(c_name, '  nation ', c_nationkey) AS recipient, 'letter' AS source_type FROM ({_ROWS})"""
+_PERSON = """CASE WHEN c_custkey % 13 = 0 THEN ['', '', '', '', '', ''] ELSE [CAST(c_custkey AS VARCHAR), CASE WHEN c_custkey % 7 = 0 THEN '  ' ELSE {name} END,
+    CASE WHEN c_custkey % 5 = 0 THEN ' war ROOM ' ELSE c_mktsegment END, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE concat('Account  of ', c_custkey // 3) END,
+    CASE WHEN c_custkey % 6 = 0 THEN 'x' ELSE '' END, CASE WHEN c_custkey % 3 = 0 THEN '1/2/2024' ELSE '' END] END"""
+# the grid as inputs.customer_grid describes it
+_GRID = f"""
+c AS (SELECT *, concat(CASE c_nationkey % 3 WHEN 0 THEN 'register' WHEN 1 THEN 'minutes' ELSE 'sheet' END, '_', c_nationkey, '.csv') AS source_file, CAST(c_nationkey AS INT) AS n FROM customer),
+top AS (SELECT source_file, i AS row_idx, CASE WHEN i = n % 5 THEN ['Sr', ' Name ', 'Type', CASE WHEN n % 2 = 0 THEN 'Name' ELSE 'Subject' END, '', 'Date']
+    WHEN (i + n) % 3 = 0 THEN ['Customer list', '', '', '', '', ''] WHEN (i + n) % 3 = 1 THEN ['', '', '', '', '', ''] ELSE ['2024', '15.03', ' 7 ', '', '', ''] END AS cells
+  FROM (SELECT source_file, n, unnest(range(n % 5 + 1)) AS i FROM (SELECT DISTINCT source_file, n FROM c))),
+first AS (SELECT source_file, n % 5 + row_number() OVER (PARTITION BY source_file ORDER BY c_custkey) AS row_idx, {_PERSON.format(name="c_name")} AS cells FROM c),
+second AS (SELECT source_file, n % 5 + row_number() OVER (PARTITION BY source_file ORDER BY c_custkey) AS row_idx,
+    {_PERSON.format(name="CASE WHEN c_custkey % 10 = 0 THEN concat('  ', lower(replace(c_name, '#', ' # '))) ELSE upper(c_name) END")} AS cells FROM c WHERE c_custkey % 2 = 0),
+g AS (SELECT source_file, 0 AS sheet_idx, 'first' AS sheet, CAST(row_idx AS BIGINT) AS row_idx, cells FROM (SELECT * FROM top UNION ALL SELECT * FROM first)
+  UNION ALL SELECT source_file, 1, 'second', CAST(row_idx AS BIGINT), cells FROM (SELECT * FROM top UNION ALL SELECT * FROM second))"""
+# the score of each of the first six rows: filled cells, those that look like labels, rows of about the same size among the next four
+_SCORED = f"""{_GRID},
+f AS (SELECT *, list_filter(list_transform(cells, lambda x: trim(x)), lambda x: x <> '') AS filled, len(cells) AS width FROM g),
+near AS (SELECT *, lead(len(filled), 1) OVER o AS n1, lead(len(filled), 2) OVER o AS n2, lead(len(filled), 3) OVER o AS n3, lead(len(filled), 4) OVER o AS n4 FROM f WINDOW o AS (PARTITION BY source_file, sheet_idx ORDER BY row_idx)),
+scored AS (SELECT *, CASE WHEN len(filled) < 2 THEN 0.0 ELSE len(filled) / width * 0.4
+    + len(list_filter(filled, lambda x: length(x) <= 40 AND NOT regexp_full_match(regexp_replace(x, '[.-]', '', 'g'), '[0-9]+'))) / len(filled) * 0.4
+    + len(list_filter([n1, n2, n3, n4], lambda x: x IS NOT NULL AND abs(x - len(filled)) <= 1)) / greatest(1, len(list_filter([n1, n2, n3, n4], lambda x: x IS NOT NULL))) * 0.2 END AS score
+  FROM near WHERE row_idx < 6)"""
+_PICKED = f"{_SCORED}, heads AS (SELECT source_file, sheet_idx, min(row_idx) AS header_idx FROM (SELECT *, max(score) OVER (PARTITION BY source_file, sheet_idx) AS best FROM scored) WHERE score = best GROUP BY 1, 2)"
+HEADER_DETECT = f"WITH {_SCORED} SELECT source_file, row_idx, round(score, 6) AS score FROM scored WHERE sheet_idx = 0"
+HEADER_PICK = f"WITH {_PICKED} SELECT source_file, header_idx FROM heads WHERE sheet_idx = 0"
+
+
+def _deduped(cells: str) -> str:
+    """Names of a header row: blanks by their place, repeats by how often the name stands before."""
+    names = f"list_transform({cells}, lambda x, i: CASE WHEN trim(x) = '' THEN concat('col', i) ELSE trim(x) END)"
+    return f"list_transform({names}, lambda x, i: CASE WHEN len(list_filter({names}[1 : i - 1], lambda y: y = x)) > 0 THEN concat(x, '_', len(list_filter({names}[1 : i - 1], lambda y: y = x))) ELSE x END)"
+
+
+HEADER_CELLS = "CASE c_custkey % 3 WHEN 0 THEN ['x', '  ', c_mktsegment, ' x', concat(c_mktsegment, ' '), 'x'] WHEN 1 THEN ['', c_name, '', c_name] ELSE [c_mktsegment, 'AUTOMOBILE', 'col4', ' ', concat(' ', c_mktsegment)] END"
+HEADER_DEDUPE = f"SELECT c_custkey, array_to_string({_deduped('cells')}, '|') AS headers FROM (SELECT c_custkey, {HEADER_CELLS} AS cells FROM customer)"
+
+
+def _shaped() -> str:
+    """Rows below their header with the pairs of header and filled cell."""
+    return f"""{_PICKED}, named AS (SELECT source_file, sheet_idx, header_idx, {_deduped('cells')} AS names FROM g JOIN heads USING (source_file, sheet_idx) WHERE row_idx = header_idx),
+shaped AS (SELECT source_file, sheet_idx, sheet, row_idx, list_filter(list_transform(names, lambda x, i: {{'h': x, 'v': trim(cells[i])}}), lambda p: p.v <> '') AS pairs FROM g JOIN named USING (source_file, sheet_idx) WHERE row_idx > header_idx),
+rows_ AS (SELECT *, 'row ' || (row_idx + 1) AS row_or_page, array_to_string(list_transform(pairs, lambda p: concat(p.h, ': ', p.v)), chr(10)) AS raw_text FROM shaped WHERE len(pairs) > 0)"""
+
+
+def _hinted(pairs: str, hints: tuple[str, ...]) -> str:
+    return f"list_filter({pairs}, lambda p: {' OR '.join(f"contains(lower(p.h), '{h}')" for h in hints)})"
+
+
+def _shape_rows() -> str:
+    from ..functions import vocab as V
+
+    titles = ", ".join(f"{_hinted('pairs', (h,))}[1].v" for h in V.TITLE_COLUMNS)
+    plain = "list_filter(pairs, lambda p: length(p.v) > 3 AND NOT regexp_full_match(p.v, '[0-9]+') AND NOT regexp_full_match(p.v, '\\s*[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}\\s*'))[1].v"
+    names = " ".join(f"WHEN '{t.lower().replace(chr(39), chr(39) * 2)}' THEN '{t}'" for t in V.TAXONOMY)
+    category = f"list_filter(list_transform({_hinted('pairs', V.CATEGORY_COLUMNS)}, lambda p: CASE lower(trim(p.v)) {names} END), lambda x: x IS NOT NULL)[1]"
+    return f"""
+WITH {_shaped()}
+SELECT source_file, row_or_page, coalesce({titles}, {plain}, pairs[1].v) AS title, raw_text, coalesce({category}, '{V.UNCATEGORISED}') AS category,
+  array_to_string(list_transform({_hinted('pairs', V.RECIPIENT_COLUMNS)}, lambda p: p.v), '  ') AS recipient,
+  CASE WHEN contains(source_file, 'register') THEN 'letter' WHEN contains(source_file, 'minute') THEN 'minutes' ELSE 'tracker' END AS source_type
+FROM rows_ WHERE sheet_idx = 0"""
+
+
+SHAPE_ROWS = _shape_rows()
 
 EXPLICIT = """
 SELECT p_partkey, CASE WHEN p_size > 25 THEN 'War Room' END AS category, CASE WHEN p_size > 10 THEN p_name
   WHEN length(p_name) > 3 THEN p_name ELSE p_type END AS title FROM part"""
 
-NEAR_DUP = "SELECT 'register_' || c_mktsegment || '.csv' AS source_file, 'first' AS sheet, count(*) AS n FROM customer GROUP BY c_mktsegment"
+NEAR_DUP = rf"""
+WITH {_shaped()},
+keyed AS (SELECT *, list_sort(list_filter(list_transform(pairs, lambda p: lower(trim(regexp_replace(p.v, '\s+', ' ', 'g')))), lambda v: length(v) >= 10)) AS content FROM rows_)
+SELECT source_file, sheet, row_or_page, raw_text FROM (SELECT *, row_number() OVER (PARTITION BY source_file, content ORDER BY sheet_idx, row_idx) AS place FROM keyed) WHERE place = 1 OR len(content) = 0"""
+
+# from one group's end to the next: the first line whose running length is the budget beyond the end before
+CHUNKS = """
+WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, list(p ORDER BY i) AS p, list(s ORDER BY i) AS s FROM (SELECT *, CAST(sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS s FROM l) GROUP BY 1),
+r AS (SELECT doc_id, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b FROM c
+  UNION ALL SELECT r.doc_id, b, coalesce(CAST(list_position(list_transform(s, lambda x: x >= coalesce(s[b], 0) + 1500), true) AS BIGINT), CAST(len(p) AS BIGINT)) FROM r JOIN c USING (doc_id) WHERE b < len(p)),
+bodies AS (SELECT doc_id, a, regexp_replace(array_to_string(p[a + 1 : b], chr(10)), '^\\s+|\\s+$', '', 'g') AS body FROM r JOIN c USING (doc_id) WHERE b > a)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS part, CAST(length(body) AS BIGINT) AS n_chars, md5(body) AS body_md5 FROM bodies WHERE body <> ''"""
 
 MARKDOWN = r"""
 SELECT 'deck_' || item_id || '.md' AS source_file, 'part' AS title, trim('part' || chr(10) || trim(text || chr(10) || '### sub' || chr(10) || 'tail' || chr(10) || '##')) AS raw_text, 'section 2' AS row_or_page FROM benchmark

@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..operators import index as I
 from ..operators import search as S
 from ..operators import sections, tabular
+from ..session import stored
 from ..streaming.watch import manifest_diff, stream_table
 from . import inputs as N
 from . import oracle as O
@@ -30,8 +31,8 @@ CATEGORIES = {"economy": ("ECONOMY",), "compact": ("SMALL", "MEDIUM"), "large":
 DEPARTMENTS = ("Rereth", "Und Ver", "Ciones", "Home", "Leaux")
 PLACES = ("The", "Und", "Les", "Tion", "Que", "Schtz")
 SNIPPET_QUERY = "what is the schtz of leaux"
-#: Dimension of the flagship's hashing vectors.
-DIM = 256
+#: Dimension of the flagship's hashing vectors, the embedders' default.
+DIM = 768
 POOL, LIMIT = S.POOL, S.LIMIT
 
 
@@ -113,7 +114,11 @@ def gazetteer_locations(spark, sf_dir):
 @query(O.ENTITIES)
 def extract_entities(spark, sf_dir):
     c = N.table(spark, sf_dir, "customer")
-    text = F.concat(F.lit("Letter from Shri Ab"), F.col("c_custkey").cast("string"), F.lit("ton of "), "c_mktsegment", F.lit(" to Hon'ble President Anna O'Neil-Smith. Dr. Jones and Shri Ab"), F.col("c_custkey").cast("string"), F.lit("ton met the Secretary today"))
+    k, kind = F.col("c_custkey").cast("string"), F.col("c_custkey") % 6
+    text = F.when(kind == 0, F.concat(F.lit("Letter from Shri Ab"), k, F.lit("ton of "), "c_mktsegment", F.lit(" to Hon'ble President Anna O'Neil-Smith. Dr. Jones met")))
+    text = text.when(kind == 1, F.concat(F.lit("met Dr. Jones and Smt. Ab"), k, F.lit(" Rao today, xDr. No, Mr"))).when(kind == 2, F.concat(F.lit("the Secretary Finance"), k, F.lit(" and Prime Minister  Two\nSpaces; Honble Ab")))
+    text = text.when(kind == 3, "shri lower Name").when(kind == 4, F.concat(F.lit("Mr Ab"), k, F.lit(" Mr Ab"), k, F.lit(" Ms Zed. Governor of X, (Dr Ad)")))
+    text = text.otherwise(F.concat(F.lit("Minister Ab"), k, F.lit(" , Minister Ab"), k, F.lit(" , Chief Minister")))
     return c.select("c_custkey", F.array_join(G.extract_entities(text), "|").alias("entities"))
 
 
@@ -162,9 +167,11 @@ def header_pick(spark, sf_dir):
     return tabular.detect_headers(N.customer_grid(spark, sf_dir)).select("source_file", F.col("header_idx").cast("bigint").alias("header_idx"))
 
 
-@query("SELECT c_custkey, concat_ws('|', 'x', 'col2', c_mktsegment, 'x_1', c_mktsegment || '_1', 'x_2') AS headers FROM customer")
+@query(O.HEADER_DEDUPE)
 def header_dedupe(spark, sf_dir):
-    cells = F.array(F.lit("x"), F.lit("  "), "c_mktsegment", F.lit(" x"), F.concat("c_mktsegment", F.lit(" ")), F.lit("x"))
+    kind, segment = F.col("c_custkey") % 3, F.col("c_mktsegment")
+    cells = F.when(kind == 0, F.array(F.lit("x"), F.lit("  "), segment, F.lit(" x"), F.concat(segment, F.lit(" ")), F.lit("x")))
+    cells = cells.when(kind == 1, F.array(F.lit(""), "c_name", F.lit(""), "c_name")).otherwise(F.array(segment, F.lit("AUTOMOBILE"), F.lit("col4"), F.lit(" "), F.concat(F.lit(" "), segment)))
     return N.table(spark, sf_dir, "customer").select("c_custkey", F.array_join(tabular.dedupe_headers(cells), "|").alias("headers"))
 
 
@@ -186,7 +193,7 @@ def explicit_category(spark, sf_dir):
 @query(O.NEAR_DUP)
 def near_dup_rows(spark, sf_dir):
     s = tabular.drop_near_duplicates(tabular.shape_rows(N.customer_grid(spark, sf_dir, 2)))
-    return s.groupBy("source_file", "sheet").agg(F.count("*").alias("n"))
+    return s.select("source_file", "sheet", "row_or_page", "raw_text")
 
 
 @query(O.MARKDOWN)
@@ -198,7 +205,7 @@ def markdown_sections(spark, sf_dir):
     return sections.markdown_sections(files)
 
 
-@query()
+@query(O.CHUNKS)
 def char_budget_chunks(spark, sf_dir):
     d = N.table(spark, sf_dir, "documents")
     chunks = sections.budget_chunks(F.split("text", "\n"))
@@ -257,8 +264,9 @@ def cosine_topk_filtered(spark, sf_dir):
 def _keyword(spark, sf_dir, queries: DataFrame, weights: dict[str, float], fragments: DataFrame | None = None) -> DataFrame:
     fields = N.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), N.first_line(F.col("text")).alias("title"), F.col("source").alias("recipient"), F.col("lang").alias("keys"), F.col("text").alias("body")).select("id", *weights)
     columns = tuple(weights)
-    post = I.postings(fields, columns)
-    lengths = I.document_lengths(fields, columns)
+    # each text is cut into tokens once; postings, lengths and the corpus's figures are read from that table
+    cut = stored(I.tokenised(fields, columns), "tokens")
+    post, lengths = I.postings_of(cut), cut.select("id", "len")
     corpus = F.broadcast(lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avgdl")))
     parts = S.query_fragments(S.query_terms(queries)) if fragments is None else fragments
     single = parts.where("n = 1").select("qid", "phrase", "tok")
@@ -358,9 +366,9 @@ def _hybrid(spark, sf_dir) -> DataFrame:
     queries = N.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     keyword = S.top_k(_keyword(spark, sf_dir, queries, {"body": 1.0}).withColumn("score", F.round("score", 9)), POOL)
     docs = N.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    vectors = E.NativeHashingEmbedder(DIM).by_token(docs, "id", "text")
-    qvec = E.NativeHashingEmbedder(DIM).by_token(queries.select(F.col("qid").alias("id"), F.col("query").alias("text")), "id", "text").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
-    vector = S.top_k(S.vector_scores(qvec, vectors).withColumn("score", F.round("score", 9)), POOL)
+    hashing = E.NativeHashingEmbedder(DIM)
+    scores = S.sparse_scores(hashing.sparse(queries, "qid", "query"), hashing.by_token(docs, "id", "text"), queries, docs)
+    vector = S.top_k(scores.withColumn("score", F.round("score", 9)), POOL)
     return S.fuse(keyword, vector, LIMIT)
 
 
