@@ -18,4 +18,4 @@ class Config:
 
 def load() -> Config:
     get = os.environ.get
-    return Config(get("KM_DB", "km_index"), get("KM_DATA", "data"), get("KM_EMBEDDER", "auto"), get("KM_ANSWER", "0") == "1", get("KM_HOST", "127.0.0.1"), int(get("KM_PORT", "8080")))
+    return Config(get("LODESTRATA_INDEX", "lodestrata_index"), get("LODESTRATA_DATA", "data"), get("LODESTRATA_EMBEDDER", "auto"), get("LODESTRATA_ANSWER", "0") == "1", get("LODESTRATA_HOST", "127.0.0.1"), int(get("LODESTRATA_PORT", "8080")))

@@ -82,7 +82,7 @@ def summarise(query: str, found: list[Row], mode: str | None = None, llm: Callab
     wrong there falls back to extractive."""
     if not found:
         return "No records matched this query."
-    if (mode or os.environ.get("KM_ANSWER_MODE", "extractive")) == "llm":
+    if (mode or os.environ.get("LODESTRATA_ANSWER_MODE", "extractive")) == "llm":
         try:
             if text := (llm or local_llm)(query, found[:5]):
                 return text
@@ -94,8 +94,8 @@ def summarise(query: str, found: list[Row], mode: str | None = None, llm: Callab
 
 
 def local_llm(query: str, found: list[Row]) -> str | None:
-    """A local model at KM_LOCAL_LLM; None where there is none."""
-    path = os.environ.get("KM_LOCAL_LLM")
+    """A local model at LODESTRATA_LOCAL_LLM; None where there is none."""
+    path = os.environ.get("LODESTRATA_LOCAL_LLM")
     if not path:
         return None
     from llama_cpp import Llama

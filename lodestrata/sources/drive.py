@@ -25,7 +25,7 @@ EXPORTS = {
     f"{NATIVE}.document": (f"{_OFFICE}wordprocessingml.document", ".docx"),
     f"{NATIVE}.presentation": (f"{_OFFICE}presentationml.presentation", ".pptx"),
 }
-CREDENTIALS = ("KM_GDRIVE_CREDENTIALS", "GOOGLE_APPLICATION_CREDENTIALS")
+CREDENTIALS = ("LODESTRATA_GDRIVE_CREDENTIALS", "GOOGLE_APPLICATION_CREDENTIALS")
 FILE_FIELDS = "nextPageToken, files(id, name, mimeType, modifiedTime)"
 PAGE = 100
 #: Stands between an id and a name.

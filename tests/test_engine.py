@@ -207,8 +207,8 @@ def test_cli_and_web(spark, index, monkeypatch, capsys):
     import threading
     import urllib.request
 
-    monkeypatch.setenv("KM_DB", index[0])
-    monkeypatch.setenv("KM_PORT", "0")
+    monkeypatch.setenv("LODESTRATA_INDEX", index[0])
+    monkeypatch.setenv("LODESTRATA_PORT", "0")
     assert cli.main(["query", "quantum", "-n", "2", "--json"], spark) == 0
     assert len(json.loads(capsys.readouterr().out)["hits"]) == 2
     assert cli.main(["stats"], spark) == 0 and "by_language" in capsys.readouterr().out
@@ -222,10 +222,23 @@ def test_cli_and_web(spark, index, monkeypatch, capsys):
 
 
 def test_upsert(spark):
-    from lodestrata.operators.index import last_of_each, upsert
+    from lodestrata.operators.index import upsert
 
     a = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "id int, v string, ordinal int")
     b = spark.createDataFrame([(2, "c", 1), (3, "d", 2), (3, "e", 3)], "id int, v string, ordinal int")
     want = [(1, "a"), (2, "c"), (3, "e")]
     assert sorted((r["id"], r["v"]) for r in upsert(a, b).collect()) == want
-    assert sorted((r["id"], r["v"]) for r in last_of_each(a.union(b), "id", "ordinal").select("id", F.col("v")).collect()) == want
+
+
+def test_pointers_leave_no_gap(spark, tmp_path):
+    from lodestrata.operators.index import Index
+
+    index, root = Index(spark, str(tmp_path / "i")), tmp_path / "i"
+    assert not index.exists()
+    for k in range(4):
+        (root / f"s{k}" / "records").mkdir(parents=True)
+        index._point({"snapshot": f"s{k}", "count": k})
+        assert index.meta() == {"snapshot": f"s{k}", "count": k}
+    assert sorted(p.name for p in root.iterdir() if p.name[0] in "cs") == ["current-2.json", "current-3.json", "s2", "s3"]
+    (root / "torn.tmp").write_text("{")  # a writer that died before its rename
+    assert index.meta()["snapshot"] == "s3"
