@@ -19,7 +19,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = stored(edges, "edges")
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # a table of its own, so that the join's sides are exchanges: adaptive execution can split an id with very many links
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
         # larger neighbours of u go to u's smallest neighbour
         large = both.join(low, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # then u itself and its smaller neighbours go to the smallest one
@@ -27,8 +28,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         after = stored(small, "edges")
         # a star: each id has one link, to an id that has none downwards
-        open_ = after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count() or after.groupBy("u").count().where("count > 1").limit(1).count()
+        ends = after.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(after.select("v", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        open_ = ends.where("up > 1 or (up > 0 and down > 0)").limit(1).count()
         drop_stored(edges)
+        drop_stored(low)
         edges = after
         if not open_:
             break

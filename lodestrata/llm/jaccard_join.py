@@ -1,15 +1,17 @@
 """Exact n-gram Jaccard self-join by prefix lists with set-relation skipping.
 
 1. Every document's set of word shingles becomes 64-bit numbers; equal sets are one set from here on.
-2. Document frequencies of all shingles: packed postings, dealt by ranges of shingle numbers, one shuffle of the corpus.
-   Shingles of one set only (the bulk) go no further; they can't be shared.
-3. Each set orders its shingles from rare to common (frequency, then number). Two sets that reach the threshold share a
-   shingle in both prefixes, so only sets whose prefix holds a shared shingle stay: they are the index.
-4. Lists of the index are cut into blocks by set size. Sets of one list are compared only across blocks and positions
-   whose sizes and remaining lengths still allow the threshold; all else is skipped unread (index-level skipping).
-5. Answer-level skipping: first each list's sets are compared with its leaders. A set linked to a leader is in the
-   leader's component, and what the leader's answers settle isn't computed again: later rounds take only pairs between
-   different components whose distances to a common leader don't already rule them out (Jaccard distance is a metric).
+2. Which shingles do other sets hold too? Sets of a task form packed batches; a batch asks the buckets (ranges of shingle
+   numbers) and gets one packed answer from each. Common shingles were counted within the batch before, so a bucket
+   holds one entry of each batch for them. One shuffle of the corpus's packed numbers; the answers hold shared ones only.
+3. The batch puts its answers together. Two sets that link share percent of the larger one at least, so a set with fewer
+   shared shingles goes, before there is any row for a set. The others are the index: their shared shingles from rare to
+   common (frequency, then number), and the length of the prefix in which two sets that link share a shingle.
+4. Index-level skipping: lists of the index are cut into blocks by set size. From its size and its position in the list a
+   set knows the largest set that it can still link to there, and looks into no block beyond.
+5. Answer-level skipping: first each list's sets are compared with its leaders. The overlaps of two sets with a common
+   leader bound their own overlap from both sides; where that settles the answer it is derived, and only what stays open
+   is computed from the sets. A set linked to a leader is in its component, and pairs within one are never looked at.
    Rounds take more pairs of each list and component pair, until none is left.
 """
 
@@ -19,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import drop_stored, release, ship_package, stored
+from ..session import drop_stored, ship_package, stored
 from .batches import pieces, texts
 from .components import components
 from .shingles import set_numbers, shingle_sets
@@ -33,10 +36,16 @@ PERCENT = 75
 WIDTH = 5
 #: Sets that one packed batch of postings holds at most (their places in it are 16-bit numbers), and shingles.
 BATCH_SETS, BATCH_SHINGLES = 60_000, 2_000_000
-#: Pairs of each list and component pair in the rounds: this to the power of the round.
-GROWTH = 8
-#: Leaders of each list's block in the rounds that come before.
-LEADERS = (1, 8, 64)
+#: Shingles of all documents that one bucket gets about, whatever the number of shuffle partitions.
+BUCKET_SHINGLES = 2_000_000
+#: Entries of each component that a round takes in each block of a list; after the last step it takes all.
+STEPS = (1, 16, 256, 4096, 65_536, 2**20)
+#: A round goes as far in STEPS as it has at most so many pairs for each entry of the open lists; one step in any case.
+ALL_PAIRS = 16
+#: Pairs that are few: the numbers of their sets, 8 bytes each, go to every task.
+FEW_PAIRS = 500_000
+#: Shingles of each set whose lists the first round takes, with one leader; leaders of all lists in the second one.
+HEAD, LEADERS = 4, 16
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
@@ -66,28 +75,45 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel())
 
 
+REQUESTS = "bucket bigint, batch bigint, lone binary, places binary, sets binary, repeated binary, counts binary"
+
+
 def packed_postings(docs: DataFrame, width: int, buckets: int, text_col: str) -> DataFrame:
-    """(bucket, shingles, places, sets, sizes): of each batch of sets the shingles of one range of numbers."""
+    """REQUESTS: what the buckets have to know of each batch of sets, and what the batches keep.
+
+    A bucket gets the shingles of its range of numbers: those that one set of the batch holds (lone) with the set's
+    place in the batch and the numbers of the sets that occur; those that several hold (repeated) with their number only.
+    Bucket -1 - batch, which nothing else has, is the batch's own row: all sets and sizes, and the places of the repeated
+    shingles. So a common shingle is one entry of each batch, however many sets hold it.
+    """
     rows = docs.select(F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        n_sets = n_shingles = 0
+        n_sets = n_shingles = n_batches = 0
+        task = TaskContext.get().partitionId() << 32
+        edges = (np.arange(buckets + 1, dtype=object) * 2**64 // buckets)[1:-1].astype(np.uint64)
 
         def flush() -> pa.RecordBatch:
             shingles = np.concatenate([s for s, _, _ in held])
             sizes, numbers = np.concatenate([z for _, z, _ in held]), np.concatenate([x for _, _, x in held])
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.argsort(shingles)
-            shingles, owner = shingles[order], owner[order]
-            cut = np.searchsorted(shingles, (np.arange(buckets + 1, dtype=object) * 2**64 // buckets)[1:-1].astype(np.uint64))
-            out = []
-            for k, (a, b) in enumerate(zip([0, *cut.tolist()], [*cut.tolist(), len(shingles)], strict=True)):
-                if a < b:
-                    own, place = np.unique(owner[a:b], return_inverse=True)
-                    out.append((k, _pack(shingles[a:b]), place.astype("<u2").tobytes(), numbers[own].astype("<i8").tobytes(), sizes[own].astype("<u4").tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[i] for x in out], pa.binary()) for i in range(1, 5))], ["bucket", "shingles", "places", "sets", "sizes"])
+            place = np.repeat(np.arange(len(sizes)).astype("<u2"), sizes)
+            order = np.argsort(shingles, kind="stable")
+            shingles, place = shingles[order], place[order]
+            first = np.flatnonzero(np.r_[True, shingles[1:] != shingles[:-1]])
+            count = np.diff(np.r_[first, len(shingles)])
+            alone = count == 1
+            lone, lone_place, repeated, counts = shingles[first[alone]], place[first[alone]], shingles[first[~alone]], count[~alone].astype("<u4")
+            cut_lone, cut_repeated = ([0, *np.searchsorted(x, edges).tolist(), len(x)] for x in (lone, repeated))
+            batch = task + n_batches
+            out = [(-1 - batch, batch, b"", place[np.repeat(~alone, count)].tobytes(), numbers.astype("<i8").tobytes() + sizes.astype("<i8").tobytes(), _pack(repeated), counts.tobytes())]
+            for k in range(buckets):
+                (a, b), (c, d) = cut_lone[k : k + 2], cut_repeated[k : k + 2]
+                if a < b or c < d:
+                    out.append((k, batch, _pack(lone[a:b]), lone_place[a:b].tobytes(), numbers[np.unique(lone_place[a:b])].astype("<i8").tobytes(), _pack(repeated[c:d]), counts[c:d].tobytes()))
+            names = [x.split()[0] for x in REQUESTS.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64() if i < 2 else pa.binary()) for i in range(len(names))], names)
 
         for _, shingles, sizes, numbers in _sets(batches, width):
             fresh = np.zeros(len(sizes), bool)
@@ -101,45 +127,80 @@ def packed_postings(docs: DataFrame, width: int, buckets: int, text_col: str) ->
             sizes, numbers = sizes[fresh], numbers[fresh]
             if held and (n_sets + len(sizes) > BATCH_SETS or n_shingles + len(shingles) > BATCH_SHINGLES):
                 yield flush()
-                held, n_sets, n_shingles = [], 0, 0
+                held, n_sets, n_shingles, n_batches = [], 0, 0, n_batches + 1
             held.append((shingles, sizes, numbers))
             n_sets, n_shingles = n_sets + len(sizes), n_shingles + len(shingles)
         if held:
             yield flush()
 
-    return rows.mapInArrow(run, "bucket int, shingles binary, places binary, sets binary, sizes binary")
-
-
-SHARED = "set bigint, n bigint, shingles array<bigint>, df array<int>"
-
-
-def _shared(table: pa.Table) -> pa.Table:
-    """Of one bucket the shingles that at least two sets hold, for each such set."""
-    shingles, sets, sizes = [], [], []
-    for row in table.to_pylist():
-        place = np.frombuffer(row["places"], "<u2")
-        shingles.append(_unpack(row["shingles"]))
-        sets.append(np.frombuffer(row["sets"], "<i8")[place])
-        sizes.append(np.frombuffer(row["sizes"], "<u4")[place].astype(np.int64))
-    s, x, n = np.concatenate(shingles), np.concatenate(sets), np.concatenate(sizes)
-    order = np.argsort(s, kind="stable")
-    s = s[order]
-    group = np.r_[False, s[1:] == s[:-1]]
-    busy = group | np.r_[group[1:], False]
-    s, x, n = s[busy], x[order][busy], n[order][busy]
-    order = np.lexsort((x, s))
-    s, x, n = s[order], x[order], n[order]
-    fresh = np.r_[True, (s[1:] != s[:-1]) | (x[1:] != x[:-1])] if len(s) else np.zeros(0, bool)  # equal sets of several tasks
-    s, x, n = s[fresh], x[fresh], n[fresh]
-    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
-    df = np.repeat(np.diff(np.r_[first, len(s)]), np.diff(np.r_[first, len(s)]))
-    keep = df > 1
-    s, x, n, df = s[keep], x[keep], n[keep], df[keep]
-    order = np.argsort(x, kind="stable")
-    s, x, n, df = s[order], x[order], n[order], df[order]
-    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
-    offsets = pa.array(np.r_[first, len(x)].astype(np.int32))
-    return pa.table([pa.array(x[first]), pa.array(n[first]), pa.ListArray.from_arrays(offsets, pa.array(s.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(df.astype(np.int32)))], names=["set", "n", "shingles", "df"])
+    return rows.mapInArrow(run, REQUESTS)
+
+
+ANSWERS = "batch bigint, bucket bigint, shingles binary, df binary, places binary, sets binary, repeated binary, counts binary"
+
+
+def _answers(table: pa.Table) -> pa.Table:
+    """Of one bucket, for each batch: its lone shingles that another set holds too, with document frequency and place,
+    and the frequencies of its repeated ones. A batch's own row goes through.
+
+    Frequencies count distinct sets, except that copies of a set in several batches count again where the shingle is
+    repeated in one; they only order the shingles, and every shingle of two sets has at least 2.
+    """
+    rows = table.to_pylist()
+    if rows[0]["bucket"] < 0:
+        out = [(x["batch"], x["bucket"], b"", b"", x["places"], x["sets"], x["repeated"], x["counts"]) for x in rows]
+    else:
+        lone, place, sets, repeated = [], [], [], []
+        for x in rows:
+            lone.append(_unpack(x["lone"]))
+            place.append(np.frombuffer(x["places"], "<u2"))
+            sets.append(np.frombuffer(x["sets"], "<i8")[np.unique(place[-1], return_inverse=True)[1]])
+            repeated.append(_unpack(x["repeated"]))
+        s, x = np.concatenate(lone), np.concatenate(sets)
+        order = np.lexsort((x, s))
+        s, x = s[order], x[order]
+        fresh = np.r_[True, (s[1:] != s[:-1]) | (x[1:] != x[:-1])] if len(s) else np.zeros(0, bool)  # equal sets of several tasks
+        s = np.concatenate([s[fresh], *repeated])
+        weight = np.concatenate([np.ones(fresh.sum(), np.int64), *(np.frombuffer(x["counts"], "<u4").astype(np.int64) for x in rows)])
+        del x, order, fresh
+        order = np.argsort(s, kind="stable")
+        s, weight = s[order], weight[order]
+        first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        df = np.add.reduceat(weight, first)
+        shared, df = s[first][df > 1], np.minimum(df[df > 1], 2**31 - 1).astype("<i4")
+        out = []
+        for row, own, at, many in zip(rows, lone, place, repeated, strict=True):
+            k = np.minimum(np.searchsorted(shared, own), max(len(shared) - 1, 0))
+            hit = shared[k] == own if len(shared) else np.zeros(len(own), bool)
+            out.append((row["batch"], row["bucket"], _pack(own[hit]), df[k[hit]].tobytes(), at[hit].tobytes(), b"", b"", df[np.searchsorted(shared, many)].tobytes()))
+    names = [x.split()[0] for x in ANSWERS.split(", ")]
+    return pa.table([pa.array([x[i] for x in out], pa.int64() if i < 2 else pa.binary()) for i in range(len(names))], names=names)
+
+
+INDEX = "set bigint, n bigint, shingles array<bigint>, prefix bigint"
+
+
+def _indexed(percent: int):
+    """For one batch, from its own row and its answers: INDEX of the sets whose shared shingles reach into the prefix."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda x: x["bucket"])
+        own, rest = rows[0], rows[1:]
+        numbers, sizes = np.split(np.frombuffer(own["sets"], "<i8"), 2)
+        counts = np.frombuffer(own["counts"], "<u4")
+        s = np.concatenate([np.repeat(_unpack(own["repeated"]), counts), *(_unpack(x["shingles"]) for x in rest)])
+        df = np.concatenate([np.repeat(np.frombuffer(b"".join(x["counts"] for x in rest), "<i4"), counts), *(np.frombuffer(x["df"], "<i4") for x in rest)])
+        place = np.concatenate([np.frombuffer(x["places"], "<u2") for x in rows]).astype(np.int64)
+        least = (sizes * percent + 99) // 100
+        shared = np.bincount(place, minlength=len(sizes))
+        busy = np.flatnonzero((shared >= least) & (sizes > 0))
+        keep = np.isin(place, busy)
+        s, df, place = s[keep], df[keep], place[keep]
+        s = s[np.lexsort((s, df, place))]
+        offsets = pa.array(np.r_[0, np.cumsum(shared[busy])].astype(np.int32))
+        return pa.table([pa.array(numbers[busy]), pa.array(sizes[busy]), pa.ListArray.from_arrays(offsets, pa.array(s.view(np.int64))), pa.array(shared[busy] - least[busy] + 1)], names=["set", "n", "shingles", "prefix"])
+
+    return run
 
 
 def need(n: Column, percent: int) -> Column:
@@ -147,15 +208,30 @@ def need(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100)
 
 
-def index_of(docs: DataFrame, percent: int, width: int, text_col: str) -> DataFrame:
+def index_of(docs: DataFrame, percent: int, width: int, text_col: str, buckets: int) -> DataFrame:
     """(set, n, shingles, prefix): sets that may link, their shared shingles from rare to common, and how many of these
     lie in the prefix; those not shared come before, so position i of the array is position n - size + i of the set."""
-    spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = packed_postings(docs, width, buckets, text_col).groupBy("bucket").applyInArrow(_shared, SHARED)
-    whole = shared.groupBy("set").agg(F.first("n").alias("n"), F.flatten(F.collect_list(F.arrays_zip("df", "shingles"))).alias("all"))
-    whole = whole.withColumn("prefix", F.col("n") - need(F.col("n"), percent) + 1 - (F.col("n") - F.size("all")))
-    return whole.where("prefix > 0").select("set", "n", F.transform(F.array_sort("all"), lambda x: x["shingles"]).alias("shingles"), "prefix")
+    answers = packed_postings(docs, width, buckets, text_col).groupBy("bucket").applyInArrow(_answers, ANSWERS)
+    found = answers.groupBy("batch").applyInArrow(_indexed(percent), INDEX)
+    return found.dropDuplicates(["set"])  # copies of a set in several batches
+
+
+def _block(n: Column, percent: int) -> Column:
+    """Number of the block of sizes that n lies in; sets that link lie in the same block or in adjacent ones."""
+    return F.floor(F.log(n) / float(np.log(100 / percent)) + 1e-9).cast("int")
+
+
+def _reach(percent: int) -> Column:
+    """Largest set that one with n shingles, ``left`` of them from this list's on, can link to by this list. The overlap
+    is at most ``left`` and has to be percent / (100 + percent) of both sizes together."""
+    return F.least(F.floor(F.col("n") * 100 / percent), F.floor(F.col("left") * (100 + percent) / percent) - F.col("n"))
+
+
+def _visited(percent: int, from_: Column) -> Column:
+    """Blocks of a list that a set looks into, from the one numbered from_: those whose smallest size is in reach from
+    its position. All other blocks are skipped unread."""
+    last = _block(_reach(percent), percent)
+    return F.explode(F.when((_reach(percent) > 0) & (last >= from_), F.sequence(from_, last)).otherwise(F.array().cast("array<int>"))).alias("block")
 
 
 def _fits(percent: int) -> Column:
@@ -164,94 +240,152 @@ def _fits(percent: int) -> Column:
     return (100 * most >= percent * (F.col("x_n") + F.col("y_n") - most)) & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n"))
 
 
-def _verify(pairs: DataFrame, index: DataFrame, percent: int) -> DataFrame:
-    """(a, b, both, either): intersection and union of each pair."""
+def _verify(pairs: DataFrame, index: DataFrame, few: bool) -> DataFrame:
+    """(a, b, both, a_n, b_n): intersection and sizes of each pair. Where the pairs are few, only the sets that they name
+    are shuffled; their numbers go to every task for that."""
+    if few:
+        named = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+        index = index.join(F.broadcast(named), "set", "left_semi")
     one = index.select(F.col("set").alias("a"), F.col("n").alias("a_n"), F.col("shingles").alias("a_s"))
     two = index.select(F.col("set").alias("b"), F.col("n").alias("b_n"), F.col("shingles").alias("b_s"))
     both = F.size(F.array_intersect("a_s", "b_s")).cast("bigint")
-    return pairs.join(two, "b").join(one, "a").select("a", "b", both.alias("both"), "a_n", "b_n").select("a", "b", "both", (F.col("a_n") + F.col("b_n") - F.col("both")).alias("either"))
+    return pairs.join(two, "b").join(one, "a").select("a", "b", both.alias("both"), "a_n", "b_n")
+
+
+def _linked(both: Column, n: Column, percent: int) -> Column:
+    """Two sets with n shingles together, both of which they share, reach the threshold."""
+    return 100 * both >= percent * (n - both)
+
+
+def _derived(percent: int) -> Column:
+    """What the overlaps of x and y with a set that both have been compared with settle about x and y: true (linked),
+    false (not linked), or null where there is no such set or it leaves the answer open."""
+    x, y, n = F.col("x_both"), F.col("y_both"), F.col("x_n") + F.col("y_n")
+    most = F.least(x, y) + F.least(F.col("x_n") - x, F.col("y_n") - y)
+    settled = F.when(_linked(x + y - F.col("hub_n"), n, percent), True).when(~_linked(most, n, percent), False)
+    return F.when(F.col("x_hub") == F.col("y_hub"), settled)
 
 
 def link_components(index: DataFrame, percent: int) -> DataFrame:
     """(set, root) for each set that links to another one; root is the component's smallest set number."""
-    block = F.floor(F.log("n") / float(np.log(100 / percent))).cast("int")
-    entries = index.select("set", "n", block.alias("block"), F.posexplode(F.slice("shingles", 1, F.col("prefix").cast("int"))).alias("i", "shingle"), F.size("shingles").alias("size"))
-    # left: shingles of the set from this position on
-    entries = stored(entries.select("shingle", "block", "set", "n", (F.col("size") - F.col("i")).alias("left")), "lists")
-
-    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    linked = 100 * F.col("both") >= percent * F.col("either")
-    known = roots = None
-
-    def opened() -> DataFrame:
-        """Entries of the lists that hold two components, with their component."""
-        if roots is None:
-            return entries.withColumn("root", F.col("set"))
-        own = entries.join(roots.select(F.col("id").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-        span = own.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
-        return own.join(span, "shingle", "left_semi")
-
-    def settle(cross: DataFrame) -> bool:
-        """Verifies the candidate pairs (x, y) that are new and renews the components; whether any linked."""
+    temporary: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        """A stored table that goes at the end of the round."""
+        temporary.append(stored(df, name))
+        return temporary[-1]
+
+    size = F.size("shingles")
+    prefixes = stored(index.select("set", "n", size.alias("size"), F.slice("shingles", 1, F.col("prefix").cast("int")).alias("prefix")), "prefixes")
+    known = roots = open_ = None
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        """Rows of sets with their components so far."""
+        own = rows.join(roots.select(F.col("id").alias("set"), "root"), "set", "left")
+        return own.withColumn("root", F.coalesce("root", "set"))
+
+    def lists(sets: DataFrame, most: int | None = None) -> DataFrame:
+        """Entries of the lists of the sets' whole prefixes, or of the first ``most`` shingles. left: shingles of the set
+        from this position on; alone: those that no other set has."""
+        entries = sets.select("set", "n", "size", "root", F.posexplode("prefix" if most is None else F.slice("prefix", 1, most)).alias("i", "shingle"))
+        return entries.select("shingle", _block(F.col("n"), percent).alias("block"), "set", "n", (F.col("size") - F.col("i")).alias("left"), (F.col("n") - F.col("size")).alias("alone"), "root")
+
+    def reopen() -> None:
+        """Entries of the lists that hold two components still. Components only grow, so a list that has one is done."""
+        nonlocal open_
+        rows = lists(rooted(prefixes)) if open_ is None else rooted(open_.drop("root"))
+        span = rows.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
+        old, open_ = open_, stored(rows.join(kept(span, "span"), "shingle", "left_semi"), "open")
+        temporary.extend([] if old is None else [old])
+
+    def settle(cross: DataFrame) -> None:
+        """Answers the candidate pairs (x, y) that have no answer yet and renews the components. ``derived`` says what
+        similar sets' answers settle already; only what they leave open is computed from the sets."""
         nonlocal known, roots
-        pairs = cross.select(*pair("x", "y")).distinct()
+        pairs = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "derived")
+        pairs = pairs.groupBy("a", "b").agg(F.max("derived").alias("derived")).where("derived is null or derived")
         if known is not None:
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = stored(_verify(pairs, index, percent), "pairs")
-        found = roots is None or bool(fresh.where(linked).limit(1).count())
-        union = fresh if known is None else stored(known.union(fresh), "pairs")
-        if found:
-            renewed = stored(components(union.where(linked).select("a", "b")), "roots")
-            if roots is not None:
-                drop_stored(roots)
-            roots = renewed
-        if known is not None:
-            drop_stored(known)
-            drop_stored(fresh)
-        known = union
-        return found
-
-    x = [F.col("set").alias("x"), F.col("n").alias("x_n"), F.col("left").alias("x_left"), F.col("root").alias("x_root")]
-    y = [F.col("set").alias("y"), F.col("n").alias("y_n"), F.col("left").alias("y_left"), F.col("root").alias("y_root")]
-    near = F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block")
-    # Leaders of a list's block: the sets that have most of their shingles left behind the list's one. They hold fewest
-    # rare shingles of their own, so they lie in the middle of their family. Every set of another component is compared
-    # with them: rows grow with the list times a constant, and families fall together.
-    for leaders in LEADERS:
-        open_ = stored(opened(), "open")
-        first = F.row_number().over(Window.partitionBy("shingle", "block").orderBy(F.desc("left"), "set"))
-        hubs = open_.withColumn("rank", first).where(F.col("rank") <= leaders)
-        cross = open_.select("shingle", near, *x).join(hubs.select("shingle", "block", *y), ["shingle", "block"]).where((F.col("x_root") != F.col("y_root")) & _fits(percent))
-        settle(cross)
-        drop_stored(open_)
+        pairs = kept(pairs, "candidates")
+        n = pairs.count()
+        if roots is not None and not n:
+            while temporary:
+                drop_stored(temporary.pop())
+            return
+        fresh = stored(_verify(pairs.where("derived is null").select("a", "b"), index, n <= FEW_PAIRS), "pairs")
+        new = fresh.where(_linked(F.col("both"), F.col("a_n") + F.col("b_n"), percent)).select("a", "b").union(pairs.where("derived").select("a", "b"))
+        if roots is None or new.limit(1).count():
+            # components so far are stars already: a link of each set to its root stands for all links before
+            old, roots = roots, stored(components(new if roots is None else roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(new)), "roots")
+            temporary.extend([] if old is None else [old])
+        if known is None:
+            known = fresh
+        else:
+            temporary.extend((known, fresh))
+            known = stored(known.union(fresh), "known")
+        while temporary:
+            drop_stored(temporary.pop())
+
+    def answered(rows: DataFrame) -> DataFrame:
+        """Rows with a set that they have been compared with (hub, the first leader of the list's block), its size and
+        the overlap with it (hub_n, both); nulls where there is none. A leader's overlap with itself is its size."""
+        if known is None:
+            return rows.withColumns({c: F.lit(None).cast("bigint") for c in ("hub", "hub_n", "both")})
+        # a table of its own, so that both sides of the join are exchanges that adaptive execution can split
+        first = F.min_by(F.struct(F.col("set").alias("hub"), F.col("n").alias("hub_n")), F.struct("alone", "set"))
+        hubs = kept(rows.groupBy("shingle", "block").agg(first.alias("first")).select("shingle", "block", "first.*"), "hubs")
+        pairs = rows.join(hubs, ["shingle", "block"]).withColumns({"a": F.least("set", "hub"), "b": F.greatest("set", "hub")})
+        both = F.when(F.col("set") == F.col("hub"), F.col("n")).otherwise(F.col("both"))
+        found = pairs.join(known.select("a", "b", "both"), ["a", "b"], "left").withColumn("both", both)
+        return kept(found.select(*rows.columns, F.when(F.col("both").isNotNull(), F.col("hub")).alias("hub"), "hub_n", "both"), "answered")
+
+    def side(rows: DataFrame, name: str, block: Column) -> DataFrame:
+        columns = {"set": name, "n": f"{name}_n", "left": f"{name}_left", "root": f"{name}_root", "hub": f"{name}_hub", "both": f"{name}_both"}
+        return rows.select("shingle", block, F.col("block").alias(f"{name}_block"), *([] if name == "y" else ["hub_n"]), *(F.col(c).alias(v) for c, v in columns.items()))
+
+    apart = (F.col("x_root") != F.col("y_root")) & _fits(percent)
+    leading = Window.partitionBy("shingle", "block").orderBy("alone", "set")
+    within = Window.partitionBy("shingle", "block", "root").orderBy("alone", "set")
+    lowest = _block(F.ceil(F.col("n") * percent / 100), percent)
+
+    def with_leaders(rows: DataFrame, leaders: int) -> None:
+        hubs = side(rows.withColumn("rank", F.row_number().over(leading)).where(F.col("rank") <= leaders), "y", F.col("block"))
+        settle(side(rows, "x", _visited(percent, lowest)).join(hubs, ["shingle", "block"]).where(apart).withColumn("derived", _derived(percent)))
+
+    # Leaders of a list's block: the sets with the fewest shingles of their own alone, which lie in the middle of their
+    # family and lead in most of its lists. Every set of another component is compared with them: rows grow with the
+    # list times a constant, and families fall together; most already in the lists of their sets' rarest shingles.
+    with_leaders(answered(lists(prefixes.withColumn("root", F.col("set")), HEAD)), 1)
+    reopen()
+    with_leaders(answered(open_), LEADERS)
     # What is still apart: all pairs of different components, in growing numbers of each list and component, without
-    # those that the distances to a common leader rule out.
-    k = 1
+    # those that answers of a common leader settle.
+    k = 0
     while True:
-        open_ = stored(opened(), "open")
-        most = open_.groupBy("shingle", "block", "root").count().agg(F.max("count")).first()[0] or 0
+        reopen()
+        most, rows, *pairs = _pairs(open_)
         if not most:
-            return roots.select(F.col("id").alias("set"), "root")
-        rank = F.row_number().over(Window.partitionBy("shingle", "block", "root").orderBy(F.desc("left"), "set"))
-        top = _distances(open_.withColumn("rank", rank).where(F.col("rank") <= k), known)
-        one = top.select("shingle", "block", *x, F.col("hub").alias("x_hub"), F.col("distance").alias("x_d"))
-        two = top.select("shingle", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), F.col("block").alias("y_block"), *y, F.col("hub").alias("y_hub"), F.col("distance").alias("y_d"))
-        ruled_out = F.coalesce((F.col("x_hub") == F.col("y_hub")) & (F.abs(F.col("x_d") - F.col("y_d")) > 1 - percent / 100 + 1e-9), F.lit(False))
-        cross = one.join(two, ["shingle", "block"]).where((F.col("x_root") != F.col("y_root")) & ((F.col("block") != F.col("y_block")) | (F.col("x") < F.col("y"))) & ~ruled_out & _fits(percent))
-        settle(cross)
-        drop_stored(open_)
-        if most <= k:  # all pairs of this round's components have been compared or ruled out
-            return roots.select(F.col("id").alias("set"), "root")
-        k *= GROWTH
-
-
-def _distances(entries: DataFrame, known: DataFrame) -> DataFrame:
-    """Entries with a set that they have been compared with (hub, the smallest such of the list's block) and the Jaccard
-    distance to it; nulls where there is none."""
-    hubs = entries.groupBy("shingle", "block").agg(F.max_by("set", F.struct("left", -F.col("set"))).alias("hub"))
-    pairs = entries.join(hubs, ["shingle", "block"]).withColumns({"a": F.least("set", "hub"), "b": F.greatest("set", "hub")})
-    away = known.select("a", "b", (1 - F.col("both") / F.col("either")).alias("distance"))
-    return pairs.join(away, ["a", "b"], "left").drop("a", "b").withColumn("hub", F.when(F.col("distance").isNotNull(), F.col("hub")))
+            break
+        # as many as a round's pairs allow, and more than in the round before
+        k = next((s for s, n in reversed(list(zip(STEPS, pairs, strict=True))) if s > k and n <= ALL_PAIRS * rows), min((s for s in STEPS if s > k), default=int(most)))
+        top = answered(open_.withColumn("rank", F.row_number().over(within)).where(F.col("rank") <= k).drop("rank"))
+        one, two = side(top, "x", F.col("block")), side(top, "y", _visited(percent, F.col("block")))
+        cross = one.join(two, ["shingle", "block"]).where(apart & ((F.col("x_block") != F.col("y_block")) | (F.col("x") < F.col("y"))))
+        settle(cross.withColumn("derived", _derived(percent)).where("derived is null or derived"))
+        if most <= k:  # all pairs of this round's components have an answer
+            break
+    for x in (*temporary, prefixes, open_, known):
+        drop_stored(x)
+    return roots.select(F.col("id").alias("set"), "root")
+
+
+def _pairs(entries: DataFrame) -> tuple:
+    """The most entries that a component has in a block of a list, all entries, and for each of STEPS the pairs of
+    different components with at most so many entries of each."""
+    each = entries.groupBy("shingle", "block", "root").agg(F.count("*").cast("double").alias("c"))
+    some = [F.least("c", F.lit(float(s))) for s in STEPS]
+    blocks = each.groupBy("shingle", "block").agg(F.max("c").alias("most"), F.sum("c").alias("rows"), *(F.sum(x).alias(f"one{i}") for i, x in enumerate(some)), *(F.sum(x * x).alias(f"own{i}") for i, x in enumerate(some)))
+    return tuple(blocks.agg(F.max("most"), F.sum("rows"), *(F.sum(F.col(f"one{i}") * F.col(f"one{i}") - F.col(f"own{i}")) for i in range(len(STEPS)))).first())
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,16 +393,20 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
 
     Null and empty texts and texts of white space have no shingles and link with nothing: their component is their own
     id. Ids that are null keep a null component unless they link to another row. Repeated rows are equal sets and
-    linked. Other columns are not read; an empty table gives an empty table.
+    linked. Other columns are not read; an empty table gives an empty table. A task that is repeated has to get its rows
+    of docs in the same order, as from files or a stored table.
     """
     spark = docs.sparkSession
     ship_package(spark)
     rows = stored(document_sets(docs, width, id_col, text_col), "sets")
-    index = stored(index_of(docs, percent, width, text_col), "index")
-    release(spark)  # the corpus's postings have gone through two shuffles that are over
+    buckets = 1 + (rows.agg(F.sum("n_shingles")).first()[0] or 0) // BUCKET_SHINGLES
+    index = stored(index_of(docs, percent, width, text_col, buckets), "index")
     roots = link_components(index, percent)
+    drop_stored(index)
     sets = rows.where("n_shingles > 0").groupBy("set").agg(F.min("id").alias("least")).join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
-    least = sets.groupBy("root").agg(F.min("least").alias("component_id"))
+    # tables of their own: a component may hold much of all sets, and a set much of all rows, so joins have to be splittable
+    sets = stored(sets, "components")
+    least = stored(sets.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     of_set = sets.select("set", "root").join(least, "root").select("set", "component_id")
     named = rows.join(of_set, "set", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
