@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import drop_stored, ship_package, stored
 from .batches import pieces, texts
 
 DICT_MAGIC = 0x184D2A5D
@@ -34,6 +35,8 @@ DICT_BYTES, SAMPLE_BYTES = 16_384, 1_000_000
 LEAST_SAMPLES = 16
 #: Payloads below this many bytes never become revisits.
 LEAST_REVISIT = 1000
+#: Repeated payloads, 60 bytes each, that go to every task at most; more are joined by a shuffle.
+BROADCAST_GROUPS = 200_000
 RECORD_SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:lodestrata:warc")
 
 
@@ -50,18 +53,23 @@ def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, number: str) -> bytes:
-    """The record of one page: a response with its payload, or a revisit with HTTP headers alone."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+def record_id(number: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(RECORD_SPACE, number)}>"
+
+
+def page_record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, revisit: bool, number: str) -> bytes:
+    """The record of one page with a payload of ``size`` bytes: a response with its payload, or a revisit with HTTP
+    headers alone. A record that others refer to is known by its page and digest, others by ``number``."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = http if revisit else http + payload
     # percent-encoding keeps any url on one line
-    fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(RECORD_SPACE, number)}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("Content-Type", "application/http;msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{hashlib.sha1(block).hexdigest()}"), ("X-Payload-Length", str(len(payload)))]
+    fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(f"{page_id}/{digest}" if refers_to == page_id is not None else number)), ("WARC-Date", "1970-01-01T00:00:00Z"), ("Content-Type", "application/http;msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{hashlib.sha1(block).hexdigest()}"), ("X-Payload-Length", str(size))]
     if url is not None:
         fields.append(("WARC-Target-URI", url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")))
     if page_id is not None:
         fields.append(("X-Page-ID", str(page_id)))
     if revisit:
-        fields += [("WARC-Profile", REVISIT_PROFILE), ("X-Refers-To-Page", str(refers_to))]
+        fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(f"{refers_to}/{digest}")), ("X-Refers-To-Page", str(refers_to))]
     return record(fields, block)
 
 
@@ -94,6 +102,28 @@ class ArchiveWriter:
         return b"".join(self.parts)
 
 
+def frame_end(data: memoryview, at: int) -> int:
+    """Where the compressed frame that begins at ``at`` ends, from its header and the headers of its blocks."""
+    if len(data) < at + 6 or data[at : at + 4] != zstandard.FRAME_HEADER:
+        raise WarcError("no frame where one should begin")
+    said = data[at + 4]
+    single = said >> 5 & 1
+    at += 5 + (not single) + (0, 1, 2, 4)[said & 3] + (single, 2, 4, 8)[said >> 6]
+    last = False
+    while not last:
+        if at + 3 > len(data):
+            raise WarcError("a frame is cut short")
+        head = int.from_bytes(data[at : at + 3], "little")
+        last, kind = bool(head & 1), head >> 1 & 3
+        if kind == 3:
+            raise WarcError("a block of an unknown kind")
+        at += 3 + (1 if kind == 1 else head >> 3)  # a run-length block holds the byte that it repeats
+    at += 4 * (said >> 2 & 1)
+    if at > len(data):
+        raise WarcError("a frame is cut short")
+    return at
+
+
 def read_frames(data: bytes) -> Iterator[bytes]:
     """Decoded records of an archive. Skippable frames after the first are passed over."""
     if len(data) < 8 or struct.unpack_from("<I", data)[0] != DICT_MAGIC:
@@ -105,22 +135,22 @@ def read_frames(data: bytes) -> Iterator[bytes]:
     if dictionary[:4] == zstandard.FRAME_HEADER:  # the dictionary itself may be compressed
         dictionary = zstandard.ZstdDecompressor().decompress(dictionary)
     use = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
-    decompressor, rest = zstandard.ZstdDecompressor(**use), data[8 + size :]
-    while rest:
-        if len(rest) >= 8 and 0x184D2A50 <= struct.unpack_from("<I", rest)[0] <= 0x184D2A5F:
-            size = struct.unpack_from("<I", rest, 4)[0]
-            if 8 + size > len(rest):
+    decompressor, view, at = zstandard.ZstdDecompressor(**use), memoryview(data), 8 + size
+    while at < len(view):
+        if len(view) >= at + 8 and 0x184D2A50 <= struct.unpack_from("<I", view, at)[0] <= 0x184D2A5F:
+            at += 8 + struct.unpack_from("<I", view, at + 4)[0]
+            if at > len(view):
                 raise WarcError("a skippable frame is cut short")
-            rest = rest[8 + size :]
             continue
+        end = frame_end(view, at)
         frame = decompressor.decompressobj()
         try:
-            out = frame.decompress(rest)
+            out = frame.decompress(view[at:end])
         except zstandard.ZstdError as e:
             raise WarcError(f"a frame can't be decoded: {e}") from e
-        if not frame.eof:
+        if not frame.eof or frame.unused_data:
             raise WarcError("a frame is cut short")
-        rest = frame.unused_data
+        at = end
         yield out
 
 
@@ -173,24 +203,32 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     their own; other columns are not read; an empty table writes no archive.
     """
     ship_package(pages.sparkSession)
-    rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    large = F.octet_length("payload") >= LEAST_REVISIT
-    groups = rows.where(large).groupBy("digest").agg(F.max("id").alias("latest"), F.count("*").alias("n")).where("n > 1 and latest is not null").select("digest", "latest")
-    joined = rows.join(groups, "digest", "left")
+    payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
+    rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
+    rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("bigint")})
+    large = F.col("size") >= LEAST_REVISIT
+    groups = rows.where(large).groupBy("digest").agg(F.max("id").alias("latest"), F.count("*").alias("n")).where("n > 1 and latest is not null")
+    groups = stored(groups.select(F.col("digest").alias("key"), "latest"), "repeated")
+    # Few repeated payloads go to every task, and pages aren't shuffled at all. Beyond that pages meet them by digest;
+    # small ones need no answer and are spread, and a payload that very many pages have is a partition that adaptive
+    # execution can split, as both sides are exchanges.
+    few = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    rows = rows.withColumn("key", F.when(large, F.col("digest")).otherwise(F.concat(F.lit("small "), F.xxhash64("id", "url").cast("string"))))
+    joined = rows.join(F.broadcast(groups) if few else groups.hint("merge"), "key", "left")
     revisit = large & F.col("latest").isNotNull() & ~F.col("id").eqNullSafe(F.col("latest"))
-    marked = joined.select("id", "url", "payload", "digest", F.when(revisit, F.col("latest")).alias("latest"), F.coalesce(revisit, F.lit(False)).alias("revisit"))
+    sent = F.when(~F.coalesce(revisit, F.lit(False)), F.col("payload"))  # a revisit is written without its payload
+    marked = joined.select("id", "url", sent.alias("payload"), "size", "digest", "latest", F.coalesce(revisit, F.lit(False)).alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = lambda w: pa.RecordBatch.from_arrays([pa.array([w.content()], pa.binary())], ["archive"])
-        writer, count = None, 0
+        writer, count, task = None, 0, TaskContext.get().partitionId()
         for b in pieces(batches, "payload", SAMPLE_BYTES):
             payloads = b.column("payload").to_pylist()
             if writer is None:
-                writer = ArchiveWriter(train(payloads))
-            for page_id, url, payload, digest, latest, again in zip(b.column("id").to_pylist(), b.column("url").to_pylist(), payloads, *(b.column(c).to_pylist() for c in ("digest", "latest", "revisit")), strict=True):
+                writer = ArchiveWriter(train([x for x in payloads if x]))
+            for page_id, url, payload, *rest in zip(b.column("id").to_pylist(), b.column("url").to_pylist(), payloads, *(b.column(c).to_pylist() for c in ("size", "digest", "latest", "revisit")), strict=True):
                 count += 1
-                writer.add(page_record(page_id, url, payload, digest, latest, again, f"{page_id}/{digest}/{count}"))
+                writer.add(page_record(page_id, url, payload or b"", *rest, f"{page_id}/{task}/{count}"))
             if writer.size >= ARCHIVE_BYTES:
                 yield done(writer)
                 writer = None
@@ -199,6 +237,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     archives = marked.mapInArrow(run, "archive binary")
     archives.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", 1).text(path)
+    drop_stored(groups)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -53,6 +54,14 @@ def test_encoder_is_the_library():
             assert [enc.decode_bytes(p)[0].tobytes().decode("utf-8", "replace") for p in parts] == [lib.decode(p.tolist(), skip_special_tokens=False) for p in parts]
 
 
+def test_special_strings_in_linear_time():
+    enc, lib = Encoder(BYTE), library(BYTE)
+    text = "<|endoftext|>x" * 20_000 + "<|endoftext"
+    began = time.perf_counter()
+    ids, _ = enc.encode_batch([text])
+    assert time.perf_counter() - began < 5 and ids.tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
 def test_codec(docs, none):
     lib = library(BYTE)
     rows = codec.round_trip(docs, BYTE).collect()
@@ -109,6 +118,17 @@ def test_packing_merges_over_partitions(spark):
     assert len({r["sequence_id"] for r in rows}) <= 1.03 * sum(r["length"] for r in rows) / 64 + 1
 
 
+def test_packing_of_many_levels(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SLACK", 0.0)
+    many = spark.range(600).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), (F.col("id") * 7 % 61 + 1).cast("int")).alias("text")).repartition(40)
+    by = {}
+    for r in packing.pack_documents(many, WORD, capacity=64, fan_in=2).collect():
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(parts)]).tolist()]
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 64
+
+
 def shingles(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
@@ -173,7 +193,7 @@ def test_warc(spark, tmp_path):
 def test_warc_frames():
     samples = [f"<html>{i} some page about {i % 7} things</html>".encode() * 40 for i in range(100)]
     writer = warc.ArchiveWriter(warc.train(samples))
-    raws = [warc.page_record(i, "u", s, hashlib.sha1(s).hexdigest(), None, False, str(i)) for i, s in enumerate(samples)]
+    raws = [warc.page_record(i, "u", s, len(s), hashlib.sha1(s).hexdigest(), None, False, str(i)) for i, s in enumerate(samples)]
     for x in raws:
         writer.add(x)
     data = writer.content() + warc.SEPARATOR.encode()
@@ -186,6 +206,26 @@ def test_warc_frames():
             warc.read_page(bad)
 
 
+def test_warc_frames_in_linear_time():
+    writer = warc.ArchiveWriter(b"")
+    raws = [b"r%d" % i + bytes(i % 999) for i in range(20_000)] + [b"", random.Random(1).randbytes(300_000)]
+    for x in raws:
+        writer.add(x)
+    data, began = writer.content(), time.perf_counter()
+    assert list(warc.read_frames(data)) == raws and time.perf_counter() - began < 2
+
+
+def test_warc_joins_many_repeated_payloads(spark, tmp_path, monkeypatch):
+    rows = [(i, f"u{i}", f"{i % 40 if i < 400 else 7:04} " * 300 if i % 2 else "small") for i in range(800)]
+    pages, got = spark.createDataFrame(rows, "page_id bigint, url string, html string"), []
+    for most in (warc.BROADCAST_GROUPS, 3):
+        monkeypatch.setattr(warc, "BROADCAST_GROUPS", most)
+        warc.write_archives(pages, path := f"file://{tmp_path}/{most}")
+        got.append(sorted(map(tuple, warc.read_archives(spark, path).collect())))
+    last = {html: i for i, _, html in rows}
+    assert got[0] == got[1] and [(r[0], r[5]) for r in got[0]] == [(i, last[h] if h != "small" and last[h] != i else None) for i, _, h in rows]
+
+
 HTML = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>";</script></head><body><nav><ul><li><a href=/>Home</a></ul></nav>
 <div class="cookie-notice">We use cookies</div><header>Site</header><article><h1>Head &amp; line</h1><p>First  para <b>bold</b>
 <p>Second&nbsp;para<br>more</p><form>Sign up</form><aside>Side</aside><ul><li>item one<li>item two</ul><div class="ad">Buy</div></article>
@@ -232,6 +272,70 @@ def test_html_named_sections_are_whole():
     assert html_text.extract(teaser) == f"Title\n{long}\n{short}"
 
 
+def made_page(r, kind, paragraphs):
+    """(html, text): a page put together from blocks, and what is content in it."""
+    word = lambda n: " ".join(r.choice(["river", "stone", "café", "walk", "&amp;", "light", "seven", "under"]) for _ in range(n))
+    shown = lambda x: x.replace("&amp;", "&")
+    links = lambda n: "<ul>" + "".join(f"<li><a href=/{i}>{word(2)}</a></li>" for i in range(n)) + "</ul>"
+    body, want = [], []
+    for i in range(paragraphs):
+        text = word(r.randint(25, 90))
+        body.append(r.choice([f"<p>{text}</p>", f"<p class='p{i}'>  {text}\n</p>", f"<blockquote><p>{text}</p></blockquote>", f"<p>{text} <br/> <b>{word(1)}</b></p>"]))
+        want.append(" ".join(shown(re.sub(r"<[^>]+>", " ", body[-1])).split()))
+        if r.random() < 0.3:
+            short = word(2)
+            body.append(f"<h3>{short}</h3>")
+            want.append(shown(short))
+        if r.random() < 0.2:
+            body.append(r.choice([f"<div class='ad'>{word(9)}</div>", f"<form><p>{word(4)}</p><button>{word(1)}</button></form>", f"<aside>{word(12)}</aside>", "<script>if (a<b) {x='<p>'}</script>"]))
+    inner = "\n".join(body)
+    content = {"article": f"<article>{inner}</article>", "main": f"<main><div>{inner}</div></main>", "div": f"<div id=c1>{inner}</div>", "nested": f"<div><div class=x><section>{inner}</section></div></div>"}[kind]
+    top, side, foot = f"<div class=x9>{links(8)}</div>", f"<div class=s7>{links(6)}</div>", f"<footer><p>{word(8)}</p></footer>"
+    return f"<html><head><title>{word(3)}</title></head><body class='has-sidebar'><header>{word(2)}</header><nav>{links(3)}</nav>{top}{content}{side}{foot}</body></html>", "\n".join(want)
+
+
+def test_html_of_made_pages():
+    r = random.Random(21)
+    for kind in ("article", "main", "div", "nested"):
+        for k in range(60):
+            html, want = made_page(r, kind, r.randint(2, 12))
+            assert html_text.extract(html) == want, (kind, k)
+    html, want = made_page(r, "div", 4000)
+    assert len(want) > 500_000 and html_text.extract(html) == want
+
+
+def test_html_clusters_decide(monkeypatch):
+    """Without the smoothed ratios, every line a cluster, pages whose markup names no content keep what lies beside it."""
+    r = random.Random(22)
+    pages = [made_page(r, kind, r.randint(3, 9)) for kind in ("div", "nested") for _ in range(20)]
+    plain = "<body><div>Home page</div><div>{}</div><div>All rights kept</div></body>"
+    text = "word " * 60 + "end"
+    pages += [(plain.format(f"<p>{text}</p><p>short</p><p>{text}</p>"), f"{text}\nshort\n{text}")]
+    assert all(html_text.extract(html) == want for html, want in pages)
+    monkeypatch.setattr(html_text, "_clustered", lambda lines: ([True] * len(lines),) * 2)
+    assert html_text.extract(pages[-1][0]) != pages[-1][1]
+    monkeypatch.setattr(html_text, "_clustered", lambda lines: ([k == 0 for k in range(len(lines))],) * 2)
+    assert not any(html_text.extract(html) == want for html, want in pages)
+
+
+def test_smoothing_is_brute_force():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 5, 40):
+        x = r.uniform(0, 90, n)
+        reach = range(-6, 7)
+        want = []
+        for i in range(n):
+            near = [(np.exp(-0.5 * (d / html_text.SIGMA) ** 2), x[i + d]) for d in reach if 0 <= i + d < n]
+            want.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
+        assert np.allclose(html_text.smoothed(x), want)
+        lines = [("y" * int(v), 1, False, False, 0, 0, 0) for v in x]
+        smooth = html_text.smoothed(np.floor(x))
+        least = min(smooth.max(), max(smooth.std(), 1e-9))
+        own = np.floor(x)
+        dense = max(least, min(own.std(), html_text.DENSE))
+        assert html_text._clustered(lines) == ([v >= least for v in smooth], [v >= least and w >= dense for v, w in zip(smooth, own, strict=True)])
+
+
 def test_html_never_fails():
     r = random.Random(8)
     bits = ["<", ">", "<![", "<!--", "-->", "<!", "</", "<p", "<div class='ad'>", "</div>", "&", "&#", ";", "text", "<![CDATA[", "]]>", "<script>", "</script", "'", '"', "=", "<article>", "<?", " "]
@@ -274,8 +378,9 @@ def test_pii_disguised(docs, none):
 
 def test_pii_disguises_alone():
     whole = {
-        "email": ["bob@xyz [dot] com", "john at example [dot] com", "john at example dot com", "juan arroba ejemplo punto com", "hans at beispiel punkt de", "jean at exemple point fr", "jean@exemple point fr"],
-        "ip": ["10[dot]0[dot]0[dot]1", "192 dot 168 dot 0 dot 1", "127 dot zero dot zero dot one", "192 punto 168 punto uno punto 1", "one nine two dot 168 dot 0.1"],
+        "email": ["john_at_example_dot_com", "a.b-at-mail-dot-example-dot-org", "bob [@] example.com", "bob(@)example[.]com", "𝐛𝐨𝐛@example.com", "bob@xyz [dot] com", "john at example [dot] com", "john at example dot com", "juan arroba ejemplo punto com", "hans at beispiel punkt de", "jean at exemple point fr", "jean@exemple point fr"],
+        "phone": ["+٤٩ ٣٠ ١٢٣٤٥٦٧", "+1 𝟔𝟎𝟑 555 8791", "plus one five five five oh two oh four five six seven"],
+        "ip": ["192[.]168[.]0[.]1", "१९२.१६८.0.१", "10[dot]0[dot]0[dot]1", "192 dot 168 dot 0 dot 1", "127 dot zero dot zero dot one", "192 punto 168 punto uno punto 1", "one nine two dot 168 dot 0.1"],
     }
     for kind, cases in whole.items():
         for case in cases:
@@ -293,6 +398,28 @@ def test_pii_spelled_over_lines_and_mixed():
         assert [(pii.KINDS[k], text[a:b]) for k, a, b in pii.disguised_spans(text, [])] == [("phone", case)], text
 
 
+def test_pii_looks_lose_nothing():
+    r = random.Random(9)
+    bits = ["one", "two", "oh", "five", "Seven", "5", "2", "12", " ", " ", "  ", "\n", ",", "-", ".", " dot ", " point ", "plus ", "+", "_", "x", "at"]
+    for _ in range(6000):
+        text = "".join(r.choice(bits) + r.choice(["", " "]) for _ in range(r.randint(3, 24)))
+        if pii._spelled(text):
+            assert pii.TWO_DIGITS.search(f" {text.lower()}"), text
+
+
+def test_pii_digest_is_brute_force(spark):
+    r = random.Random(6)
+    parts = ["a.b@c.de ", "x@y.z.w,", "1.2.3.4", "300.1.2.3 ", "4111 1111 1111 1111 ", "4111-1111-1111-1112", "+1 (603) 555-8791", "+49 30 ", "…é😀 ", "word ", "\n", "."]
+    rows = [(i, "".join(r.choices(parts, k=r.randint(0, 14)))) for i in range(400)] + [(400, None), (401, ""), (402, "w " * 50_000 + "a@b.co")]
+    got = {x["doc_id"]: x for x in pii.digest(pii.find_pii(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()}
+    for i, text in rows:
+        base = sorted(plain_by_regex(text or ""))
+        said = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in base)
+        assert got[i]["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert [got[i][f"n_{kind}"] for kind in pii.KINDS] == [sum(k == n for k, *_ in base) for n in range(4)]
+        assert set(said.split(",")) <= set(got[i]["spans"].split(",")) | {""}
+
+
 def test_quality(spark, docs, none):
     r = random.Random(4)
     good = lambda: " ".join(r.choice(["the", "river", "was", "calm", "and", "wide"]) for _ in range(60)) + "."
@@ -309,6 +436,45 @@ def test_quality(spark, docs, none):
     assert quality.classify(none, labels).count() == 0
 
 
+def plain_score(net, text):
+    """The network's probability, window by window."""
+    raw, w = text or b"\0", {k: v.astype(np.float64) for k, v in net.w.items()}
+    padded, chunks = raw + bytes(quality.WIDTH - 1), []
+    for a in range(0, len(raw), quality.CHUNK):
+        windows = [w["embed"][list(padded[i : i + quality.WIDTH])].reshape(-1) for i in range(a, min(len(raw), a + quality.CHUNK))]
+        chunks.append(np.maximum((np.array(windows) @ w["filters"]).max(0) + w["bias"], 0))
+    z = np.mean(chunks, 0) @ w["mix"][: quality.FILTERS] + np.max(chunks, 0) @ w["mix"][quality.FILTERS :] + w["offset"][0]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_are_brute_force(spark):
+    r = random.Random(3)
+    batch = [b"", b"x", "Ünïcödé 中文".encode(), *(bytes(r.choices(range(256), k=n)) for n in (7, 8, 255, 256, 257, 511, 3000))]
+    net = quality.ByteConvNet.fresh(5)
+    assert np.abs(net.scores(batch) - [plain_score(net, x) for x in batch]).max() < 1e-5
+    rows = [(i, x.decode("latin-1")) for i, x in enumerate(batch)] + [(99, None)]
+    got = {x["doc_id"]: x["score"] for x in quality.score(spark.createDataFrame(rows, "doc_id bigint, text string"), net).collect()}
+    assert all(abs(got[i] - plain_score(net, (t or "").encode())) < 1e-5 for i, t in rows)
+
+
+def test_training_chunks():
+    text = bytes(i % 251 for i in range(100_000))
+    drawn = quality.training_chunks(text)
+    assert len(drawn) == quality.EPOCHS * quality.TRAIN_CHUNKS and {len(x) for x in drawn} == {quality.CHUNK + quality.WIDTH - 1}
+    assert all(x.rstrip(b"\0") in text for x in drawn) and quality.training_chunks(b"ab") == [b"ab".ljust(263, b"\0")]
+    assert len(quality.training_chunks(b"")) == 1 and len(quality.training_chunks(text[:1000])) == 4
+
+
+def test_labels_that_disagree_teach_nothing(spark):
+    rows = [(i, "good words here" if i % 2 else "### $$$ !!!") for i in range(60)]
+    docs_ = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    odd = labels.union(labels.selectExpr("doc_id", "1 - quality"))
+    nets = [quality.train(docs_, x) for x in (labels, odd)]
+    assert len(set(nets[0].scores([b"good words here", b"### $$$ !!!"]).round(3))) == 2
+    assert nets[1].scores([b"good words here", b"### $$$ !!!"]).round(6).tolist() == [0.5, 0.5]
+
+
 def test_whole_text_is_scored():
     net = quality.ByteConvNet.fresh()
     text = (b"plain words " * 100_000)[:999_983] + b"###$$$!!!"
@@ -349,7 +515,7 @@ def test_near_vectors(spark):
 def test_nearest(spark):
     df, x = vectors(spark)
     got = {}
-    for r in ann.nearest(df, F.col("id") % 20 == 0, 5).collect():
+    for r in ann.nearest(df, F.col("id") % 20 == 0, 5, recall=1.0).collect():  # measured on all queries, so exact
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
     assert set(got) == set(range(0, 300, 20))
     for q, found in got.items():
@@ -359,11 +525,66 @@ def test_nearest(spark):
         assert [v for _, v in sorted(found)] == want.tolist()
     small = {r["vec_id"] for r in ann.nearest(df.where("vec_id < 3"), F.col("id") == 0, 5).collect()}
     assert small == {1, 2} and ann.nearest(df.limit(0), F.lit(True)).count() == 0
+    repeated = df.union(df.where("vec_id < 40")).union(df.sparkSession.createDataFrame([(None, [1.0] * 16, 0, 1), (950, [1.0] * 3, 0, 1), (960, [2.0, 0.0, 1.0], 0, 1)], VECTORS))
+    again = {}
+    for r in ann.nearest(repeated, F.col("id") % 20 == 0, 5, recall=1.0).collect():
+        again.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert {q: sorted(v) for q, v in again.items()} == {**{q: sorted(v) for q, v in got.items()}, 960: [(1, 950)]}
     keys = ann.hilbert_keys(np.array([[a, b] for a in range(8) for b in range(8)]), 3)
     cells = [divmod(int(k), 8) for k in np.argsort(keys)]
     assert sorted(keys.tolist()) == list(range(64)) and all(abs(a - c) + abs(b - d) == 1 for (a, b), (c, d) in zip(cells, cells[1:], strict=False))
 
 
+def test_nearest_takes_several_curves(spark):
+    r = np.random.default_rng(12)
+    centres = r.normal(size=(60, 16))
+    kinds = {"unstructured": r.normal(size=(3000, 16)), "clustered": centres[r.integers(0, 60, 3000)] + 0.2 * r.normal(size=(3000, 16)), "long and short": r.normal(size=(3000, 16)) * r.uniform(0.5, 2, (3000, 1))}
+    reach = {}
+    for kind, x in kinds.items():
+        x = x.astype(np.float32)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+        seen = []
+        measure = ann.window_reach
+        try:
+            ann.window_reach = lambda places, near, curves, n, size, recall: seen.append((n, size)) or seen.append(measure(places, near, curves, n, size, recall)) or seen[-1]
+            got = {(a["query_id"], a["vec_id"]) for a in ann.nearest(df, F.col("id") % 10 == 0, 10, block=32, sample=40).collect()}
+        finally:
+            ann.window_reach = measure
+        reach[kind] = seen[-1]
+        x = x.astype(np.float64)
+        scores = x[::10] @ x.T
+        scores[np.arange(300), np.arange(0, 3000, 10)] = -np.inf
+        want = {(10 * q, int(i)) for q, row in enumerate(scores) for i in np.argsort(-row)[:10]}
+        assert len(got & want) >= 0.9 * len(want), kind
+        assert 2 * reach[kind] + 1 < 94, kind  # no curve's window holds the whole table
+    assert reach["clustered"] < 0.6 * reach["unstructured"]
+
+
+def test_windows_reach_what_they_say():
+    for blocks in (1, 2, 5, 12):
+        for own in range(blocks):
+            for reach in range(blocks):
+                first = max(0, min(own - reach, blocks - 1 - 2 * reach))
+                window = range(first, min(blocks - 1, first + 2 * reach) + 1)
+                assert all((ann._reach_of(own, other, blocks) <= reach) == (other in window) for other in range(blocks))
+
+
+def components_by_force(sets):
+    """Smallest id reachable by links, from a dict of shingle sets."""
+    root = {i: i for i in sets}
+    ids = sorted(sets)
+    while True:
+        low = dict(root)
+        for k, x in enumerate(ids):
+            for y in ids[k + 1 :]:
+                both = len(sets[x] & sets[y])
+                if both and 100 * both >= 75 * (len(sets[x]) + len(sets[y]) - both):
+                    low[x] = low[y] = min(low[x], low[y])
+        if low == root:
+            return root
+        root = low
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
@@ -374,3 +595,45 @@ def test_pipeline(spark, docs, tmp_path):
     assert sorted({r["doc_id"] for r in rows if r["doc_id"] is not None}) == [i for i in range(len(TEXTS)) if i != 5]
     masked = corpus_pipeline.mask_personal_data(spark, docs, "").collect()
     assert len(masked) == len(TEXTS) + 2 and corpus_pipeline.mask_personal_data(spark, docs, "").columns == docs.columns
+
+
+def test_pipeline_is_brute_force(spark, none, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(14)
+    words = [f"{a}{b}" for a in ("ri", "sto", "la", "me", "wa") for b in ("ver", "ne", "mp", "lk", "ter", "n")]
+    prose = lambda: [r.choice(words) for _ in range(r.randint(20, 60))]
+    junk = lambda: " ".join(r.choice(["$$$", "buy!!!", "@@##", "%%%%", "click***"]) for _ in range(40))
+    rows, labels = [], []
+    for i in range(0, 240, 2):
+        text = prose()
+        rows.append((i, " ".join(text)))
+        text[r.randrange(len(text))] = "changed"
+        near = " ".join(text) if i % 3 else junk()
+        rows.append((i + 1, near + (" mail a.b@c.org or +1 (603) 555-8791" if i % 4 == 0 else "")))
+        labels += [(i, 1), (i + 1, int(bool(i % 3)))]
+    rows += [(900, ""), (901, None), (902, " ".join(prose() * 400))]
+    docs_ = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    docs_.write.parquet(f"{tmp_path}/documents.parquet")
+    truth = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    truth.write.parquet(f"{tmp_path}/labels.parquet")
+    got = {}
+    for x in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got.setdefault(x["doc_id"], []).append((x["start"], x["length"], x["ids_crc32"]))
+    net, texts = quality.train(docs_, truth), dict(rows)
+    good = {i: shingles(t) for i, t in rows if plain_score(net, (t or "").encode()) >= quality.KEEP_FROM}
+    assert {i for i, t in rows if t and "$$$" in t}.isdisjoint(good) and len(good) > 150
+    kept = [i for i, root in components_by_force(good).items() if i == root]
+    assert sorted(got) == sorted(kept) and len(kept) < len(good)
+    lib = library(WORD)
+    for i in kept:
+        text = texts[i] or ""
+        for kind, a, b in sorted(plain_by_regex(text), key=lambda x: -x[1]):
+            text = f"{text[:a]}[{pii.KINDS[kind].upper()}]{text[b:]}"
+        ids = np.array([*lib.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        want = [(a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())) for a in range(0, len(ids), 2048)]
+        assert sorted(got[i]) == want, i
+    empty = tmp_path / "empty"
+    docs_.limit(0).write.parquet(f"{empty}/documents.parquet")
+    truth.limit(0).write.parquet(f"{empty}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
