@@ -9,6 +9,7 @@ source. A disguised span is added only where no plain span of its kind overlaps
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,6 +40,7 @@ INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 # Digits in words, in the four languages of the tables.
 DIGIT_WORDS = {
     **dict(zip("zero one two three four five six seven eight nine".split(), "0123456789", strict=True)),
+    "oh": "0",
     **dict(zip("null eins zwei drei vier fünf sechs sieben acht neun".split(), "0123456789", strict=True)),
     **dict(zip("zéro un deux trois quatre cinq six sept huit neuf".split(), "0123456789", strict=True)),
     **dict(zip("cero uno dos tres cuatro cinco seis siete ocho nueve".split(), "0123456789", strict=True)),
@@ -46,10 +48,13 @@ DIGIT_WORDS = {
 #: So many spelled digits, in a row or with numerals between them, are taken for a number.
 SPELLED = 3
 
-ODD = re.compile("[" + "".join(map(re.escape, [*HOMOGLYPHS, *INVISIBLE])) + "\uff01-\uff5e]")
-BRACKETS = re.compile(r"[\[({<]\s*(?:(at|arroba)|(dot|punkt|punto|point))\s*[\])}>]", re.I)
+ODD = re.compile("[" + "".join(map(re.escape, [*HOMOGLYPHS, *INVISIBLE])) + "\uff01-\uff5e\U0001d400-\U0001d7ff]|(?![0-9])\\d")
+BRACKETS = re.compile(r"[\[({<]\s*(?:(at|arroba|@)|(dot|punkt|punto|point|\.))\s*[\])}>]", re.I)
 _DOT = "(?:dot|punkt|punto|point)"
 PLAIN_AT = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(\s+(?:at|arroba)\s+|\s*@\s*)[A-Za-z0-9-]+((?:(?:\s+{_DOT}\s+|\.)[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])", re.I)
+#: An address whose "at" and dots stand between underscores or hyphens.
+JOINED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:(?![_-]at[_-])[A-Za-z0-9._%+-])*([_-]at[_-])(?:(?![_-]dot[_-])[A-Za-z0-9-])+(?:[_-]dot[_-](?:(?![_-]dot[_-])[A-Za-z0-9-])+)+", re.I)
+JOINED_DOT = re.compile(r"[_-]dot[_-]", re.I)
 PLAIN_LABEL = re.compile(rf"(\s+{_DOT}\s+|\.)([A-Za-z0-9-]+)", re.I)
 DOT_WORD = re.compile(_DOT)
 _DIGIT = "(?:" + "|".join(sorted(DIGIT_WORDS, key=lambda w: (-len(w), w))) + "|[0-9])"
@@ -135,7 +140,12 @@ class Rewritten:
 
 def _odd_edits(text: str) -> list[tuple[int, int, str]]:
     def plain(c: str) -> str:
-        return HOMOGLYPHS.get(c, "") if c in HOMOGLYPHS or c in INVISIBLE else chr(ord(c) - 0xFEE0)
+        if c in HOMOGLYPHS or c in INVISIBLE:
+            return HOMOGLYPHS.get(c, "")
+        if (digit := unicodedata.decimal(c, None)) is not None:  # of any script
+            return str(digit)
+        form = unicodedata.normalize("NFKC", c)  # full-width forms, mathematical letters
+        return HOMOGLYPHS.get(form, form)
 
     return [(m.start(), m.end(), plain(m[0])) for m in ODD.finditer(text)]
 
@@ -191,6 +201,14 @@ def _address_edits(found: Rewritten) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _joined_edits(text: str) -> list[tuple[int, int, str]]:
+    edits = []
+    for m in JOINED.finditer(text):
+        edits.append((*m.span(1), "@"))
+        edits += [(*x.span(), ".") for x in JOINED_DOT.finditer(text, m.end(1), m.end())]
+    return edits
+
+
 def _dotted_edits(text: str) -> list[tuple[int, int, str]]:
     """Numbers that dots in words join to an address."""
     edits = []
@@ -224,6 +242,9 @@ def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
         found.replace(edits)
         low = found.text.lower()
     dots = DOT_WORD.search(low) is not None
+    if dots and ("_at" in low or "-at" in low) and (edits := _joined_edits(found.text)):
+        found.replace(edits)
+        low = found.text.lower()
     if (dots or found.edited) and (edits := _address_edits(found)):
         found.replace(edits)
         low = found.text.lower()
@@ -266,7 +287,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts and digest of the plain spans, and all spans as one string. The counts n_* are of plain spans."""
+    """Counts and digest of the plain spans, and all spans as one string. The counts n_* are of plain spans.
+
+    One row for each row of found, repeated ones and null ids too; no spans give 0, the digest of the empty string and
+    the empty string; an empty table gives an empty table; columns other than the id and spans are not read."""
 
     def joined(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -280,7 +304,8 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def mask(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets, such as [EMAIL]. Of overlapping spans the one that
-    starts first counts, the longer one of two that start together; what the others cover beyond it goes with it."""
+    starts first counts, the longer one of two that start together, the first kind of two with equal ends; what the
+    others cover beyond it goes with it. A null text stays null, one without spans as it is."""
     start = F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind")))), lambda s: F.struct(s["start"], (-s["end"]).alias("end"), s["kind"]))
     empty = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
 
