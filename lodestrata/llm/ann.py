@@ -4,8 +4,10 @@ Each of several orderings projects all vectors on its own random axes, shifts th
 curve; Spark range-partitions the keys. A query's candidates in an ordering are the blocks around its own place; their
 inner products are computed exactly, and the best of all orderings are merged.
 
-Vectors without structure (independent in all dimensions) have no order that keeps neighbours together: recall there
-is bought by the share of the table that the windows cover, so ``share`` is of the table, not a number of rows.
+How wide the windows have to be depends on the vectors. Those without structure (independent in all dimensions) have no
+order that keeps neighbours together, and windows have to cover a share of the table; of clustered ones a few blocks
+are enough. So the width is measured: a bounded sample of the queries is answered by brute force, and the windows are
+as wide as it takes for the orderings together to hold ``recall`` of the true neighbours. All queries then take it.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from .vectors import moments, pack_blocks, usable
 
 #: Orderings, dimensions of each, and bits of each dimension.
 CURVES, DIMS, BITS = 8, 8, 7
-#: Vectors of a block, and the share of the table that a query's blocks hold at least in each ordering.
-BLOCK, SHARE = 4096, 0.22
+#: Vectors of a block at most, and blocks that the table is cut into at least (of LEAST vectors, though).
+BLOCK, BLOCKS, LEAST = 4096, 64, 32
+#: Queries that the width of the windows is measured on, and the share of their true neighbours that they have to hold.
+SAMPLE, RECALL = 100, 0.97
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -69,29 +73,29 @@ class Curve:
         return hilbert_keys(np.clip(z * 2**self.bits, 0, 2**self.bits - 1).astype(np.int64), self.bits).view(np.int64)
 
 
-def ordered_blocks(distinct: DataFrame, curve: Curve, n: int, block: int) -> DataFrame:
-    """(id, vec, block) of (id, vec): the table along one curve, in blocks of ``block`` rows."""
-    dim = len(curve.axes)
+def ordered(distinct: DataFrame, curves: list[Curve]) -> DataFrame:
+    """(curve, place, id): where each row of (id, vec) lies along each curve, counted from 0. Only keys and ids are
+    sorted, in ranges of Spark's."""
+    spark, dim = distinct.sparkSession, len(curves[0].axes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            yield pa.RecordBatch.from_arrays([pa.array(curve.keys(x)), b.column("id"), b.column("vec")], ["key", "id", "vec"])
+            for c, curve in enumerate(curves):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(curve.keys(x)), b.column("id")], ["curve", "key", "id"])
 
-    keyed = distinct.select("id", "vec").mapInArrow(run, "key bigint, id bigint, vec array<double>")
-    parts = max(1, -(-n // (4 * block)))
+    keyed = distinct.select("id", "vec").mapInArrow(run, "curve int, key bigint, id bigint")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # equal vectors are one row, so a key repeats only for different vectors of one cell; the id splits those
-    ranges = stored(keyed.repartitionByRange(parts, "key", "id").withColumn("part", F.spark_partition_id()), "curve")
-    counts = {r["part"]: r["count"] for r in ranges.groupBy("part").count().collect()}  # one number a partition
-    offset, total = [], 0
-    for p in sorted(counts):
-        offset.append((p, total))
-        total += counts[p]
-    starts = ranges.sparkSession.createDataFrame(offset or [(0, 0)], "part int, start bigint")
-    place = F.row_number().over(Window.partitionBy("part").orderBy("key", "id")) - 1
-    out = ranges.withColumn("place", place).join(F.broadcast(starts), "part").select("id", "vec", F.floor((F.col("start") + F.col("place")) / block).alias("block"))
-    out.stored_at = ranges.stored_at
-    return out
+    ranges = stored(keyed.repartitionByRange(parts, "curve", "key", "id").withColumn("part", F.spark_partition_id()), "curves")
+    counts = {(r["curve"], r["part"]): r["count"] for r in ranges.groupBy("curve", "part").count().collect()}  # a number for each partition and curve in it
+    offset, total = [], {}
+    for c, p in sorted(counts):
+        offset.append((c, p, total.get(c, 0)))
+        total[c] = total.get(c, 0) + counts[c, p]
+    starts = spark.createDataFrame(offset or [(0, 0, 0)], "curve int, part int, start bigint")
+    place = F.row_number().over(Window.partitionBy("curve", "part").orderBy("key", "id")) - 1
+    return stored(ranges.withColumn("place", place).join(F.broadcast(starts), ["curve", "part"]).select("curve", (F.col("start") + F.col("place")).alias("place"), "id"), "places")
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,9 +112,50 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return row[keep], col[keep]
 
 
-def _candidates(queries: DataFrame, blocks: DataFrame, reach: int, k: int, dim: int) -> DataFrame:
-    """(query, id, score): for each query the k + 1 best rows of each block within reach of its own."""
-    near = queries.select(F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)).alias("block"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
+def _true_neighbours(own: DataFrame, sample: list[tuple[int, list[float]]], k: int) -> dict[int, list[int]]:
+    """Ids of each sampled vector's k best other rows, by brute force over all rows: one pass, the best of each batch
+    go on."""
+    ids, x = np.array([i for i, _ in sample]), np.array([v for _, v in sample])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            y, other = b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, x.shape[1]), b.column("id").to_numpy()
+            row, col = _best(scores := x @ y.T, other, k + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(other[col]), pa.array(scores[row, col])], ["query", "id", "score"])
+
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    near = own.select("id", "vec").mapInArrow(run, "query bigint, id bigint, score double").where("id != query").withColumn("r", best).where(F.col("r") <= k)
+    out: dict[int, list[int]] = {}
+    for r in near.collect():  # k rows of each sampled query
+        out.setdefault(r["query"], []).append(r["id"])
+    return out
+
+
+def window_reach(places: DataFrame, near: dict[int, list[int]], curves: int, n: int, block: int, recall: float) -> int:
+    """Blocks on either side of a query's own that its window has to hold, so that in at least one of the curves
+    ``recall`` of the sampled queries' true neighbours lie in it."""
+    blocks = -(-n // block)
+    ids = sorted({*near, *(i for x in near.values() for i in x)})
+    at = {(r["curve"], r["id"]): r["place"] // block for r in places.where(F.col("id").isin(ids)).collect()} if ids else {}
+    needed = []
+    for q, found in near.items():
+        for i in found:
+            needed.append(min(_reach_of(at[c, q], at[c, i], blocks) for c in range(curves)))
+    return int(np.quantile(needed, recall, method="higher")) if needed else 0
+
+
+def _reach_of(own: int, other: int, blocks: int) -> int:
+    """The least reach with which the window around block ``own`` holds block ``other``. At the ends of the curve windows
+    are shifted inwards, so all are 2 * reach + 1 blocks wide."""
+    shifted = -(-(blocks - 1 - other) // 2) if own > other else -(-other // 2)
+    return min(abs(own - other), shifted)
+
+
+def _candidates(queries: DataFrame, blocks: DataFrame, n_blocks: int, reach: int, k: int, dim: int) -> DataFrame:
+    """(query, id, score): for each query the k best rows of each block of the window around its own."""
+    first = F.greatest(F.lit(0), F.least(F.col("block") - reach, F.lit(n_blocks - 1 - 2 * reach)))
+    window = F.sequence(first, F.least(F.lit(n_blocks - 1), first + 2 * reach))
+    near = queries.select(F.explode(window).alias("block"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,13 +169,13 @@ def _candidates(queries: DataFrame, blocks: DataFrame, reach: int, k: int, dim:
     return near.join(blocks.select("block", "ids", "vecs"), "block").mapInArrow(run, "query bigint, id bigint, score double")
 
 
-def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = CURVES, dims: int = DIMS, bits: int = BITS, block: int = BLOCK, share: float = SHARE) -> DataFrame:
+def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = CURVES, dims: int = DIMS, bits: int = BITS, block: int | None = None, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, id, score): for each row of table that is_query holds for (a condition on its column "id"), its
     k nearest other rows found, by inner product in double precision, ties to smaller ids.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids, nor (as a
     candidate of another length) vectors of other lengths. Fewer candidates than k are all returned. Repeated ids are
-    one row, the first in the order of their vectors. Other columns are not read; an empty table gives an empty table.
+    one row, the least of their vectors. Other columns are not read; an empty table gives an empty table.
     """
     spark = table.sparkSession
     ship_package(spark)
@@ -144,18 +189,19 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     for dim in sorted(r["dim"] for r in distinct.select("dim").distinct().collect()):
         own = distinct.where(F.col("dim") == dim)
         n, total, scatter = moments(own)
-        reach = max(1, -(-int(n * share) // block) // 2)
+        size = block or min(BLOCK, max(LEAST, -(-n // BLOCKS)))
+        places = ordered(own, [Curve(c, scatter / n, total / n, dims, bits) for c in range(curves)])
+        mine = asked.select("id").distinct().join(own, "id")
+        drawn = [(r["id"], r["vec"]) for r in mine.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "vec").collect()]
+        reach = window_reach(places, _true_neighbours(own, drawn, k) if drawn else {}, curves, n, size, recall)
         for c in range(curves):
-            curve = Curve(c, scatter / n, total / n, dims, bits)
-            along = ordered_blocks(own, curve, n, block)
+            along = places.where(F.col("curve") == c).select("id", F.floor(F.col("place") / size).alias("block")).join(own.select("id", "vec"), "id")
             packed = stored(pack_blocks(along), "blocks")
             queries = pack_blocks(along.join(asked.select("id").distinct(), "id", "left_semi"))
-            best = stored(_candidates(queries, packed, reach, k + 1, dim), "candidates")
+            best = stored(_candidates(queries, packed, -(-n // size), reach, k + 1, dim), "candidates")
             drop_stored(packed)
-            drop_stored(along)
             found = best if found is None else found.union(best)
-            if reach + 1 >= -(-n // block):
-                break  # every window holds the whole table: another ordering would find the same
+        drop_stored(places)
     if found is None:
         found = spark.createDataFrame([], "query bigint, id bigint, score double")
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "id")
