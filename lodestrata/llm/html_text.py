@@ -3,9 +3,10 @@
 The standard library's parser streams its events into lines: one line for each run of text between block-level tags,
 with the number of tags it holds and the section it lies in. Sections that the markup itself names as navigation,
 header, footer, aside, form or the like never count. The ratio of text to tags of each line is smoothed over its
-neighbours; lines above a threshold of the page's own spread form clusters. The innermost section that holds all the
-clustered lines, lines of links aside, is the content region; where article and main elements hold at least as much
-clustered text as the rest of the page, they are. All lines of that region are kept, short ones too.
+neighbours; lines above a threshold of the page's own spread form clusters. The innermost section that holds the
+headings and the dense lines of all clusters, lines of links aside, is the content region; where article and main
+elements hold at least as much clustered text as the rest of the page, they are. All lines of that region are kept, short
+ones too.
 """
 
 from __future__ import annotations
@@ -42,14 +43,17 @@ KEPT = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 #: Elements that name the content themselves.
 NAMED = frozenset({"article", "main"})
 SIGMA = 2.0
+#: Characters a tag from which on a line is running text on any page.
+DENSE = 40.0
 NAME_PARTS = re.compile(r"[-_0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
-Line = tuple[str, int, bool, int, int, int]
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+Line = tuple[str, int, bool, bool, int, int, int]
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, most of it is links, section, named, aside) for each line of a page."""
+    """Collects (text, tags, most of it is links, heading, section, named, aside) for each line of a page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -77,7 +81,7 @@ class _Lines(HTMLParser):
             text = " ".join("".join(self.parts).split())
             if text:
                 _, section, named = self.sections[-1]
-                self.lines.append((text, self.tags, 2 * self.linked > len(text), section, named, self.asides[-1][1] if self.asides else 0))
+                self.lines.append((text, self.tags, 2 * self.linked > len(text), any(x in HEADINGS for x in self.open[-3:]), section, named, self.asides[-1][1] if self.asides else 0))
             self.parts = []
         self.tags = self.linked = 0
 
@@ -182,10 +186,14 @@ def _around(sections: Iterable[int], outer: list[int]) -> int:
     return found
 
 
-def _clustered(lines: list[Line]) -> list[bool]:
-    """For each line whether its smoothed ratio of text to tags reaches the page's own spread."""
-    ratio = smoothed(np.array([len(text) / max(1, tags) for text, tags, *_ in lines]))
-    return (ratio >= min(ratio.max(), max(ratio.std(), 1e-9))).tolist()
+def _clustered(lines: list[Line]) -> tuple[list[bool], list[bool]]:
+    """For each line whether its smoothed ratio of text to tags reaches the page's own spread, and whether it is dense:
+    its own ratio stands out too (by the spread of the unsmoothed ratios, or DENSE where that is more), so it is in a
+    cluster not by its neighbours alone."""
+    own = np.array([len(text) / max(1, tags) for text, tags, *_ in lines])
+    ratio = smoothed(own)
+    least = min(ratio.max(), max(ratio.std(), 1e-9))
+    return (ratio >= least).tolist(), ((ratio >= least) & (own >= max(least, min(own.std(), DENSE)))).tolist()
 
 
 def _without_asides(parser: _Lines) -> list[Line]:
@@ -194,9 +202,9 @@ def _without_asides(parser: _Lines) -> list[Line]:
     lines = parser.lines
     if len(parser.beside) == 1 or not lines:
         return lines
-    clustered = _clustered(lines)
+    clustered, _ = _clustered(lines)
     mass, every, named_text = [0] * len(parser.beside), 0, False
-    for (text, _, _, _, named, aside), inside in zip(lines, clustered, strict=True):
+    for (text, _, _, _, _, named, aside), inside in zip(lines, clustered, strict=True):
         if inside:
             every += len(text)
             named_text |= bool(named) and not aside
@@ -210,13 +218,15 @@ def _without_asides(parser: _Lines) -> list[Line]:
     return [x for x in lines if not dropped[x[-1]]]
 
 
-def _content(lines: list[Line], clustered: list[bool], outer: list[int]) -> list[bool]:
-    """For each line whether it lies in the section around all clustered text. Lines of links don't widen it."""
-    root = _around([s for (_, _, linked, s, *_), inside in zip(lines, clustered, strict=True) if inside and not linked] or [s for _, _, _, s, *_ in lines], outer)
+def _content(lines: list[Line], clustered: list[bool], dense: list[bool], outer: list[int]) -> list[bool]:
+    """For each line whether it lies in the section around all dense lines and headings of the clusters. Lines of links
+    and short lines that only lie near the text don't widen it."""
+    wide = [s for (_, _, linked, heading, s, *_), inside, own in zip(lines, clustered, dense, strict=True) if inside and not linked and (own or heading)]
+    root = _around(wide or [s for (_, _, _, _, s, *_), inside in zip(lines, clustered, strict=True) if inside], outer)
     within = [False] * len(outer)
     for section, around in enumerate(outer):
         within[section] = section == root or within[around]
-    return [within[s] for _, _, _, s, *_ in lines]
+    return [within[s] for _, _, _, _, s, *_ in lines]
 
 
 def extract(html: str) -> str:
@@ -228,12 +238,12 @@ def extract(html: str) -> str:
     lines = _without_asides(parser)
     if not lines:
         return ""
-    clustered = _clustered(lines)
+    clustered, dense = _clustered(lines)
     named = [n > 0 for *_, n, _ in lines]
     mass = {True: 0, False: 0}
     for (text, *_), inside, region in zip(lines, clustered, named, strict=True):
         mass[region] += len(text) * inside
-    kept = named if mass[True] >= mass[False] else _content(lines, clustered, parser.outer)
+    kept = named if mass[True] >= mass[False] else _content(lines, clustered, dense, parser.outer)
     return "\n".join(text for (text, *_), keep in zip(lines, kept, strict=True) if keep)
 
 
