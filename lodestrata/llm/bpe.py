@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -205,6 +206,8 @@ class Encoder:
         self.by_byte = self.spec["normalizer"] is None
         self.table = MergeTable(self.spec)
         self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"] if t["special"]}
+        # the leftmost one, the longest of those that begin there
+        self.special_in = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.max_words = max_words
         self.bytes_of = self._bytes_of() if self.by_byte else None
         self.forget()
@@ -311,15 +314,14 @@ class Encoder:
         return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
     def _odd(self, text: str) -> np.ndarray:
-        out, rest = [], text
-        while rest:
-            at, token = min(((i, -len(t), t) for t in self.special if (i := rest.find(t)) >= 0), default=(len(rest), 0, ""))[::2]
-            if at:
-                head = rest[:at]
+        out, at = [], 0
+        for m in [*(self.special_in.finditer(text) if self.special_in else ()), None]:
+            head = text[at : m.start() if m else len(text)]
+            if head:
                 out.append(self._gather(self._plain([head])[0] if head.isascii() or _latin(head) else self._other(head)))
-            if token:
-                out.append(np.array([self.special[token]], np.uint32))
-            rest = rest[at + len(token) :]
+            if m:
+                out.append(np.array([self.special[m[0]]], np.uint32))
+                at = m.end()
         return np.concatenate(out) if out else np.empty(0, np.uint32)
 
     def count_batch(self, texts: list[str]) -> np.ndarray:

@@ -97,8 +97,11 @@ def near_vectors(table: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     roots = components(found.where("id != other").select(F.col("id").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     groups = distinct.select("id", "least", "copies", "vec").join(counts, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    least = groups.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = groups.join(least, "root").select("vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    # tables of their own: a component may hold much of all vectors, and one vector much of all rows; with exchanges on
+    # both sides of a join adaptive execution can split such a key
+    groups = stored(groups, "groups")
+    least = stored(groups.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    groups = stored(groups.join(least, "root").select("vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"), "named")
     sound = rows.join(groups, "vec").select("id", "n_links", "component_id")
     other = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("vec"))
     unsound = other.where(~F.coalesce(F.col("id").isNotNull() & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0), F.lit(False)))

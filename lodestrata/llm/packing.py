@@ -24,6 +24,8 @@ from .bpe import encoder
 POOL = 100_000
 #: A bin with at most this share of its capacity free is final before the last round.
 SLACK = 0.005
+#: Rounds of merging at most; each but the last has an eighth of the tasks, or a tenth fewer items, of the one before.
+LEVELS = 63
 #: A round that leaves more than this share of its items open is the last one.
 STALLED = 0.9
 
@@ -155,20 +157,21 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, closin
         links.append(merged)
         left = merged.where((F.col("at") == 0) & (F.col("parent_fill") < open_below)).select(F.col("parent").alias("bin"), F.col("parent_fill").alias("fill"))
         before, n, level = n, left.count(), level + 1
-        if tasks == 1 or (n > STALLED * before and tasks == -(-before // POOL)):
+        if tasks == 1 or level == LEVELS or (n > STALLED * before and tasks == -(-before // POOL)):
             break
         items = left
     # names of bins are unique within a level: a sequence is (level, bin)
+    number = lambda bin_, level: F.col(bin_) * (LEVELS + 1) + level
     where = None
     for k in reversed(range(len(links))):
         link = links[k].select("bin", "parent", F.col("at").alias("shift"))
         if where is None:
-            where = link.select("bin", (F.col("parent") * 16 + (k + 1)).alias("sequence_id"), "shift")
+            where = link.select("bin", number("parent", k + 1).alias("sequence_id"), "shift")
         else:
             up = where.select(F.col("bin").alias("parent"), "sequence_id", F.col("shift").alias("more"))
-            where = link.join(up, "parent", "left").select("bin", F.coalesce("sequence_id", F.col("parent") * 16 + (k + 1)).alias("sequence_id"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"))
+            where = link.join(up, "parent", "left").select("bin", F.coalesce("sequence_id", number("parent", k + 1)).alias("sequence_id"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"))
     if where is None:
-        placed = local.select("*", (F.col("bin") * 16).alias("sequence_id"), F.lit(0).cast("bigint").alias("shift"))
+        placed = local.select("*", number("bin", 0).alias("sequence_id"), F.lit(0).cast("bigint").alias("shift"))
     else:
-        placed = local.join(where, "bin", "left").withColumn("sequence_id", F.coalesce("sequence_id", F.col("bin") * 16))
+        placed = local.join(where, "bin", "left").withColumn("sequence_id", F.coalesce("sequence_id", number("bin", 0)))
     return placed.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", (F.col("at") + F.coalesce("shift", F.lit(0))).alias("offset"))

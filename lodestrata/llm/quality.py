@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .batches import back, for_arrow, pieces, schema_of, texts
 
 WIDTH, EMBED, FILTERS, CHUNK = 8, 6, 24, 256
@@ -80,14 +81,24 @@ def joined(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, starts, owner
 
 
-def fit(documents: list[bytes], labels: np.ndarray, weights: np.ndarray, seed: int = 7) -> ByteConvNet:
-    """Adam on the weighted logistic loss. In each pass a document shows at most TRAIN_CHUNKS of its chunks, other ones
-    each time; scoring always takes them all."""
+def training_chunks(text: bytes, seed: int = 7) -> list[bytes]:
+    """The chunks of a document that training may see: all, or as many as its passes can show, drawn over the whole
+    text. Each has WIDTH - 1 bytes of the next one, zeros at the end."""
+    text = text or b"\0"
+    chunks = np.arange(-(-len(text) // CHUNK))
+    if len(chunks) > EPOCHS * TRAIN_CHUNKS:
+        chunks = np.sort(np.random.default_rng([seed, zlib.crc32(text)]).permutation(chunks)[: EPOCHS * TRAIN_CHUNKS])
+    return [text[c * CHUNK : c * CHUNK + CHUNK + WIDTH - 1].ljust(CHUNK + WIDTH - 1, b"\0") for c in chunks.tolist()]
+
+
+def fit(documents: list[list[bytes]], sizes: np.ndarray, labels: np.ndarray, weights: np.ndarray, seed: int = 7) -> ByteConvNet:
+    """Adam on the weighted logistic loss, over the training_chunks of documents of ``sizes`` bytes. In each pass a
+    document shows at most TRAIN_CHUNKS of its chunks, other ones each time; scoring always takes them all."""
     net, r = ByteConvNet.fresh(seed), np.random.default_rng(seed)
     m, v = ({k: np.zeros_like(x) for k, x in net.w.items()} for _ in range(2))
     t = 0
-    raws = [np.frombuffer((d or b"\0") + bytes(CHUNK + WIDTH), np.uint8) for d in documents]
-    lengths = np.array([max(1, len(d)) for d in documents])
+    raws = [np.frombuffer(b"".join(d), np.uint8).reshape(len(d), -1) for d in documents]
+    lengths = np.maximum(sizes, 1)
     steps = EPOCHS * -(-len(documents) // BATCH)
     for _ in range(EPOCHS):
         order = r.permutation(len(documents))
@@ -95,9 +106,8 @@ def fit(documents: list[bytes], labels: np.ndarray, weights: np.ndarray, seed: i
             own = order[s : s + BATCH]
             rows, owner = [], []
             for k, i in enumerate(own):
-                chunks = np.arange(-(-lengths[i] // CHUNK))
-                for c in r.permutation(chunks)[:TRAIN_CHUNKS]:
-                    rows.append(raws[i][c * CHUNK : c * CHUNK + CHUNK + WIDTH - 1])
+                for c in r.permutation(len(raws[i]))[:TRAIN_CHUNKS]:
+                    rows.append(raws[i][c])
                     owner.append(k)
             raw, owner = np.stack(rows), np.array(owner)
             size = np.minimum(CHUNK, lengths[own][owner])  # windows beyond a short document see zeros only
@@ -143,18 +153,30 @@ def is_held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> ByteConvNet:
     """Fits the network on at most ``sample`` documents of each label, those whose ids hash lowest, held-out ids never
     among them. Each label weighs as much as its share of all usable labels, so scores keep the labels' prior. Null
-    ids or labels teach nothing. Without documents of both labels the network says the share of label 1 for all."""
+    ids or labels and ids with both labels teach nothing; of rows with the same id the least text counts. Without
+    documents of both labels the network says the share of label 1 for all. The driver gets at most EPOCHS * TRAIN_CHUNKS
+    chunks of CHUNK bytes for each sampled document (25 kB), however long its text is."""
+    ship_package(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~is_held_out(F.col("id")))
     totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     chosen = None
     for label in (0, 1):  # two top-k queries: no shuffle of all labels
         part = known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(sample)
         chosen = part if chosen is None else chosen.union(part)
-    picked = {r["id"]: r["label"] for r in chosen.collect()}
+    ids = sorted({r["id"] for r in chosen.collect()})
+    agreed = known.where(F.col("id").isin(ids)).groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most")
+    picked = {r["id"]: r["label"] for r in agreed.collect()} if ids else {}
     # one text for each id, however often the id occurs
     own = docs.where(F.col(id_col).isin(list(picked))).groupBy(F.col(id_col).alias("id")).agg(F.min(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-    rows = own.collect() if picked else []
-    rows.sort(key=lambda r: (r["id"], r["text"]))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = [x.encode() for x in texts(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(list(map(len, raw)), pa.int64()), pa.array(list(map(training_chunks, raw)), pa.list_(pa.binary()))], ["id", "size", "chunks"])
+
+    kind = own.schema["id"].dataType.simpleString()
+    rows = own.mapInArrow(draw, f"id {kind}, size bigint, chunks array<binary>").collect() if picked else []
+    rows.sort(key=lambda r: r["id"])
     net = ByteConvNet.fresh()
     y = np.array([picked[r["id"]] for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
@@ -164,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         return net
     share = {k: totals[k] / sum(totals.values()) for k in (0, 1)}
     weight = np.where(y == 1, share[1] / (y == 1).mean(), share[0] / (y == 0).mean()).astype(np.float32)
-    return fit([r["text"].encode() for r in rows], y, weight)
+    return fit([[bytes(x) for x in r["chunks"]] for r in rows], np.array([r["size"] for r in rows]), y, weight)
 
 
 def score(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -182,7 +204,11 @@ def score(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id", text_col: s
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, score, predicted) for each row of docs, by a network that is trained on labels first."""
+    """(id, held_out, score, predicted) for each row of docs, by a network that is trained on labels first.
+
+    Null and empty texts are scored as one zero byte; null ids stay and aren't held out; equal texts have equal scores but for rounding
+    and repeated rows stay; columns of other names are not read, whatever they are called; empty documents give an
+    empty table, and with empty labels every score is 0.5."""
     scored = score(docs, train(docs, labels, id_col=id_col, text_col=text_col), id_col, text_col)
     return scored.select(id_col, is_held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= KEEP_FROM).cast("int").alias("predicted"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from ..session import scratch_path, ship_package
+from ..session import scratch_path, ship_package, stored
 from .batches import pieces, texts
 from .bpe import encoder
 
@@ -93,9 +93,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     rows = rows.withColumn("digest", F.unhex(F.sha2(F.col("normal"), 256)))
 
     misses = rows.select("digest", F.col("normal").alias("text"))
-    stored = _stored(spark, cache)
-    if stored is not None:
-        known = stored.where(F.col("tokenizer") == version).select("digest").distinct()
+    before = _stored(spark, cache)
+    if before is not None:
+        known = before.where(F.col("tokenizer") == version).select("digest").distinct()
         misses = misses.join(known, "digest", "left_anti")
     misses = misses.mapInArrow(_first_of_each, "digest binary, text string").repartition("digest")
 
@@ -107,6 +107,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     misses.mapInArrow(run, CACHE).write.mode("append").parquet(cache)
     # two runs at once may both append a digest: one count stays
     counts = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # a table of its own: both sides of the join are exchanges then, so adaptive execution can split a text of very many rows
+    counts = stored(counts, "counts")
     keyed = rows.select("id", F.octet_length("text").cast("bigint").alias("n_bytes"), "digest")
     return keyed.join(counts, "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
