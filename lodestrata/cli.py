@@ -35,12 +35,12 @@ def parse_filters(items: list[str] | None) -> dict:
 
 def show(result: engine.SearchResult) -> None:
     if result.answer:
-        print(f"\nAnswer: {result.answer}")
+        print(f"\n>> {result.answer}")
     if not result.hits:
-        print("\nNo records matched.\n")
+        print("\n(nothing found)\n")
     for h in result.hits:
         about = " · ".join(str(x) for x in (h["category"], h["source_type"], h["language"], h["date"], h["department"]) if x)
-        print(f"\n{h['rank']}. {h['title']}\n   {about}\n   source: {h['provenance']}\n   {h['snippet']}\n   match: {h['why']}  score={h['score']:.4f}")
+        print(f"\n{h['rank']}. {h['title']}\n   {about}\n   from {h['provenance']}\n   {h['snippet']}\n   found by {h['why']}, {h['score']:.4f}")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -95,16 +95,16 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             show(result)
     elif args.command == "demo":
         if not engine.open_index(spark, cfg.index).exists():
-            print("Index is empty; building it first ...")
+            print(f"There is no index at {cfg.index} yet: reading {cfg.data_dir}")
             build()
         for q, filters in DEMO:
             print(f"\n{'=' * 72}\nQ: {q}" + (f"   filter={filters}" if filters else ""))
             show(find(q, limit=args.limit, filters=filters, answer=args.answer or cfg.answer))
     elif args.command == "gdrive":
-        from .sources.drive import client
+        from .sources.drive import connection
 
-        service = client(args.credentials)
-        pull = lambda reset=not args.append: engine.build_index_drive(spark, cfg.index, service, args.folder_id, embedder, not args.no_recursive, reset)
+        connect = connection(args.credentials)
+        pull = lambda reset=not args.append: engine.build_index_drive(spark, cfg.index, connect, args.folder_id, embedder, not args.no_recursive, reset)
         _print_summary(pull())
         if args.watch:
             W.watch_drive(lambda: pull(True), args.interval)
@@ -116,6 +116,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
         if args.watch:
             W.start_background(build, cfg.data_dir, args.interval)
+            cfg.watching = True
         elif not engine.open_index(spark, cfg.index).exists():
             build()
         serve(spark, cfg)

@@ -14,6 +14,7 @@ class Config:
     answer: bool
     host: str
     port: int
+    watching: bool = False
 
 
 def load() -> Config:

@@ -110,6 +110,13 @@ class Index:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{self.meta()['snapshot']}/{name}")
 
+    def updated(self) -> float | None:
+        """When the current snapshot became the current one, in seconds since 1970."""
+        if not (numbers := self._pointers()):
+            return None
+        fs, p = self._fs(f"{self.root}/current-{numbers[-1]}.json")
+        return fs.getFileStatus(p).getModificationTime() / 1000
+
     def count(self) -> int:
         return self.meta()["count"]
 

@@ -43,11 +43,14 @@ def build_index(spark: SparkSession, root: str, source: str, embedder: str = "au
     return _summary(index, index.write(records, get_embedder(embedder), append=not reset))
 
 
-def build_index_drive(spark: SparkSession, root: str, service, folder: str, embedder: str = "auto", recursive: bool = True, reset: bool = False) -> dict:
+def build_index_drive(spark: SparkSession, root: str, connect: Callable[[], object], folder: str, embedder: str = "auto", recursive: bool = True, reset: bool = False) -> dict:
+    """As build_index, for a drive folder; connect makes a client, as sources.drive.connection does."""
+    from ..session import scratch_path
     from ..sources.drive import drive_files, ingest_drive
 
     index = open_index(spark, root)
-    records = tag(ingest_drive(drive_files(spark, service, folder, recursive)))
+    drive_files(spark, connect, folder, recursive).write.parquet(path := scratch_path(spark, "drive"))  # each file is downloaded once
+    records = tag(ingest_drive(spark.read.parquet(path)))
     return {**_summary(index, index.write(records, get_embedder(embedder), append=not reset)), "folder_id": folder}
 
 

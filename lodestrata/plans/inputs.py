@@ -71,6 +71,45 @@ def customer_grid(spark: SparkSession, sf_dir: str, sheets: int = 1) -> DataFram
     return one.unionByName(sheet(1, "second", again))
 
 
+def grid_files(grid: DataFrame) -> DataFrame:
+    """(path, name, content): each sheet of a grid as the CSV file it may have come from, all cells quoted."""
+    line = F.array_join(F.transform("cells", lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))), ",")
+    lines = grid.groupBy("source_file").agg(F.array_sort(F.collect_list(F.struct("row_idx", line.alias("line")))).alias("x"))
+    content = F.encode(F.array_join(F.transform("x", lambda r: r["line"]), "\r\n"), "UTF-8")
+    return lines.select(F.col("source_file").alias("path"), F.col("source_file").alias("name"), content.alias("content"))
+
+
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, name, content): documents as Markdown with a heading, as scans' texts, as files of an unknown kind, and as
+    minutes without a heading, by their number."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    k, kind = F.col("doc_id").cast("string"), F.col("doc_id") % 4
+    name = F.when(kind == 0, F.concat(F.lit("plan_"), k, F.lit(".md"))).when(kind == 1, F.concat(F.lit("scan_"), k, F.lit(".txt")))
+    name = name.when(kind == 2, F.concat(F.lit("log_"), k, F.lit(".bin"))).otherwise(F.concat(F.lit("meeting_"), k, F.lit(".txt")))
+    plain = F.replace("text", F.lit("#"), F.lit("+"))
+    text = F.when(kind == 0, F.concat(F.lit("# T"), k, F.lit("\n"), plain)).when(kind == 3, plain).otherwise(F.col("text"))
+    return d.select(name.alias("path"), name.alias("name"), F.encode(text, "UTF-8").alias("content"))
+
+
+#: Phrases that tag_texts picks from, by the customer's number; plans/oracle.py reads them from here too.
+TAG_PHRASES = (
+    ("the cabinet met", "war room review of data centre", "Conference on water supply", "nothing else", "a district dataset"),
+    ("in Pune and Mumbai", "at New Delhi", "", "मुंबई बैठक"),
+    ("on 2025-03-09", "dated 5 March 2024", "13-14-2025", "", "Apr 7, 2023", "1999/12/31 then 2024-01-01"),
+    ("for the Home department", "by GAD", "", "Chief Minister's Office and Finance", "cmo", "", "Rural Development"),
+)
+
+
+def tag_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for each customer: phrases with a topic, places, a date and a department in all combinations, a person."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    parts = [F.element_at(F.array(*map(F.lit, x)), (k % len(x) + 1).cast("int")) for x in TAG_PHRASES]
+    text = F.concat_ws(" ", *parts, F.concat(F.lit("with Shri Ab"), k.cast("string")))
+    kind = F.when(k % 3 == 0, "letter").otherwise("report")
+    return as_records(c.select(F.concat(F.lit("note "), k.cast("string")).alias("title"), text.alias("raw_text"), F.lit("notes.csv").alias("source_file"), k.cast("string").alias("row_or_page"), kind.alias("source_type"), F.element_at(F.array(*map(F.lit, TAG_PHRASES[0])), (k % 5 + 1).cast("int")).alias("recipient")))
+
+
 def manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two manifests of pages: by the page's number some files are new, some gone, some changed."""
     p = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("path"), F.octet_length("html").cast("bigint").alias("size")).withColumn("path", F.concat("path", F.lit("#"), F.col("page_id").cast("string")))

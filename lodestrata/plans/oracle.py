@@ -65,10 +65,10 @@ SELECT conv_id, turn, CAST(len(x) AS BIGINT) AS n_terms, md5(array_to_string(x,
 _GROUPS = (("the", "la", "der"), ("and", "et", "und", "y"), ("of the", "de la", "von der"), ("in", "dans", "en la"))
 
 
-def _aliases(text: str, tokens: str) -> str:
+def _aliases(text: str, tokens: str, groups: tuple[tuple[str, ...], ...] = _GROUPS) -> str:
     """A list of all synonyms that a text calls for, those that are its own tokens left out, in code point order."""
     parts = []
-    for group in _GROUPS:
+    for group in groups:
         members = "[" + ", ".join(f"'{m}'" for m in group) + "]"
         called = " OR ".join(f"contains(lower({text}), '{m}')" if " " in m else f"list_contains({tokens}, '{m}')" for m in group)
         parts.append(f"CASE WHEN {called} THEN {members} ELSE [] END")
@@ -272,6 +272,84 @@ f AS (SELECT qid, phrase, id, CAST(len(list_filter(range(1, len(toks)), lambda i
 SELECT qid, rank, id, round(score, 6) AS score FROM kw WHERE rank <= 30"""
 
 
+def bm25_filtered(queries: str, where: str) -> str:
+    """Figures are those of all documents; the filter comes before the ranks."""
+    return f"""WITH {_keyword(queries, False)}, kept AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sc WHERE id IN (SELECT doc_id FROM documents WHERE {where}))
+SELECT qid, rank, id, round(score, 6) AS score FROM kept WHERE rank <= 30"""
+
+
+# ---- files and tags ----
+
+INGEST_CSV = SHAPE_ROWS.replace("SELECT source_file, row_or_page, coalesce(", "SELECT source_file, regexp_replace(source_file, '\\.csv$', '') AS sheet, row_or_page, coalesce(", 1)
+
+_BLANK = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
+
+
+def _strip(text: str) -> str:
+    return f"regexp_replace({text}, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
+
+
+_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
+INGEST_TEXTS = f"""
+WITH d AS (SELECT doc_id, doc_id % 4 AS kind, CASE WHEN doc_id % 4 IN (0, 3) THEN replace(coalesce(text, ''), '#', '+') ELSE coalesce(text, '') END AS t FROM documents),
+b AS (SELECT *, {_strip(f"regexp_replace(t, '{_BREAK}', chr(10), 'g')")} AS body, list_filter(list_transform(regexp_split_to_array(t, '{_BREAK}'), lambda x: {_strip('x')}), lambda x: x <> '')[1] AS line FROM d)
+SELECT CASE kind WHEN 0 THEN concat('plan_', doc_id, '.md') WHEN 1 THEN concat('scan_', doc_id, '.txt') WHEN 2 THEN concat('log_', doc_id, '.bin') ELSE concat('meeting_', doc_id, '.txt') END AS source_file,
+  CASE WHEN kind = 2 THEN NULL WHEN kind = 1 OR body = '' THEN 'page 1' WHEN kind = 0 THEN 'section 1' ELSE 'section 0' END AS row_or_page,
+  CASE WHEN kind = 0 AND body = '' THEN concat('plan_', doc_id) WHEN kind = 0 THEN concat('T', doc_id) WHEN kind = 1 THEN substr(line, 1, 120) WHEN kind = 2 THEN concat('log_', doc_id, '.bin') ELSE concat('meeting_', doc_id) END AS title,
+  md5(CASE WHEN kind = 0 AND body = '' THEN concat('# T', doc_id, chr(10), t) WHEN kind = 0 THEN concat('T', doc_id, chr(10), body) WHEN kind = 3 AND body <> '' THEN concat('meeting_', doc_id, chr(10), body) ELSE t END) AS text_md5,
+  CASE kind WHEN 0 THEN 'deck' WHEN 1 THEN 'scan' WHEN 2 THEN 'unknown' ELSE 'minutes' END AS source_type
+FROM b WHERE kind <> 1 OR body <> ''"""
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _notes() -> str:
+    """The records of inputs.tag_texts: title, text, and both as the tags see them."""
+    from .inputs import TAG_PHRASES
+
+    picked = ", ".join(f"[{', '.join(map(_sql, x))}][c_custkey % {len(x)} + 1]" for x in TAG_PHRASES)
+    return f"""
+n AS (SELECT c_custkey, concat('note ', c_custkey, chr(10), concat_ws(' ', {picked}, 'with Shri Ab' || c_custkey)) AS t, [{', '.join(map(_sql, TAG_PHRASES[0]))}][c_custkey % 5 + 1] AS topic, c_custkey % 3 = 0 AS letter FROM customer),
+w AS (SELECT *, lower(t) AS low, list_distinct({_TOK.format('t')}) AS own, lower(topic) AS topic_low, list_distinct({_TOK.format('topic')}) AS topic_own FROM n)"""
+
+
+def _first_held(low: str, choices: list[tuple[str, str]]) -> str:
+    return "CASE " + " ".join(f"WHEN contains({low}, {_sql(a)}) THEN {_sql(b)}" for a, b in choices) + " END"
+
+
+def tags() -> str:
+    from ..functions import vocab as V
+
+    triggers = [(t.lower(), c) for c, ts in V.CATEGORY_HINTS.items() for t in ts]
+    departments = [*((d.lower(), d) for d in V.DEPARTMENTS), *V.DEPARTMENT_SHORTHANDS]
+    months = "['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec']"
+    marked = lambda words: f"len(list_filter([{', '.join(map(_sql, words))}], lambda x: list_contains(words, x)))"
+    return rf"""
+WITH {_notes()},
+x AS (SELECT *, regexp_extract(t, '\b(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}})\b', ['y', 'm', 'd']) AS a, regexp_extract(t, '\b(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}})\b', ['d', 'm', 'y']) AS b,
+  regexp_extract(t, '\b(\d{{1,2}})\s+([A-Za-z]{{3,9}})\.?\s+(\d{{4}})\b', ['d', 'm', 'y']) AS c, regexp_extract(t, '\b([A-Za-z]{{3,9}})\.?\s+(\d{{1,2}}),?\s+(\d{{4}})\b', ['m', 'd', 'y']) AS e,
+  len(regexp_extract_all(t, '[\x{{0900}}-\x{{097F}}]')) AS dn, len(regexp_extract_all(t, '[A-Za-z]')) AS ln, list_distinct(regexp_extract_all(t, '[\p{{L}}\p{{N}}_\x{{0900}}-\x{{097F}}]+')) AS words FROM w),
+y AS (SELECT *, CASE WHEN a.y <> '' THEN a.y WHEN b.y <> '' THEN b.y WHEN c.y <> '' THEN c.y ELSE e.y END AS yy,
+  CASE WHEN a.y <> '' THEN a.m WHEN b.y <> '' THEN b.m WHEN c.y <> '' THEN CAST(list_position({months}, lower(substr(c.m, 1, 3))) AS VARCHAR) ELSE CAST(list_position({months}, lower(substr(e.m, 1, 3))) AS VARCHAR) END AS mm,
+  CASE WHEN a.y <> '' THEN a.d WHEN b.y <> '' THEN b.d WHEN c.y <> '' THEN c.d ELSE e.d END AS dd FROM x)
+SELECT c_custkey, CASE WHEN TRY_CAST(yy AS INT) BETWEEN 1900 AND 2100 AND TRY_CAST(mm AS INT) BETWEEN 1 AND 12 AND TRY_CAST(dd AS INT) BETWEEN 1 AND 31 THEN printf('%04d-%02d-%02d', CAST(yy AS INT), CAST(mm AS INT), CAST(dd AS INT)) END AS date,
+  CASE WHEN dn > 0.15 * (dn + ln) AND ln > 0.15 * (dn + ln) THEN 'mixed' WHEN dn > 0.15 * (dn + ln) THEN CASE WHEN {marked(V.HINDI_MARKERS)} > {marked(V.MARATHI_MARKERS)} THEN 'hin' ELSE 'mar' END ELSE 'eng' END AS language,
+  {_first_held('low', departments)} AS department, CASE WHEN letter THEN '{V.UNCATEGORISED}' ELSE coalesce({_first_held('low', triggers)}, '{V.UNCATEGORISED}') END AS category,
+  array_to_string(list_filter([{', '.join(map(_sql, V.PLACES))}], lambda p: contains(t, p)), '|') AS places,
+  array_to_string(regexp_extract_all(t, '(?:^|[^\p{{L}}\p{{N}}_])((?:{_TITLES})\s+[A-Z][\p{{L}}\p{{N}}_.''-]+(?:\s+[A-Z][\p{{L}}\p{{N}}_.''-]+)*)', 1), '|') AS entities,
+  array_to_string({_aliases('low', 'own', V.LEXICON)}, ' ') AS alias_text FROM y"""
+
+
+def field_aliases() -> str:
+    """Aliases of a field after two spaces, of a query after one."""
+    from ..functions import vocab as V
+
+    listed = f"array_to_string({_aliases('topic_low', 'topic_own', V.LEXICON)}, ' ')"
+    return f"WITH {_notes()}, z AS (SELECT c_custkey, topic, {listed} AS al FROM w) SELECT c_custkey, CASE WHEN al = '' THEN topic ELSE concat(topic, '  ', al) END AS recipient, CASE WHEN al = '' THEN topic ELSE concat(topic, ' ', al) END AS query FROM z"
+
+
 STATS = """
 WITH d AS (SELECT lang, source, 'report' AS st, CASE WHEN n_chars >= 2000 THEN 'long' WHEN n_chars >= 500 THEN 'middle' END AS dep FROM documents)
 SELECT CASE WHEN grouping(lang) = 0 THEN 'language' WHEN grouping(source) = 0 THEN 'category' WHEN grouping(st) = 0 THEN 'source_type' ELSE 'department' END AS kind,

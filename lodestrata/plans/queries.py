@@ -15,6 +15,7 @@ from ..operators import index as I
 from ..operators import search as S
 from ..operators import sections, tabular
 from ..session import stored
+from ..sources.files import ingest
 from ..streaming.watch import manifest_diff, stream_table
 from . import inputs as N
 from . import oracle as O
@@ -308,6 +309,42 @@ def phrase_match(spark, sf_dir):
     return _ranked(_keyword(spark, sf_dir, None, {"body": 1.0}, S.query_fragments(terms)), POOL)
 
 
+@query(O.bm25_filtered("SELECT item_id AS qid, text AS query FROM benchmark", "lang = 'de'"))
+def bm25_filtered(spark, sf_dir):
+    """Filtered before the top-k; document frequencies, counts and lengths are those of all documents."""
+    d = N.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("language"))
+    q = N.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return _ranked(S.allowed(_keyword(spark, sf_dir, q, {"body": 1.0}), d, {"language": "de"}), POOL)
+
+
+# ---- files and tags ----
+
+
+@query(O.INGEST_CSV)
+def ingest_csv(spark, sf_dir):
+    """CSV files through dispatch, reader, header detection and row shaping to records."""
+    return ingest(N.grid_files(N.customer_grid(spark, sf_dir))).select("source_file", "sheet", "row_or_page", "title", "raw_text", "category", "recipient", "source_type")
+
+
+@query(O.INGEST_TEXTS)
+def ingest_texts(spark, sf_dir):
+    """Markdown, scans' texts, unknown kinds and minutes through dispatch and readers to records."""
+    return ingest(N.text_files(spark, sf_dir)).select("source_file", "row_or_page", "title", F.md5("raw_text").alias("text_md5"), "source_type")
+
+
+@query(O.tags())
+def tag_records(spark, sf_dir):
+    t = G.tag(N.tag_texts(spark, sf_dir))
+    return t.select(F.col("row_or_page").cast("bigint").alias("c_custkey"), "date", "language", "department", "category", F.array_join("location", "|").alias("places"), F.array_join("entities", "|").alias("entities"), "alias_text")
+
+
+@query(O.field_aliases())
+def field_and_query_aliases(spark, sf_dir):
+    t = N.tag_texts(spark, sf_dir).withColumn("id", F.col("row_or_page"))
+    fields = I.index_fields(t).join(t.select("id", F.col("recipient").alias("topic")), "id")
+    return fields.select(F.col("id").cast("bigint").alias("c_custkey"), "recipient", T.with_aliases(F.col("topic"), " ").alias("query"))
+
+
 # ---- filters and figures ----
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -41,17 +40,34 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets one of
+    its own; a cluster's machines share no such folder, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lodestrata-scratch-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Driver and tasks are one process."""
+    return spark.sparkContext.master.partition("[")[0] == "local"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{scratch_dir(spark)}/lodestrata-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in the shared folder. The application's part of that folder goes when the application ends; results
+    are lazy and may read it until then. What no result reads any more goes before, by drop_stored."""
+    sc = spark.sparkContext
+    own = f"{scratch_dir(spark)}/lodestrata-{sc.applicationId}"
+    if getattr(sc, "_lodestrata_scratch", None) != own:
+        path = sc._jvm.org.apache.hadoop.fs.Path(own)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        sc._lodestrata_scratch = own
+    return f"{own}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -65,12 +81,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more, instead of when memory runs short."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def drop_stored(df: DataFrame) -> None:
     """Deletes a table that stored() has written and that nothing reads any more."""
     sc = df.sparkSession.sparkContext

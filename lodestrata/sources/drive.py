@@ -1,18 +1,23 @@
-"""A cloud drive folder as a source: list, download or export, then the file readers.
+"""A cloud drive folder as a Spark data source: list, download or export in the tasks, then the file readers.
 
-The client is anything with the drive API's ``files().list / get_media / export_media``; tests pass a fake one.
+A client is anything with the drive API's ``files().list / get_media / export_media``; tests pass one of their own.
 """
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from importlib import import_module
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.records import TYPES, record_id
+from ..session import ship_package
 from .files import connector, ingest
 
 SCOPES = ("https://www.googleapis.com/auth/drive.readonly",)
@@ -28,6 +33,8 @@ EXPORTS = {
 CREDENTIALS = ("LODESTRATA_GDRIVE_CREDENTIALS", "GOOGLE_APPLICATION_CREDENTIALS")
 FILE_FIELDS = "nextPageToken, files(id, name, mimeType, modifiedTime)"
 PAGE = 100
+#: Files that one task downloads.
+SHARE = 16
 #: Stands between an id and a name.
 MARK = "\u241f"
 
@@ -40,68 +47,111 @@ def credentials(path: str | None = None) -> str:
     return found
 
 
-def client(path: str | None = None):
-    """A read-only drive client. Missing libraries raise: a pull that was asked for must not be skipped silently."""
-    key = credentials(path)
-    try:
+def connection(path: str | None = None) -> Callable[[], object]:
+    """A function that makes a read-only drive client, wherever it is called: the key goes with it, not the key's path.
+    Missing libraries raise here already: a pull that was asked for must not be skipped silently."""
+    key = json.loads(Path(credentials(path)).read_text())
+    for module in ("google.oauth2.service_account", "googleapiclient.discovery"):
+        try:
+            import_module(module)
+        except ImportError as e:
+            raise ImportError("drive folders need google-api-python-client and google-auth") from e
+
+    def connect():
         from google.oauth2.service_account import Credentials
         from googleapiclient.discovery import build
-    except ImportError as e:
-        raise ImportError("drive folders need google-api-python-client and google-auth") from e
-    return build("drive", "v3", credentials=Credentials.from_service_account_file(key, scopes=list(SCOPES)), cache_discovery=False)
-
-
-def list_folder(service, folder: str, recursive: bool = True) -> Iterator[dict]:
-    """Files below a folder, trashed ones left out, page by page; folders only where recursive."""
-    token = None
-    while True:
-        page = service.files().list(q=f"'{folder}' in parents and trashed=false", fields=FILE_FIELDS, pageSize=PAGE, pageToken=token, supportsAllDrives=True, includeItemsFromAllDrives=True).execute()
-        for item in page.get("files", ()):
-            if item["mimeType"] != FOLDER:
+
+        return build("drive", "v3", credentials=Credentials.from_service_account_info(key, scopes=list(SCOPES)), cache_discovery=False)
+
+    return connect
+
+
+def children(service, folder: str) -> Iterator[dict]:
+    """What a folder holds itself, trashed items left out, page by page."""
+    ask = {"q": f"'{folder}' in parents and trashed=false", "fields": FILE_FIELDS, "pageSize": PAGE, "supportsAllDrives": True, "includeItemsFromAllDrives": True}
+    following: str | None = ""
+    while following is not None:
+        answer = service.files().list(**ask, pageToken=following or None).execute()
+        yield from answer.get("files", ())
+        following = answer.get("nextPageToken") or None
+
+
+def below(service, folder: str, recursive: bool = True) -> Iterator[dict]:
+    """Files in a folder and, where recursive, in the folders below it, each folder once. Native kinds that have no
+    export are left out."""
+    waiting, known = [folder], {folder}
+    while waiting:
+        for item in children(service, waiting.pop()):
+            kind = item["mimeType"]
+            if kind == FOLDER:
+                if recursive and item["id"] not in known:
+                    known.add(item["id"])
+                    waiting.append(item["id"])
+            elif kind in EXPORTS or not kind.startswith(NATIVE):
                 yield item
-            elif recursive:
-                yield from list_folder(service, item["id"], recursive)
-        token = page.get("nextPageToken")
-        if not token:
-            return
-
-
-def fetch(service, item: dict) -> tuple[str, bytes] | None:
-    """(name, content) of one file; native documents as office files; None for native kinds without an export."""
-    kind, name = item["mimeType"], item["name"]
-    if kind in EXPORTS:
-        mime, ext = EXPORTS[kind]
-        content = service.files().export_media(fileId=item["id"], mimeType=mime).execute()
-        return name if name.lower().endswith(ext) else name + ext, content
-    if kind.startswith(NATIVE):
-        return None
-    return name, service.files().get_media(fileId=item["id"], supportsAllDrives=True).execute()
-
-
-def drive_files(spark: SparkSession, service, folder: str, recursive: bool = True, dest: str | None = None) -> DataFrame:
-    """(path, name, content, origin_id, origin_name, origin_modified). Files are stored under dest, by id, and read
-    from there by the workers; their own names decide the reader."""
-    import tempfile
-
-    dest = dest or tempfile.mkdtemp(prefix="lodestrata-drive-")
-    os.makedirs(dest, exist_ok=True)
-    rows = []
-    for item in list_folder(service, folder, recursive):
-        got = fetch(service, item)
-        if got is None:
-            continue
-        name, content = got
-        path = os.path.join(dest, f"{item['id']}__{name.replace('/', '_')}")
-        Path(path).write_bytes(content)
-        rows.append((path, name, item["id"], item["name"], item.get("modifiedTime")))
-    listed = spark.createDataFrame(rows, "path string, name string, origin_id string, origin_name string, origin_modified string")
-
-    def load(batches):
-        for b in batches:
-            b["content"] = [Path(p).read_bytes() for p in b["path"]]
-            yield b[["path", "name", "content", "origin_id", "origin_name", "origin_modified"]]
-
-    return listed.mapInPandas(load, "path string, name string, content binary, origin_id string, origin_name string, origin_modified string")
+
+
+def named(item: dict) -> str:
+    """The name that decides the reader: a native document's with its export's extension."""
+    ending = EXPORTS.get(item["mimeType"], ("", ""))[1]
+    return item["name"] if item["name"].lower().endswith(ending) else item["name"] + ending
+
+
+def content_of(service, item: dict) -> bytes:
+    """A file's bytes; of a native document those of its export."""
+    export = EXPORTS.get(item["mimeType"])
+    request = service.files().export_media(fileId=item["id"], mimeType=export[0]) if export else service.files().get_media(fileId=item["id"], supportsAllDrives=True)
+    return request.execute()
+
+
+@dataclass
+class Share(InputPartition):
+    """The files that one task downloads."""
+
+    items: list[dict]
+
+
+class FolderReader(DataSourceReader):
+    """Lists a folder once, when the scan is planned; each task then makes its own client and downloads its files."""
+
+    def __init__(self, connect: Callable[[], object], folder: str, recursive: bool, share: int):
+        self.connect, self.folder, self.recursive, self.share = connect, folder, recursive, share
+
+    def partitions(self) -> list[Share]:
+        items = list(below(self.connect(), self.folder, self.recursive))
+        return [Share(items[k : k + self.share]) for k in range(0, len(items), self.share)] or [Share([])]
+
+    def read(self, partition: Share) -> Iterator[tuple]:
+        if partition.items:
+            service = self.connect()
+            for item in partition.items:
+                yield f"drive:{item['id']}/{named(item)}", named(item), content_of(service, item), item["id"], item["name"], item.get("modifiedTime")
+
+
+def folder_source(connect: Callable[[], object], folder: str, recursive: bool = True, share: int = SHARE) -> type[DataSource]:
+    """A data source over one drive folder: register it, then read its format ``drive_folder``."""
+
+    class DriveFolder(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "drive_folder"
+
+        def schema(self) -> str:
+            return "path string, name string, content binary, origin_id string, origin_name string, origin_modified string"
+
+        def reader(self, schema) -> FolderReader:
+            return FolderReader(connect, folder, recursive, share)
+
+    return DriveFolder
+
+
+def drive_files(spark: SparkSession, connect: Callable[[], object], folder: str, recursive: bool = True, share: int = SHARE) -> DataFrame:
+    """(path, name, content, origin_id, origin_name, origin_modified) of a drive folder's files. connect makes a client;
+    only the listing is made in one place, contents go from the drive to the task that reads them. A lost task downloads
+    its files again."""
+    ship_package(spark)
+    spark.dataSource.register(folder_source(connect, folder, recursive, share))
+    return spark.read.format("drive_folder").load()
 
 
 def ingest_drive(files: DataFrame, strict_compat: bool = False) -> DataFrame:

@@ -22,7 +22,7 @@ from ..functions import text as T
 from ..functions.records import TYPES, as_records
 from ..operators.sections import block_sections, markdown_sections, stem
 from ..operators.tabular import sheet_records, sheet_type
-from ..session import ship_package
+from ..session import is_local, ship_package
 from . import ooxml
 
 CONNECTORS = {"csv": "csv", "tsv": "csv", "xlsx": "xlsx", "xlsm": "xlsx", "pdf": "pdf", "pptx": "pptx", "docx": "docx", "png": "scan", "jpg": "scan", "jpeg": "scan", "tif": "scan", "tiff": "scan"}
@@ -83,6 +83,8 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     an underscore and those below dot folders; only the paths are made here, workers read the bytes. Other file
     systems are Spark's to list."""
     if "://" not in root:
+        if not is_local(spark):
+            raise ValueError(f"{root} is a path of the driver's machine; name a file system that all machines reach, such as hdfs://... or file:///... on a shared mount")
         paths = local_paths(root)
 
         def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
@@ -22,7 +23,7 @@ el("f").onsubmit = async e => {
   el("r").replaceChildren();
   for (const h of got.hits) { const li = add(el("r"), "li", ""); add(li, "b", h.title); add(li, "div", h.provenance); add(li, "div", h.snippet); add(li, "small", h.why); }
 };
-const tick = async () => { const s = await (await fetch("/api/stats")).json(); el("s").textContent = `${s.count} records`; };
+const tick = async () => { const s = await (await fetch("/api/stats")).json(); el("s").textContent = `${s.records} records, ${s.updated}${s.watching ? ", watching" : ""}`; };
 tick(); setInterval(tick, 3000);
 </script>"""
 
@@ -50,7 +51,9 @@ def handler(spark, cfg: Config) -> type[BaseHTTPRequestHandler]:
                 self._json({"query": found.query, "answer": found.answer, "hits": [h.asDict() for h in found.hits]})
             elif url.path == "/api/stats":
                 index = engine.open_index(spark, cfg.index)
-                self._json(engine._summary(index, index.meta()) if index.exists() else {"count": 0})
+                figures = engine._summary(index, index.meta()) if index.exists() else {"count": 0, "embedder": None}
+                at = index.updated()
+                self._json({**figures, "records": figures["count"], "updated": time.strftime("%H:%M:%S", time.localtime(at)) if at else "—", "watching": cfg.watching})
             else:
                 self._json({"error": "not found"}, 404)
 

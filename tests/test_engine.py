@@ -1,8 +1,10 @@
 import io
 import os
+import sys
 import zipfile
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from lodestrata import cli, web
@@ -175,7 +177,7 @@ class FakeDrive:
         return self
 
     def list(self, q, **_):
-        return Answer({"files": self.items[q.split("'")[1]]})
+        return Answer({"files": self.items.get(q.split("'")[1], [])})
 
     def get_media(self, fileId, **_):
         return Answer(self.content[fileId])
@@ -192,9 +194,13 @@ class Answer:
 
 
 def test_drive(spark, tmp_path, monkeypatch):
-    got = {r["source_file"]: r for r in drive.ingest_drive(drive.drive_files(spark, FakeDrive(), "root", dest=str(tmp_path))).collect()}
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import the tests
+    got = {r["source_file"]: r for r in drive.ingest_drive(drive.drive_files(spark, FakeDrive, "root", share=2)).collect()}
     assert set(got) == {"deck.md", "Tracker", "scan_a.txt"}
     assert got["deck.md"]["title"] == "A" and got["deck.md"]["extra"]["origin_id"] == "1" and got["Tracker"]["sheet"] == "S1"
+    assert {r["name"] for r in drive.drive_files(spark, FakeDrive, "root", recursive=False).collect()} == {"deck.md"}
+    assert drive.drive_files(spark, FakeDrive, "empty").count() == 0
+    assert engine.build_index_drive(spark, str(tmp_path / "i"), FakeDrive, "root")["count"] == len(got)
     assert got["scan_a.txt"]["source_type"] == "scan" and got["Tracker"]["extra"]["origin_modified"] == "t2"
     for k in drive.CREDENTIALS:
         monkeypatch.delenv(k, raising=False)
@@ -216,7 +222,8 @@ def test_cli_and_web(spark, index, monkeypatch, capsys):
     server = web.server(spark, load())
     threading.Thread(target=server.serve_forever, daemon=True).start()
     base = f"http://127.0.0.1:{server.server_address[1]}"
-    assert json.load(urllib.request.urlopen(f"{base}/api/stats"))["count"] == index[1]["count"]
+    said = json.load(urllib.request.urlopen(f"{base}/api/stats"))
+    assert said["count"] == said["records"] == index[1]["count"] and said["watching"] is False and ":" in said["updated"] and said["embedder"]
     assert b"<form" in urllib.request.urlopen(base).read()
     server.shutdown()
 
