@@ -262,6 +262,8 @@ class Encoder:
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Slots of the words of Latin-1 texts without special strings, and the number of words of each text."""
+        if not texts:
+            return np.empty(0, np.int64), np.zeros(0, np.int64)
         raw = "\0".join([*texts, ""]).encode("latin-1")
         codes = np.frombuffer(raw, np.uint8)
         seps = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
@@ -314,15 +316,23 @@ class Encoder:
         return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
     def _odd(self, text: str) -> np.ndarray:
-        out, at = [], 0
-        for m in [*(self.special_in.finditer(text) if self.special_in else ()), None]:
-            head = text[at : m.start() if m else len(text)]
-            if head:
-                out.append(self._gather(self._plain([head])[0] if head.isascii() or _latin(head) else self._other(head)))
-            if m:
-                out.append(np.array([self.special[m[0]]], np.uint32))
-                at = m.end()
-        return np.concatenate(out) if out else np.empty(0, np.uint32)
+        found = list(self.special_in.finditer(text)) if self.special_in else []
+        cuts = [0, *(x for m in found for x in m.span()), len(text)]
+        heads = [text[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+        plain = [head.isascii() or _latin(head) for head in heads]
+        slots, words = self._plain([head for head, own in zip(heads, plain, strict=True) if own])  # all at once, there may be very many
+        ends = np.cumsum(np.r_[0, self.count[slots]])[np.cumsum(np.r_[0, words])].tolist()
+        ids, spans = self._gather(slots), iter(zip(ends, ends[1:], strict=False))
+        out = []
+        for k, (head, own) in enumerate(zip(heads, plain, strict=True)):
+            if own:
+                a, b = next(spans)
+                out.append(ids[a:b])
+            else:
+                out.append(self._gather(self._other(head)))
+            if k < len(found):
+                out.append(np.array([self.special[found[k][0]]], np.uint32))
+        return np.concatenate(out)
 
     def count_batch(self, texts: list[str]) -> np.ndarray:
         """Number of ids of each text."""

@@ -40,9 +40,9 @@ class ByteConvNet:
         f32 = lambda x: x.astype(np.float32)
         return cls({"embed": f32(r.normal(0, 0.5, (256, EMBED))), "filters": f32(r.normal(0, (WIDTH * EMBED) ** -0.5, (WIDTH * EMBED, FILTERS))), "bias": np.zeros(FILTERS, np.float32), "mix": f32(r.normal(0, 0.3, 2 * FILTERS)), "offset": np.zeros(1, np.float32)})
 
-    def pooled(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def pooled(self, raw: np.ndarray, starts: np.ndarray, gaps: np.ndarray) -> np.ndarray:
         """Maximum of each filter over the windows of each chunk. raw: bytes, with WIDTH - 1 more at its end; a chunk
-        goes from its start to the next one's."""
+        goes from its start to the next one's. gaps: places, in order, at which no window of a document begins."""
         n = len(raw) - WIDTH + 1
         table = self.w["embed"]
         out = np.full((len(starts), FILTERS), -np.inf, np.float32)
@@ -51,6 +51,7 @@ class ByteConvNet:
             rows = table[raw[a : b + WIDTH - 1]].reshape(-1)
             windows = np.lib.stride_tricks.as_strided(rows, (b - a, WIDTH * EMBED), (EMBED * 4, 4))
             values = np.ascontiguousarray(windows) @ self.w["filters"]
+            values[gaps[slice(*np.searchsorted(gaps, (a, b)))] - a] = -np.inf
             first, last = np.searchsorted(starts, a, "right") - 1, np.searchsorted(starts, b, "left")
             cut = np.maximum(starts[first:last] - a, 0)
             np.maximum(out[first:last], np.maximum.reduceat(values, cut, axis=0), out=out[first:last])
@@ -58,8 +59,8 @@ class ByteConvNet:
 
     def scores(self, batch: list[bytes]) -> np.ndarray:
         """Probability of label 1 for each document; an empty one is a single zero byte."""
-        raw, starts, owner = joined(batch)
-        hidden = self.pooled(raw, starts)
+        raw, starts, owner, gaps = joined(batch)
+        hidden = self.pooled(raw, starts, gaps)
         first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         count = np.diff(np.r_[first, len(owner)])
         mean = np.add.reduceat(hidden.astype(np.float64), first, axis=0) / count[:, None]
@@ -68,8 +69,9 @@ class ByteConvNet:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def joined(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of all documents with WIDTH - 1 zeros after each, starts of their chunks, and each chunk's document."""
+def joined(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all documents with WIDTH - 1 zeros after each, starts of their chunks, each chunk's document, and the
+    places of the zeros: a document's score must not depend on the one behind it."""
     batch = [x or b"\0" for x in batch]
     gap = bytes(WIDTH - 1)
     raw = np.frombuffer(gap.join([*batch, b""]), np.uint8)
@@ -78,39 +80,40 @@ def joined(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     parts = -(-(sizes - WIDTH + 1) // CHUNK)
     owner = np.repeat(np.arange(len(batch)), parts)
     starts = begin[owner] + CHUNK * (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts))
-    return raw, starts, owner
+    gaps = ((begin + sizes)[:, None] - np.arange(WIDTH - 1, 0, -1)).ravel()
+    return raw, starts, owner, gaps
 
 
 def training_chunks(text: bytes, seed: int = 7) -> list[bytes]:
     """The chunks of a document that training may see: all, or as many as its passes can show, drawn over the whole
-    text. Each has WIDTH - 1 bytes of the next one, zeros at the end."""
+    text. Each has WIDTH - 1 bytes of the next one too, so far as there are any."""
     text = text or b"\0"
     chunks = np.arange(-(-len(text) // CHUNK))
     if len(chunks) > EPOCHS * TRAIN_CHUNKS:
         chunks = np.sort(np.random.default_rng([seed, zlib.crc32(text)]).permutation(chunks)[: EPOCHS * TRAIN_CHUNKS])
-    return [text[c * CHUNK : c * CHUNK + CHUNK + WIDTH - 1].ljust(CHUNK + WIDTH - 1, b"\0") for c in chunks.tolist()]
+    return [text[c * CHUNK : c * CHUNK + CHUNK + WIDTH - 1] for c in chunks.tolist()]
 
 
-def fit(documents: list[list[bytes]], sizes: np.ndarray, labels: np.ndarray, weights: np.ndarray, seed: int = 7) -> ByteConvNet:
-    """Adam on the weighted logistic loss, over the training_chunks of documents of ``sizes`` bytes. In each pass a
-    document shows at most TRAIN_CHUNKS of its chunks, other ones each time; scoring always takes them all."""
+def fit(documents: list[list[bytes]], labels: np.ndarray, weights: np.ndarray, seed: int = 7) -> ByteConvNet:
+    """Adam on the weighted logistic loss, over the training_chunks of documents. In each pass a document shows at most
+    TRAIN_CHUNKS of its chunks, other ones each time; scoring always takes them all."""
     net, r = ByteConvNet.fresh(seed), np.random.default_rng(seed)
     m, v = ({k: np.zeros_like(x) for k, x in net.w.items()} for _ in range(2))
     t = 0
-    raws = [np.frombuffer(b"".join(d), np.uint8).reshape(len(d), -1) for d in documents]
-    lengths = np.maximum(sizes, 1)
+    raws = [np.frombuffer(b"".join(x.ljust(CHUNK + WIDTH - 1, b"\0") for x in d), np.uint8).reshape(len(d), -1) for d in documents]
+    lengths = [np.array([min(CHUNK, len(x)) for x in d]) for d in documents]  # windows that begin in each chunk
     steps = EPOCHS * -(-len(documents) // BATCH)
     for _ in range(EPOCHS):
         order = r.permutation(len(documents))
         for s in range(0, len(order), BATCH):
             own = order[s : s + BATCH]
-            rows, owner = [], []
+            rows, owner, size = [], [], []
             for k, i in enumerate(own):
                 for c in r.permutation(len(raws[i]))[:TRAIN_CHUNKS]:
                     rows.append(raws[i][c])
                     owner.append(k)
-            raw, owner = np.stack(rows), np.array(owner)
-            size = np.minimum(CHUNK, lengths[own][owner])  # windows beyond a short document see zeros only
+                    size.append(lengths[i][c])
+            raw, owner, size = np.stack(rows), np.array(owner), np.array(size)
             e = net.w["embed"][raw]
             flat = np.lib.stride_tricks.as_strided(e, (len(rows), CHUNK, WIDTH * EMBED), (e.strides[0], EMBED * 4, 4))
             z = np.ascontiguousarray(flat).reshape(-1, WIDTH * EMBED) @ net.w["filters"]
@@ -172,10 +175,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = [x.encode() for x in texts(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(list(map(len, raw)), pa.int64()), pa.array(list(map(training_chunks, raw)), pa.list_(pa.binary()))], ["id", "size", "chunks"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(list(map(training_chunks, raw)), pa.list_(pa.binary()))], ["id", "chunks"])
 
     kind = own.schema["id"].dataType.simpleString()
-    rows = own.mapInArrow(draw, f"id {kind}, size bigint, chunks array<binary>").collect() if picked else []
+    rows = own.mapInArrow(draw, f"id {kind}, chunks array<binary>").collect() if picked else []
     rows.sort(key=lambda r: r["id"])
     net = ByteConvNet.fresh()
     y = np.array([picked[r["id"]] for r in rows], np.float32)
@@ -186,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         return net
     share = {k: totals[k] / sum(totals.values()) for k in (0, 1)}
     weight = np.where(y == 1, share[1] / (y == 1).mean(), share[0] / (y == 0).mean()).astype(np.float32)
-    return fit([[bytes(x) for x in r["chunks"]] for r in rows], np.array([r["size"] for r in rows]), y, weight)
+    return fit([[bytes(x) for x in r["chunks"]] for r in rows], y, weight)
 
 
 def score(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
