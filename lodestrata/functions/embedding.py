@@ -35,13 +35,14 @@ def features(text: Column, low: int = 3, high: int = 5) -> Column:
 
     def grams(token: Column) -> Column:
         padded = F.concat(F.lit("^"), token, F.lit("$"))
+        return F.concat(F.array(F.concat(F.lit("w:"), token)), T.let(padded, pieces))
 
+    def pieces(padded: Column) -> Column:
         def of_size(n: int) -> Column:
             count = F.length(padded) - n + 1
             return F.when(count >= 1, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), count)), lambda i: F.concat(F.lit("g:"), F.substring(padded, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
-        sizes = map(of_size, range(low, high + 1))
-        return F.concat(F.array(F.concat(F.lit("w:"), token)), *sizes)
+        return F.concat(*map(of_size, range(low, high + 1)))
 
     return F.flatten(F.transform(T.tokens(F.lower(F.coalesce(text, F.lit("")))), grams))
 
@@ -80,11 +81,18 @@ class NativeHashingEmbedder(Embedder):
         """As sparse(), for a whole corpus: features are hashed once for each distinct token, not for each occurrence.
         Rows without a token have no slots."""
         words = df.select(key, F.explode(T.tokens(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("t")).groupBy(key, "t").agg(F.count("*").alias("n"))
-        each = words.select("t").distinct().select("t", F.explode(features(F.col("t"))).alias("f")).groupBy("t", self.slot(F.col("f")).alias("slot")).agg(F.sum(self.sign(F.col("f"))).alias("v"))
-        # a token's features as one row, so that a frequent token is joined once for each document, not once a slot
-        # and as a table, so that both sides of the join are exchanges and a very frequent token can be split
-        packed = stored(each.where("v != 0").groupBy("t").agg(F.collect_list(F.struct("slot", "v")).alias("fs")), "token_features")
-        sums = words.join(packed, "t").select(key, "n", F.explode("fs").alias("x")).groupBy(key, "x.slot").agg(F.sum(F.col("x.v") * F.col("n")).alias("v")).where("v != 0")
+        # distinct tokens are few bytes but much work each, so they are dealt out by number, which nothing coalesces
+        tasks = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        each = words.select("t").distinct().repartition(tasks).select("t", F.explode(features(F.col("t"))).alias("f")).groupBy("t", self.slot(F.col("f")).alias("slot")).agg(F.sum(self.sign(F.col("f"))).alias("v"))
+        # a token's features as one row of numbers (net sign above, slot in the low 20 bits), so that a frequent token is
+        # joined once for each document, not once a slot; and as a table, so that both sides of the join are exchanges
+        # and a very frequent token can be split
+        code = F.shiftleft(F.col("v").cast("bigint"), 20) + F.col("slot")
+        packed = stored(each.where("v != 0").groupBy("t").agg(F.collect_list(code).alias("codes")), "token_features")
+        # dealt by document before features are unpacked: slots of a document are then summed where they are
+        own = words.join(packed, "t").select(key, "n", "codes").repartition(key).select(key, "n", F.explode("codes").alias("x"))
+        own = own.select(key, F.col("x").bitwiseAND(F.lit(2**20 - 1)).cast("int").alias("slot"), (F.shiftright("x", 20) * F.col("n")).alias("v"))
+        sums = stored(own.groupBy(key, "slot").agg(F.sum("v").alias("v")).where("v != 0"), "slots")
         norms = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
         return sums.join(norms, key).select(key, "slot", (F.col("v") / F.col("norm")).alias("weight"))
 

@@ -93,7 +93,7 @@ def date_parse_mixed(spark, sf_dir):
 
 @query(O.LANGUAGE)
 def detect_language(spark, sf_dir):
-    d = N.table(spark, sf_dir, "documents")
+    d = N.texts(spark, sf_dir, "documents")
     return d.select("doc_id", T.detect_language(F.col("text"), ("fra", FRENCH), ("deu", GERMAN), SCRIPT, "lat", 0.05).alias("language"))
 
 
@@ -104,12 +104,12 @@ def infer_category(spark, sf_dir):
 
 @query("SELECT doc_id, CASE WHEN contains(t, 'rereth') THEN 'Rereth' WHEN contains(t, 'und ver') THEN 'Und Ver' WHEN contains(t, 'ciones') THEN 'Ciones' WHEN contains(t, 'home') THEN 'Home' WHEN contains(t, 'leaux') THEN 'Leaux' WHEN contains(t, 'gad') OR contains(t, 'general administration') THEN 'General Administration' WHEN contains(t, 'cmo') THEN 'Chief Minister''s Office' END AS department FROM (SELECT doc_id, lower(text) AS t FROM documents)")
 def infer_department(spark, sf_dir):
-    return N.table(spark, sf_dir, "documents").select("doc_id", G.infer_department(F.col("text"), DEPARTMENTS).alias("department"))
+    return N.texts(spark, sf_dir, "documents").select("doc_id", G.infer_department(F.col("text"), DEPARTMENTS).alias("department"))
 
 
 @query(f"SELECT doc_id, array_to_string(list_filter([{', '.join(repr(p) for p in PLACES)}], lambda p: contains(text, p)), '|') AS places FROM documents")
 def gazetteer_locations(spark, sf_dir):
-    return N.table(spark, sf_dir, "documents").select("doc_id", F.array_join(G.extract_locations(F.col("text"), PLACES), "|").alias("places"))
+    return N.texts(spark, sf_dir, "documents").select("doc_id", F.array_join(G.extract_locations(F.col("text"), PLACES), "|").alias("places"))
 
 
 @query(O.ENTITIES)
@@ -129,23 +129,23 @@ def extract_entities(spark, sf_dir):
 @query(r"SELECT doc_id, CAST(len(x) AS BIGINT) AS n_tokens, md5(array_to_string(x, ' ')) AS tokens_md5 FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}_\x{0900}-\x{097F}]+'), lambda t: lower(t)) AS x FROM documents)")
 def tokenize(spark, sf_dir):
     x = T.tokens(F.col("text"))
-    return N.table(spark, sf_dir, "documents").select("doc_id", F.size(x).cast("bigint").alias("n_tokens"), F.md5(F.array_join(x, " ")).alias("tokens_md5"))
+    return N.texts(spark, sf_dir, "documents").select("doc_id", F.size(x).cast("bigint").alias("n_tokens"), F.md5(F.array_join(x, " ")).alias("tokens_md5"))
 
 
 @query(O.CONTENT_TERMS)
 def content_terms(spark, sf_dir):
     x = T.content_terms(F.col("text"))
-    return N.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(x).cast("bigint").alias("n_terms"), F.md5(F.array_join(x, " ")).alias("terms_md5"))
+    return N.texts(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(x).cast("bigint").alias("n_terms"), F.md5(F.array_join(x, " ")).alias("terms_md5"))
 
 
 @query(O.EXPAND)
 def expand_terms(spark, sf_dir):
-    return N.table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.expand_terms(F.col("text"), LEXICON), "|").alias("aliases"))
+    return N.texts(spark, sf_dir, "documents").select("doc_id", F.array_join(T.expand_terms(F.col("text"), LEXICON), "|").alias("aliases"))
 
 
 @query(O.SNIPPET)
 def snippet(spark, sf_dir):
-    d = N.table(spark, sf_dir, "documents")
+    d = N.texts(spark, sf_dir, "documents")
     return d.select("doc_id", T.snippet(F.col("text"), F.lit("untitled"), F.lit(SNIPPET_QUERY), 220, LEXICON).alias("snippet"))
 
 
@@ -208,7 +208,7 @@ def markdown_sections(spark, sf_dir):
 
 @query(O.CHUNKS)
 def char_budget_chunks(spark, sf_dir):
-    d = N.table(spark, sf_dir, "documents")
+    d = N.texts(spark, sf_dir, "documents")
     chunks = sections.budget_chunks(F.split("text", "\n"))
     return d.select("doc_id", F.posexplode(chunks).alias("part", "body")).select("doc_id", F.col("part").cast("bigint").alias("part"), F.length("body").cast("bigint").alias("n_chars"), F.md5("body").alias("body_md5"))
 
@@ -263,7 +263,7 @@ def cosine_topk_filtered(spark, sf_dir):
 
 
 def _keyword(spark, sf_dir, queries: DataFrame, weights: dict[str, float], fragments: DataFrame | None = None) -> DataFrame:
-    fields = N.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), N.first_line(F.col("text")).alias("title"), F.col("source").alias("recipient"), F.col("lang").alias("keys"), F.col("text").alias("body")).select("id", *weights)
+    fields = N.texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), N.first_line(F.col("text")).alias("title"), F.col("source").alias("recipient"), F.col("lang").alias("keys"), F.col("text").alias("body")).select("id", *weights)
     columns = tuple(weights)
     # each text is cut into tokens once; postings, lengths and the corpus's figures are read from that table
     cut = stored(I.tokenised(fields, columns), "tokens")
@@ -402,7 +402,7 @@ def rrf_fusion(spark, sf_dir):
 def _hybrid(spark, sf_dir) -> DataFrame:
     queries = N.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     keyword = S.top_k(_keyword(spark, sf_dir, queries, {"body": 1.0}).withColumn("score", F.round("score", 9)), POOL)
-    docs = N.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = N.texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     hashing = E.NativeHashingEmbedder(DIM)
     scores = S.sparse_scores(hashing.sparse(queries, "qid", "query"), hashing.by_token(docs, "id", "text"), queries, docs)
     vector = S.top_k(scores.withColumn("score", F.round("score", 9)), POOL)
