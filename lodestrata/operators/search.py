@@ -6,6 +6,7 @@ checked before it is broadcast; corpus tables are joined by token or id and neve
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,9 @@ from ..functions.records import provenance
 RRF_K, KEYWORD_WEIGHT, VECTOR_WEIGHT = 60, 2.0, 1.0
 POOL, LIMIT = 30, 10
 K1, B = 1.2, 0.75
+# The sentences of an answer.
+NO_ANSWER = "No records matched this query."
+ANSWER_TOP, ANSWER_MORE, ANSWER_END = "Top match: {title} [{provenance}].", " {n} further related record(s) also matched.", " Returned {n} record(s) with sources; review the citations below."
 #: Keys that records can be filtered by.
 FILTERABLE = ("date", "language", "department", "category", "source_type")
 #: Most queries whose side of a join is broadcast.
@@ -146,6 +150,11 @@ def hits(fused: DataFrame, records: DataFrame, queries: DataFrame, width: int =
 def extractive_answers(found: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, answer): the top hit with its source and how many more there are; a fixed sentence without hits."""
     top = found.groupBy("qid").agg(F.count("*").alias("n"), F.min_by(F.struct("title", "provenance"), "rank").alias("t"))
-    more = F.when(F.col("n") > 1, F.concat(F.lit(" "), (F.col("n") - 1).cast("string"), F.lit(" further related record(s) also matched."))).otherwise("")
-    text = F.concat(F.lit("Top match: "), T.strip(F.col("t.title")), F.lit(" ["), F.col("t.provenance"), F.lit("]."), more, F.lit(" Returned "), F.col("n").cast("string"), F.lit(" record(s) with sources; review the citations below."))
-    return queries.select("qid").join(top, "qid", "left").select("qid", F.when(F.col("n").isNull(), "No records matched this query.").otherwise(text).alias("answer"))
+
+    def filled(sentence: str, **values: Column) -> Column:
+        parts = re.split(r"\{(\w+)\}", sentence)
+        return F.concat(*(values[x] if i % 2 else F.lit(x) for i, x in enumerate(parts)))
+
+    more = F.when(F.col("n") > 1, filled(ANSWER_MORE, n=(F.col("n") - 1).cast("string"))).otherwise("")
+    text = F.concat(filled(ANSWER_TOP, title=T.strip(F.col("t.title")), provenance=F.col("t.provenance")), more, filled(ANSWER_END, n=F.col("n").cast("string")))
+    return queries.select("qid").join(top, "qid", "left").select("qid", F.when(F.col("n").isNull(), NO_ANSWER).otherwise(text).alias("answer"))

@@ -84,7 +84,7 @@ def summarise(query: str, found: list[Row], mode: str | None = None, llm: Callab
     """extractive (the default): top hit and counts. llm: what the callable says of the first five hits; whatever goes
     wrong there falls back to extractive."""
     if not found:
-        return "No records matched this query."
+        return S.NO_ANSWER
     if (mode or os.environ.get("LODESTRATA_ANSWER_MODE", "extractive")) == "llm":
         try:
             if text := (llm or local_llm)(query, found[:5]):
@@ -92,8 +92,8 @@ def summarise(query: str, found: list[Row], mode: str | None = None, llm: Callab
         except Exception:  # a model is never needed for an answer
             pass
     n = len(found)
-    more = f" {n - 1} further related record(s) also matched." if n > 1 else ""
-    return f"Top match: {found[0]['title'].strip()} [{found[0]['provenance']}].{more} Returned {n} record(s) with sources; review the citations below."
+    more = S.ANSWER_MORE.format(n=n - 1) if n > 1 else ""
+    return S.ANSWER_TOP.format(title=found[0]["title"].strip(), provenance=found[0]["provenance"]) + more + S.ANSWER_END.format(n=n)
 
 
 def local_llm(query: str, found: list[Row]) -> str | None:
