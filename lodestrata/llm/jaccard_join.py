@@ -349,7 +349,8 @@ def link_components(index: DataFrame, percent: int) -> DataFrame:
     lowest = _block(F.ceil(F.col("n") * percent / 100), percent)
 
     def with_leaders(rows: DataFrame, leaders: int) -> None:
-        hubs = side(rows.withColumn("rank", F.row_number().over(leading)).where(F.col("rank") <= leaders), "y", F.col("block"))
+        # a table of its own: the join's sides are exchanges then, and a long list can be split
+        hubs = kept(side(rows.withColumn("rank", F.row_number().over(leading)).where(F.col("rank") <= leaders), "y", F.col("block")), "leaders")
         settle(side(rows, "x", _visited(percent, lowest)).join(hubs, ["shingle", "block"]).where(apart).withColumn("derived", _derived(percent)))
 
     # Leaders of a list's block: the sets with the fewest shingles of their own alone, which lie in the middle of their
