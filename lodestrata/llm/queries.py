@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import ann, codec, html_text, jaccard_join, near_vectors, packing, pii, quality, token_counts, warc
+from . import ann, codec, collocations, conversations, decontaminate, html_text, jaccard_join, near_vectors, packing, pii, quality, sql, token_counts, warc
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -60,8 +60,26 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
+OPERATORS = (
+    op1_hilbert_ann, op2_best_fit_packing, op3_bpe_codec, op4_ngram_jaccard, op5_warc_archive, op6_html_main_text, op7_near_vectors,
+    op8_quality_cnn, op9_token_counts, op10_pii_spans, op11_phrase_collocations, op12_decontamination, op13_conversation_repair,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_ann, op2_best_fit_packing, op3_bpe_codec, op4_ngram_jaccard, op5_warc_archive, op6_html_main_text, op7_near_vectors, op8_quality_cnn, op9_token_counts, op10_pii_spans)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 #: Components by following links from every row.
@@ -90,5 +108,8 @@ SELECT c.id AS vec_id, (SELECT count(*) FROM p WHERE p.a = c.id) AS n_links, com
 
 
 def oracle_sql() -> dict[str, str]:
-    """For the three that SQL can say; the others are tested against brute force, the library or a round trip."""
-    return {"op4_ngram_jaccard": OP4_SQL, "op5_warc_archive": OP5_SQL, "op7_near_vectors": OP7_SQL}
+    """For those that SQL can say; the others are tested against brute force, the library or a round trip."""
+    return {
+        "op4_ngram_jaccard": OP4_SQL, "op5_warc_archive": OP5_SQL, "op7_near_vectors": OP7_SQL,
+        "op11_phrase_collocations": sql.OP11_SQL, "op12_decontamination": sql.OP12_SQL, "op13_conversation_repair": sql.OP13_SQL,
+    }

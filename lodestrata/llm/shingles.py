@@ -27,12 +27,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_numbers(documents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each word of all documents, and the number of words of each document."""
+def word_numbers(documents: list[bytes], blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word of all documents, and the number of words of each document. blank says of each byte, in
+    lower case, whether it stands between words; the space has to."""
     raw = np.frombuffer(b" ".join([b"", *documents, b""]), np.uint8)
     ends_at = np.cumsum(np.fromiter(map(len, documents), np.int64, len(documents)) + 1)
     raw = FOLD[raw]
-    blank = BLANK[raw]
+    blank = blank[raw]
     starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
     ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
     if not len(starts):
