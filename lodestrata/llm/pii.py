@@ -49,16 +49,27 @@ DIGIT_WORDS = {
 SPELLED = 3
 
 ODD = re.compile("[" + "".join(map(re.escape, [*HOMOGLYPHS, *INVISIBLE])) + "\uff01-\uff5e\U0001d400-\U0001d7ff]|(?![0-9])\\d")
-BRACKETS = re.compile(r"[\[({<]\s*(?:(at|arroba|@)|(dot|punkt|punto|point|\.))\s*[\])}>]", re.I)
+# How the four languages call the sign, and references that HTML has for the marks in identifiers.
+_AT = "(?:at|arroba|arobase|klammeraffe)"
+REFERENCES = {"commat": "@", "period": ".", "plus": "+", "hyphen": "-", "lowbar": "_"}
+REFERENCE = re.compile(rf"&(?:#(?:([0-9]{{2,3}})|x([0-9a-f]{{2}}))|({'|'.join(REFERENCES)}));", re.I)
+#: Four numerals with a spaced dot between each two.
+SPACED_DOTS = re.compile(r"(?<![\w.])[0-9]{1,3}(?:\s+\.\s+[0-9]{1,3}){3}(?!\w)")
+WHITE = re.compile(r"\s+")
+BRACKETS = re.compile(rf"[\[({{<]\s*(?:({_AT}|@)|(dot|punkt|punto|point|\.))\s*[\])}}>]", re.I)
 _DOT = "(?:dot|punkt|punto|point)"
-PLAIN_AT = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(\s+(?:at|arroba)\s+|\s*@\s*)[A-Za-z0-9-]+((?:(?:\s+{_DOT}\s+|\.)[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])", re.I)
+PLAIN_AT = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(\s+{_AT}\s+|\s*@\s*)[A-Za-z0-9-]+((?:(?:\s+(?:{_DOT}|\.)\s+|\.)[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])", re.I)
 #: An address whose "at" and dots stand between underscores or hyphens.
 JOINED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:(?![_-]at[_-])[A-Za-z0-9._%+-])*([_-]at[_-])(?:(?![_-]dot[_-])[A-Za-z0-9-])+(?:[_-]dot[_-](?:(?![_-]dot[_-])[A-Za-z0-9-])+)+", re.I)
 JOINED_DOT = re.compile(r"[_-]dot[_-]", re.I)
-PLAIN_LABEL = re.compile(rf"(\s+{_DOT}\s+|\.)([A-Za-z0-9-]+)", re.I)
+PLAIN_LABEL = re.compile(rf"(\s+(?:{_DOT}|\.)\s+|\.)([A-Za-z0-9-]+)", re.I)
 DOT_WORD = re.compile(_DOT)
-_DIGIT = "(?:" + "|".join(sorted(DIGIT_WORDS, key=lambda w: (-len(w), w))) + "|[0-9])"
-NUMBER = re.compile(rf"(?<![^\W_])(?:plus[\s,-]+|\+\s*)?{_DIGIT}(?:(?:[\s,-]+(?:dot|punkt|point|punto)[\s,-]+|[\s,.-]+){_DIGIT}){{{SPELLED - 1},}}(?![^\W_])", re.I)
+_WORDS = "|".join(sorted(DIGIT_WORDS, key=lambda w: (-len(w), w)))
+TIMES = {"double": 2, "triple": 3}
+_DIGIT = rf"(?:(?:(?:{'|'.join(TIMES)})[\s-]+)?(?:{_WORDS})|[0-9])"
+#: A spelled digit, once or several times, or a numeral.
+_PART = rf"(?:(?:(?:{'|'.join(TIMES)})[\s-]+)?(?:{_WORDS})|[0-9]{{1,16}})"
+NUMBER = re.compile(rf"(?<![^\W_])(?:plus[\s,-]+|\+\s*)?{_PART}(?:(?:[\s,-]+(?:dot|punkt|point|punto)[\s,-]+|[\s,.-]+){_PART}){{{SPELLED - 1},}}(?![^\W_])", re.I)
 _GROUP = rf"(?:[0-9]{{2,}}|{_DIGIT}(?:[\s,-]+{_DIGIT}){{0,7}})"
 #: Four numerals or spelled ones with dots between them, some of them in words.
 DOTTED = re.compile(rf"(?<![^\W_])(?<!\.){_GROUP}(?:(?:[\s,-]+{_DOT}[\s,-]+|\.){_GROUP}){{3}}(?![^\W_])", re.I)
@@ -66,7 +77,7 @@ DOTTED_PART = re.compile(rf"({_DOT}|\.)|([0-9]+)|({_DIGIT})", re.I)
 PLUS = re.compile(r"(?:plus[\s,-]+|\+\s*)\Z", re.I)
 #: A quick look for a dot in words before a numeral.
 DOT_DIGIT = re.compile(rf"{_DOT}[\s,-]+{_DIGIT}")
-NUMBER_PART = re.compile(rf"(plus|\+)|(dot|punkt|point|punto|\.)|({_DIGIT})", re.I)
+NUMBER_PART = re.compile(rf"(plus|\+)|(dot|punkt|point|punto|\.)|({_PART})", re.I)
 SPELLED_WORD = re.compile(rf"(?<![^\W_])(?:{'|'.join(w for w in DIGIT_WORDS)})(?:[\s,.-]+(?:dot[\s,-]+)?(?:{'|'.join(w for w in DIGIT_WORDS)})(?![^\W_])){{{SPELLED - 1}}}", re.I)
 #: A quick look for a spelled digit before another digit, before the exact patterns.
 TWO_DIGITS = re.compile(rf"[\W_](?:{'|'.join(DIGIT_WORDS)})[\s,.-]+(?:{_DOT}[\s,-]+)?{_DIGIT}")
@@ -77,6 +88,12 @@ LAST_LABELS = frozenset("com org net edu gov mil int info biz name pro app dev e
 WORD_LABELS = frozenset("am an as at be by do go he if in is it me my no of on or so to up us we info name pro app dev example test local invalid museum travel online site shop cloud tech".split())
 
 
+def _digits(said: str) -> str:
+    """The digits of a spelled digit, which may be doubled, or of a numeral."""
+    *times, digit = re.split(r"[\s-]+", said.lower())
+    return DIGIT_WORDS.get(digit, digit) * (TIMES[times[0]] if times else 1)
+
+
 def luhn(digits: str) -> bool:
     """The check digit is right: every second digit from the right doubled, nines cast out."""
     odd, even = digits[-1::-2], digits[-2::-2]
@@ -150,6 +167,19 @@ def _odd_edits(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), plain(m[0])) for m in ODD.finditer(text)]
 
 
+def _reference_edits(text: str) -> list[tuple[int, int, str]]:
+    out = []
+    for m in REFERENCE.finditer(text):
+        c = REFERENCES[m[3].lower()] if m[3] else chr(int(m[1]) if m[1] else int(m[2], 16))
+        if " " < c < "\x7f":
+            out.append((*m.span(), c))
+    return out
+
+
+def _spaced_edits(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start() + x.start(), m.start() + x.end(), "") for m in SPACED_DOTS.finditer(text) for x in WHITE.finditer(m[0])]
+
+
 def _bracket_edits(text: str) -> list[tuple[int, int, str]]:
     """The white space around the brackets goes with them."""
     edits, at = [], 0
@@ -166,7 +196,7 @@ def _bracket_edits(text: str) -> list[tuple[int, int, str]]:
 
 def _spelled(text: str) -> bool:
     """Some number holds enough spelled digits."""
-    return any(sum(x[3] is not None and x[3].isalpha() for x in NUMBER_PART.finditer(m[0])) >= SPELLED for m in NUMBER.finditer(text))
+    return any(sum(x[3] is not None and x[3][0].isalpha() for x in NUMBER_PART.finditer(m[0])) >= SPELLED for m in NUMBER.finditer(text))
 
 
 def _number_edits(text: str) -> list[tuple[int, int, str]]:
@@ -178,7 +208,7 @@ def _number_edits(text: str) -> list[tuple[int, int, str]]:
         for x in NUMBER_PART.finditer(text, m.start(), m.end()):
             if x.start() > at:  # what separates the digits goes
                 edits.append((at, x.start(), ""))
-            edits.append((*x.span(), "+" if x[1] else "." if x[2] else DIGIT_WORDS.get(x[3].lower(), x[3])))
+            edits.append((*x.span(), "+" if x[1] else "." if x[2] else _digits(x[3])))
             at = x.end()
     return edits
 
@@ -190,10 +220,10 @@ def _address_edits(found: Rewritten) -> list[tuple[int, int, str]]:
         at, dots, told = m.end(1), [], False
         for x in PLAIN_LABEL.finditer(text, m.start(2), m.end(2)):
             word, last = x[1].strip().lower(), x[2].lower()
-            told |= word != "." or found.edited and found.changed[x.start(1)]
+            told |= x[1] != "." or found.edited and found.changed[x.start(1)]
             dots.append((*x.span(1), "."))
             ends = last in LAST_LABELS or len(last) == 2 and last.isalpha()
-            if told and ends and not (word == "point" and last in WORD_LABELS):
+            if told and ends and not (word in ("point", ".") and x[1] != "." and last in WORD_LABELS):
                 if at == m.end(1):
                     edits.append((*m.span(1), "@"))
                 edits += dots
@@ -219,7 +249,7 @@ def _dotted_edits(text: str) -> list[tuple[int, int, str]]:
         for x in DOTTED_PART.finditer(text, m.start(), m.end()):
             if x.start() > at:  # what separates the digits goes
                 new.append((at, x.start(), ""))
-            to = "." if x[1] else x[2] or DIGIT_WORDS[x[3].lower()]
+            to = "." if x[1] else x[2] or _digits(x[3])
             if to == ".":
                 values.append("")
             else:
@@ -237,6 +267,10 @@ def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
     found = Rewritten(text)
     if not text.isascii() and (edits := _odd_edits(text)):
         found.replace(edits)
+    if "&" in text and ";" in text and (edits := _reference_edits(found.text)):
+        found.replace(edits)
+    if " . " in found.text and (edits := _spaced_edits(found.text)):
+        found.replace(edits)
     low = found.text.lower()
     if edits := _bracket_edits(found.text):
         found.replace(edits)
@@ -245,7 +279,7 @@ def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
     if dots and ("_at" in low or "-at" in low) and (edits := _joined_edits(found.text)):
         found.replace(edits)
         low = found.text.lower()
-    if (dots or found.edited) and (edits := _address_edits(found)):
+    if (dots or found.edited or "@" in low and " . " in low) and (edits := _address_edits(found)):
         found.replace(edits)
         low = found.text.lower()
     if dots and DOT_DIGIT.search(low) and (edits := _dotted_edits(found.text)):
