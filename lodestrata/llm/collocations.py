@@ -6,36 +6,41 @@ shard a word's bitmap is the list of its non-empty blocks of 32 positions. Shift
 ANDing it with the words' bitmaps gives the bitmaps of all phrases one word longer; their popcounts, summed over shards,
 are the frequencies. Holes are in no bitmap, so phrases end at them.
 
-What is frequent is known only over all shards, so shards meet twice: words first, then pairs. With the frequent pairs a
-shard goes depth-first from pairs to phrases of five words, along frequent pairs only. No shard sees another's counts,
-and no list of words or phrases goes through the driver: frequent words and pairs go back to just those shards that hold
-them, by joins.
+What is frequent is known only over all shards, so shards meet over their words and then over their pairs: each deals
+them out to buckets in packed form, and the buckets answer each shard with those of its own that are frequent. With the
+frequent pairs a shard goes depth-first to phrases of five words, whose counts meet in buckets again. No list of words or phrases goes through the
+driver or to all tasks.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import drop_stored, ship_package, stored
 from .batches import pieces
+from .shingles import mix
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Positions after which a task begins another shard, and block meetings that one step of a search looks at.
 SHARD, STEP = 2_000_000, 4_000_000
+#: Bytes of the documents table for each bucket of words and pairs, where there are not more shuffle partitions.
+BUCKET_BYTES = 32 << 20
 BLOCK = 32
 TOKEN = re.compile(rb"[^ \t.,;:!?\n-\r]+|[.,;:!?\n-\r]")
 ENDS = tuple(bytes([c]) for c in b".,;:!?\n\x0b\x0c\r")
 
-SHARDS = "shard bigint, tokens binary, langs array<string>, words array<binary>, counts array<bigint>"
+SHARDS = "shard bigint, bucket int, langs array<string>, sizes binary, words binary, places binary, counts binary, tokens binary"
 
 
 # ---- shards ----
@@ -56,27 +61,93 @@ class _Shard:
         self.parts += [np.fromiter(map(words.__getitem__, found), np.int32, len(found)), np.zeros(1, np.int32)]
         self.size += len(found) + 1
 
-    def row(self, number: int) -> pa.RecordBatch:
+    def rows(self, shard: int, buckets: int) -> pa.RecordBatch:
+        """The shard's words with their local numbers and counts, packed for each bucket of words, and its tokens. Words
+        are joined by spaces, which none of them holds."""
         tokens = np.concatenate(self.parts)
-        named = [(n, lang, word) for lang, words in self.words.items() for word, n in words.items() if n]
-        named.sort()  # by number: 1, 2, ... without gaps
-        counts = np.bincount(tokens, minlength=len(named) + 1)[1:]
-        columns = [[number], [tokens.tobytes()], [[x[1] for x in named]], [[x[2] for x in named]], [counts]]
-        kinds = [pa.int64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.binary()), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["shard", "tokens", "langs", "words", "counts"])
-
-
-def _shards(size: int):
+        counts = np.bincount(tokens, minlength=next(self.next))
+        out: list[dict] = [{"shard": shard, "tokens": _packed(tokens)}]
+        held: dict[int, list[tuple[str, list[bytes], np.ndarray]]] = {}
+        for lang, words in self.words.items():
+            names, places = zip(*words.items(), strict=True)
+            names, places, seed = np.array(names, object), np.array(places), zlib.crc32(lang.encode())
+            names, places = names[places > 0], places[places > 0]
+            bucket = np.fromiter((zlib.crc32(w, seed) % buckets for w in names), np.int64, len(names))
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for k in np.flatnonzero(np.diff(edges)).tolist():
+                own = order[edges[k] : edges[k + 1]]
+                held.setdefault(k, []).append((lang, names[own].tolist(), places[own]))
+        for k, parts in held.items():
+            places = np.concatenate([p for *_, p in parts])
+            out.append({
+                "shard": shard, "bucket": k, "langs": [lang for lang, *_ in parts], "sizes": _packed(np.array([len(p) for *_, p in parts])), "words": zstandard.compress(b" ".join(w for _, own, _ in parts for w in own), 1),
+                "places": _packed(places), "counts": _packed(counts[places]),
+            })
+        binary = [pa.field(c, pa.binary()) for c in ("sizes", "words", "places", "counts", "tokens")]
+        return pa.RecordBatch.from_pylist(out, pa.schema([("shard", pa.int64()), ("bucket", pa.int32()), ("langs", pa.list_(pa.string())), *binary]))
+
+
+def _shards(size: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, shard, made = TaskContext.get().partitionId() << 32, _Shard(), 0
         for b in pieces(batches, "text"):
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 shard.add(lang, text)
                 if shard.size >= size:
-                    yield shard.row(first + made)
+                    yield shard.rows(first + made, buckets)
                     shard, made = _Shard(), made + 1
         if shard.size:
-            yield shard.row(first + made)
+            yield shard.rows(first + made, buckets)
+
+    return run
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(numbers).tobytes(), 1)
+
+
+def _unpacked(raw: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(raw), kind)
+
+
+NAMED = "shard bigint, places binary, ids binary, lang string, n bigint, words array<string>, f array<bigint>, numbers array<bigint>"
+
+
+def _named(least: int, buckets: int):
+    """Sums the counts of a bucket's words over all shards. Frequent ones get numbers that no other bucket gives; each
+    shard is told those that it holds. For each language: how many words there are, and the frequent ones."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket, index, messages = table.column("bucket")[0].as_py(), {}, []
+        for row in table.to_pylist():
+            words, at, where = zstandard.decompress(row["words"]).split(b" "), 0, []
+            for lang, n in zip(row["langs"], _unpacked(row["sizes"], np.int64).tolist(), strict=True):
+                own = index.setdefault(lang, {})
+                where.append(np.fromiter((own.setdefault(w, (len(own), lang))[0] for w in words[at : at + n]), np.int64, n))
+                at += n
+            messages.append((row["shard"], row["langs"], where, _unpacked(row["places"], np.int64), _unpacked(row["counts"], np.int64)))
+        sums = {lang: np.zeros(len(own), np.int64) for lang, own in index.items()}
+        for _, langs, where, _, counts in messages:
+            at = 0
+            for lang, own in zip(langs, where, strict=True):
+                np.add.at(sums[lang], own, counts[at : at + len(own)])
+                at += len(own)
+        rows, ids, given = [], {}, 0
+        for lang in sorted(index):
+            names, ids[lang] = list(index[lang]), np.zeros(len(index[lang]), np.int64)
+            frequent = sorted(np.flatnonzero(sums[lang] >= least).tolist(), key=names.__getitem__)
+            ids[lang][frequent] = 1 + bucket + buckets * np.arange(given, given + len(frequent))
+            given += len(frequent)
+            rows.append({"lang": lang, "n": int(sums[lang].sum()), "words": [names[k].decode() for k in frequent], "f": sums[lang][frequent].tolist(), "numbers": ids[lang][frequent].tolist()})
+        if 1 + bucket + buckets * given >= 2**31:
+            raise ValueError("a bucket has too many frequent words for 31-bit numbers")
+        for shard, langs, where, places, _ in messages:
+            own = np.concatenate([ids[lang][w] for lang, w in zip(langs, where, strict=True)])
+            if own.any():
+                rows.append({"shard": shard, "places": _packed(places[own > 0]), "ids": _packed(own[own > 0])})
+        lists = [pa.field("words", pa.list_(pa.string())), pa.field("f", pa.list_(pa.int64())), pa.field("numbers", pa.list_(pa.int64()))]
+        return pa.Table.from_pylist(rows, pa.schema([("shard", pa.int64()), ("places", pa.binary()), ("ids", pa.binary()), ("lang", pa.string()), ("n", pa.int64()), *lists]))
 
     return run
 
@@ -152,66 +223,130 @@ def _compact(tokens: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.nda
     return new[tokens], np.r_[0, wanted]
 
 
-def _ints(t: pa.Table, name: str) -> np.ndarray:
-    return t.column(name).to_numpy().astype(np.int64)
+def _ascending(raw: bytes) -> np.ndarray:
+    """Ascending numbers, packed as their differences."""
+    return np.cumsum(_unpacked(raw, np.int64))
+
 
+def _differences(numbers: np.ndarray) -> bytes:
+    return _packed(np.diff(numbers, prepend=0))
 
-def _pairs(shards: pa.Table, words: pa.Table) -> pa.Table:
-    """Pairs of frequent words in a shard: local numbers, global ones and how often."""
-    out = []
-    if shards.num_rows and words.num_rows:
-        local, known = _ints(words, "local"), _ints(words, "id")
-        order = np.argsort(local)
-        tokens, old = _compact(np.frombuffer(shards.column("tokens")[0].as_py(), np.int32), local[order])
-        ids, maps = np.r_[0, known[order]], _Bitmaps(tokens)
-        for root in maps.roots():
-            paths, *_, counts = maps.extend(*root, None)
-            out.append((old[paths[:, 0]], old[paths[:, 1]], ids[paths[:, 0]], ids[paths[:, 1]], counts))
-    x, y, a, b, c = (np.concatenate(p) for p in zip(*out, strict=True)) if out else [np.empty(0, np.int64)] * 5
-    shard = np.full(len(c), shards.column("shard")[0].as_py() if shards.num_rows else 0, np.int64)
-    return pa.table({"shard": shard, "x": x, "y": y, "a": a, "b": b, "f": c})
+
+PAIRS = "shard bigint, bucket int, keys binary, counts binary, tokens binary"
+
+
+def _pairs(buckets: int):
+    """Pairs of frequent words in a shard: their keys (first id above, second below 32 bits) and counts, packed for each
+    bucket of keys; and the shard's tokens as global ids, 0 for what is not frequent."""
+
+    def run(shards: pa.Table, words: pa.Table) -> pa.Table:
+        out, rows = [], []
+        if shards.num_rows:
+            shard, tokens = shards.column("shard")[0].as_py(), _unpacked(shards.column("tokens")[0].as_py(), np.int32)
+            local, known = (np.concatenate([np.empty(0, np.int64), *(_unpacked(x, np.int64) for x in words.column(c).to_pylist())]) for c in ("places", "ids"))
+            order = np.argsort(local)
+            tokens, ids = _compact(tokens, local[order])[0], np.r_[0, known[order]]
+            maps = _Bitmaps(tokens)
+            for root in maps.roots():
+                paths, *_, counts = maps.extend(*root, None)
+                out.append((ids[paths[:, 0]] << 32 | ids[paths[:, 1]], counts))
+            keys, counts = (np.concatenate(p) for p in zip(*out, strict=True)) if out else [np.empty(0, np.int64)] * 2
+            bucket = (mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((keys, bucket))
+            keys, counts, bucket = keys[order], counts[order], bucket[order]
+            edges = np.searchsorted(bucket, np.arange(buckets + 1))
+            for k in np.flatnonzero(np.diff(edges)).tolist():
+                own = slice(edges[k], edges[k + 1])
+                rows.append({"shard": shard, "bucket": k, "keys": _differences(keys[own]), "counts": _packed(counts[own].astype(np.int32))})
+            rows.append({"shard": shard, "tokens": _packed(ids[tokens].astype(np.int32))})
+        return pa.Table.from_pylist(rows, pa.schema([("shard", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("keys", "counts", "tokens"))]))
+
+    return run
 
 
-def _phrases(longest: int):
+KNOWN = "shard bigint, keys binary, frequent array<bigint>, f array<bigint>"
+
+
+def _summed(least: int):
+    """Sums the counts of a bucket's keys over all shards: the frequent ones with their sums, and for each shard those
+    that it holds."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = [_ascending(x) for x in table.column("keys").to_pylist()]
+        counts = np.concatenate([_unpacked(x, np.int32) for x in table.column("counts").to_pylist()]).astype(np.int64)
+        every = np.concatenate(keys)
+        order = np.argsort(every, kind="stable")
+        fresh = np.flatnonzero(np.r_[True, np.diff(every[order]) != 0])
+        sums, distinct = np.add.reduceat(counts[order], fresh), every[order][fresh]
+        known, sums = distinct[sums >= least], sums[sums >= least]
+        rows: list[dict] = [{"frequent": known.tolist(), "f": sums.tolist()}]
+        for shard, own in zip(table.column("shard").to_pylist(), keys, strict=True):
+            held = own[_among(own, known)]
+            if len(held):
+                rows.append({"shard": shard, "keys": _differences(held)})
+        return pa.Table.from_pylist(rows, pa.schema([("shard", pa.int64()), ("keys", pa.binary()), ("frequent", pa.list_(pa.int64())), ("f", pa.list_(pa.int64()))]))
+
+    return run
+
+
+LONGER = "bucket int, phrases binary, counts binary"
+
+
+def _phrases(longest: int, buckets: int):
     def run(shards: pa.Table, pairs: pa.Table) -> pa.Table:
-        """Phrases of three words and more in a shard, along frequent pairs, and how often."""
-        keys, sizes, counts = [], [], []
+        """Phrases of three words and more in a shard, along frequent pairs, and their counts, packed for each bucket of
+        phrases. A phrase is a row of ids, 0 where it has no more words."""
+        found, counts, rows = [np.empty((0, longest), np.int32)], [np.empty(0, np.int32)], []
         if shards.num_rows and pairs.num_rows:
-            x, y, a, b = (_ints(pairs, c) for c in "xyab")
-            wanted, at = np.unique(np.r_[x, y], return_index=True)
-            tokens, _ = _compact(np.frombuffer(shards.column("tokens")[0].as_py(), np.int32), wanted)
-            ids, maps = np.r_[0, np.r_[a, b][at]], _Bitmaps(tokens)
-            known = np.sort((np.searchsorted(wanted, x) + 1) * maps.width + np.searchsorted(wanted, y) + 1)
+            known = np.concatenate([_ascending(x) for x in pairs.column("keys").to_pylist()])
+            first, second = known >> 32, known & 0xFFFFFFFF
+            ids = np.unique(np.r_[first, second])
+            every = _unpacked(shards.column("tokens")[0].as_py(), np.int32)
+            at = np.minimum(np.searchsorted(ids, every), len(ids) - 1)
+            maps = _Bitmaps(np.where(ids[at] == every, at + 1, 0).astype(np.int32))
+            known = np.sort((np.searchsorted(ids, first) + 1) * maps.width + np.searchsorted(ids, second) + 1)
+            ids = np.r_[0, ids].astype(np.int32)
             for nodes in maps.roots():
                 for words in range(2, longest + 1):
                     *nodes, c = maps.extend(*nodes, known)
                     if not len(c):
                         break
                     if words > 2:
-                        keys.append(ids[nodes[0]].ravel())
-                        sizes.append(np.full(len(c), words))
-                        counts.append(c)
-        keys, sizes, counts = (np.concatenate(p) if p else np.empty(0, np.int64) for p in (keys, sizes, counts))
-        return pa.table({"phrase": pa.ListArray.from_arrays(np.r_[0, np.cumsum(sizes)].astype(np.int32), keys), "f": counts})
+                        found.append(np.pad(ids[nodes[0]], ((0, 0), (0, longest - words))))
+                        counts.append(c.astype(np.int32))
+        found, counts = np.concatenate(found), np.concatenate(counts)
+        number = np.zeros(len(found), np.uint64)
+        for k in range(longest):
+            number = mix(number ^ found[:, k].astype(np.uint64))
+        bucket = (number % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((*found.T[::-1], bucket))
+        found, counts, bucket = found[order], counts[order], bucket[order]
+        edges = np.searchsorted(bucket, np.arange(buckets + 1))
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            own = slice(edges[k], edges[k + 1])
+            rows.append({"bucket": k, "phrases": _packed(found[own].T), "counts": _packed(counts[own])})
+        return pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("phrases", pa.binary()), ("counts", pa.binary())]))
 
     return run
 
 
-# ---- the corpus ----
+def _summed_phrases(least: int, longest: int):
+    """Sums the counts of a bucket's phrases over all shards; the frequent ones."""
 
+    def run(table: pa.Table) -> pa.Table:
+        found = np.concatenate([_unpacked(x, np.int32).reshape(longest, -1).T for x in table.column("phrases").to_pylist()])
+        counts = np.concatenate([_unpacked(x, np.int32) for x in table.column("counts").to_pylist()]).astype(np.int64)
+        order = np.lexsort(found.T[::-1])
+        found, counts = found[order], counts[order]
+        fresh = np.flatnonzero(np.r_[True, (found[1:] != found[:-1]).any(1)])
+        sums, found = np.add.reduceat(counts, fresh), found[fresh]
+        keep = sums >= least
+        return pa.Table.from_pylist([{"phrases": [[w for w in p if w] for p in found[keep].tolist()], "f": sums[keep].tolist()}], pa.schema([("phrases", pa.list_(pa.list_(pa.int64()))), ("f", pa.list_(pa.int64()))]))
 
-def _frequent(counts: DataFrame, by: list[str], least: int, name: str) -> DataFrame:
-    return stored(counts.groupBy(*by).agg(F.sum("f").alias("f")).where(F.col("f") >= least), name)
+    return run
 
 
-def _numbered(words: DataFrame) -> DataFrame:
-    """A 64-bit number for each frequent word; where two ever meet, another seed is taken."""
-    for seed in count():
-        out = stored(words.withColumn("id", F.xxhash64(F.lit(seed), "lang", "word")), "word_ids")
-        if out.groupBy("id").count().where("count > 1").isEmpty():
-            return out
-        drop_stored(out)
-    raise AssertionError
+# ---- the corpus ----
 
 
 def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shard: int = SHARD, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -222,23 +357,28 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shard:
     A null text is empty, a null language ``und``; repeated rows count each; a very long text is a shard of its own; other
     columns are not read; an empty table gives empty tables.
     """
-    ship_package(docs.sparkSession)
+    spark = docs.sparkSession
+    ship_package(spark)
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shards = stored(rows.mapInArrow(_shards(shard), SHARDS), "phrase_shards")
-    entries = shards.select("shard", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("at", "e"))
-    local = entries.select("shard", (F.col("at") + 1).alias("local"), F.col("e.langs").alias("lang"), F.col("e.words").cast("string").alias("word"), F.col("e.counts").alias("f"))
-    totals = stored(local.groupBy("lang").agg(F.sum("f").alias("n")), "word_totals")
-    words = _numbered(_frequent(local, ["lang", "word"], least, "words"))
-
-    tokens = shards.select("shard", "tokens")
-    back = stored(local.join(words.select("lang", "word", "id"), ["lang", "word"]).select("shard", "local", "id"), "word_numbers")
-    pairs = stored(tokens.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(_pairs, "shard bigint, x bigint, y bigint, a bigint, b bigint, f bigint"), "pairs")
-    known = _frequent(pairs, ["a", "b"], least, "frequent_pairs")
-    back = stored(pairs.join(known.select("a", "b"), ["a", "b"]).select("shard", "x", "y", "a", "b"), "pair_numbers")
-    longer = tokens.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(_phrases(longest), "phrase array<bigint>, f bigint")
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = size if size < 2**60 else 2_000 * rows.count()  # unknown for tables made by hand
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
+    shards = stored(rows.mapInArrow(_shards(shard, buckets), SHARDS), "phrase_shards")
+    named = stored(shards.where("bucket IS NOT NULL").drop("tokens").groupBy("bucket").applyInArrow(_named(least, buckets), NAMED), "named_words")
+    totals = stored(named.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")), "word_totals")
+    words = named.where("lang IS NOT NULL").select("lang", F.explode(F.arrays_zip("words", "f", "numbers")).alias("w")).select("lang", F.col("w.words").alias("word"), "w.f", F.col("w.numbers").alias("id"))
+
+    tokens, told = shards.where("tokens IS NOT NULL").select("shard", "tokens"), named.where("shard IS NOT NULL").select("shard", "places", "ids")
+    pairs = stored(tokens.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_pairs(buckets), PAIRS), "pairs")
+    drop_stored(shards)
+    summed = stored(pairs.where("bucket IS NOT NULL").select("bucket", "shard", "keys", "counts").groupBy("bucket").applyInArrow(_summed(least), KNOWN), "frequent_pairs")
+    known = summed.where("shard IS NULL").select(F.explode(F.arrays_zip("frequent", "f")).alias("x")).select(F.shiftright("x.frequent", 32).alias("a"), F.col("x.frequent").bitwiseAND(F.lit(2**32 - 1)).alias("b"), "x.f")
+    tokens, held = pairs.where("tokens IS NOT NULL").select("shard", "tokens"), summed.where("shard IS NOT NULL").select("shard", "keys")
+    packed = tokens.groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(_phrases(longest, buckets), LONGER)
+    longer = packed.groupBy("bucket").applyInArrow(_summed_phrases(least, longest), "phrases array<array<bigint>>, f array<bigint>")
     found = words.select(F.array("id").alias("phrase"), "f").union(known.select(F.array("a", "b"), "f"))
     if longest > 2:
-        found = found.union(_frequent(longer, ["phrase"], least, "phrases"))
+        found = found.union(longer.select(F.explode(F.arrays_zip("phrases", "f")).alias("p")).select("p.phrases", "p.f"))
     return totals, words, stored(found, "frequent_phrases")
 
 
