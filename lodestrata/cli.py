@@ -83,6 +83,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     spark = spark or local_session()
     embedder = getattr(args, "embedder", None) or cfg.embedder
     build = lambda path=None, reset=True: engine.build_index(spark, cfg.index, path or cfg.data_dir, embedder, reset)
+    refresh = lambda: engine.refresh_index(spark, cfg.index, cfg.data_dir, embedder)
     find = lambda q, **k: engine.search(spark, cfg.index, q, embedder=embedder, **k)
     if args.command == "ingest":
         _print_summary(build(args.path, not args.append))
@@ -115,21 +116,19 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         from .web import serve
 
         if args.watch:
-            W.start_background(build, cfg.data_dir, args.interval)
+            W.start_background(refresh, args.interval)
             cfg.watching = True
         elif not engine.open_index(spark, cfg.index).exists():
             build()
         serve(spark, cfg)
     else:
-        W.watch(build, cfg.data_dir, args.interval)
+        W.watch(refresh, args.interval)
     return 0
 
 
 def _print_summary(figures: dict) -> None:
-    print(f"Indexed {figures['indexed']} records into {figures['db']}")
-    for key, value in figures.items():
-        if key not in ("indexed", "db"):
-            print(f"  {key}: {value}")
+    print("{db}: {indexed} rows read".format(**figures))
+    print("\n".join(f"  {key} = {value}" for key, value in figures.items() if key not in ("indexed", "db")))
 
 
 if __name__ == "__main__":

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package, stored
+from ..session import ship_package
 from . import text as T
 
 
@@ -77,25 +77,6 @@ class NativeHashingEmbedder(Embedder):
         norms = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
         return sums.join(norms, key).select(key, "slot", (F.col("v") / F.col("norm")).alias("weight"))
 
-    def by_token(self, df: DataFrame, key: str, text: str) -> DataFrame:
-        """As sparse(), for a whole corpus: features are hashed once for each distinct token, not for each occurrence.
-        Rows without a token have no slots."""
-        words = df.select(key, F.explode(T.tokens(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("t")).groupBy(key, "t").agg(F.count("*").alias("n"))
-        # distinct tokens are few bytes but much work each, so they are dealt out by number, which nothing coalesces
-        tasks = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        each = words.select("t").distinct().repartition(tasks).select("t", F.explode(features(F.col("t"))).alias("f")).groupBy("t", self.slot(F.col("f")).alias("slot")).agg(F.sum(self.sign(F.col("f"))).alias("v"))
-        # a token's features as one row of numbers (net sign above, slot in the low 20 bits), so that a frequent token is
-        # joined once for each document, not once a slot; and as a table, so that both sides of the join are exchanges
-        # and a very frequent token can be split
-        code = F.shiftleft(F.col("v").cast("bigint"), 20) + F.col("slot")
-        packed = stored(each.where("v != 0").groupBy("t").agg(F.collect_list(code).alias("codes")), "token_features")
-        # dealt by document before features are unpacked: slots of a document are then summed where they are
-        own = words.join(packed, "t").select(key, "n", "codes").repartition(key).select(key, "n", F.explode("codes").alias("x"))
-        own = own.select(key, F.col("x").bitwiseAND(F.lit(2**20 - 1)).cast("int").alias("slot"), (F.shiftright("x", 20) * F.col("n")).alias("v"))
-        sums = stored(own.groupBy(key, "slot").agg(F.sum("v").alias("v")).where("v != 0"), "slots")
-        norms = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-        return sums.join(norms, key).select(key, "slot", (F.col("v") / F.col("norm")).alias("weight"))
-
     def embed(self, df: DataFrame, text: str, out: str = "vec") -> DataFrame:
         # without a shuffle: each feature is hashed once, then each slot sums its own
         def sums(signed: Column) -> Column:
@@ -110,47 +91,70 @@ class NativeHashingEmbedder(Embedder):
 _TOKEN = re.compile(r"[\wऀ-ॿ]+")
 
 
+DIGESTS = {"blake2b": lambda x: hashlib.blake2b(x, digest_size=8).digest(), "md5": lambda x: hashlib.md5(x, usedforsecurity=False).digest()}
+
+
 @lru_cache(200_000)
-def _blake_slots(token: str, low: int, high: int, dim: int) -> tuple[tuple[int, int], ...]:
-    """Net sign of each slot that a token's features fall into."""
-    padded, sums = f"^{token}$", {}
-    grams = (f"g:{padded[i : i + n]}" for n in range(low, high + 1) for i in range(len(padded) - n + 1))
+def _slots(token: str, dim: int, low: int, high: int, digest: str) -> tuple[np.ndarray, np.ndarray]:
+    """Slots that a token's features fall into and the net sign of each."""
+    padded, hashed, sums = f"^{token}$", DIGESTS[digest], {}
+    grams = [f"g:{padded[i : i + n]}" for n in range(low, high + 1) for i in range(len(padded) - n + 1)]
     for feature in (f"w:{token}", *grams):
-        h = hashlib.blake2b(feature.encode(), digest_size=8).digest()
+        h = hashed(feature.encode())
         slot = int.from_bytes(h[:6], "big") % dim
         sums[slot] = sums.get(slot, 0) + (1 if h[6] % 2 else -1)
-    return tuple(sums.items())
+    return np.fromiter(sums.keys(), np.int64, len(sums)), np.fromiter(sums.values(), np.float64, len(sums))
 
 
-def hashing_vector(text: str | None, dim: int = 768, low: int = 3, high: int = 5) -> np.ndarray:
-    """Signed feature hashing by blake2b, unit length unless zero."""
-    vec = np.zeros(dim)
-    for token in _TOKEN.findall((text or "").lower()):
-        for slot, v in _blake_slots(token, low, high, dim):
-            vec[slot] += v
-    norm = np.sqrt((vec * vec).sum())
-    return vec / norm if norm else vec
+def hashing_vectors(texts: list[str | None], dim: int = 768, low: int = 3, high: int = 5, digest: str = "blake2b") -> np.ndarray:
+    """Signed feature hashing, a row of unit length (or zeros) for each text. The features of each distinct token are
+    hashed once; the slots of all texts are summed by one bincount."""
+    known: dict[str, int] = {}
+    found = [[known.setdefault(t, len(known)) for t in _TOKEN.findall((x or "").lower())] for x in texts]
+    if not known:
+        return np.zeros((len(texts), dim))
+    row, token = np.repeat(np.arange(len(texts)), [len(f) for f in found]), np.fromiter((t for f in found for t in f), np.int64)
+    pairs, times = np.unique(row * len(known) + token, return_counts=True)
+    slots, signs = zip(*(_slots(t, dim, low, high, digest) for t in known), strict=True)
+    sizes = np.fromiter(map(len, slots), np.int64, len(slots))
+    slots, signs, first = np.concatenate(slots), np.concatenate(signs), np.cumsum(sizes) - sizes
+    row, token = pairs // len(known), pairs % len(known)
+    n = sizes[token]
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[token], n)
+    out = np.bincount(np.repeat(row, n) * dim + slots[at], signs[at] * np.repeat(times, n), len(texts) * dim).reshape(len(texts), dim)
+    norm = np.sqrt((out * out).sum(1, keepdims=True))
+    return np.divide(out, norm, out=out, where=norm > 0)
+
+
+def hashing_vector(text: str | None, dim: int = 768, low: int = 3, high: int = 5, digest: str = "blake2b") -> np.ndarray:
+    return hashing_vectors([text], dim, low, high, digest)[0]
 
 
 class HashingEmbedder(Embedder):
-    """The default: feature hashing by blake2b, which Spark has no function for, in Arrow batches with a cache of tokens."""
+    """The default: feature hashing by blake2b (or md5), in Arrow batches with a cache of tokens."""
 
-    def __init__(self, dim: int = 768, low: int = 3, high: int = 5):
-        self.dim, self.low, self.high, self.name = dim, low, high, "hashing-ngram-v1"
+    #: Texts that are summed at once.
+    ROWS = 128
 
-    def embed(self, df: DataFrame, text: str, out: str = "vec") -> DataFrame:
+    def __init__(self, dim: int = 768, low: int = 3, high: int = 5, digest: str = "blake2b"):
+        self.dim, self.low, self.high, self.digest = dim, low, high, digest
+        usual = (dim, low, high, digest) == (768, 3, 5, "blake2b")
+        self.name = "hashing-ngram-v1" if usual else f"hashing-ngram-v1-{digest}-{dim}-{low}-{high}"
+
+    def embed(self, df: DataFrame, text: str, out: str = "vec", kind: str = "float") -> DataFrame:
         ship_package(df.sparkSession)
-        dim, low, high = self.dim, self.low, self.high
+        settings, rows, wide = (self.dim, self.low, self.high, self.digest), self.ROWS, np.float64 if kind == "double" else np.float32
 
-        @F.pandas_udf("array<float>")
+        @F.pandas_udf(f"array<{kind}>")
         def run(column: pd.Series) -> pd.Series:
-            return column.map(lambda x: hashing_vector(x, dim, low, high).astype(np.float32))
+            texts = column.tolist()
+            return pd.Series([v for k in range(0, len(texts), rows) for v in hashing_vectors(texts[k : k + rows], *settings).astype(wide)])
 
         return df.withColumn(out, run(F.col(text)))
 
     def vector(self, text: str) -> list[float]:
         """One text on the driver, in double precision, for a query."""
-        return hashing_vector(text, self.dim, self.low, self.high).tolist()
+        return hashing_vector(text, self.dim, self.low, self.high, self.digest).tolist()
 
 
 class ModelEmbedder(Embedder):

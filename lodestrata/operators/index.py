@@ -1,7 +1,13 @@
-"""The index: tables of records, postings, term frequencies, lengths, document frequencies, corpus figures and vectors.
+"""The index: segments of records, postings, term frequencies, lengths, vectors and figures, and a table of dead records.
 
-Tables are Parquet. Postings and frequencies lie sorted by token, so a query's tokens prune row groups. Each build is
-a snapshot of its own; numbered pointer files name them, and the highest one counts, so readers never see half an index.
+A segment is written once and never changed. New records become a segment of their own; records of older segments that
+they replace, or that are removed, are listed as dead (tombstones). Readers see all segments without their dead rows, and
+corpus figures are sums over segments less what is dead. When there are too many segments, or too much of them is dead,
+some are merged without tokenizing or embedding anything again. Numbered pointer files name the current segments, and the
+highest one counts, so readers never see half an index.
+
+Term frequencies and postings lie in ranges of (token, id) in small row groups, records and lengths in ranges of id with a
+bloom filter: a few tokens or ids, given as literals, reach the Parquet scan as pushed filters and skip the rest.
 """
 
 from __future__ import annotations
@@ -9,9 +15,12 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..functions.embedding import Embedder
@@ -66,14 +75,42 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "id", order: str = "ordina
     return both.groupBy(key).agg(F.max_by(rest, order).alias("_r")).select("_r.*")
 
 
+#: More segments than this are merged, the smallest ones first, ``MERGE`` at a time.
+MOST_SEGMENTS, MERGE = 8, 4
+#: A segment with a larger share of dead records is merged.
+MOST_DEAD = 0.3
+#: Literals that one pushed filter holds at most; beyond that a join is used.
+MOST_LITERALS = 400
+#: Bytes of a row group, so that a filter on the sorted column has something to skip.
+ROW_GROUP = 4 << 20
+#: Dead rows that are broadcast at most, and figures that a pointer holds itself at most.
+BROADCAST_DEAD, MOST_FIGURES = 100_000, 10_000
+
+
+class Conflict(RuntimeError):
+    """Another writer has changed the index meanwhile."""
+
+
+def one_of(column: str, values: list) -> Column:
+    """column is one of a few values: equalities, each of which Parquet checks against its statistics and bloom filters
+    (a long IN list becomes a range there)."""
+
+    def tree(low: int, high: int) -> Column:
+        return F.col(column) == F.lit(values[low]) if high - low == 1 else tree(low, (low + high) // 2) | tree((low + high) // 2, high)
+
+    return tree(0, len(values)) if values else F.lit(False)
+
+
 class Index:
-    """A snapshot folder under ``root``; open() reads the current one."""
+    """An index folder ``root``."""
 
-    TABLES = ("records", "postings", "tf", "lengths", "vectors")
+    TABLES = ("records", "postings", "tf", "lengths", "vectors", "figures")
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    # ---- pointers ----
+
     def _fs(self, path: str):
         sc = self.spark.sparkContext
         p = sc._jvm.org.apache.hadoop.fs.Path(path)
@@ -107,85 +144,263 @@ class Index:
     def exists(self) -> bool:
         return self._pointer() is not None
 
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{self.meta()['snapshot']}/{name}")
-
     def updated(self) -> float | None:
-        """When the current snapshot became the current one, in seconds since 1970."""
+        """When the current pointer was written, in seconds since 1970."""
         if not (numbers := self._pointers()):
             return None
         fs, p = self._fs(f"{self.root}/current-{numbers[-1]}.json")
         return fs.getFileStatus(p).getModificationTime() / 1000
 
-    def count(self) -> int:
-        return self.meta()["count"]
-
-    def get(self, record_id: str) -> DataFrame:
-        return self.table("records").where(F.col("id") == record_id)
-
-    def write(self, records: DataFrame, embedder: Embedder, append: bool = False) -> dict:
-        """Builds a new snapshot and makes it the current one; returns its figures.
-
-        append joins the current records first; of one id the last one stays. ``indexed`` counts the rows given, also
-        repeated ones; ``count`` the records that the index then holds.
-        """
-        if append and self.exists() and self.meta()["embedder"] != embedder.name:
-            raise ValueError(f"the index holds vectors of {self.meta()['embedder']}, not {embedder.name}")
-        snapshot = f"snapshot-{uuid.uuid4().hex[:12]}"
-        path = f"{self.root}/{snapshot}"
-        given = records.withColumn("ordinal", F.monotonically_increasing_id() + 1)
-        given.write.parquet(f"{path}/given")
-        given = self.spark.read.parquet(f"{path}/given")
-        indexed = given.count()
-        old = self.table("records").withColumn("ordinal", F.lit(0).cast("bigint")) if append and self.exists() else given.limit(0)
-        upsert(old, given).drop("ordinal").write.parquet(f"{path}/records")
-        kept = self.spark.read.parquet(f"{path}/records")
-        index_fields(kept).write.parquet(f"{path}/fields")
-        fields = self.spark.read.parquet(f"{path}/fields")
-        tokenised(fields).write.parquet(f"{path}/tokens")
-        cut = self.spark.read.parquet(f"{path}/tokens")
-        # ranges of (token, id): the postings of a word that is in most records are many ranges
-        postings_of(cut).repartitionByRange("tok", "id").sortWithinPartitions("tok", "id", "col", "pos").write.parquet(f"{path}/postings")
-        post = self.spark.read.parquet(f"{path}/postings")
-        term_frequencies(post).repartitionByRange("tok", "id").sortWithinPartitions("tok", "id").write.parquet(f"{path}/tf")
-        cut.select("id", "len").write.parquet(f"{path}/lengths")
-        embedder.embed(fields.select("id", "body"), "body").select("id", "vec").write.parquet(f"{path}/vectors")
-        lengths = self.spark.read.parquet(f"{path}/lengths").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl")).first()
-        meta = {"snapshot": snapshot, "embedder": embedder.name, "dim": embedder.dim, "count": lengths["n"], "avgdl": lengths["avgdl"] or 0.0, "indexed": indexed}
-        for extra in ("given", "fields", "tokens"):
-            fs, p = self._fs(f"{path}/{extra}")
-            fs.delete(p, True)
-        self._point(meta)
-        return meta
-
-    def _point(self, meta: dict) -> None:
-        """Writes the next pointer beside its place and renames it: at any time the highest one is whole. Of two writers
-        at once the second one takes the number after the first one's. The snapshot before stays for its readers; older
-        ones go, pointers first."""
+    def _point(self, meta: dict, after: int | None = None) -> None:
+        """Writes the next pointer beside its place and renames it: at any time the highest one is whole. ``after`` is the
+        pointer that this one builds on; another writer's pointer in between is a Conflict. Without it, of two writers at
+        once the second one takes the number after the first one's. What the pointer before refers to stays for its
+        readers; folders of older ones go, pointers first."""
         fs, tmp = self._fs(f"{self.root}/{uuid.uuid4().hex[:8]}.tmp")
         out = fs.create(tmp, True)
         try:
-            out.write(bytearray(json.dumps(meta).encode()))
+            out.write(bytearray(json.dumps(meta, ensure_ascii=False).encode()))
         finally:
             out.close()
         numbers = self._pointers()
         number = numbers[-1] + 1 if numbers else 0
+        if after is not None and number != after + 1:
+            fs.delete(tmp, False)
+            raise Conflict(f"{self.root} was changed meanwhile")
         while not fs.rename(tmp, self._fs(f"{self.root}/current-{number}.json")[1]):  # another writer has just taken it
-            if number in (taken := self._pointers()):
-                number = taken[-1] + 1
-            else:
-                raise OSError(f"the pointer under {self.root} can't be written")
-        keep = {self._pointer(n)["snapshot"] for n in self._pointers()[-2:]}
-        for n in self._pointers()[:-2]:
-            old = self._pointer(n)["snapshot"]
+            taken = self._pointers()
+            if after is not None or number not in taken:
+                fs.delete(tmp, False)
+                raise Conflict(f"the pointer under {self.root} can't be written")
+            number = taken[-1] + 1
+        numbers = self._pointers()
+        keep = {f for n in numbers[-2:] for f in _folders(self._pointer(n))}
+        for n in numbers[:-2]:
+            old = _folders(self._pointer(n))
             fs.delete(self._fs(f"{self.root}/current-{n}.json")[1], False)
-            if old not in keep:
-                fs.delete(self._fs(f"{self.root}/{old}")[1], True)
+            for folder in old - keep:
+                fs.delete(self._fs(f"{self.root}/{folder}")[1], True)
+
+    # ---- reading ----
+
+    def _read(self, meta: dict, segment: str, name: str) -> DataFrame:
+        schema = StructType.fromJson(meta["schemas"][name])
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{segment}/{name}")
+
+    def _live(self, meta: dict, name: str, where: Column | None = None, segments: list[str] | None = None) -> DataFrame:
+        """A table's rows over segments, without dead ones; ``where`` is applied to what each scan reads."""
+        dead = {s["name"] for s in meta["segments"] if s["dead"]}
+        parts: list[DataFrame] = []
+        for segment in segments if segments is not None else [s["name"] for s in meta["segments"]]:
+            rows = self._read(meta, segment, name)
+            rows = rows if where is None else rows.where(where)
+            if segment in dead:
+                gone = self._dead(meta).where(F.col("segment") == segment).select("id")
+                rows = rows.join(F.broadcast(gone) if meta["dead_rows"] <= BROADCAST_DEAD else gone, "id", "left_anti")
+            parts.append(rows)
+        return reduce(DataFrame.unionByName, parts)
+
+    def _dead(self, meta: dict) -> DataFrame:
+        return self.spark.read.schema(DEAD).parquet(f"{self.root}/{meta['dead']}/ids")
+
+    def table(self, name: str, where: Column | None = None) -> DataFrame:
+        """records, postings, tf, lengths or vectors of the whole index, as of now."""
+        return self._live(self.meta(), name, where)
+
+    def count(self) -> int:
+        return self.meta()["count"]
+
+    def get(self, record_id: str) -> DataFrame:
+        return self.table("records", F.col("id") == record_id)
+
+    def lookup(self, ids: list[str], name: str = "records") -> DataFrame:
+        """Rows of stated ids; up to MOST_LITERALS of them read only the row groups that may hold one."""
+        ids = sorted(set(ids))
+        if len(ids) <= MOST_LITERALS:
+            return self.table(name, one_of("id", ids))
+        return self.table(name).join(self.spark.createDataFrame([(x,) for x in ids], "id string"), "id", "left_semi")
+
+    def of_tokens(self, name: str, tokens: list[str] | None) -> DataFrame:
+        """postings or tf, of a few tokens only; None is all tokens."""
+        return self.table(name, None if tokens is None else one_of("tok", tokens))
+
+    def figures(self) -> list[tuple[str, str, int]]:
+        """(kind, value, n) over the whole index: stats() of the records, without reading them."""
+        meta = self.meta()
+        if meta["figures"] is not None:
+            return [tuple(x) for x in meta["figures"]]
+        return [tuple(r) for r in self._figures(meta).collect()]
+
+    def _figures(self, meta: dict) -> DataFrame:
+        parts = [self._read(meta, s["name"], "figures") for s in meta["segments"]]
+        if meta["dead"]:
+            parts.append(self.spark.read.schema(parts[0].schema).parquet(f"{self.root}/{meta['dead']}/figures"))
+        return reduce(DataFrame.unionByName, parts).groupBy("kind", "value").agg(F.sum("n").alias("n")).where("n > 0")
+
+    # ---- writing ----
+
+    def write(self, records: DataFrame, embedder: Embedder, append: bool = False, remove: Callable[[DataFrame], DataFrame] | None = None, files: DataFrame | None = None) -> dict:
+        """Makes a segment of records and returns the index's figures; of one id the last record stays.
+
+        Without append the segment is the whole index. With it, older records of the same ids are dead from then on, and
+        so are those that ``remove`` picks from the records table. ``indexed`` counts the rows given, also repeated
+        ones; ``count`` the records that the index then holds. files is a manifest that goes with this state.
+        """
+        number = self._pointers()[-1:]
+        base = self._pointer(number[0]) if append and number else None
+        if base and base["embedder"] != embedder.name:
+            raise ValueError(f"the index holds vectors of {base['embedder']}, not {embedder.name}")
+        segment, schemas = self._segment(records, embedder)
+        meta = {"segments": [segment], "schemas": schemas, "dead": None, "dead_rows": 0, "embedder": embedder.name, "dim": embedder.dim, "indexed": segment.pop("given")}
+        if base:
+            meta["segments"] = base["segments"] + meta["segments"]
+            meta |= {"dead": base["dead"], "dead_rows": base["dead_rows"]}
+            self._bury(meta, base, segment["name"], remove)
+            self._merge(meta)
+        if files is not None:
+            meta["files"] = f"files-{uuid.uuid4().hex[:12]}"
+            files.write.parquet(f"{self.root}/{meta['files']}")
+        elif base:
+            meta["files"] = base.get("files")
+        meta["count"] = sum(s["count"] - s["dead"] for s in meta["segments"])
+        length = sum(s["length"] - s["dead_length"] for s in meta["segments"])
+        meta["avgdl"] = length / meta["count"] if meta["count"] else 0.0
+        few = self._figures(meta).limit(MOST_FIGURES + 1).collect()
+        meta["figures"] = [list(r) for r in few] if len(few) <= MOST_FIGURES else None
+        self._point(meta, number[0] if base else None)
+        return meta
+
+    def remove(self, pick: Callable[[DataFrame], DataFrame], embedder: Embedder) -> dict:
+        """Records that ``pick`` takes from the records table are dead from then on."""
+        return self.write(self.table("records").limit(0), embedder, True, pick)
+
+    def _sorted(self, rows: DataFrame, path: str, *by: str, bloom: str | None = None) -> None:
+        writer = rows.write.option("parquet.block.size", ROW_GROUP)
+        if bloom:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{bloom}", "true")
+        writer.parquet(path)
+
+    def _segment(self, records: DataFrame, embedder: Embedder) -> tuple[dict, dict]:
+        name = f"segment-{uuid.uuid4().hex[:12]}"
+        path = f"{self.root}/{name}"
+        read = lambda table: self.spark.read.parquet(f"{path}/{table}")
+        records.withColumn("ordinal", F.monotonically_increasing_id()).write.parquet(f"{path}/given")
+        given = read("given")
+        self._ranged(upsert(given.limit(0), given).drop("ordinal"), f"{path}/records", ["id"], bloom="id")
+        kept = read("records")
+        fields = index_fields(kept)
+        # the text of each record is made and cut once; all other tables come from these two
+        tokenised(fields).write.parquet(f"{path}/tokens")
+        cut = read("tokens")
+        self._ranged(cut.select("id", "len"), f"{path}/lengths", ["id"], bloom="id")
+        # ranges of (token, id): the postings of a word that is in most records are many ranges
+        self._ranged(postings_of(cut), f"{path}/postings", ["tok", "id"], ["col", "pos"])
+        # dealt by (token, id) already, so frequencies are summed and sorted where they lie
+        dealt = postings_of(cut).repartitionByRange("tok", "id")
+        self._sorted(term_frequencies(dealt).sortWithinPartitions("tok", "id"), f"{path}/tf")
+        embedder.embed(fields.select("id", "body"), "body").select("id", "vec").write.parquet(f"{path}/vectors")
+        stats(kept).write.parquet(f"{path}/figures")
+        sums = read("lengths").agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("len")).first()
+        schemas = {t: read(t).schema.jsonValue() for t in self.TABLES}
+        out = {"name": name, "count": sums["n"], "length": sums["len"], "dead": 0, "dead_length": 0, "given": given.count()}
+        for extra in ("given", "tokens"):
+            self._drop(f"{name}/{extra}")
+        return out, schemas
+
+    def _ranged(self, rows: DataFrame, path: str, by: list[str], then: list[str] = [], bloom: str | None = None) -> None:  # noqa: B006
+        self._sorted(rows.repartitionByRange(*by).sortWithinPartitions(*by, *then), path, bloom=bloom)
+
+    def _drop(self, folder: str) -> None:
+        fs, p = self._fs(f"{self.root}/{folder}")
+        fs.delete(p, True)
+
+    def _bury(self, meta: dict, base: dict, new: str, remove: Callable[[DataFrame], DataFrame] | None) -> None:
+        """Lists the dead of older segments: what was so before, ids of the new segment, and what is removed."""
+        fresh = self._read(meta, new, "lengths").select("id")
+        few = [r["id"] for r in fresh.limit(MOST_LITERALS + 1).collect()]
+        parts = []
+        for s in base["segments"]:
+            where = one_of("id", few) if len(few) <= MOST_LITERALS else None
+            rows = self._live(base, "lengths", where, [s["name"]])
+            gone = rows if where is not None else rows.join(fresh, "id", "left_semi")
+            if remove is not None:
+                out = remove(self._live(base, "records", None, [s["name"]])).select("id").join(self._read(base, s["name"], "lengths"), "id")
+                gone = gone.unionByName(out.select(*gone.columns)).distinct()
+            parts.append(gone.select(F.lit(s["name"]).alias("segment"), "id", "len"))
+        if base["dead"]:
+            parts.append(self._dead(base))
+        meta["dead"] = f"dead-{uuid.uuid4().hex[:12]}"
+        reduce(DataFrame.unionByName, parts).write.parquet(f"{self.root}/{meta['dead']}/ids")
+        self._count_dead(meta)
+
+    def _count_dead(self, meta: dict) -> None:
+        """The dead of each segment, and their figures as negative ones."""
+        dead = self._dead(meta)
+        sums = {r["segment"]: r for r in dead.groupBy("segment").agg(F.count("*").alias("n"), F.sum("len").alias("len")).collect()}
+        parts = []
+        for s in meta["segments"]:
+            own = sums.get(s["name"])
+            s["dead"], s["dead_length"] = (own["n"], own["len"]) if own else (0, 0)
+            if own:
+                gone = dead.where(F.col("segment") == s["name"]).select("id")
+                parts.append(self._read(meta, s["name"], "records").select("id", *STATS).join(gone, "id", "left_semi"))
+        meta["dead_rows"] = sum(s["dead"] for s in meta["segments"])
+        figures = StructType.fromJson(meta["schemas"]["figures"])
+        none = self.spark.createDataFrame([], figures)
+        counted = stats(reduce(DataFrame.unionByName, parts)).select("kind", "value", (-F.col("n")).alias("n")) if parts else none
+        counted.write.parquet(f"{self.root}/{meta['dead']}/figures")
+
+    def _merge(self, meta: dict) -> None:
+        """Bounds the number of segments and the share of dead records: the smallest segments, and those with many dead
+        records, become one. Their rows are copied, not made again."""
+        empty = [s for s in meta["segments"] if s["count"] == s["dead"]]
+        chosen = [s for s in meta["segments"] if s["dead"] > MOST_DEAD * s["count"] and s not in empty]
+        rest = sorted((s for s in meta["segments"] if s not in chosen and s not in empty), key=lambda s: s["count"])
+        if len(rest) + bool(chosen) > MOST_SEGMENTS:
+            chosen += rest[:MERGE]
+        if len(empty) == len(meta["segments"]):  # one stays: the index is empty but has its tables
+            empty = empty[:-1]
+        if not chosen and not empty:
+            return
+        names, made = [s["name"] for s in chosen], []
+        if chosen:
+            name = f"segment-{uuid.uuid4().hex[:12]}"
+            path = f"{self.root}/{name}"
+            for table, by, then in (("records", ["id"], []), ("lengths", ["id"], []), ("postings", ["tok", "id"], ["col", "pos"]), ("tf", ["tok", "id"], [])):
+                self._ranged(self._live(meta, table, None, names), f"{path}/{table}", by, then, "id" if by == ["id"] else None)
+            self._live(meta, "vectors", None, names).write.parquet(f"{path}/vectors")
+            stats(self.spark.read.parquet(f"{path}/records")).write.parquet(f"{path}/figures")
+            made = [{"name": name, "count": sum(s["count"] - s["dead"] for s in chosen), "length": sum(s["length"] - s["dead_length"] for s in chosen), "dead": 0, "dead_length": 0}]
+        gone = {s["name"] for s in chosen + empty}
+        meta["segments"] = [s for s in meta["segments"] if s["name"] not in gone] + made
+        before = self._dead(meta)
+        dead = f"dead-{uuid.uuid4().hex[:12]}"
+        before.where(~F.col("segment").isin(*gone)).write.parquet(f"{self.root}/{dead}/ids")
+        self._drop(meta["dead"])
+        meta["dead"] = dead
+        self._count_dead(meta)
+
+    def files(self) -> DataFrame | None:
+        """The manifest that the current state was built from."""
+        meta = self._pointer()
+        if not meta or not meta.get("files"):
+            return None
+        return self.spark.read.parquet(f"{self.root}/{meta['files']}")
+
+
+def _folders(meta: dict) -> set[str]:
+    """What a pointer refers to."""
+    named = {meta.get("snapshot"), meta.get("dead"), meta.get("files")}
+    return {x for x in named if x} | {s["name"] for s in meta.get("segments", ())}
+
+
+DEAD = "segment string, id string, len bigint"
+STATS = ("language", "category", "source_type", "department")
 
 
 def stats(records: DataFrame) -> DataFrame:
     """(kind, value, n): counts by language, category, source type and department (those that have one), in one pass."""
-    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("language", "category", "source_type", "department")))
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in STATS))
     return records.select(F.explode(kinds).alias("x")).where("x.kind != 'department' or x.value is not null").groupBy("x.kind", "x.value").agg(F.count("*").alias("n"))
 
 

@@ -8,14 +8,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..functions.embedding import dot
 from ..functions.records import provenance
+from ..functions.vectors import best_products
+from ..session import ship_package
+from .index import MOST_LITERALS, WEIGHTS, Index, weight_of
 
 RRF_K, KEYWORD_WEIGHT, VECTOR_WEIGHT = 60, 2.0, 1.0
 POOL, LIMIT = 30, 10
@@ -27,6 +30,8 @@ ANSWER_TOP, ANSWER_MORE, ANSWER_END = "Top match: {title} [{provenance}].", " {n
 FILTERABLE = ("date", "language", "department", "category", "source_type")
 #: Most queries whose side of a join is broadcast.
 BROADCAST_QUERIES = 10_000
+#: Query vectors that are sent to the tasks at a time.
+QUERY_BLOCK = 4_096
 
 
 def metadata_filter(filters: Mapping | None) -> Column:
@@ -65,29 +70,42 @@ def query_fragments(terms: DataFrame) -> DataFrame:
 
 def phrase_frequencies(fragments: DataFrame, post: DataFrame, weights: Mapping[str, float]) -> DataFrame:
     """(qid, phrase, id, f) of phrases of several fragments: postings that stand in a row in one column."""
-    from .index import weight_of
-
     multi = fragments.where("n > 1")
     hits = post.join(multi, "tok").groupBy("qid", "phrase", "n", "id", "col", (F.col("pos") - F.col("off")).alias("start")).agg(F.count_distinct("off").alias("k")).where("k = n")
     return hits.groupBy("qid", "phrase", "id").agg(F.sum(weight_of(F.col("col"), dict(weights))).alias("f"))
 
 
-def bm25(phrases: DataFrame, lengths: DataFrame, n_docs: int | Column, avgdl: float | Column) -> DataFrame:
-    """(qid, id, score) from (qid, phrase, id, f). Document frequencies are those of the whole corpus."""
+def bm25(phrases: DataFrame, lengths: DataFrame, n_docs: int | Column, avgdl: float | Column, only: DataFrame | None = None) -> DataFrame:
+    """(qid, id, score) from (qid, phrase, id, f), for the ids of ``only`` where given. Document frequencies are those of
+    the whole corpus all the same."""
     n_docs, avgdl = (x if isinstance(x, Column) else F.lit(float(x)) for x in (n_docs, avgdl))
     df = phrases.groupBy("qid", "phrase").agg(F.count("*").alias("df"))
     idf = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-    rows = phrases.join(df, ["qid", "phrase"]).join(lengths, "id")
+    wanted = phrases if only is None else phrases.join(only.select("id"), "id", "left_semi")
+    rows = wanted.join(df, ["qid", "phrase"]).join(lengths, "id")
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / avgdl))
     return rows.groupBy("qid", "id").agg(F.sum(part).alias("score"))
 
 
-def keyword_scores(queries: DataFrame, post: DataFrame, tf: DataFrame, lengths: DataFrame, n_docs, avgdl, weights: Mapping[str, float], fragments: DataFrame | None = None) -> DataFrame:
-    """(qid, id, score): single tokens from the summed frequencies, phrases from the positions."""
-    fragments = query_fragments(query_terms(queries)) if fragments is None else fragments
-    single = tf.join(_small(fragments.where("n = 1").select("qid", "phrase", "tok")), "tok").select("qid", "phrase", "id", "f")
-    return bm25(single.unionByName(phrase_frequencies(_small(fragments), post, weights)), lengths, n_docs, avgdl)
+def keyword_scores(queries: DataFrame, index: Index, filters: Mapping | None = None, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
+    """(qid, id, score) over an index: single tokens from the summed frequencies, phrases from the positions. While the
+    queries hold few tokens these are literals of the scans, which then read the tokens' own row groups only; more of
+    them are joined. Records that the filters refuse are not scored, but count in document frequencies."""
+    meta = index.meta()
+    fragments = query_fragments(query_terms(queries))
+    known = fragments.select("tok", "n").distinct().limit(MOST_LITERALS + 1).collect()
+    literal = len(known) <= MOST_LITERALS
+    if literal:
+        several = any(r["n"] > 1 for r in known)
+        tf, post = (index.of_tokens(t, sorted({r["tok"] for r in known if (r["n"] > 1) == (t == "postings")})) for t in ("tf", "postings"))
+    else:
+        several, tf, post = True, index.table("tf"), index.table("postings")
+    phrases = tf.join(_small(fragments.where("n = 1").select("qid", "phrase", "tok")), "tok").select("qid", "phrase", "id", "f")
+    if several:
+        phrases = phrases.unionByName(phrase_frequencies(_small(fragments), post, weights))
+    only = index.table("records", metadata_filter(filters)).select("id") if filters else None
+    return bm25(phrases, index.table("lengths"), meta["count"], meta["avgdl"] or 1.0, only)
 
 
 def _small(side: DataFrame, most: int = BROADCAST_QUERIES) -> DataFrame:
@@ -95,19 +113,27 @@ def _small(side: DataFrame, most: int = BROADCAST_QUERIES) -> DataFrame:
     return F.broadcast(side) if side.limit(most + 1).count() <= most else side
 
 
-def vector_scores(query_vectors: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(qid, id, score): dot product of each query with each vector. The queries are a stated set, compared block by
-    block; beyond the bound they are no broadcast and Spark deals the pairs out."""
-    return vectors.join(_small(query_vectors), how="cross").select("qid", "id", dot(F.col("qvec"), F.col("vec")).alias("score"))
-
-
-def sparse_scores(query_slots: DataFrame, slots: DataFrame, queries: DataFrame, ids: DataFrame) -> DataFrame:
-    """(qid, id, score) for each query and each id: dot products of sparse vectors (key, slot, weight). Vectors meet by
-    slot, so there is no dense array and no pair of vectors; tasks sum their own slots before the shuffle. ids without
-    any slot have score 0 for all queries, as have pairs without a common one; queries are a stated set."""
-    hits = slots.join(_small(query_slots.select("qid", "slot", F.col("weight").alias("q"))), "slot").groupBy("qid", "id").agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
-    every = ids.select("id").join(_small(queries.select("qid")), how="cross")
-    return every.join(hits, ["qid", "id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+def vector_topk(query_vectors: DataFrame, vectors: DataFrame, k: int, digits: int = 9) -> DataFrame:
+    """(qid, id, score, rank): the k largest dot products, rounded to ``digits``, of each (qid, qvec) with all (id, vec),
+    ties to smaller ids. The queries are a stated set: QUERY_BLOCK of them at a time go to the tasks, which multiply
+    them with their vectors as matrices and keep the best for each query. Shorter vectors count as padded with zeros;
+    null vectors, and vectors with a null, take no part; with neither the result is empty."""
+    spark = vectors.sparkSession
+    ship_package(spark)
+    queries = query_vectors.select("qid", F.transform("qvec", lambda x: x.cast("double")).alias("qvec")).where(_whole("qvec"))
+    rows = vectors.select("id", F.transform("vec", lambda x: x.cast("double")).alias("vec")).where(_whole("vec"))
+    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = []
+    for b in range(blocks):
+        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+        parts.append(rows.mapInArrow(best_products(own.toArrow(), k, 10.0**-digits), schema))
+    every = reduce(DataFrame.unionByName, parts).withColumn("score", F.round("score", digits))
+    return top_k(every, k)
+
+
+def _whole(vec: str) -> Column:
+    return F.col(vec).isNotNull() & ~F.exists(vec, lambda x: x.isNull())
 
 
 def allowed(scored: DataFrame, records: DataFrame, filters: Mapping | None) -> DataFrame:

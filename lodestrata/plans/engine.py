@@ -6,15 +6,17 @@ import os
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.embedding import get_embedder, query_vector
 from ..functions.tagging import tag
 from ..operators import search as S
-from ..operators.index import WEIGHTS, Index, stats
-from ..sources.files import ingest, read_files
+from ..operators.index import Index
+from ..session import stored
+from ..sources.files import ingest_with_outcomes, listing, read_listed
+from ..streaming.watch import manifest_diff
 
 
 @dataclass
@@ -30,17 +32,54 @@ def open_index(spark: SparkSession, root: str) -> Index:
 
 def _summary(index: Index, meta: dict) -> dict:
     counts: dict[str, dict[str, int]] = {"by_language": {}, "by_category": {}, "by_source_type": {}, "by_department": {}}
-    for r in stats(index.table("records")).collect():
-        counts[f"by_{r['kind']}"][r["value"]] = r["n"]
+    for kind, value, n in index.figures():
+        counts[f"by_{kind}"][value] = n
     return {"indexed": meta["indexed"], "count": meta["count"], "embedder": meta["embedder"], "db": index.root, **counts}
 
 
 def build_index(spark: SparkSession, root: str, source: str, embedder: str = "auto", reset: bool = True, strict_compat: bool = False, hint: str | None = None) -> dict:
-    """Ingests a file or folder, tags it and writes a snapshot. ``indexed`` counts the rows given, ``count`` and the
-    by_* figures the whole index."""
+    """Ingests a file or folder, tags it and writes it as a segment. ``indexed`` counts the rows given, ``count`` and the
+    by_* figures the whole index, ``skipped`` the files that couldn't be read, by reason. With reset the index also
+    remembers the files' manifest, which refresh_index() goes by."""
+    index, files = open_index(spark, root), stored(listing(spark, source), "listing")
+    records, outcomes = ingest_with_outcomes(read_listed(files, source), strict_compat)
+    meta = index.write(tag(records, hint), get_embedder(embedder), append=not reset, files=files if reset else None)
+    return _summary(index, meta) | {"skipped": _skipped(outcomes)}
+
+
+#: Reasons that a build's figures name, the most frequent first.
+MOST_REASONS = 100
+
+
+def _skipped(outcomes: DataFrame) -> dict[str, int]:
+    counts = outcomes.where("reason IS NOT NULL").groupBy("reason").count().orderBy(F.desc("count"), "reason")
+    return {r["reason"]: r["count"] for r in counts.limit(MOST_REASONS).collect()}
+
+
+def family(name: Column) -> Column:
+    """What ties files together: a name without its extension, so that a text sidecar goes with its image, and files of
+    one name in several folders, whose records' ids can be the same, go together."""
+    return F.regexp_replace(F.lower(name), r"(\.ocr)?\.[^.]*$", "")
+
+
+def refresh_index(spark: SparkSession, root: str, source: str, embedder: str = "auto", strict_compat: bool = False, hint: str | None = None) -> dict | None:
+    """Brings an index up to date with its source: only files that were added or changed, and those of the same family
+    (see family()), are parsed again; records of these and of removed files are dead from then on. Returns the figures,
+    or None if nothing has changed. An index without a manifest is built."""
     index = open_index(spark, root)
-    records = tag(ingest(read_files(spark, source), strict_compat), hint)
-    return _summary(index, index.write(records, get_embedder(embedder), append=not reset))
+    before = index.files() if index.exists() else None
+    if before is None:
+        return build_index(spark, root, source, embedder, True, strict_compat, hint)
+    now = stored(listing(spark, source), "listing")
+    name = F.element_at(F.split("path", "/"), -1)
+    touched = stored(manifest_diff(before, now).select(family(name).alias("family")).distinct(), "touched")
+    if touched.isEmpty():
+        return None
+    files = now.withColumn("family", family(F.col("name"))).join(touched, "family", "left_semi").drop("family")
+    records, outcomes = ingest_with_outcomes(read_listed(files, source), strict_compat)
+    pick = lambda old: old.withColumn("family", family(F.col("source_file"))).join(touched, "family", "left_semi")
+    meta = index.write(tag(records, hint), get_embedder(embedder), True, pick, now)
+    return _summary(index, meta) | {"skipped": _skipped(outcomes)}
 
 
 def build_index_drive(spark: SparkSession, root: str, connect: Callable[[], object], folder: str, embedder: str = "auto", recursive: bool = True, reset: bool = False) -> dict:
@@ -63,11 +102,9 @@ def ranked_legs(index: Index, query: str, embedder: str, filters: Mapping | None
     queries = spark.createDataFrame([(0, query)], "qid int, query string")
     expanded = queries.select(T.with_aliases(F.col("query"), " ")).first()[0]
     qvec = spark.createDataFrame([(0, query_vector(spark, chosen, expanded))], "qid int, qvec array<double>")
-    records = index.table("records")
-    words = S.keyword_scores(queries, index.table("postings"), index.table("tf"), index.table("lengths"), meta["count"], meta["avgdl"] or 1.0, WEIGHTS)
-    keyword = S.top_k(S.allowed(words, records, filters), pool)
-    vectors = S.allowed(index.table("vectors"), records, filters)
-    return queries, keyword, S.top_k(S.vector_scores(qvec, vectors), pool)
+    keyword = S.top_k(S.keyword_scores(queries, index, filters), pool)
+    vectors = S.allowed(index.table("vectors"), index.table("records"), filters)
+    return queries, keyword, S.vector_topk(qvec, vectors, pool, 12)
 
 
 def search(spark: SparkSession, root: str, query: str, limit: int = S.LIMIT, filters: Mapping | None = None, pool: int = S.POOL, answer: bool = False, embedder: str = "auto", mode: str | None = None, llm: Callable[[str, list[Row]], str | None] | None = None) -> SearchResult:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as T
 from ..functions.records import as_records
+from ..session import ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,6 +109,61 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(name.alias("path"), name.alias("name"), F.encode(text, "UTF-8").alias("content"))
 
 
+#: Characters that XML doesn't hold, and those beyond the basic plane; plans/oracle.py reads it from here too.
+NO_XML = r"[^\x{20}-\x{7E}\n\x{A0}-\x{D7FF}]"
+
+
+def workbooks(grid: DataFrame) -> DataFrame:
+    """(path, name, content): a grid's files as workbooks."""
+    from . import office
+
+    def build(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["sheet_idx"], r["row_idx"]))
+        sheets = [(name, [(r["row_idx"], r["cells"]) for r in own]) for (_, name), own in groupby(rows, lambda r: (r["sheet_idx"], r["sheet"]))]
+        name = rows[0]["source_file"].replace(".csv", ".xlsx")
+        return pa.table({"path": [name], "name": [name], "content": pa.array([office.workbook(sheets)], pa.binary())})
+
+    ship_package(grid.sparkSession)
+    return grid.groupBy("source_file").applyInArrow(build, "path string, name string, content binary")
+
+
+def office_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, name, content): documents as text files of a word processor, with a heading before or after their first
+    line, and as decks of one slide, every other one with notes, by their number."""
+    from . import office
+
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), NO_XML, " ")
+    lines = F.filter(F.transform(F.split(text, "\n"), T.strip), lambda x: x != "")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, contents = [], []
+            for k, own in zip(b.column("doc_id").to_pylist(), b.column("lines").to_pylist(), strict=True):
+                if k % 2:
+                    names.append(f"deck_{k}.pptx")
+                    contents.append(office.deck([(f"T{k}", own, f"n{k}" if k % 4 == 1 else "")]))
+                else:
+                    names.append(f"letter_{k}.docx" if k % 4 else f"text_{k}.docx")
+                    at = k % 4 // 2
+                    paragraphs = [(False, x) for x in own]
+                    contents.append(office.document([*paragraphs[:at], (True, f"H{k}"), *paragraphs[at:]]))
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names), pa.array(contents, pa.binary())], ["path", "name", "content"])
+
+    ship_package(spark)
+    return table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines")).mapInArrow(build, "path string, name string, content binary")
+
+
+def unreadable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, name, content): documents under names of formats that they aren't, and empty ones, by their number."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    k, kind = F.col("doc_id").cast("string"), F.col("doc_id") % 6
+    name = F.when(kind == 0, F.concat(F.lit("a_"), k, F.lit(".md")))
+    for i, end in enumerate((".docx", ".xlsx", ".pptx", ".pdf", ".csv"), 1):
+        name = name.when(kind == i, F.concat(F.lit("a_"), k, F.lit(end)))
+    content = F.when(kind == 5, F.lit("").cast("binary")).otherwise(F.concat(F.lit("x").cast("binary"), "content"))
+    return d.select(name.alias("path"), name.alias("name"), content.alias("content"))
+
+
 #: Phrases that tag_texts picks from, by the customer's number; plans/oracle.py reads them from here too.
 TAG_PHRASES = (
     ("the cabinet met", "war room review of data centre", "Conference on water supply", "nothing else", "a district dataset"),

@@ -261,6 +261,19 @@ def bm25(queries: str, fields: bool = False) -> str:
     return f"WITH {_keyword(queries, fields)} SELECT qid, rank, id, round(score, 6) AS score FROM kw WHERE rank <= 30"
 
 
+def indexed(queries: str, kept: str, text: str) -> str:
+    """Searches in an index of documents as records: of those that ``kept`` holds for, with ``text`` as theirs."""
+    fields = [("title || chr(10) || text", 1.0), ("title", 6.0), ("source", 16.0), ("lang", 8.0)]
+    corpus = " UNION ALL ".join(f"SELECT id, {w} AS w, {index_tokens(c)} AS toks FROM x" for c, w in fields)
+    return f"""
+WITH {_terms(queries)},
+x AS (SELECT substr(sha1(concat(source, '|', lang, '|doc ', doc_id, '|', title)), 1, 16) AS id, title, source, lang, {text} AS text FROM (SELECT *, substr(split_part(text, chr(10), 1), 1, 120) AS title FROM documents) WHERE {kept}),
+c AS ({corpus}), lens AS (SELECT id, sum(len(toks)) AS len FROM c GROUP BY 1),
+p AS (SELECT id, w, unnest(toks) AS tok FROM c),
+f AS (SELECT qid, phrase, id, sum(w) AS f FROM p JOIN (SELECT qid, phrase, toks[1] AS tok FROM t WHERE len(toks) = 1) USING (tok) GROUP BY 1, 2, 3),{_BM25}
+SELECT qid, rank, id, round(score, 6) AS score FROM kw WHERE rank <= 30"""
+
+
 def phrases(texts: tuple[str, ...]) -> str:
     values = ", ".join(f"({i}, '{p}')" for i, p in enumerate(texts))
     return f"""
@@ -301,6 +314,27 @@ SELECT CASE kind WHEN 0 THEN concat('plan_', doc_id, '.md') WHEN 1 THEN concat('
 FROM b WHERE kind <> 1 OR body <> ''"""
 
 
+INGEST_XLSX = f"SELECT replace(source_file, '.csv', '.xlsx') AS source_file, sheet, row_or_page, raw_text FROM ({NEAR_DUP})"
+
+
+def ingest_office() -> str:
+    from .inputs import NO_XML
+
+    lines = f"list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '{NO_XML}', ' ', 'g'), chr(10)), lambda x: {_strip('x')}), lambda x: x <> '')"
+    return f"""
+WITH d AS (SELECT doc_id, doc_id % 4 AS kind, {lines} AS x FROM documents),
+s AS (SELECT concat('deck_', doc_id, '.pptx') AS source_file, concat('T', doc_id) AS title, concat_ws(chr(10), concat('T', doc_id), nullif(array_to_string(x, chr(10)), ''), CASE WHEN kind = 1 THEN concat('Notes: n', doc_id) END) AS body, 'slide 1' AS row_or_page, 'deck' AS source_type, x FROM d WHERE doc_id % 2 = 1
+  UNION ALL SELECT concat('text_', doc_id, '.docx'), concat('H', doc_id), concat('H', doc_id, chr(10), array_to_string(x, chr(10))), 'section 1', 'report', x FROM d WHERE kind = 0 AND len(x) > 0
+  UNION ALL SELECT concat('letter_', doc_id, '.docx'), concat('letter_', doc_id), concat('letter_', doc_id, chr(10), x[1]), 'section 0', 'letter', x FROM d WHERE kind = 2 AND len(x) > 0
+  UNION ALL SELECT concat('letter_', doc_id, '.docx'), concat('H', doc_id), concat('H', doc_id, chr(10), array_to_string(x[2:], chr(10))), 'section 1', 'letter', x FROM d WHERE kind = 2 AND len(x) > 1)
+SELECT source_file, title, row_or_page, source_type, md5(body) AS text_md5 FROM s"""
+
+
+OUTCOMES = """
+SELECT concat('a_', doc_id, ['.md', '.docx', '.xlsx', '.pptx', '.pdf', '.csv'][doc_id % 6 + 1]) AS path, CASE doc_id % 6 WHEN 0 THEN 'read' WHEN 4 THEN 'skipped' WHEN 5 THEN 'empty' ELSE 'failed' END AS outcome,
+  CASE doc_id % 6 WHEN 4 THEN 'pymupdf is not installed' WHEN 0 THEN NULL WHEN 5 THEN NULL ELSE 'BadZipFile: File is not a zip file' END AS reason FROM documents"""
+
+
 def _sql(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

@@ -14,8 +14,8 @@ from ..functions import text as T
 from ..operators import index as I
 from ..operators import search as S
 from ..operators import sections, tabular
-from ..session import stored
-from ..sources.files import ingest
+from ..session import scratch_path, stored
+from ..sources.files import ingest, ingest_with_outcomes
 from ..streaming.watch import manifest_diff, stream_table
 from . import inputs as N
 from . import oracle as O
@@ -245,8 +245,7 @@ def _cosine(spark, sf_dir, allowed=None) -> DataFrame:
     e = N.table(spark, sf_dir, "embeddings")
     queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
     vectors = (e.where(allowed) if allowed is not None else e).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    scored = S.vector_scores(queries, vectors).withColumn("score", F.round("score", 9))
-    return S.top_k(scored, POOL).select("qid", F.col("rank").cast("bigint").alias("rank"), "id", F.round("score", 6).alias("score"))
+    return S.vector_topk(queries, vectors, POOL).select("qid", F.col("rank").cast("bigint").alias("rank"), "id", F.round("score", 6).alias("score"))
 
 
 @query(O.cosine())
@@ -332,6 +331,38 @@ def ingest_texts(spark, sf_dir):
     return ingest(N.text_files(spark, sf_dir)).select("source_file", "row_or_page", "title", F.md5("raw_text").alias("text_md5"), "source_type")
 
 
+@query(O.INGEST_XLSX)
+def ingest_xlsx(spark, sf_dir):
+    """Workbooks of two sheets, the second one a near copy, through dispatch, reader and row shaping to records."""
+    return ingest(N.workbooks(N.customer_grid(spark, sf_dir, 2)), kinds={"xlsx"}).select("source_file", "sheet", "row_or_page", "raw_text")
+
+
+@query(O.ingest_office())
+def ingest_office(spark, sf_dir):
+    """Word processor files with a heading and decks with notes, through dispatch and readers to records."""
+    records = ingest(N.office_documents(spark, sf_dir), kinds={"docx", "pptx"})
+    return records.select("source_file", "title", "row_or_page", "source_type", F.md5("raw_text").alias("text_md5"))
+
+
+@query(O.OUTCOMES)
+def ingest_outcomes(spark, sf_dir):
+    """What became of files that are read, empty, broken or of a format whose library is missing."""
+    _, outcomes = ingest_with_outcomes(N.unreadable_files(spark, sf_dir), kinds={"deck", "docx", "xlsx", "pptx", "pdf", "csv"})
+    return outcomes.select("path", "outcome", "reason")
+
+
+@query(O.indexed("SELECT item_id AS qid, text AS query FROM benchmark", "source <> 'src7'", "text || CASE WHEN lang = 'de' THEN ' renewed schtz' ELSE '' END"))
+def index_incremental(spark, sf_dir):
+    """An index of all documents, then new texts for one language's and one source removed, each as a segment beside the
+    first one; its searches are those of an index that was built anew."""
+    index, records, embedder = I.Index(spark, scratch_path(spark, "segments")), N.document_records(spark, sf_dir), E.HashingEmbedder(32)
+    index.write(records, embedder)
+    index.write(records.where("sheet = 'de'").withColumn("raw_text", F.concat("raw_text", F.lit(" renewed schtz"))), embedder, append=True)
+    index.remove(lambda old: old.where("source_file = 'src7'"), embedder)
+    queries = N.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return _ranked(S.keyword_scores(queries, index), POOL)
+
+
 @query(O.tags())
 def tag_records(spark, sf_dir):
     t = G.tag(N.tag_texts(spark, sf_dir))
@@ -374,8 +405,6 @@ def manifest_changes(spark, sf_dir):
 
 @query("SELECT doc_id, source, n_chars FROM documents")
 def stream_ingest_available_now(spark, sf_dir):
-    from ..session import scratch_path
-
     base = scratch_path(spark, "stream")
     docs = N.table(spark, sf_dir, "documents")
     docs.select("doc_id", "source", "n_chars").write.parquet(f"{base}/in")
@@ -403,9 +432,9 @@ def _hybrid(spark, sf_dir) -> DataFrame:
     queries = N.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     keyword = S.top_k(_keyword(spark, sf_dir, queries, {"body": 1.0}).withColumn("score", F.round("score", 9)), POOL)
     docs = N.texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    hashing = E.NativeHashingEmbedder(DIM)
-    scores = S.sparse_scores(hashing.sparse(queries, "qid", "query"), hashing.by_token(docs, "id", "text"), queries, docs)
-    vector = S.top_k(scores.withColumn("score", F.round("score", 9)), POOL)
+    hashing = E.HashingEmbedder(DIM, digest="md5")
+    asked = hashing.embed(queries, "query", "qvec", "double").select("qid", "qvec")
+    vector = S.vector_topk(asked, hashing.embed(docs, "text", "vec", "double").select("id", "vec"), POOL)
     return S.fuse(keyword, vector, LIMIT)
 
 

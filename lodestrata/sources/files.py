@@ -6,6 +6,7 @@ that. Parsing bytes is the only Python step, in Arrow batches on the executors.
 
 from __future__ import annotations
 
+import contextlib
 import csv
 import io
 import os
@@ -22,7 +23,7 @@ from ..functions import text as T
 from ..functions.records import TYPES, as_records
 from ..operators.sections import block_sections, markdown_sections, stem
 from ..operators.tabular import sheet_records, sheet_type
-from ..session import is_local, ship_package
+from ..session import is_local, ship_package, stored
 from . import ooxml
 
 CONNECTORS = {"csv": "csv", "tsv": "csv", "xlsx": "xlsx", "xlsm": "xlsx", "pdf": "pdf", "pptx": "pptx", "docx": "docx", "png": "scan", "jpg": "scan", "jpeg": "scan", "tif": "scan", "tiff": "scan"}
@@ -32,15 +33,20 @@ LEAST_PAGE_TEXT = 20
 _warned: set[str] = set()
 
 
+class NotInstalled(Exception):
+    """A library that a file's format needs is missing."""
+
+
 def optional_import(module: str, package: str):
-    """The module, or None after one warning where it isn't installed; the caller then yields nothing."""
+    """The module. Where it isn't installed, one warning, and the file that needs it is skipped with that reason."""
     try:
         return import_module(module)
     except ImportError:
+        reason = f"{package} is not installed"
         if module not in _warned:
             _warned.add(module)
-            print(f"[skip] {package} is not installed; files that need it are skipped", file=sys.stderr)
-        return None
+            print(f"[skip] {reason}; files that need it are skipped", file=sys.stderr)
+        raise NotInstalled(reason) from None
 
 
 def connector(name: Column) -> Column:
@@ -78,43 +84,80 @@ def local_paths(root: str) -> list[str]:
     return [os.path.join(d, n) for d, _, names in os.walk(root) for n in sorted(names) if not n.startswith(".")]
 
 
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, name, size, mtime) of each file; contents aren't read. Local folders are walked here, since Spark hides
+    files whose name begins with an underscore and those below dot folders; other file systems are Spark's to list."""
+    if "://" in root:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"))
+    if not is_local(spark):
+        raise ValueError(f"{root} is a path of the driver's machine; name a file system that all machines reach, such as hdfs://... or file:///... on a shared mount")
+    rows = []
+    for path in local_paths(root):
+        with contextlib.suppress(OSError):  # gone meanwhile
+            seen = os.stat(path)
+            rows.append((path, os.path.basename(path), seen.st_size, int(seen.st_mtime)))
+    return spark.createDataFrame(rows, "path string, name string, size bigint, mtime bigint")
+
+
+def read_listed(files: DataFrame, root: str) -> DataFrame:
+    """The files of a listing of root with their content; workers read the bytes."""
+    spark = files.sparkSession
+    if "://" in root:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
+        return files.join(found, "path").select("path", "name", "content", "size", "mtime")
+
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.itertuples(index=False):
+                with open(row.path, "rb") as f:
+                    yield pd.DataFrame({"path": [row.path], "name": [row.name], "content": [f.read()], "size": [row.size], "mtime": [row.mtime]})
+
+    return files.select("path", "name", "size", "mtime").repartition(64).mapInPandas(load, "path string, name string, content binary, size bigint, mtime bigint")
+
+
 def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, name, content, size, mtime). Local folders are walked here, since Spark hides files whose name begins with
-    an underscore and those below dot folders; only the paths are made here, workers read the bytes. Other file
-    systems are Spark's to list."""
+    """(path, name, content, size, mtime) of each file under root."""
     if "://" not in root:
-        if not is_local(spark):
-            raise ValueError(f"{root} is a path of the driver's machine; name a file system that all machines reach, such as hdfs://... or file:///... on a shared mount")
-        paths = local_paths(root)
-
-        def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for p in b["path"]:
-                    with open(p, "rb") as f:
-                        content = f.read()
-                    yield pd.DataFrame({"path": [p], "name": [os.path.basename(p)], "content": [content], "size": [len(content)], "mtime": [int(os.stat(p).st_mtime)]})
-
-        listed = spark.createDataFrame([(p,) for p in paths], "path string")
-        listed = listed.repartition(max(1, min(len(paths), 64))) if paths else listed
-        return listed.mapInPandas(load, "path string, name string, content binary, size bigint, mtime bigint")
+        return read_listed(listing(spark, root), root)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     name = F.element_at(F.split("path", "/"), -1)
     return found.select("path", name.alias("name"), "content", F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"))
 
 
-def parsed(files: DataFrame, parse: Callable[[str, bytes], Iterator[dict]], schema: str) -> DataFrame:
-    """The rows that parse(name, content) yields for each file; a column source_file with the name comes first."""
+#: What became of a file: read, empty (nothing in it to index), skipped (a library is missing) or failed, with the reason.
+OUTCOME = "struct<path: string, outcome: string, reason: string, items: bigint>"
+
+
+def parsed(files: DataFrame, parse: Callable[[str, bytes], Iterator[dict]], schema: str, outcomes: list[DataFrame] | None = None) -> DataFrame:
+    """The rows that parse(name, content) yields for each file; a column source_file with the name comes first.
+
+    A file that can't be parsed yields nothing and stops no other one. What became of each file is appended to
+    ``outcomes`` as a table (path, outcome, reason, items); the parsed rows are then stored, so that both read them."""
     ship_package(files.sparkSession)
     names = [f.strip().split(" ")[0] for f in _split_schema(schema)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for name, content in zip(b["name"], b["content"], strict=True):
-                rows = [{"source_file": name, **r} for r in parse(name, bytes(content))]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["source_file", *names])
-
-    return files.select("name", "content").mapInPandas(run, f"source_file string, {schema}")
+            for path, name, content in zip(b["path"], b["name"], b["content"], strict=True):
+                rows, outcome, reason = [], "read", None
+                try:
+                    rows = [{"source_file": name, **r} for r in parse(name, bytes(content))]
+                    outcome = "read" if rows else "empty"
+                except NotInstalled as e:
+                    outcome, reason = "skipped", str(e)
+                except MemoryError:
+                    raise
+                except Exception as e:  # whatever is wrong with the bytes of one file
+                    outcome, reason = "failed", f"{type(e).__name__}: {e}"[:200]
+                rows.append({"source_file": name, "_outcome": {"path": path, "outcome": outcome, "reason": reason, "items": len(rows)}})
+                yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in ("source_file", *names, "_outcome")})
+
+    every = files.select("path", "name", "content").mapInPandas(run, f"source_file string, {schema}, _outcome {OUTCOME}")
+    if outcomes is not None:
+        every = stored(every, "parsed")
+        outcomes.append(every.where("_outcome IS NOT NULL").select("_outcome.*"))
+    return every.where("_outcome IS NULL").drop("_outcome")
 
 
 def _split_schema(schema: str) -> list[str]:
@@ -168,8 +211,6 @@ def _first_line(text: str, name: str) -> str:
 def pdf_pages(name: str, content: bytes) -> Iterator[dict]:
     """Pages with text; a page with hardly any is read by OCR where that is installed."""
     fitz = optional_import("fitz", "pymupdf")
-    if fitz is None:
-        return
     with fitz.open(stream=content, filetype="pdf") as pages:
         for n, page in enumerate(pages, 1):
             text, by = page.get_text().strip(), "text-layer"
@@ -206,11 +247,11 @@ def scan_text(name: str, content: bytes) -> Iterator[dict]:
     yield {"text": text, "ocr_engine": engine}
 
 
-def scan_records(files: DataFrame, strict_compat: bool = False) -> DataFrame:
+def scan_records(files: DataFrame, strict_compat: bool = False, outcomes: list[DataFrame] | None = None) -> DataFrame:
     """One record for each scan with text. An image without OCR takes the text of ``<stem>.ocr.txt`` beside it; such a
     sidecar is a record of its own only with strict_compat, or where no image stands beside it."""
     rows = files.select("path", "name", "content")
-    text = parsed(rows.withColumn("name", F.col("path")), scan_text, "text string, ocr_engine string").withColumnRenamed("source_file", "path")
+    text = parsed(rows.withColumn("name", F.col("path")), scan_text, "text string, ocr_engine string", outcomes).withColumnRenamed("source_file", "path")
     folder_stem = F.regexp_replace("path", r"(\.ocr)?\.[^./]*$", "")
     text = text.withColumn("key", folder_stem).withColumn("sidecar", F.lower("path").endswith(".ocr.txt"))
     beside = text.where("sidecar").select("key", F.col("text").alias("other"))
@@ -232,47 +273,53 @@ def _extra(**known: Column) -> Column:
 
 def _decoded(content: Column) -> Column:
     """Bytes as UTF-8 text, bad ones replaced."""
+    return F.make_valid_utf8(content.cast("string"))
 
-    @F.pandas_udf("string")
-    def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda b: bytes(b).decode("utf-8", "replace"))
-
-    return run(content)
 
-
-def ingest(files: DataFrame, strict_compat: bool = False, kinds: set[str] | None = None) -> DataFrame:
+def ingest(files: DataFrame, strict_compat: bool = False, kinds: set[str] | None = None, outcomes: list[DataFrame] | None = None) -> DataFrame:
     """Records (untagged) of all files (path, name, content). kinds: formats that occur, where the caller knows; a
-    format that doesn't occur then costs no scan."""
+    format that doesn't occur then costs no scan. outcomes: a list to which tables (path, outcome, reason, items) of what
+    became of the files are appended, see ingest_with_outcomes()."""
     every = files.withColumn("connector", connector(F.col("name")))
     if kinds is None:
         kinds = {r[0] for r in every.select("connector").distinct().collect()}
     part = lambda kind: every.where(F.col("connector") == kind)
     out: list[DataFrame] = []
     if "csv" in kinds:
-        out.append(sheet_records(parsed(part("csv"), csv_grid(strict_compat), GRID)))
+        out.append(sheet_records(parsed(part("csv"), csv_grid(strict_compat), GRID, outcomes)))
     if "xlsx" in kinds:
-        out.append(sheet_records(parsed(part("xlsx"), xlsx_grid, GRID), workbook=True))
+        out.append(sheet_records(parsed(part("xlsx"), xlsx_grid, GRID, outcomes), workbook=True))
     if "deck" in kinds:
         text = part("deck").select(F.col("name").alias("source_file"), _decoded(F.col("content")).alias("text"))
         out.append(as_records(markdown_sections(text).withColumn("source_type", document_type("deck", F.col("source_file")))))
     if "docx" in kinds:
-        blocks = parsed(part("docx"), docx_blocks, "blocks array<struct<is_heading: boolean, text: string>>")
+        blocks = parsed(part("docx"), docx_blocks, "blocks array<struct<is_heading: boolean, text: string>>", outcomes)
         out.append(as_records(block_sections(blocks).withColumn("source_type", document_type("docx", F.col("source_file")))))
     if "pptx" in kinds:
-        slides = parsed(part("pptx"), pptx_slides, "title string, raw_text string, row_or_page string, has_notes boolean")
+        slides = parsed(part("pptx"), pptx_slides, "title string, raw_text string, row_or_page string, has_notes boolean", outcomes)
         out.append(as_records(slides.withColumn("source_type", F.lit("deck")).withColumn("extra", _extra(has_notes=F.col("has_notes")))))
     if "pdf" in kinds:
-        pages = parsed(part("pdf"), pdf_pages, "title string, raw_text string, row_or_page string, extractor string")
+        pages = parsed(part("pdf"), pdf_pages, "title string, raw_text string, row_or_page string, extractor string", outcomes)
         kind = F.when(F.col("extractor") == OCR_NAME, "scan").otherwise(document_type("pdf", F.col("source_file")))
         out.append(as_records(pages.withColumn("source_type", kind).withColumn("extra", _extra(extractor=F.col("extractor")))))
     if "scan" in kinds:
-        out.append(as_records(scan_records(part("scan"), strict_compat)))
+        out.append(as_records(scan_records(part("scan"), strict_compat, outcomes)))
     if "unknown" in kinds:
         text = part("unknown").select(F.col("name").alias("source_file"), F.col("name").alias("title"), _decoded(F.col("content")).alias("raw_text"))
         out.append(as_records(text))
+    if outcomes is not None and kinds & {"deck", "unknown"}:  # any bytes are text of some kind
+        outcomes.append(every.where(F.col("connector").isin("deck", "unknown")).select("path", F.lit("read").alias("outcome"), F.lit(None).cast("string").alias("reason"), F.lit(1).cast("bigint").alias("items")))
     if not out:
         return files.sparkSession.createDataFrame([], ", ".join(f"{c} {k}" for c, k in TYPES.items()))
     return reduce(DataFrame.unionByName, out)
 
 
-__all__ = ["connector", "document_type", "ingest", "local_paths", "optional_import", "read_files", "scan_records", "sheet_type", "stem"]
+def ingest_with_outcomes(files: DataFrame, strict_compat: bool = False, kinds: set[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, outcomes): the records of all files, and for each file (path, outcome, reason, items)."""
+    found: list[DataFrame] = []
+    records = ingest(files, strict_compat, kinds, found)
+    none = files.sparkSession.createDataFrame([], "path string, outcome string, reason string, items bigint")
+    return records, reduce(DataFrame.unionByName, found, none)
+
+
+__all__ = ["connector", "document_type", "ingest", "ingest_with_outcomes", "listing", "local_paths", "optional_import", "read_files", "read_listed", "scan_records", "sheet_type", "stem"]

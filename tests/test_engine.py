@@ -155,7 +155,8 @@ def test_watch_and_streams(spark, tmp_path):
     data.mkdir()
     (data / "a.txt").write_text("one")
     seen = []
-    W.watch(lambda: seen.append(1) or {"indexed": 1}, str(data), once=True, on_update=lambda s: seen.append(s["at"]))
+    W.watch(lambda: seen.append(1) or {"indexed": 1}, once=True, on_update=lambda s: seen.append(s["at"]))
+    W.watch(lambda: None, once=True, on_update=seen.append)
     assert len(seen) == 2
     old = spark.createDataFrame(W.manifest(spark, str(data)).collect())
     (data / "b.txt").write_text("two")

@@ -100,9 +100,45 @@ def test_embedders(spark):
         assert abs(cos(0, 0) - 1) < 1e-5 and cos(0, 1) > cos(0, 2) and cos(3, 3) == 0
     native = E.NativeHashingEmbedder(64)
     one = {r["id"]: r["vec"] for r in native.embed(df, "text").collect()}
-    for rows in (native.by_token(df, "id", "text"), native.sparse(df, "id", "text")):
-        two = {i: [0.0] * 64 for i in one}
-        for r in rows.collect():
-            two[r["id"]][r["slot"]] = r["weight"]
+    sparse = {i: [0.0] * 64 for i in one}
+    for r in native.sparse(df, "id", "text").collect():
+        sparse[r["id"]][r["slot"]] = r["weight"]
+    for two in (sparse, {r["id"]: r["vec"] for r in E.HashingEmbedder(64, digest="md5").embed(df, "text").collect()}):
         assert all(abs(a - b) < 1e-6 for i in one for a, b in zip(one[i], two[i], strict=True))
     assert E.get_embedder("auto").name == "hashing-ngram-v1"
+
+
+def test_hashing_vectors_against_a_loop(spark):
+    import hashlib
+    import math
+
+    texts = ["", None, "One two two, THREE", "पुणे शहर पुणे", "a" * 40 + " b_c", "x"]
+    for dim, low, high, kind in ((768, 3, 5, "blake2b"), (50, 2, 3, "md5")):
+        got = E.hashing_vectors(texts, dim, low, high, kind)
+        for text, row in zip(texts, got, strict=True):
+            want = [0.0] * dim
+            for token in re.findall(r"[\w\u0900-\u097F]+", (text or "").lower()):
+                padded = f"^{token}$"
+                for f in [f"w:{token}", *(f"g:{padded[i : i + n]}" for n in range(low, high + 1) for i in range(len(padded) - n + 1))]:
+                    h = hashlib.blake2b(f.encode(), digest_size=8).digest() if kind == "blake2b" else hashlib.md5(f.encode()).digest()
+                    want[int.from_bytes(h[:6], "big") % dim] += 1 if h[6] % 2 else -1
+            norm = math.sqrt(sum(x * x for x in want)) or 1.0
+            assert max(abs(a - b / norm) for a, b in zip(row, want, strict=True)) < 1e-12
+    assert E.HashingEmbedder(64).name != E.HashingEmbedder(128).name != E.HashingEmbedder().name == "hashing-ngram-v1"
+
+
+def test_vector_topk(spark):
+    from lodestrata.operators import search as S
+
+    vectors = [(i, [float(i % 5), 1.0, -float(i % 3)]) for i in range(40)] + [(50, None), (51, [1.0, None, 2.0]), (52, [2.0]), (53, [1.0, 1.0, 1.0, 9.0])]
+    queries = [(0, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 1.0]), (2, [1.0, 1.0]), (3, None)]
+    v, q = spark.createDataFrame(vectors, "id int, vec array<double>").repartition(3), spark.createDataFrame(queries, "qid int, qvec array<double>")
+    want = []
+    for qid, a in queries[:3]:
+        scores = sorted((-round(sum(x * y for x, y in zip(a, b)), 9), i) for i, b in vectors if b and None not in b)
+        want += [(qid, i, -s, k) for k, (s, i) in enumerate(scores[:7], 1)]
+    for block in (4096, 1):
+        S.QUERY_BLOCK, kept = block, S.QUERY_BLOCK
+        assert sorted(map(tuple, S.vector_topk(q, v, 7).select("qid", "id", "score", "rank").collect())) == sorted(want)
+        S.QUERY_BLOCK = kept
+    assert S.vector_topk(q.limit(0), v, 7).count() == S.vector_topk(q, v.limit(0), 7).count() == 0
