@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,10 +146,11 @@ class HashingEmbedder(Embedder):
         ship_package(df.sparkSession)
         settings, rows, wide = (self.dim, self.low, self.high, self.digest), self.ROWS, np.float64 if kind == "double" else np.float32
 
-        @F.pandas_udf(f"array<{kind}>")
-        def run(column: pd.Series) -> pd.Series:
-            texts = column.tolist()
-            return pd.Series([v for k in range(0, len(texts), rows) for v in hashing_vectors(texts[k : k + rows], *settings).astype(wide)])
+        @F.arrow_udf(f"array<{kind}>")
+        def run(column: pa.Array) -> pa.Array:
+            texts = column.to_pylist()
+            flat = np.concatenate([np.empty(0, wide), *(hashing_vectors(texts[k : k + rows], *settings).astype(wide).ravel() for k in range(0, len(texts), rows))])
+            return pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, settings[0], dtype=np.int32), pa.array(flat))
 
         return df.withColumn(out, run(F.col(text)))
 

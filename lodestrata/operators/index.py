@@ -49,6 +49,20 @@ def tokenised(fields: DataFrame, columns=tuple(WEIGHTS)) -> DataFrame:
     return fields.select("id", per.alias("cols")).select("id", length.alias("len"), "cols")
 
 
+def held_tokens(cut: DataFrame, tokens: list[str], positions: bool) -> DataFrame:
+    """(id, len, found array<struct<col, pos, tok>>) of a table that tokenised() makes: where the given tokens stand,
+    looked up by hash in each row's arrays, so that nothing else becomes a row. Without positions pos is null."""
+
+    def of_column(x: Column) -> Column:
+        wanted = lambda t: t.isin(tokens)
+        if not positions:
+            return F.transform(F.filter(x["toks"], wanted), lambda t: F.struct(x["col"].alias("col"), F.lit(None).cast("int").alias("pos"), t.alias("tok")))
+        every = F.transform(x["toks"], lambda t, i: F.when(wanted(t), F.struct(x["col"].alias("col"), i.alias("pos"), t.alias("tok"))))
+        return F.filter(every, lambda t: t.isNotNull())
+
+    return cut.select("id", "len", F.flatten(F.transform("cols", of_column)).alias("found"))
+
+
 def postings_of(cut: DataFrame) -> DataFrame:
     """postings() of a table that tokenised() has made."""
     return cut.select("id", F.explode("cols").alias("x")).select("id", "x.col", F.posexplode("x.toks").alias("pos", "tok"))

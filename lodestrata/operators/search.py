@@ -120,8 +120,7 @@ def vector_topk(query_vectors: DataFrame, vectors: DataFrame, k: int, digits: in
     null vectors, and vectors with a null, take no part; with neither the result is empty."""
     spark = vectors.sparkSession
     ship_package(spark)
-    queries = query_vectors.select("qid", F.transform("qvec", lambda x: x.cast("double")).alias("qvec")).where(_whole("qvec"))
-    rows = vectors.select("id", F.transform("vec", lambda x: x.cast("double")).alias("vec")).where(_whole("vec"))
+    queries, rows = query_vectors.select("qid", "qvec"), vectors.select("id", "vec")
     schema = f"qid {queries.schema['qid'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     parts = []
@@ -132,10 +131,6 @@ def vector_topk(query_vectors: DataFrame, vectors: DataFrame, k: int, digits: in
     return top_k(every, k)
 
 
-def _whole(vec: str) -> Column:
-    return F.col(vec).isNotNull() & ~F.exists(vec, lambda x: x.isNull())
-
-
 def allowed(scored: DataFrame, records: DataFrame, filters: Mapping | None) -> DataFrame:
     """Scores of records that pass the filters; corpus figures stay those of all records."""
     if not filters:

@@ -153,6 +153,42 @@ def office_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines")).mapInArrow(build, "path string, name string, content binary")
 
 
+def order_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, name, content): the orders of each of 50 groups of customers as a workbook of numbers, dates with and
+    without a time of day, truth values and texts."""
+    from . import office
+
+    def build(t: pa.Table) -> pa.Table:
+        rows = sorted(t.to_pylist(), key=lambda r: r["k"])
+        cells = [[r["k"], r["price"], (float(r["day"]) if r["k"] % 2 else r["day"] + 0.5,), r["status"] == "O", r["status"]] for r in rows]
+        name = f"orders_{rows[0]['part']}.xlsx"
+        return pa.table({"path": [name], "name": [name], "content": pa.array([office.workbook([("orders", list(enumerate(cells)))])], pa.binary())})
+
+    ship_package(spark)
+    orders = table(spark, sf_dir, "orders")
+    day = F.datediff("o_orderdate", F.lit("1899-12-30").cast("date"))
+    rows = orders.select((F.col("o_custkey") % 50).alias("part"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"), day.alias("day"), F.col("o_orderstatus").alias("status"))
+    return rows.groupBy("part").applyInArrow(build, "path string, name string, content binary")
+
+
+def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, name, content): documents as images with their text in a sidecar beside them, images without one, and
+    sidecars without an image, by their number."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    k, kind = F.col("doc_id").cast("string"), F.col("doc_id") % 4
+    image = F.struct(F.concat(F.lit("photo_"), k, F.when(kind == 0, ".png").otherwise(".JPG")).alias("name"), F.lit("no image").cast("binary").alias("content"))
+    sidecar = F.struct(F.concat(F.lit("photo_"), k, F.lit(".ocr.txt")).alias("name"), F.encode("text", "UTF-8").alias("content"))
+    files = d.select(F.explode(F.when(kind == 3, F.array(sidecar)).when(kind == 2, F.array(image)).otherwise(F.array(image, sidecar))).alias("f"))
+    return files.select(F.concat(F.lit("in/"), F.col("f.name")).alias("path"), "f.*")
+
+
+def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(term, concept, rank): of each benchmark text the first two words and the next two as a phrase."""
+    w = T.tokens(F.col("text"))
+    terms = F.array(F.get(w, F.lit(0)), F.get(w, F.lit(1)), F.concat(F.get(w, F.lit(2)), F.lit(" "), F.get(w, F.lit(3))))
+    return table(spark, sf_dir, "benchmark").select(F.explode(terms).alias("term"), F.col("item_id").alias("concept"), F.col("item_id").alias("rank")).where("term is not null")
+
+
 def unreadable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, name, content): documents under names of formats that they aren't, and empty ones, by their number."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))

@@ -26,14 +26,24 @@ def _relations(*links: tuple[str, str]) -> str:
     return f'<Relationships xmlns="{SCHEMAS}/package/2006/relationships">{rows}</Relationships>'
 
 
-def workbook(sheets: list[tuple[str, list[tuple[int, list[str]]]]]) -> bytes:
-    """(name, rows) for each sheet, a row being its number from 0 and its cells."""
+def _cell(place: str, value: str | float | bool | tuple[float]) -> str:
+    """A cell with a text, a number, a truth value, or, in a tuple, the serial number of a date."""
+    if isinstance(value, str):
+        return f'<c r="{place}" t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>' if value else ""
+    if isinstance(value, bool):
+        return f'<c r="{place}" t="b"><v>{int(value)}</v></c>'
+    return f'<c r="{place}" s="1"><v>{value[0]!r}</v></c>' if isinstance(value, tuple) else f'<c r="{place}"><v>{value!r}</v></c>'
+
+
+def workbook(sheets: list[tuple[str, list[tuple[int, list]]]]) -> bytes:
+    """(name, rows) for each sheet, a row being its number from 0 and its cells, see _cell()."""
     parts = {
         "xl/workbook.xml": f"<workbook {SHEET}><sheets>" + "".join(f'<sheet name={quoteattr(n)} sheetId="{i}" r:id="r{i}"/>' for i, (n, _) in enumerate(sheets, 1)) + "</sheets></workbook>",
         "xl/_rels/workbook.xml.rels": _relations(*(("worksheet", f"worksheets/sheet{i}.xml") for i in range(1, len(sheets) + 1))),
+        "xl/styles.xml": f'<styleSheet {SHEET}><cellXfs><xf numFmtId="0"/><xf numFmtId="22"/></cellXfs></styleSheet>',
     }
     for i, (_, rows) in enumerate(sheets, 1):
-        cells = lambda at, row: "".join(f'<c r="{chr(65 + k)}{at + 1}" t="inlineStr"><is><t xml:space="preserve">{escape(c)}</t></is></c>' for k, c in enumerate(row) if c)
+        cells = lambda at, row: "".join(_cell(f"{chr(65 + k)}{at + 1}", c) for k, c in enumerate(row))
         body = "".join(f'<row r="{at + 1}">{cells(at, row)}</row>' for at, row in rows)
         parts[f"xl/worksheets/sheet{i}.xml"] = f"<worksheet {SHEET}><sheetData>{body}</sheetData></worksheet>"
     return _package(parts)

@@ -314,6 +314,45 @@ SELECT CASE kind WHEN 0 THEN concat('plan_', doc_id, '.md') WHEN 1 THEN concat('
 FROM b WHERE kind <> 1 OR body <> ''"""
 
 
+READ_SHEET = f"WITH {_GRID} SELECT source_file, sheet_name AS sheet, row_idx, array_to_string(cells, '|') AS cells FROM (SELECT *, regexp_replace(source_file, '\\.csv$', '') AS sheet_name FROM g WHERE sheet_idx = 0)"
+
+XLSX_CELLS = """
+SELECT concat('orders_', o_custkey % 50, '.xlsx') AS source_file, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) - 1 AS row_idx,
+  concat_ws('|', o_orderkey, CASE WHEN o_totalprice = floor(o_totalprice) THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) || '.0' ELSE CAST(o_totalprice AS VARCHAR) END,
+    strftime(o_orderdate, '%Y-%m-%d') || CASE WHEN o_orderkey % 2 = 0 THEN ' 12:00' ELSE '' END, CASE WHEN o_orderstatus = 'O' THEN 'True' ELSE 'False' END, o_orderstatus) AS cells FROM orders"""
+
+SIDECARS = f"""
+WITH d AS (SELECT doc_id, doc_id % 4 AS kind, coalesce(text, '') AS t, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '{_BREAK}'), lambda x: {_strip('x')}), lambda x: x <> '')[1] AS line FROM documents)
+SELECT concat('photo_', doc_id, CASE kind WHEN 0 THEN '.png' WHEN 1 THEN '.JPG' ELSE '.ocr.txt' END) AS source_file, substr(line, 1, 120) AS title, md5(t) AS text_md5, 'page 1' AS row_or_page FROM d WHERE kind <> 2 AND {_strip('t')} <> ''"""
+
+_LEX = f"lex AS (SELECT DISTINCT term, item_id AS concept, item_id AS rank FROM (SELECT item_id, unnest([w[1], w[2], w[3] || ' ' || w[4]]) AS term FROM (SELECT item_id, {_TOK.format('text')} AS w FROM benchmark)) WHERE term IS NOT NULL)"
+LEXICON_SYNONYMS = f"""
+WITH {_LEX}, pairs AS (SELECT DISTINCT a.term, b.term AS alias FROM lex a JOIN lex b USING (concept)),
+d AS (SELECT doc_id, lower(coalesce(text, '')) AS low, list_distinct({_TOK.format("coalesce(text, '')")}) AS own FROM documents),
+hit AS (SELECT doc_id, term FROM (SELECT doc_id, unnest(own) AS term FROM d) JOIN (SELECT DISTINCT term FROM lex WHERE NOT contains(term, ' ')) USING (term)
+  UNION SELECT doc_id, term FROM d, (SELECT DISTINCT term FROM lex WHERE contains(term, ' ')) WHERE contains(low, term)),
+al AS (SELECT doc_id, list_sort(list(DISTINCT alias)) AS a FROM hit JOIN pairs USING (term) JOIN d USING (doc_id) WHERE NOT list_contains(own, alias) GROUP BY 1)
+SELECT doc_id, coalesce(array_to_string(a, '|'), '') AS aliases FROM d LEFT JOIN al USING (doc_id)"""
+LEXICON_LABELS = f"""
+WITH {_LEX}, d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+c AS (SELECT doc_id, arg_min('c' || concept, rank) AS category FROM d, lex WHERE contains(lower(text), term) GROUP BY 1),
+p AS (SELECT doc_id, list(term ORDER BY lpad(CAST(rank AS VARCHAR), 19, '0') || ' ' || term) AS places FROM d, lex WHERE contains(text, term) GROUP BY 1)
+SELECT doc_id, coalesce(category, 'Uncategorised') AS category, coalesce(array_to_string(places, '|'), '') AS places FROM d LEFT JOIN c USING (doc_id) LEFT JOIN p USING (doc_id)"""
+
+LOOKUP = "SELECT doc_id, substr(sha1(concat(source, '|', lang, '|doc ', doc_id, '|', title)), 1, 16) AS id, title, md5(text) AS text_md5 FROM (SELECT *, substr(split_part(text, chr(10), 1), 1, 120) AS title FROM documents) WHERE doc_id % 50 = 0"
+
+
+def index_vectors(dim: int, pool: int) -> str:
+    """Vector searches in an index under a filter: vectors of title and text, in single precision, of one language's records."""
+    docs = "SELECT doc_id AS id, substr(split_part(text, chr(10), 1), 1, 120) || chr(10) || text AS text FROM documents WHERE lang = 'fr'"
+    return f"""
+WITH {_vectors("qv", "SELECT item_id AS id, text FROM benchmark", dim)}, {_vectors("dv", docs, dim)},
+dots AS (SELECT a.id AS qid, b.id AS id, sum(a.v * CAST(CAST(b.v AS FLOAT) AS DOUBLE)) AS s FROM qv_v a JOIN dv_v b USING (slot) GROUP BY 1, 2),
+vs AS (SELECT q.item_id AS qid, d.doc_id AS id, round(coalesce(s, 0), 9) AS score FROM benchmark q CROSS JOIN documents d LEFT JOIN dots ON dots.qid = q.item_id AND dots.id = d.doc_id WHERE d.lang = 'fr'),
+v AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM vs QUALIFY rank <= {pool})
+SELECT qid, rank, round(score, 6) AS score FROM v"""
+
+
 INGEST_XLSX = f"SELECT replace(source_file, '.csv', '.xlsx') AS source_file, sheet, row_or_page, raw_text FROM ({NEAR_DUP})"
 
 

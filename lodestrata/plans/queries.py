@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import embedding as E
+from ..functions import lexicon
 from ..functions import records as R
 from ..functions import tagging as G
 from ..functions import text as T
@@ -15,7 +16,8 @@ from ..operators import index as I
 from ..operators import search as S
 from ..operators import sections, tabular
 from ..session import scratch_path, stored
-from ..sources.files import ingest, ingest_with_outcomes
+from ..sources import tables
+from ..sources.files import GRID, ingest, ingest_with_outcomes, parsed, xlsx_grid
 from ..streaming.watch import manifest_diff, stream_table
 from . import inputs as N
 from . import oracle as O
@@ -261,19 +263,31 @@ def cosine_topk_filtered(spark, sf_dir):
 # ---- keyword index ----
 
 
-def _keyword(spark, sf_dir, queries: DataFrame, weights: dict[str, float], fragments: DataFrame | None = None) -> DataFrame:
+#: Distinct tokens of all queries up to which texts are searched for them in place.
+FEW_TOKENS = 20_000
+
+
+def _keyword(spark, sf_dir, queries: DataFrame, weights: dict[str, float], fragments: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
     fields = N.texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), N.first_line(F.col("text")).alias("title"), F.col("source").alias("recipient"), F.col("lang").alias("keys"), F.col("text").alias("body")).select("id", *weights)
-    columns = tuple(weights)
-    # each text is cut into tokens once; postings, lengths and the corpus's figures are read from that table
-    cut = stored(I.tokenised(fields, columns), "tokens")
-    post, lengths = I.postings_of(cut), cut.select("id", "len")
-    corpus = F.broadcast(lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avgdl")))
-    parts = S.query_fragments(S.query_terms(queries)) if fragments is None else fragments
+    cut = I.tokenised(fields, tuple(weights))
+    parts = stored(S.query_fragments(S.query_terms(queries)) if fragments is None else fragments, "fragments")
+    known = parts.select("tok", "n").distinct().limit(FEW_TOKENS + 1).collect()
+    # each text is cut into tokens once; what a query holds of them, and all lengths, are read from the stored table
+    if len(known) <= FEW_TOKENS:
+        cut = stored(I.held_tokens(cut, sorted({r["tok"] for r in known}), any(r["n"] > 1 for r in known)), "tokens")
+        post = cut.select("id", F.explode("found").alias("x")).select("id", "x.*")
+    else:
+        cut = stored(cut, "tokens")
+        post = I.postings_of(cut)
+    lengths = cut.select("id", "len")
+    corpus = lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("avgdl")).first()
     single = parts.where("n = 1").select("qid", "phrase", "tok")
-    # only tokens that a query holds are summed; document lengths and counts are those of the whole corpus
-    found = post.join(S._small(single), "tok").groupBy("qid", "phrase", "id").agg(F.sum(I.weight_of(F.col("col"), weights)).alias("f"))
-    phrases = found.unionByName(S.phrase_frequencies(S._small(parts), post, weights))
-    return S.bm25(phrases, lengths.crossJoin(corpus), F.col("n_docs"), F.col("avgdl"))
+    # frequencies once for each token, then for each query that holds it
+    f = post.groupBy("id", "tok").agg(F.sum(I.weight_of(F.col("col"), weights)).alias("f"))
+    phrases = f.join(S._small(single), "tok").select("qid", "phrase", "id", "f")
+    if len(known) > FEW_TOKENS or any(r["n"] > 1 for r in known):
+        phrases = phrases.unionByName(S.phrase_frequencies(S._small(parts), post, weights))
+    return S.bm25(phrases, lengths, corpus["n_docs"], corpus["avgdl"], only)
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -313,7 +327,7 @@ def bm25_filtered(spark, sf_dir):
     """Filtered before the top-k; document frequencies, counts and lengths are those of all documents."""
     d = N.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("language"))
     q = N.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    return _ranked(S.allowed(_keyword(spark, sf_dir, q, {"body": 1.0}), d, {"language": "de"}), POOL)
+    return _ranked(_keyword(spark, sf_dir, q, {"body": 1.0}, only=d.where(S.metadata_filter({"language": "de"}))), POOL)
 
 
 # ---- files and tags ----
@@ -363,6 +377,67 @@ def index_incremental(spark, sf_dir):
     return _ranked(S.keyword_scores(queries, index), POOL)
 
 
+@query(O.READ_SHEET)
+def sql_read_sheet(spark, sf_dir):
+    """CSV files read by a table function of SQL."""
+    tables.register(spark)
+    N.grid_files(N.customer_grid(spark, sf_dir)).createOrReplaceTempView("lodestrata_files")
+    return spark.sql("SELECT f.name AS source_file, t.sheet, CAST(t.row_idx AS BIGINT) AS row_idx, array_join(t.cells, '|') AS cells FROM lodestrata_files f, LATERAL read_sheet(f.name, f.content) t")
+
+
+@query(O.XLSX_CELLS)
+def xlsx_cell_formats(spark, sf_dir):
+    """Numbers, dates, truth values and texts of workbooks as the texts that records hold."""
+    grid = parsed(N.order_workbooks(spark, sf_dir), xlsx_grid, GRID)
+    return grid.select("source_file", F.col("row_idx").cast("bigint").alias("row_idx"), F.array_join("cells", "|").alias("cells"))
+
+
+@query(O.SIDECARS)
+def scan_sidecars(spark, sf_dir):
+    """Images with the text of the sidecar beside them; a sidecar without its image is a scan of its own."""
+    records = ingest(N.scanned_files(spark, sf_dir), kinds={"scan"})
+    return records.select("source_file", "title", F.md5("raw_text").alias("text_md5"), "row_or_page")
+
+
+@query(O.LEXICON_SYNONYMS)
+def lexicon_synonyms(spark, sf_dir):
+    """Synonyms from a lexicon that is a table, by an automaton."""
+    d = lexicon.synonyms(N.texts(spark, sf_dir, "documents"), "text", N.lexicon(spark, sf_dir))
+    return d.select("doc_id", F.array_join("aliases", "|").alias("aliases"))
+
+
+@query(O.LEXICON_LABELS)
+def lexicon_labels(spark, sf_dir):
+    """Categories and places from tables of triggers and names, by automata."""
+    terms = N.lexicon(spark, sf_dir)
+    hints = terms.select(F.col("term").alias("trigger"), F.concat(F.lit("c"), F.col("concept").cast("string")).alias("category"), "rank")
+    d = lexicon.category(N.texts(spark, sf_dir, "documents"), "text", hints)
+    d = lexicon.places(d, "text", terms.select(F.col("term").alias("place"), "rank").distinct())
+    return d.select("doc_id", "category", F.array_join("places", "|").alias("places"))
+
+
+@query(O.LOOKUP)
+def index_lookup(spark, sf_dir):
+    """Records of stated ids from an index."""
+    index, records = I.Index(spark, scratch_path(spark, "lookup")), N.document_records(spark, sf_dir)
+    index.write(records, E.HashingEmbedder(8))
+    number = F.substring("row_or_page", 5, 20).cast("bigint")
+    ids = [r["id"] for r in records.where(number % 50 == 0).select("id").collect()]
+    return index.lookup(ids).select(number.alias("doc_id"), "id", "title", F.md5("raw_text").alias("text_md5"))
+
+
+@query(O.index_vectors(64, POOL))
+def index_vector_search(spark, sf_dir):
+    """Vector searches in an index, under a filter that comes before the ranks."""
+    index, embedder = I.Index(spark, scratch_path(spark, "vectors")), E.HashingEmbedder(64, digest="md5")
+    index.write(N.document_records(spark, sf_dir), embedder)
+    records = index.table("records", S.metadata_filter({"source_type": "report"})).where("sheet = 'fr'")
+    queries = N.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    asked = embedder.embed(queries, "text", "qvec", "double").select("qid", "qvec")
+    vectors = index.table("vectors").join(records.select("id", F.substring("row_or_page", 5, 20).cast("bigint").alias("doc")), "id").select(F.col("doc").alias("id"), "vec")
+    return S.vector_topk(asked, vectors, POOL).select("qid", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
+
+
 @query(O.tags())
 def tag_records(spark, sf_dir):
     t = G.tag(N.tag_texts(spark, sf_dir))
