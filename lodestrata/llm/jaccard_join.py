@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from ..session import drop_stored, ship_package, stored
 from .batches import pieces, texts
 from .components import components
-from .shingles import set_numbers, shingle_sets
+from .shingles import mix, set_numbers, shingle_sets
 
 #: Links are pairs with 100 * intersection >= PERCENT * union.
 PERCENT = 75
@@ -48,21 +48,44 @@ FEW_PAIRS = 500_000
 HEAD, LEADERS = 4, 16
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+#: Sets that have the number of another set, by number and second number, and the number that they get instead.
+Renamed = dict[tuple[int, int], int]
+#: Most such sets; 2**65 / n**2 makes them a handful for 10**11 sets.
+MOST_RENAMED = 100_000
+
+
+def _sets(batches: Iterator[pa.RecordBatch], width: int, renamed: Renamed) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(batch, shingles, sizes, numbers, second numbers)."""
+    doubtful = np.array(sorted({a for a, _ in renamed}), np.int64)
     for b in pieces(batches, "text"):
         shingles, sizes = shingle_sets([x.encode() for x in texts(b.column("text"))], width)
-        yield b, shingles, sizes, set_numbers(shingles, sizes)
+        numbers, second = set_numbers(shingles, sizes), set_numbers(shingles, sizes, 61)
+        for k in np.flatnonzero(np.isin(numbers, doubtful)).tolist() if len(doubtful) else ():
+            numbers[k] = renamed.get((int(numbers[k]), int(second[k])), numbers[k])
+        yield b, shingles, sizes, numbers, second
 
 
-def document_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, set) for each row of docs."""
+def document_sets(docs: DataFrame, width: int, id_col: str, text_col: str, renamed: Renamed = {}) -> DataFrame:  # noqa: B006
+    """(id, n_shingles, set, second) for each row of docs: a set is known by 64 bits, and by 128 with the second number."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, _, sizes, numbers in _sets(batches, width):
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes), pa.array(numbers)], ["id", "n_shingles", "set"])
+        for b, _, sizes, numbers, second in _sets(batches, width, renamed):
+            yield pa.RecordBatch.from_arrays([b.column("id"), *map(pa.array, (sizes, numbers, second))], ["id", "n_shingles", "set", "second"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles bigint, set bigint, second bigint")
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles bigint, set bigint")
+
+def namesakes(sets: DataFrame) -> Renamed:
+    """Different sets with one number: all but the one with the least second number get another number, which its second
+    number makes. Sets that share both numbers are equal but for a probability of about n * n / 2**129."""
+    both = sets.where("n_shingles > 0").groupBy("set").agg(F.min("second").alias("lo"), F.max("second").alias("hi")).where("lo < hi")
+    if both.isEmpty():
+        return {}
+    found = sets.join(both.select("set", "lo"), "set").where("second > lo").select("set", "second").distinct().limit(MOST_RENAMED + 1).collect()
+    if len(found) > MOST_RENAMED:
+        raise ValueError("too many sets share their numbers")
+    return {(r["set"], r["second"]): int(mix(np.array([r["second"]], np.int64).view(np.uint64) ^ np.uint64(r["set"] % 2**64)).view(np.int64)[0]) for r in found}
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -78,7 +101,7 @@ def _unpack(data: bytes) -> np.ndarray:
 REQUESTS = "bucket bigint, batch bigint, lone binary, places binary, sets binary, repeated binary, counts binary"
 
 
-def packed_postings(docs: DataFrame, width: int, buckets: int, text_col: str) -> DataFrame:
+def packed_postings(docs: DataFrame, width: int, buckets: int, text_col: str, renamed: Renamed = {}) -> DataFrame:  # noqa: B006
     """REQUESTS: what the buckets have to know of each batch of sets, and what the batches keep.
 
     A bucket gets the shingles of its range of numbers: those that one set of the batch holds (lone) with the set's
@@ -115,7 +138,7 @@ def packed_postings(docs: DataFrame, width: int, buckets: int, text_col: str) ->
             names = [x.split()[0] for x in REQUESTS.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64() if i < 2 else pa.binary()) for i in range(len(names))], names)
 
-        for _, shingles, sizes, numbers in _sets(batches, width):
+        for _, shingles, sizes, numbers, _ in _sets(batches, width, renamed):
             fresh = np.zeros(len(sizes), bool)
             for i, (x, size) in enumerate(zip(numbers.tolist(), sizes.tolist(), strict=True)):
                 if size and x not in seen:  # this task has sent an equal set already
@@ -208,10 +231,10 @@ def need(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100)
 
 
-def index_of(docs: DataFrame, percent: int, width: int, text_col: str, buckets: int) -> DataFrame:
+def index_of(docs: DataFrame, percent: int, width: int, text_col: str, buckets: int, renamed: Renamed = {}) -> DataFrame:  # noqa: B006
     """(set, n, shingles, prefix): sets that may link, their shared shingles from rare to common, and how many of these
     lie in the prefix; those not shared come before, so position i of the array is position n - size + i of the set."""
-    answers = packed_postings(docs, width, buckets, text_col).groupBy("bucket").applyInArrow(_answers, ANSWERS)
+    answers = packed_postings(docs, width, buckets, text_col, renamed).groupBy("bucket").applyInArrow(_answers, ANSWERS)
     found = answers.groupBy("batch").applyInArrow(_indexed(percent), INDEX)
     return found.dropDuplicates(["set"])  # copies of a set in several batches
 
@@ -389,19 +412,30 @@ def _pairs(entries: DataFrame) -> tuple:
     return tuple(blocks.agg(F.max("most"), F.sum("rows"), *(F.sum(F.col(f"one{i}") * F.col(f"one{i}") - F.col(f"own{i}")) for i in range(len(STEPS)))).first())
 
 
+def _settled(docs: DataFrame) -> DataFrame:
+    """docs, stored unless their plan only scans, filters and projects: shuffled rows may come in another order again."""
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    scans = "FileScan" in plan or "BatchScan" in plan
+    return docs if scans and not any(x in plan for x in ("Exchange", "Join", "Sample", "Aggregate", "Limit", "Python", "Arrow", "Pandas")) else stored(docs, "documents")
+
+
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for each row of docs; component_id is the smallest id reachable by links.
 
     Null and empty texts and texts of white space have no shingles and link with nothing: their component is their own
     id. Ids that are null keep a null component unless they link to another row. Repeated rows are equal sets and
     linked. Other columns are not read; an empty table gives an empty table. A task that is repeated has to get its rows
-    of docs in the same order, as from files or a stored table.
+    in the same order, so docs that don't come straight from files are stored first.
     """
     spark = docs.sparkSession
     ship_package(spark)
+    docs = _settled(docs.select(id_col, text_col))
     rows = stored(document_sets(docs, width, id_col, text_col), "sets")
+    if renamed := namesakes(rows):
+        drop_stored(rows)
+        rows = stored(document_sets(docs, width, id_col, text_col, renamed), "sets")
     buckets = 1 + (rows.agg(F.sum("n_shingles")).first()[0] or 0) // BUCKET_SHINGLES
-    index = stored(index_of(docs, percent, width, text_col, buckets), "index")
+    index = stored(index_of(docs, percent, width, text_col, buckets, renamed), "index")
     roots = link_components(index, percent)
     drop_stored(index)
     sets = rows.where("n_shingles > 0").groupBy("set").agg(F.min("id").alias("least")).join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))

@@ -79,12 +79,12 @@ def shingle_sets(documents: list[bytes], width: int = 5) -> tuple[np.ndarray, np
     return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
-def set_numbers(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def set_numbers(shingles: np.ndarray, sizes: np.ndarray, factor: int = 60) -> np.ndarray:
     """A signed 64-bit number for each set: equal sets have equal numbers, and n different sets meet with a probability
-    of about n * n / 2**65. Empty sets are 0."""
+    of about n * n / 2**65. Numbers of different factors (60 to 63) are independent. Empty sets are 0."""
     out = np.zeros(len(sizes), np.uint64)
     full = np.flatnonzero(sizes)
     if len(full):
         at = (np.cumsum(sizes) - sizes)[full]
-        out[full] = mix(np.add.reduceat(mix(shingles ^ FACTORS[60]), at) + sizes[full].astype(np.uint64))
+        out[full] = mix(np.add.reduceat(mix(shingles ^ FACTORS[factor]), at) + sizes[full].astype(np.uint64))
     return out.view(np.int64)

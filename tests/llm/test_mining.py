@@ -58,9 +58,31 @@ def phrase_docs(rng):
     return [*out, out[0], out[0], (None, None, "en", None, None), (99, "", None, None, None), (100, "the the the the the the the", "fr", None, None)]
 
 
+def test_bitmaps_extend_phrases(monkeypatch):
+    """Shifted and ANDed bitmaps, batch by batch, against counting; carries into the next block too."""
+    rng = np.random.default_rng(8)
+    tokens = rng.integers(0, 5, 700).astype(np.int32)
+    f = [Counter(tuple(tokens[i : i + k].tolist()) for i in range(len(tokens) - k + 1) if tokens[i : i + k].all()) for k in range(6)]
+    for step in (10**6, 40):
+        monkeypatch.setattr(collocations, "STEP", step)
+        maps, got = collocations._Bitmaps(tokens), [Counter() for _ in range(6)]
+        for nodes in maps.roots():
+            for k in range(2, 6):
+                *nodes, counts = maps.extend(*nodes, None)
+                got[k].update(dict(zip(map(tuple, nodes[0].tolist()), counts.tolist(), strict=True)))
+        assert got[2:] == f[2:]
+        pairs = np.array([1 * maps.width + 2, 2 * maps.width + 2])
+        found = Counter()
+        for nodes in maps.roots():
+            for _ in range(2):
+                *nodes, counts = maps.extend(*nodes, pairs)
+            found.update(dict(zip(map(tuple, nodes[0].tolist()), counts.tolist(), strict=True)))
+        assert found == Counter({p: n for p, n in f[3].items() if p in ((1, 2, 2), (2, 2, 2))})
+    assert not list(collocations._Bitmaps(np.zeros(50, np.int32)).roots())
+
+
 @pytest.mark.parametrize("shard", [50, 10**6])
-def test_collocations(spark, shard, monkeypatch):
-    monkeypatch.setattr(collocations, "STEP", 40)
+def test_collocations(spark, shard):
     docs = phrase_docs(random.Random(7))
     frame = spark.createDataFrame(docs, DOCS).repartition(3)
     for least, longest, top in ((5, 5, 7), (2, 3, 1000), (3, 2, 1000)):

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -154,7 +155,23 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
 
 
-def test_jaccard_join(spark, docs, none):
+def test_sets_of_one_number_are_told_apart(spark, tmp_path):
+    rows = [(1, 3, 77, 5), (2, 3, 77, 5), (3, 3, 77, 9), (4, 3, 77, 11), (5, 3, 78, 1), (6, 0, 0, 0)]
+    renamed = jaccard_join.namesakes(spark.createDataFrame(rows, "id int, n_shingles bigint, set bigint, second bigint"))
+    assert set(renamed) == {(77, 9), (77, 11)} and len({*renamed.values(), 77, 78}) == 4
+    batch = pa.RecordBatch.from_pydict({"text": ["one two three", "four", "one two three", ""]})
+    [(_, _, sizes, numbers, second)] = jaccard_join._sets([batch], 5, {})
+    assert numbers[0] == numbers[2] != numbers[1] and second[0] != numbers[0] and sizes.tolist() == [1, 1, 1, 0]
+    [(_, _, _, again, _)] = jaccard_join._sets([batch], 5, {(int(numbers[0]), int(second[0])): 123, (int(numbers[1]), 0): 9})
+    assert again.tolist() == [123, numbers[1], 123, 0]
+    assert jaccard_join.namesakes(spark.createDataFrame(rows[:2], "id int, n_shingles bigint, set bigint, second bigint")) == {}
+    files = spark.range(9)
+    files.write.parquet(f"{tmp_path}/t")
+    assert not hasattr(jaccard_join._settled(spark.read.parquet(f"{tmp_path}/t").where("id > 1")), "stored_at")
+    assert hasattr(jaccard_join._settled(spark.read.parquet(f"{tmp_path}/t").repartition(3)), "stored_at")
+
+
+def test_jaccard_join(spark, docs, none, monkeypatch):
     r = random.Random(11)
     base = [f"w{r.randint(0, 400)}" for _ in range(120)]
     rows = []
@@ -181,6 +198,11 @@ def test_jaccard_join(spark, docs, none):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(df).collect()}
     assert got == {i: (len(sets[i]), top(i)) for i in root}
+    # many batches and buckets, so that requests are cut
+    for name, few in (("BATCH_SETS", 7), ("BATCH_SHINGLES", 900), ("BUCKET_SHINGLES", 1500)):
+        monkeypatch.setattr(jaccard_join, name, few)
+    assert got == {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(df).collect()}
+    monkeypatch.undo()
     untidy = jaccard_join.jaccard_components(docs)
     assert {(r["doc_id"], r["component_id"]) for r in untidy.where("doc_id in (4, 5, 1)").collect()} == {(4, 4), (5, 4), (1, 1)}
     kept = jaccard_join.one_of_each(docs, untidy)
