@@ -93,6 +93,28 @@ def build_index_drive(spark: SparkSession, root: str, connect: Callable[[], obje
     return {**_summary(index, index.write(records, get_embedder(embedder), append=not reset)), "folder_id": folder}
 
 
+def follow_drive(spark: SparkSession, root: str, connect: Callable[[], object], folder: str, checkpoint: str, embedder: str = "auto", recursive: bool = True, available_now: bool = True):
+    """Keeps an index up to date with a drive folder by a stream of its changes: only changed files are downloaded, and
+    records of changed and removed ones are dead from then on. Returns the running query."""
+    from ..session import scratch_path
+    from ..sources.drive import drive_stream, ingest_drive
+
+    index, chosen = open_index(spark, root), get_embedder(embedder)
+
+    def each(files: DataFrame, _: int) -> None:
+        files.write.parquet(path := scratch_path(spark, "drive"))  # each file is downloaded once
+        files = spark.read.schema(files.schema).parquet(path)
+        if files.isEmpty():
+            return
+        touched = files.select(F.col("origin_id").alias("_origin")).distinct()
+        pick = lambda old: old.withColumn("_origin", F.col("extra.origin_id")).join(touched, "_origin", "left_semi")
+        records = tag(ingest_drive(files.where("NOT removed").drop("removed")))
+        index.write(records, chosen, index.exists(), pick if index.exists() else None)
+
+    writer = drive_stream(spark, connect, folder, recursive).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="300 seconds")).start()
+
+
 def ranked_legs(index: Index, query: str, embedder: str, filters: Mapping | None, pool: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(queries, keyword leg, vector leg) for one query."""
     spark, meta = index.spark, index.meta()

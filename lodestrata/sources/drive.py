@@ -14,7 +14,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions.records import TYPES, record_id
 from ..session import ship_package
@@ -145,6 +145,81 @@ def folder_source(connect: Callable[[], object], folder: str, recursive: bool =
     return DriveFolder
 
 
+class ChangesReader(DataSourceStreamReader):
+    """A folder as a stream. Its offset is the drive's change token: the first batch holds the whole folder, each later
+    one the files that changed since, and those that were removed. A file that changes while a batch is read may come
+    once more in the next one."""
+
+    def __init__(self, connect: Callable[[], object], folder: str, recursive: bool, share: int):
+        self.connect, self.folder, self.recursive, self.share = connect, folder, recursive, share
+
+    def initialOffset(self) -> dict:
+        return {"token": ""}
+
+    def latestOffset(self) -> dict:
+        return {"token": str(self.connect().changes().getStartPageToken(supportsAllDrives=True).execute()["startPageToken"])}
+
+    def partitions(self, start: dict, end: dict) -> list[Share]:
+        service = self.connect()
+        found = list(changed(service, self.folder, start["token"], self.recursive) if start["token"] else below(service, self.folder, self.recursive))
+        return [Share(found[k : k + self.share]) for k in range(0, len(found), self.share)] or [Share([])]
+
+    def read(self, partition: Share) -> Iterator[tuple]:
+        service = self.connect() if partition.items else None
+        for item in partition.items:
+            if item.get("removed"):
+                yield None, None, None, item["id"], None, None, True
+            else:
+                yield f"drive:{item['id']}/{named(item)}", named(item), content_of(service, item), item["id"], item["name"], item.get("modifiedTime"), False
+
+
+def changed(service, folder: str, token: str, recursive: bool = True) -> Iterator[dict]:
+    """The last state of each file that changed since the token: its listing, or its id and ``removed``. A file that is
+    trashed, or has left the folder, is removed."""
+    ask = {"fields": "nextPageToken,newStartPageToken,changes(fileId,removed,file(id,name,mimeType,modifiedTime,trashed,parents))", "pageSize": PAGE, "includeRemoved": True, "supportsAllDrives": True, "includeItemsFromAllDrives": True}
+    last, following = {}, token
+    while following:
+        answer = service.changes().list(pageToken=following, **ask).execute()
+        last |= {c["fileId"]: c for c in answer.get("changes", ())}
+        following = answer.get("nextPageToken")
+    above: dict[str, bool] = {folder: True}
+
+    def inside(parents: list[str]) -> bool:
+        """One of the parents is the folder or, where recursive, lies in it; parents of folders are asked for once."""
+        for p in parents:
+            if p not in above and recursive:
+                above[p] = False  # a circle leads nowhere
+                above[p] = inside(service.files().get(fileId=p, fields="parents", supportsAllDrives=True).execute().get("parents", []))
+        return any(above.get(p) for p in parents)
+
+    for number, change in last.items():
+        item = change.get("file") or {}
+        kind = item.get("mimeType", "")
+        if change.get("removed") or item.get("trashed") or not inside(item.get("parents", [])):
+            yield {"id": number, "removed": True}
+        elif kind in EXPORTS or not kind.startswith(NATIVE):
+            yield item
+
+
+def drive_stream(spark: SparkSession, connect: Callable[[], object], folder: str, recursive: bool = True, share: int = SHARE) -> DataFrame:
+    """drive_files() as a stream of changes, with a column ``removed``; rows of removed files hold their origin_id only."""
+
+    class DriveChanges(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "drive_changes"
+
+        def schema(self) -> str:
+            return "path string, name string, content binary, origin_id string, origin_name string, origin_modified string, removed boolean"
+
+        def streamReader(self, schema) -> ChangesReader:
+            return ChangesReader(connect, folder, recursive, share)
+
+    ship_package(spark)
+    spark.dataSource.register(DriveChanges)
+    return spark.readStream.format("drive_changes").load()
+
+
 def drive_files(spark: SparkSession, connect: Callable[[], object], folder: str, recursive: bool = True, share: int = SHARE) -> DataFrame:
     """(path, name, content, origin_id, origin_name, origin_modified) of a drive folder's files. connect makes a client;
     only the listing is made in one place, contents go from the drive to the task that reads them. A lost task downloads
