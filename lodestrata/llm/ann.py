@@ -27,6 +27,8 @@ from .vectors import moments, pack_blocks, usable
 CURVES, DIMS, BITS = 8, 8, 7
 #: Vectors of a block at most, and blocks that the table is cut into at least (of LEAST vectors, though).
 BLOCK, BLOCKS, LEAST = 4096, 64, 32
+#: Bytes of vectors, copied for each curve, that one pass lays out in blocks; a curve at a time where they are more.
+PASS = 4 << 30
 #: Queries that the width of the windows is measured on, and the share of their true neighbours that they have to hold.
 SAMPLE, RECALL = 100, 0.97
 
@@ -152,9 +154,11 @@ def _reach_of(own: int, other: int, blocks: int) -> int:
 
 
 def _candidates(queries: DataFrame, blocks: DataFrame, n_blocks: int, reach: int, k: int, dim: int) -> DataFrame:
-    """(query, id, score): for each query the k best rows of each block of the window around its own."""
-    first = F.greatest(F.lit(0), F.least(F.col("block") - reach, F.lit(n_blocks - 1 - 2 * reach)))
-    window = F.sequence(first, F.least(F.lit(n_blocks - 1), first + 2 * reach))
+    """(query, id, score): for each query the k best rows of each block of the window around its own. Block b of curve c
+    has the number c * n_blocks + b."""
+    own, curve = F.col("block") % n_blocks, F.col("block") - F.col("block") % n_blocks
+    first = F.greatest(F.lit(0), F.least(own - reach, F.lit(n_blocks - 1 - 2 * reach)))
+    window = F.sequence(curve + first, curve + F.least(F.lit(n_blocks - 1), first + 2 * reach))
     near = queries.select(F.explode(window).alias("block"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,15 +195,18 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
         n, total, scatter = moments(own)
         size = block or min(BLOCK, max(LEAST, -(-n // BLOCKS)))
         places = ordered(own, [Curve(c, scatter / n, total / n, dims, bits) for c in range(curves)])
-        mine = asked.select("id").distinct().join(own, "id")
+        mine = stored(asked.select("id").distinct().join(own, "id"), "mine")
         drawn = [(r["id"], r["vec"]) for r in mine.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "vec").collect()]
         reach = window_reach(places, _true_neighbours(own, drawn, k) if drawn else {}, curves, n, size, recall)
-        for c in range(curves):
-            along = places.where(F.col("curve") == c).select("id", F.floor(F.col("place") / size).alias("block")).join(own.select("id", "vec"), "id")
+        n_blocks, at_once = -(-n // size), max(1, min(curves, PASS // (8 * dim * n)))
+        for c in range(0, curves, at_once):
+            number = F.col("curve") * n_blocks + F.floor(F.col("place") / size)
+            along = stored(places.where(F.col("curve").between(c, c + at_once - 1)).select("id", number.alias("block")).join(own.select("id", "vec"), "id"), "along")
             packed = stored(pack_blocks(along), "blocks")
-            queries = pack_blocks(along.join(asked.select("id").distinct(), "id", "left_semi"))
-            best = stored(_candidates(queries, packed, -(-n // size), reach, k + 1, dim), "candidates")
+            queries = pack_blocks(along.join(mine.select("id"), "id", "left_semi"))
+            best = stored(_candidates(queries, packed, n_blocks, reach, k + 1, dim), "candidates")
             drop_stored(packed)
+            drop_stored(along)
             found = best if found is None else found.union(best)
         drop_stored(places)
     if found is None:
