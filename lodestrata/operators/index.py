@@ -25,6 +25,7 @@ from pyspark.sql.types import StructType
 from ..functions import text as T
 from ..functions.embedding import Embedder
 from ..functions.records import search_text
+from ..session import spread
 
 #: Columns of the keyword index and what an occurrence in each weighs.
 WEIGHTS = {"title": 6.0, "recipient": 16.0, "keys": 8.0, "body": 1.0}
@@ -302,7 +303,7 @@ class Index:
         given = read("given")
         self._ranged(upsert(given.limit(0), given).drop("ordinal"), f"{path}/records", ["id"], bloom="id")
         kept = read("records")
-        fields = index_fields(kept)
+        fields = index_fields(spread(kept))
         # the text of each record is made and cut once; all other tables come from these two
         tokenised(fields).write.parquet(f"{path}/tokens")
         cut = read("tokens")

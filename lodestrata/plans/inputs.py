@@ -12,23 +12,16 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions.records import as_records
-from ..session import ship_package
+from ..session import ship_package, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bytes of a table for each core below which texts() deals it out.
-SPREAD_BYTES = 32_000_000
-
-
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table for queries that work hard on each row. One of a few megabytes for each core is often a single row group,
-    and so a single task; its rows are dealt out to all cores. Larger tables are read as they lie."""
-    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+    """A table for queries that work hard on each row."""
+    return spread(table(spark, sf_dir, name))
 
 
 def first_line(text: Column) -> Column:

@@ -18,7 +18,7 @@ from ..operators import sections, tabular
 from ..session import scratch_path, stored
 from ..sources import tables
 from ..sources.files import GRID, ingest, ingest_with_outcomes, parsed, xlsx_grid
-from ..streaming.watch import manifest_diff, stream_table
+from ..streaming.watch import follow_snapshots, manifest_diff, stream_table
 from . import inputs as N
 from . import oracle as O
 
@@ -478,6 +478,17 @@ def manifest_changes(spark, sf_dir):
     return manifest_diff(*N.manifests(spark, sf_dir))
 
 
+@query(O.MANIFEST)
+def manifest_stream(spark, sf_dir):
+    """The same changes from snapshots that arrive one after the other, by a stream with a state for each path."""
+    base = scratch_path(spark, "snapshots")
+    for k, m in enumerate(N.manifests(spark, sf_dir)):
+        at = F.timestamp_seconds(F.lit(1_700_000_000 + 60 * k))
+        m.select(at.alias("at"), "path", "size", "mtime").write.mode("append").parquet(f"{base}/in")
+        follow_snapshots(spark, f"{base}/in", f"{base}/checkpoint", f"{base}/out").awaitTermination()
+    return spark.read.parquet(f"{base}/out").where(F.unix_timestamp("at") > 1_700_000_000).select("path", "change")
+
+
 @query("SELECT doc_id, source, n_chars FROM documents")
 def stream_ingest_available_now(spark, sf_dir):
     base = scratch_path(spark, "stream")

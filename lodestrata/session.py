@@ -81,6 +81,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Bytes of a table for each core below which spread() deals it out.
+SPREAD_BYTES = 32_000_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table for work that is hard on each row. One of a few megabytes for each core is often a single file or row group,
+    and so a single task; its rows are dealt out to all cores. Larger tables are read as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+
+
 def drop_stored(df: DataFrame) -> None:
     """Deletes a table that stored() has written and that nothing reads any more."""
     sc = df.sparkSession.sparkContext

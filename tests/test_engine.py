@@ -167,6 +167,18 @@ def test_watch_and_streams(spark, tmp_path):
     assert sorted(names) == ["a.txt", "b.txt"]
 
 
+def test_snapshots_as_a_stream(spark, tmp_path):
+    import datetime
+
+    snapshots = [{"a": 1, "b": 1}, {"a": 2, "c": 1}, {"a": 2, "c": 1}, {"b": 5, "c": 1}]
+    for k, s in enumerate(snapshots):
+        rows = [(datetime.datetime(2025, 1, 1, 0, k), p, n, 1) for p, n in s.items()]
+        spark.createDataFrame(rows, W.SNAPSHOT).write.mode("append").parquet(f"{tmp_path}/in")
+        W.follow_snapshots(spark, f"{tmp_path}/in", f"{tmp_path}/cp", f"{tmp_path}/out").awaitTermination()
+    got = {(r["at"].minute, r["path"], r["change"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(0, "a", "added"), (0, "b", "added"), (1, "a", "changed"), (1, "c", "added"), (1, "b", "removed"), (3, "b", "added"), (3, "a", "removed")}
+
+
 class FakeDrive:
     """Answers as the drive client does."""
 

@@ -70,3 +70,39 @@ def test_bytes_are_decoded_as_python_does(spark):
     rows = [(bytes(r.choice([0x41, 0xC3, 0xA9, 0xE0, 0xA4, 0xB0, 0xF0, 0x9F, 0x98, 0x80, 0xFF, 0xED, 0xA0, 0xC0]) for _ in range(r.randrange(9))),) for _ in range(3000)]
     got = spark.createDataFrame(rows, "b binary").select("b", files._decoded(F.col("b")).alias("t")).collect()
     assert [(x["b"], x["t"]) for x in got if bytes(x["b"]).decode("utf-8", "replace") != x["t"]] == []
+
+
+def test_pdf_pages(monkeypatch):
+    """Text layers, OCR of pages with hardly any text, and pages without either; the library is a stand-in."""
+    import sys
+    import types
+
+    class Page:
+        def __init__(self, text):
+            self.text = text
+
+        def get_text(self):
+            return self.text
+
+        def get_pixmap(self, dpi):
+            assert dpi == 200
+            return types.SimpleNamespace(tobytes=lambda kind: f"{kind} of {self.text}".encode())
+
+    class Pages(list):
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            return False
+
+    texts = ["\n First line of the page \nsecond line", "few", "  ", "only a few letters"]
+    opened = lambda stream, filetype: Pages(map(Page, texts)) if (stream, filetype) == (b"%PDF", "pdf") else None
+    monkeypatch.setitem(sys.modules, "fitz", types.SimpleNamespace(open=opened))
+    monkeypatch.setattr(files, "_ocr", lambda image: "read by eye" if image() == b"png of few" else "")
+    got = list(files.pdf_pages("a.pdf", b"%PDF"))
+    assert [(r["row_or_page"], r["title"], r["extractor"]) for r in got] == [("page 1", "First line of the page", "text-layer"), ("page 2", "read by eye", files.OCR_NAME), ("page 4", "only a few letters", "text-layer")]
+    monkeypatch.setitem(sys.modules, "fitz", None)
+    import pytest
+
+    with pytest.raises(files.NotInstalled):
+        list(files.pdf_pages("a.pdf", b"%PDF"))
