@@ -40,7 +40,7 @@ def index_fields(records: DataFrame, aliases: bool = True) -> DataFrame:
 
 def postings(fields: DataFrame, columns=tuple(WEIGHTS)) -> DataFrame:
     """(id, col, pos, tok) for each token of each column, in one pass over the fields."""
-    return postings_of(tokenised(fields, columns))
+    return postings_of(tokenised(fields, columns)).drop("len")
 
 
 def tokenised(fields: DataFrame, columns=tuple(WEIGHTS)) -> DataFrame:
@@ -65,8 +65,8 @@ def held_tokens(cut: DataFrame, tokens: list[str], positions: bool) -> DataFrame
 
 
 def postings_of(cut: DataFrame) -> DataFrame:
-    """postings() of a table that tokenised() has made."""
-    return cut.select("id", F.explode("cols").alias("x")).select("id", "x.col", F.posexplode("x.toks").alias("pos", "tok"))
+    """postings() of a table that tokenised() has made, with each record's length."""
+    return cut.select("id", "len", F.explode("cols").alias("x")).select("id", "len", "x.col", F.posexplode("x.toks").alias("pos", "tok"))
 
 
 def weight_of(col: Column, weights: dict[str, float]) -> Column:
@@ -74,8 +74,9 @@ def weight_of(col: Column, weights: dict[str, float]) -> Column:
 
 
 def term_frequencies(post: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """(id, tok, f): weighted occurrences. Counts meet map-side before the shuffle."""
-    return post.groupBy("id", "tok").agg(F.sum(weight_of(F.col("col"), weights)).alias("f"))
+    """(id, tok, f), with the record's length too where post has it: weighted occurrences. Counts meet map-side before the
+    shuffle."""
+    return post.groupBy("id", "tok", *(c for c in ("len",) if c in post.columns)).agg(F.sum(weight_of(F.col("col"), weights)).alias("f"))
 
 
 def document_lengths(fields: DataFrame, columns=tuple(WEIGHTS)) -> DataFrame:
@@ -309,7 +310,7 @@ class Index:
         cut = read("tokens")
         self._ranged(cut.select("id", "len"), f"{path}/lengths", ["id"], bloom="id")
         # ranges of (token, id): the postings of a word that is in most records are many ranges
-        self._ranged(postings_of(cut), f"{path}/postings", ["tok", "id"], ["col", "pos"])
+        self._ranged(postings_of(cut).drop("len"), f"{path}/postings", ["tok", "id"], ["col", "pos"])
         # dealt by (token, id) already, so frequencies are summed and sorted where they lie
         dealt = postings_of(cut).repartitionByRange("tok", "id")
         self._sorted(term_frequencies(dealt).sortWithinPartitions("tok", "id"), f"{path}/tf")

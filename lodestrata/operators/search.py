@@ -75,17 +75,30 @@ def phrase_frequencies(fragments: DataFrame, post: DataFrame, weights: Mapping[s
     return hits.groupBy("qid", "phrase", "id").agg(F.sum(weight_of(F.col("col"), dict(weights))).alias("f"))
 
 
-def bm25(phrases: DataFrame, lengths: DataFrame, n_docs: int | Column, avgdl: float | Column, only: DataFrame | None = None) -> DataFrame:
-    """(qid, id, score) from (qid, phrase, id, f), for the ids of ``only`` where given. Document frequencies are those of
-    the whole corpus all the same."""
-    n_docs, avgdl = (x if isinstance(x, Column) else F.lit(float(x)) for x in (n_docs, avgdl))
-    df = phrases.groupBy("qid", "phrase").agg(F.count("*").alias("df"))
-    idf = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-    wanted = phrases if only is None else phrases.join(only.select("id"), "id", "left_semi")
-    rows = wanted.join(df, ["qid", "phrase"]).join(lengths, "id")
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / avgdl))
-    return rows.groupBy("qid", "id").agg(F.sum(part).alias("score"))
+def contributions(rows: DataFrame, by: list[str], n_docs: float, avgdl: float, only: DataFrame | None = None, few: bool = False) -> DataFrame:
+    """Rows (by..., id, f, len) with what each adds to its document's score as ``part``, for the ids of ``only`` where
+    given. Document frequencies are those of all rows. few: there are few different values of ``by``."""
+    df = rows.groupBy(*by).agg(F.count("*").alias("df"))
+    idf = F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = df.select(*by, F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"))
+    kept = rows if only is None else rows.join(only.select("id"), "id", "left_semi")
+    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / float(avgdl)))
+    return kept.join(F.broadcast(weight) if few else weight, by).withColumn("part", part)
+
+
+def bm25(phrases: DataFrame, lengths: DataFrame, n_docs: float, avgdl: float, only: DataFrame | None = None) -> DataFrame:
+    """(qid, id, score) from (qid, phrase, id, f)."""
+    return contributions(phrases.join(lengths, "id"), ["qid", "phrase"], n_docs, avgdl, only).groupBy("qid", "id").agg(F.sum("part").alias("score"))
+
+
+def token_scores(tf: DataFrame, fragments: DataFrame, multi: DataFrame | None, n_docs: float, avgdl: float, only: DataFrame | None = None, few: bool = False) -> DataFrame:
+    """(qid, id, score): of fragments' single tokens by their frequencies (id, tok, f, len), each weighed once for all
+    queries that hold it; of phrases by their own (qid, phrase, id, f, len)."""
+    parts = contributions(tf, ["tok"], n_docs, avgdl, only, few).select("tok", "id", "part")
+    found = parts.join(_small(fragments.where("n = 1").select("qid", "tok")), "tok").select("qid", "id", "part")
+    if multi is not None:
+        found = found.unionByName(contributions(multi, ["qid", "phrase"], n_docs, avgdl, only).select("qid", "id", "part"))
+    return found.groupBy("qid", "id").agg(F.sum("part").alias("score"))
 
 
 def keyword_scores(queries: DataFrame, index: Index, filters: Mapping | None = None, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
@@ -96,16 +109,14 @@ def keyword_scores(queries: DataFrame, index: Index, filters: Mapping | None = N
     fragments = query_fragments(query_terms(queries))
     known = fragments.select("tok", "n").distinct().limit(MOST_LITERALS + 1).collect()
     literal = len(known) <= MOST_LITERALS
-    if literal:
-        several = any(r["n"] > 1 for r in known)
-        tf, post = (index.of_tokens(t, sorted({r["tok"] for r in known if (r["n"] > 1) == (t == "postings")})) for t in ("tf", "postings"))
-    else:
-        several, tf, post = True, index.table("tf"), index.table("postings")
-    phrases = tf.join(_small(fragments.where("n = 1").select("qid", "phrase", "tok")), "tok").select("qid", "phrase", "id", "f")
-    if several:
-        phrases = phrases.unionByName(phrase_frequencies(_small(fragments), post, weights))
+    of = lambda several: sorted({r["tok"] for r in known if (r["n"] > 1) == several}) if literal else None
+    tf, multi = index.of_tokens("tf", of(False)), None
+    if not literal:
+        tf = tf.join(_small(fragments.where("n = 1").select("tok").distinct()), "tok", "left_semi")
+    if not literal or of(True):
+        multi = phrase_frequencies(_small(fragments), index.of_tokens("postings", of(True)), weights).join(index.table("lengths"), "id")
     only = index.table("records", metadata_filter(filters)).select("id") if filters else None
-    return bm25(phrases, index.table("lengths"), meta["count"], meta["avgdl"] or 1.0, only)
+    return token_scores(tf, fragments, multi, meta["count"], meta["avgdl"] or 1.0, only, literal)
 
 
 def _small(side: DataFrame, most: int = BROADCAST_QUERIES) -> DataFrame:

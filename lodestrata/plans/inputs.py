@@ -113,6 +113,7 @@ def workbooks(grid: DataFrame) -> DataFrame:
     def build(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: (r["sheet_idx"], r["row_idx"]))
         sheets = [(name, [(r["row_idx"], r["cells"]) for r in own]) for (_, name), own in groupby(rows, lambda r: (r["sheet_idx"], r["sheet"]))]
+        sheets.append(("blank", [(0, ["", " "])]))  # holds nothing, so it gives no record
         name = rows[0]["source_file"].replace(".csv", ".xlsx")
         return pa.table({"path": [name], "name": [name], "content": pa.array([office.workbook(sheets)], pa.binary())})
 

@@ -275,19 +275,18 @@ def _keyword(spark, sf_dir, queries: DataFrame, weights: dict[str, float], fragm
     # each text is cut into tokens once; what a query holds of them, and all lengths, are read from the stored table
     if len(known) <= FEW_TOKENS:
         cut = stored(I.held_tokens(cut, sorted({r["tok"] for r in known}), any(r["n"] > 1 for r in known)), "tokens")
-        post = cut.select("id", F.explode("found").alias("x")).select("id", "x.*")
+        post = cut.select("id", "len", F.explode("found").alias("x")).select("id", "len", "x.*")
     else:
         cut = stored(cut, "tokens")
         post = I.postings_of(cut)
-    lengths = cut.select("id", "len")
-    corpus = lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("avgdl")).first()
-    single = parts.where("n = 1").select("qid", "phrase", "tok")
-    # frequencies once for each token, then for each query that holds it
-    f = post.groupBy("id", "tok").agg(F.sum(I.weight_of(F.col("col"), weights)).alias("f"))
-    phrases = f.join(S._small(single), "tok").select("qid", "phrase", "id", "f")
-    if len(known) > FEW_TOKENS or any(r["n"] > 1 for r in known):
-        phrases = phrases.unionByName(S.phrase_frequencies(S._small(parts), post, weights))
-    return S.bm25(phrases, lengths, corpus["n_docs"], corpus["avgdl"], only)
+    corpus = cut.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("avgdl")).first()
+    multi, few = None, len(known) <= FEW_TOKENS
+    if not few or any(r["n"] > 1 for r in known):
+        multi = S.phrase_frequencies(S._small(parts), post, weights).join(cut.select("id", "len"), "id")
+    tf = I.term_frequencies(post, weights)
+    if not few:
+        tf = tf.join(parts.where("n = 1").select("tok").distinct(), "tok", "left_semi")
+    return S.token_scores(tf, parts, multi, corpus["n_docs"], corpus["avgdl"], only, few)
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
