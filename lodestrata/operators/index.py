@@ -15,7 +15,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,10 +32,10 @@ WEIGHTS = {"title": 6.0, "recipient": 16.0, "keys": 8.0, "body": 1.0}
 
 
 def index_fields(records: DataFrame, aliases: bool = True) -> DataFrame:
-    """(id, title, recipient, keys, body): what the keyword index holds of each record."""
+    """(id, title, recipient, keys, body): what the keyword index holds of each record; its number too, where it has one."""
     field = T.with_aliases if aliases else (lambda c: F.coalesce(c, F.lit("")))
     body = search_text(*(F.col(c) for c in ("title", "raw_text", "alias_text", "location", "entities")))
-    return records.select("id", F.coalesce("title", F.lit("")).alias("title"), field(F.col("recipient")).alias("recipient"), field(F.col("key_fields")).alias("keys"), body.alias("body"))
+    return records.select("id", *_numbered(records), F.coalesce("title", F.lit("")).alias("title"), field(F.col("recipient")).alias("recipient"), field(F.col("key_fields")).alias("keys"), body.alias("body"))
 
 
 def postings(fields: DataFrame, columns=tuple(WEIGHTS)) -> DataFrame:
@@ -47,7 +47,12 @@ def tokenised(fields: DataFrame, columns=tuple(WEIGHTS)) -> DataFrame:
     """(id, len, cols array<struct<col, toks>>): the tokens of each column and how many there are together."""
     per = F.array(*(F.struct(F.lit(c).alias("col"), T.index_tokens(F.col(c)).alias("toks")) for c in columns))
     length = F.aggregate("cols", F.lit(0).cast("bigint"), lambda s, x: s + F.size(x["toks"]))
-    return fields.select("id", per.alias("cols")).select("id", length.alias("len"), "cols")
+    own = ["id", *_numbered(fields)]
+    return fields.select(*own, per.alias("cols")).select(*own, length.alias("len"), "cols")
+
+
+def _numbered(df: DataFrame) -> list[str]:
+    return [c for c in ("doc",) if c in df.columns]
 
 
 def held_tokens(cut: DataFrame, tokens: list[str], positions: bool) -> DataFrame:
@@ -65,8 +70,9 @@ def held_tokens(cut: DataFrame, tokens: list[str], positions: bool) -> DataFrame
 
 
 def postings_of(cut: DataFrame) -> DataFrame:
-    """postings() of a table that tokenised() has made, with each record's length."""
-    return cut.select("id", "len", F.explode("cols").alias("x")).select("id", "len", "x.col", F.posexplode("x.toks").alias("pos", "tok"))
+    """postings() of a table that tokenised() has made, with each record's length, and number where it has one."""
+    own = ["id", "len", *_numbered(cut)]
+    return cut.select(*own, F.explode("cols").alias("x")).select(*own, "x.col", F.posexplode("x.toks").alias("pos", "tok"))
 
 
 def weight_of(col: Column, weights: dict[str, float]) -> Column:
@@ -74,9 +80,9 @@ def weight_of(col: Column, weights: dict[str, float]) -> Column:
 
 
 def term_frequencies(post: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """(id, tok, f), with the record's length too where post has it: weighted occurrences. Counts meet map-side before the
-    shuffle."""
-    return post.groupBy("id", "tok", *(c for c in ("len",) if c in post.columns)).agg(F.sum(weight_of(F.col("col"), weights)).alias("f"))
+    """(id, tok, f), with the record's length and number where post has them: weighted occurrences. Counts meet map-side
+    before the shuffle."""
+    return post.groupBy("id", "tok", *(c for c in ("len", "doc") if c in post.columns)).agg(F.sum(weight_of(F.col("col"), weights)).alias("f"))
 
 
 def document_lengths(fields: DataFrame, columns=tuple(WEIGHTS)) -> DataFrame:
@@ -101,6 +107,8 @@ MOST_LITERALS = 400
 ROW_GROUP = 4 << 20
 #: Dead rows that are broadcast at most, and figures that a pointer holds itself at most.
 BROADCAST_DEAD, MOST_FIGURES = 100_000, 10_000
+#: Bitmaps of 4 kB that are broadcast at most.
+BROADCAST_BITMAPS = 10_000
 
 
 class Conflict(RuntimeError):
@@ -120,7 +128,7 @@ def one_of(column: str, values: list) -> Column:
 class Index:
     """An index folder ``root``."""
 
-    TABLES = ("records", "postings", "tf", "lengths", "vectors", "figures")
+    TABLES = ("records", "postings", "tf", "lengths", "vectors", "figures", "bitmaps")
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -221,7 +229,8 @@ class Index:
 
     def table(self, name: str, where: Column | None = None) -> DataFrame:
         """records, postings, tf, lengths or vectors of the whole index, as of now."""
-        return self._live(self.meta(), name, where)
+        rows = self._live(self.meta(), name, where)
+        return rows.drop("doc") if name == "records" else rows
 
     def count(self) -> int:
         return self.meta()["count"]
@@ -240,6 +249,33 @@ class Index:
         """postings or tf, of a few tokens only; None is all tokens."""
         return self.table(name, None if tokens is None else one_of("tok", tokens))
 
+    def allowed(self, filters: Mapping | None) -> Callable[[DataFrame], DataFrame] | None:
+        """A function that leaves the rows (with their record's number as doc) of records that pass all filters, as
+        search.metadata_filter has them; None without filters. The records of each value of a filter's key are a bitmap
+        (one row for each 32,768 numbers); those of a range are joined by OR, those of several keys by AND, and a row
+        looks up its bit."""
+        wanted = {k: v for k, v in (filters or {}).items() if k in FILTERABLE and v is not None}
+        if not wanted:
+            return None
+        meta, parts = self.meta(), []
+        for key, value in wanted.items():
+            ranged = key == "date" and isinstance(value, (list, tuple)) and len(value) == 2
+            held = F.col("value").between(*value) if ranged else F.col("value") == value
+            own = reduce(DataFrame.unionByName, [self._read(meta, s["name"], "bitmaps").where((F.col("key") == key) & held) for s in meta["segments"]])
+            parts.append(own.groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits")))
+        bits = reduce(DataFrame.unionByName, parts).groupBy("bucket").agg(F.bitmap_and_agg("bits").alias("bits"), F.count("*").alias("n")).where(F.col("n") == len(parts)).drop("n")
+        few = bits.limit(BROADCAST_BITMAPS + 1).count() <= BROADCAST_BITMAPS
+
+        def left(rows: DataFrame) -> DataFrame:
+            number, columns = F.col("doc") + 1, rows.columns
+            at = F.bitmap_bit_position(number)
+            byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+            bit = F.expr("shiftright(_byte, CAST(_at % 8 AS INT)) & 1")
+            found = rows.withColumn("bucket", F.bitmap_bucket_number(number)).join(F.broadcast(bits) if few else bits, "bucket")
+            return found.withColumns({"_byte": byte, "_at": at}).where(bit == 1).select(*columns)
+
+        return left
+
     def figures(self) -> list[tuple[str, str, int]]:
         """(kind, value, n) over the whole index: stats() of the records, without reading them."""
         meta = self.meta()
@@ -266,8 +302,9 @@ class Index:
         base = self._pointer(number[0]) if append and number else None
         if base and base["embedder"] != embedder.name:
             raise ValueError(f"the index holds vectors of {base['embedder']}, not {embedder.name}")
-        segment, schemas = self._segment(records, embedder)
-        meta = {"segments": [segment], "schemas": schemas, "dead": None, "dead_rows": 0, "embedder": embedder.name, "dim": embedder.dim, "indexed": segment.pop("given")}
+        first = base.get("next", 0) if base else 0
+        segment, schemas = self._segment(records, embedder, first)
+        meta = {"segments": [segment], "schemas": schemas, "dead": None, "dead_rows": 0, "embedder": embedder.name, "dim": embedder.dim, "indexed": segment.pop("given"), "next": max(first, segment.pop("next"))}
         if base:
             meta["segments"] = base["segments"] + meta["segments"]
             meta |= {"dead": base["dead"], "dead_rows": base["dead_rows"]}
@@ -296,29 +333,33 @@ class Index:
             writer = writer.option(f"parquet.bloom.filter.enabled#{bloom}", "true")
         writer.parquet(path)
 
-    def _segment(self, records: DataFrame, embedder: Embedder) -> tuple[dict, dict]:
+    def _segment(self, records: DataFrame, embedder: Embedder, first: int) -> tuple[dict, dict]:
+        """Writes a segment. Its records get numbers from ``first`` on, which no other record of the index ever has."""
         name = f"segment-{uuid.uuid4().hex[:12]}"
         path = f"{self.root}/{name}"
         read = lambda table: self.spark.read.parquet(f"{path}/{table}")
         records.withColumn("ordinal", F.monotonically_increasing_id()).write.parquet(f"{path}/given")
         given = read("given")
-        self._ranged(upsert(given.limit(0), given).drop("ordinal"), f"{path}/records", ["id"], bloom="id")
+        latest = upsert(given.limit(0), given).drop("ordinal").repartitionByRange("id").sortWithinPartitions("id")
+        self._sorted(latest.withColumn("doc", F.monotonically_increasing_id() + first), f"{path}/records", bloom="id")
         kept = read("records")
         fields = index_fields(spread(kept))
         # the text of each record is made and cut once; all other tables come from these two
         tokenised(fields).write.parquet(f"{path}/tokens")
         cut = read("tokens")
-        self._ranged(cut.select("id", "len"), f"{path}/lengths", ["id"], bloom="id")
+        self._ranged(cut.select("id", "doc", "len"), f"{path}/lengths", ["id"], bloom="id")
         # ranges of (token, id): the postings of a word that is in most records are many ranges
-        self._ranged(postings_of(cut).drop("len"), f"{path}/postings", ["tok", "id"], ["col", "pos"])
+        self._ranged(postings_of(cut).drop("len", "doc"), f"{path}/postings", ["tok", "id"], ["col", "pos"])
         # dealt by (token, id) already, so frequencies are summed and sorted where they lie
         dealt = postings_of(cut).repartitionByRange("tok", "id")
         self._sorted(term_frequencies(dealt).sortWithinPartitions("tok", "id"), f"{path}/tf")
-        embedder.embed(fields.select("id", "body"), "body").select("id", "vec").write.parquet(f"{path}/vectors")
+        embedder.embed(fields.select("id", "doc", "body"), "body").select("id", "doc", "vec").write.parquet(f"{path}/vectors")
         stats(kept).write.parquet(f"{path}/figures")
+        self._sorted(bitmaps(kept).repartitionByRange("key", "value").sortWithinPartitions("key", "value", "bucket"), f"{path}/bitmaps")
         sums = read("lengths").agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("len")).first()
+        last = kept.agg(F.max("doc")).first()[0]
         schemas = {t: read(t).schema.jsonValue() for t in self.TABLES}
-        out = {"name": name, "count": sums["n"], "length": sums["len"], "dead": 0, "dead_length": 0, "given": given.count()}
+        out = {"name": name, "count": sums["n"], "length": sums["len"], "dead": 0, "dead_length": 0, "given": given.count(), "next": first if last is None else ((last >> 33) + 1) << 33}
         for extra in ("given", "tokens"):
             self._drop(f"{name}/{extra}")
         return out, schemas
@@ -386,6 +427,9 @@ class Index:
                 self._ranged(self._live(meta, table, None, names), f"{path}/{table}", by, then, "id" if by == ["id"] else None)
             self._live(meta, "vectors", None, names).write.parquet(f"{path}/vectors")
             stats(self.spark.read.parquet(f"{path}/records")).write.parquet(f"{path}/figures")
+            both = reduce(DataFrame.unionByName, [self._read(meta, n, "bitmaps") for n in names])
+            both = both.groupBy("key", "value", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+            self._sorted(both.repartitionByRange("key", "value").sortWithinPartitions("key", "value", "bucket"), f"{path}/bitmaps")
             made = [{"name": name, "count": sum(s["count"] - s["dead"] for s in chosen), "length": sum(s["length"] - s["dead_length"] for s in chosen), "dead": 0, "dead_length": 0}]
         gone = {s["name"] for s in chosen + empty}
         meta["segments"] = [s for s in meta["segments"] if s["name"] not in gone] + made
@@ -412,6 +456,16 @@ def _folders(meta: dict) -> set[str]:
 
 DEAD = "segment string, id string, len bigint"
 STATS = ("language", "category", "source_type", "department")
+#: Keys that records can be filtered by.
+FILTERABLE = ("date", "language", "department", "category", "source_type")
+
+
+def bitmaps(records: DataFrame) -> DataFrame:
+    """(key, value, bucket, bits): for each value of each key that records can be filtered by, the numbers (doc) of the
+    records that have it, as bitmaps of 32,768 bits."""
+    pairs = F.array(*(F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in FILTERABLE))
+    rows = records.select((F.col("doc") + 1).alias("n"), F.explode(pairs).alias("x")).where("x.value IS NOT NULL")
+    return rows.groupBy("x.key", "x.value", F.bitmap_bucket_number("n").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("bits"))
 
 
 def stats(records: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ checked before it is broadcast; corpus tables are joined by token or id and neve
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +18,7 @@ from ..functions import text as T
 from ..functions.records import provenance
 from ..functions.vectors import best_products
 from ..session import ship_package
-from .index import MOST_LITERALS, WEIGHTS, Index, weight_of
+from .index import FILTERABLE, MOST_LITERALS, WEIGHTS, Index, weight_of
 
 RRF_K, KEYWORD_WEIGHT, VECTOR_WEIGHT = 60, 2.0, 1.0
 POOL, LIMIT = 30, 10
@@ -26,8 +26,6 @@ K1, B = 1.2, 0.75
 # The sentences of an answer.
 NO_ANSWER = "No records matched this query."
 ANSWER_TOP, ANSWER_MORE, ANSWER_END = "Top match: {title} [{provenance}].", " {n} further related record(s) also matched.", " Returned {n} record(s) with sources; review the citations below."
-#: Keys that records can be filtered by.
-FILTERABLE = ("date", "language", "department", "category", "source_type")
 #: Most queries whose side of a join is broadcast.
 BROADCAST_QUERIES = 10_000
 #: Query vectors that are sent to the tasks at a time.
@@ -75,23 +73,26 @@ def phrase_frequencies(fragments: DataFrame, post: DataFrame, weights: Mapping[s
     return hits.groupBy("qid", "phrase", "id").agg(F.sum(weight_of(F.col("col"), dict(weights))).alias("f"))
 
 
-def contributions(rows: DataFrame, by: list[str], n_docs: float, avgdl: float, only: DataFrame | None = None, few: bool = False) -> DataFrame:
-    """Rows (by..., id, f, len) with what each adds to its document's score as ``part``, for the ids of ``only`` where
-    given. Document frequencies are those of all rows. few: there are few different values of ``by``."""
+#: What leaves the rows of allowed documents; None leaves all.
+Only = Callable[[DataFrame], DataFrame] | None
+
+
+def contributions(rows: DataFrame, by: list[str], n_docs: float, avgdl: float, only: Only = None, few: bool = False) -> DataFrame:
+    """Rows (by..., id, f, len) with what each adds to its document's score as ``part``, those that ``only`` leaves. Document frequencies are those of all rows. few: there are few different values of ``by``."""
     df = rows.groupBy(*by).agg(F.count("*").alias("df"))
     idf = F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = df.select(*by, F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"))
-    kept = rows if only is None else rows.join(only.select("id"), "id", "left_semi")
+    kept = rows if only is None else only(rows)
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / float(avgdl)))
     return kept.join(F.broadcast(weight) if few else weight, by).withColumn("part", part)
 
 
-def bm25(phrases: DataFrame, lengths: DataFrame, n_docs: float, avgdl: float, only: DataFrame | None = None) -> DataFrame:
+def bm25(phrases: DataFrame, lengths: DataFrame, n_docs: float, avgdl: float, only: Only = None) -> DataFrame:
     """(qid, id, score) from (qid, phrase, id, f)."""
     return contributions(phrases.join(lengths, "id"), ["qid", "phrase"], n_docs, avgdl, only).groupBy("qid", "id").agg(F.sum("part").alias("score"))
 
 
-def token_scores(tf: DataFrame, fragments: DataFrame, multi: DataFrame | None, n_docs: float, avgdl: float, only: DataFrame | None = None, few: bool = False) -> DataFrame:
+def token_scores(tf: DataFrame, fragments: DataFrame, multi: DataFrame | None, n_docs: float, avgdl: float, only: Only = None, few: bool = False) -> DataFrame:
     """(qid, id, score): of fragments' single tokens by their frequencies (id, tok, f, len), each weighed once for all
     queries that hold it; of phrases by their own (qid, phrase, id, f, len)."""
     parts = contributions(tf, ["tok"], n_docs, avgdl, only, few).select("tok", "id", "part")
@@ -115,8 +116,7 @@ def keyword_scores(queries: DataFrame, index: Index, filters: Mapping | None = N
         tf = tf.join(_small(fragments.where("n = 1").select("tok").distinct()), "tok", "left_semi")
     if not literal or of(True):
         multi = phrase_frequencies(_small(fragments), index.of_tokens("postings", of(True)), weights).join(index.table("lengths"), "id")
-    only = index.table("records", metadata_filter(filters)).select("id") if filters else None
-    return token_scores(tf, fragments, multi, meta["count"], meta["avgdl"] or 1.0, only, literal)
+    return token_scores(tf, fragments, multi, meta["count"], meta["avgdl"] or 1.0, index.allowed(filters), literal)
 
 
 def _small(side: DataFrame, most: int = BROADCAST_QUERIES) -> DataFrame:
@@ -142,11 +142,9 @@ def vector_topk(query_vectors: DataFrame, vectors: DataFrame, k: int, digits: in
     return top_k(every, k)
 
 
-def allowed(scored: DataFrame, records: DataFrame, filters: Mapping | None) -> DataFrame:
-    """Scores of records that pass the filters; corpus figures stay those of all records."""
-    if not filters:
-        return scored
-    return scored.join(records.where(metadata_filter(filters)).select("id"), "id", "left_semi")
+def among(ids: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What leaves the rows of these ids."""
+    return lambda rows: rows.join(ids.select("id"), "id", "left_semi")
 
 
 def fuse(keyword: DataFrame, vector: DataFrame, limit: int = LIMIT) -> DataFrame:

@@ -125,8 +125,8 @@ def ranked_legs(index: Index, query: str, embedder: str, filters: Mapping | None
     expanded = queries.select(T.with_aliases(F.col("query"), " ")).first()[0]
     qvec = spark.createDataFrame([(0, query_vector(spark, chosen, expanded))], "qid int, qvec array<double>")
     keyword = S.top_k(S.keyword_scores(queries, index, filters), pool)
-    vectors = S.allowed(index.table("vectors"), index.table("records"), filters)
-    return queries, keyword, S.vector_topk(qvec, vectors, pool, 12)
+    vectors, only = index.table("vectors"), index.allowed(filters)
+    return queries, keyword, S.vector_topk(qvec, only(vectors) if only else vectors, pool, 12)
 
 
 def search(spark: SparkSession, root: str, query: str, limit: int = S.LIMIT, filters: Mapping | None = None, pool: int = S.POOL, answer: bool = False, embedder: str = "auto", mode: str | None = None, llm: Callable[[str, list[Row]], str | None] | None = None) -> SearchResult:

@@ -261,8 +261,9 @@ def bm25(queries: str, fields: bool = False) -> str:
     return f"WITH {_keyword(queries, fields)} SELECT qid, rank, id, round(score, 6) AS score FROM kw WHERE rank <= 30"
 
 
-def indexed(queries: str, kept: str, text: str) -> str:
-    """Searches in an index of documents as records: of those that ``kept`` holds for, with ``text`` as theirs."""
+def indexed(queries: str, kept: str, text: str, where: str = "true") -> str:
+    """Searches in an index of documents as records: of those that ``kept`` holds for, with ``text`` as theirs; hits are
+    those that ``where`` holds for."""
     fields = [("title || chr(10) || text", 1.0), ("title", 6.0), ("source", 16.0), ("lang", 8.0)]
     corpus = " UNION ALL ".join(f"SELECT id, {w} AS w, {index_tokens(c)} AS toks FROM x" for c, w in fields)
     return f"""
@@ -271,7 +272,8 @@ x AS (SELECT substr(sha1(concat(source, '|', lang, '|doc ', doc_id, '|', title))
 c AS ({corpus}), lens AS (SELECT id, sum(len(toks)) AS len FROM c GROUP BY 1),
 p AS (SELECT id, w, unnest(toks) AS tok FROM c),
 f AS (SELECT qid, phrase, id, sum(w) AS f FROM p JOIN (SELECT qid, phrase, toks[1] AS tok FROM t WHERE len(toks) = 1) USING (tok) GROUP BY 1, 2, 3),{_BM25}
-SELECT qid, rank, id, round(score, 6) AS score FROM kw WHERE rank <= 30"""
+, kept AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sc WHERE {where})
+SELECT qid, rank, id, round(score, 6) AS score FROM kept WHERE rank <= 30"""
 
 
 def phrases(texts: tuple[str, ...]) -> str:

@@ -267,7 +267,7 @@ def cosine_topk_filtered(spark, sf_dir):
 FEW_TOKENS = 20_000
 
 
-def _keyword(spark, sf_dir, queries: DataFrame, weights: dict[str, float], fragments: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+def _keyword(spark, sf_dir, queries: DataFrame, weights: dict[str, float], fragments: DataFrame | None = None, only: S.Only = None) -> DataFrame:
     fields = N.texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), N.first_line(F.col("text")).alias("title"), F.col("source").alias("recipient"), F.col("lang").alias("keys"), F.col("text").alias("body")).select("id", *weights)
     cut = I.tokenised(fields, tuple(weights))
     parts = stored(S.query_fragments(S.query_terms(queries)) if fragments is None else fragments, "fragments")
@@ -326,7 +326,7 @@ def bm25_filtered(spark, sf_dir):
     """Filtered before the top-k; document frequencies, counts and lengths are those of all documents."""
     d = N.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("language"))
     q = N.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    return _ranked(_keyword(spark, sf_dir, q, {"body": 1.0}, only=d.where(S.metadata_filter({"language": "de"}))), POOL)
+    return _ranked(_keyword(spark, sf_dir, q, {"body": 1.0}, only=S.among(d.where(S.metadata_filter({"language": "de"})))), POOL)
 
 
 # ---- files and tags ----
@@ -415,6 +415,15 @@ def lexicon_labels(spark, sf_dir):
     return d.select("doc_id", "category", F.array_join("places", "|").alias("places"))
 
 
+@query(O.indexed("SELECT item_id AS qid, text AS query FROM benchmark", "true", "text", "id IN (SELECT id FROM x WHERE lang = 'de' AND source BETWEEN 'src2' AND 'src5')"))
+def index_filtered(spark, sf_dir):
+    """Searches in an index under two filters, which are bitmaps of its records; corpus figures are those of all."""
+    index, records = I.Index(spark, scratch_path(spark, "filtered")), N.document_records(spark, sf_dir)
+    index.write(records.withColumns({"language": F.col("sheet"), "date": F.col("source_file")}), E.HashingEmbedder(8))
+    queries = N.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return _ranked(S.keyword_scores(queries, index, {"language": "de", "date": ["src2", "src5"], "unknown": 1}), POOL)
+
+
 @query(O.LOOKUP)
 def index_lookup(spark, sf_dir):
     """Records of stated ids from an index."""
@@ -433,7 +442,7 @@ def index_vector_search(spark, sf_dir):
     records = index.table("records", S.metadata_filter({"source_type": "report"})).where("sheet = 'fr'")
     queries = N.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
     asked = embedder.embed(queries, "text", "qvec", "double").select("qid", "qvec")
-    vectors = index.table("vectors").join(records.select("id", F.substring("row_or_page", 5, 20).cast("bigint").alias("doc")), "id").select(F.col("doc").alias("id"), "vec")
+    vectors = index.table("vectors").drop("doc").join(records.select("id", F.substring("row_or_page", 5, 20).cast("bigint").alias("doc")), "id").select(F.col("doc").alias("id"), "vec")
     return S.vector_topk(asked, vectors, POOL).select("qid", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
 
 
