@@ -86,6 +86,7 @@ RECIPIENT_COLUMNS = ("addressed", "recipient", "to ", "नाव", "name", "प
 SUBJECT_COLUMNS = ("subject", "विषय", "तपशील", "घोषणा", "particulars", "title", "स्थळ", "place", "description")
 TITLE_COLUMNS = ("subject", "title", "विषय", "तपशील", "घोषणा", "particulars", "description", "recipient", "name", "नाव")
 
+# The months.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 

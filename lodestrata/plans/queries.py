@@ -511,13 +511,15 @@ def stream_ingest_available_now(spark, sf_dir):
 
 
 def _order_legs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Two rankings of each customer's orders: by price and by date."""
+    """Two rankings of each customer's orders: by price, of those above 50,000 only, so that the rankings differ in what
+    they hold, and by date, of all."""
     o = N.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("id"), "o_totalprice", F.unix_timestamp("o_orderdate").cast("double").alias("t"))
     return S.top_k(o.where("o_totalprice > 50000").withColumn("score", F.col("o_totalprice")), 5), S.top_k(o.withColumn("score", F.col("t")), 5)
 
 
 @query(O.RRF)
 def rrf_fusion(spark, sf_dir):
+    """Two rankings of each customer's orders fused; an order of 50,000 or less is in the ranking by date only."""
     f = S.fuse(*_order_legs(spark, sf_dir), 5)
     return f.select("qid", F.col("rank").cast("bigint").alias("rank"), "id", F.round("score", 6).alias("score"), S.why(F.col("keyword_rank"), F.col("vector_rank")).alias("why"))
 
@@ -540,6 +542,7 @@ def hybrid_search_rrf(spark, sf_dir):
 
 @query(O.ANSWER)
 def extractive_answer(spark, sf_dir):
+    """An answer for each customer from the orders that both rankings of rrf_fusion give."""
     f = S.fuse(*_order_legs(spark, sf_dir), 5)
     o = N.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.concat(F.lit("orders · row "), F.col("o_orderkey").cast("string")).alias("provenance"))
     customers = N.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("qid"))
