@@ -370,7 +370,7 @@ def test_smoothing_is_brute_force():
             near = [(np.exp(-0.5 * (d / html_text.SIGMA) ** 2), x[i + d]) for d in reach if 0 <= i + d < n]
             want.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
         assert np.allclose(html_text.smoothed(x), want)
-        lines = [("y" * int(v), 1, False, False, 0, 0, 0) for v in x]
+        lines = [html_text.Line("y" * int(v), 1, False, False, 0, 0, 0, 0) for v in x]
         smooth = html_text.smoothed(np.floor(x))
         least = min(smooth.max(), max(smooth.std(), 1e-9))
         own = np.floor(x)
