@@ -6,7 +6,6 @@ import hashlib
 import re
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -93,18 +92,31 @@ _TOKEN = re.compile(r"[\wऀ-ॿ]+")
 
 
 DIGESTS = {"blake2b": lambda x: hashlib.blake2b(x, digest_size=8).digest(), "md5": lambda x: hashlib.md5(x, usedforsecurity=False).digest()}
-
-
-@lru_cache(200_000)
-def _slots(token: str, dim: int, low: int, high: int, digest: str) -> tuple[np.ndarray, np.ndarray]:
-    """Slots that a token's features fall into and the net sign of each."""
-    padded, hashed, sums = f"^{token}$", DIGESTS[digest], {}
-    grams = [f"g:{padded[i : i + n]}" for n in range(low, high + 1) for i in range(len(padded) - n + 1)]
-    for feature in (f"w:{token}", *grams):
-        h = hashed(feature.encode())
-        slot = int.from_bytes(h[:6], "big") % dim
-        sums[slot] = sums.get(slot, 0) + (1 if h[6] % 2 else -1)
-    return np.fromiter(sums.keys(), np.int64, len(sums)), np.fromiter(sums.values(), np.float64, len(sums))
+#: Tokens whose slots a Python worker keeps.
+KEPT = 200_000
+
+_kept: dict[tuple, dict[str, tuple[np.ndarray, np.ndarray]]] = {}
+
+
+def _slots(tokens: list[str], dim: int, low: int, high: int, digest: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each token the slots that its features fall into and their signs. Digests of all new tokens are taken apart
+    together."""
+    kept = _kept.setdefault((dim, low, high, digest), {})
+    if len(kept) > KEPT:
+        kept.clear()
+    fresh, hashed, raw, sizes = [t for t in tokens if t not in kept], DIGESTS[digest], [], []
+    for token in fresh:
+        padded = f"^{token}$"
+        raw.append(hashed(f"w:{token}".encode()))
+        before = len(raw)
+        raw += [hashed(f"g:{padded[i : i + n]}".encode()) for n in range(low, high + 1) for i in range(len(padded) - n + 1)]
+        sizes.append(1 + len(raw) - before)
+    if fresh:
+        parts = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+        slots = parts[:, :6].astype(np.int64) @ (1 << np.arange(40, -1, -8)) % dim
+        signs, edges = np.where(parts[:, 6] % 2, 1.0, -1.0), np.cumsum(sizes)[:-1]
+        kept.update(zip(fresh, zip(np.split(slots, edges), np.split(signs, edges), strict=True), strict=True))
+    return [kept[t] for t in tokens]
 
 
 def hashing_vectors(texts: list[str | None], dim: int = 768, low: int = 3, high: int = 5, digest: str = "blake2b") -> np.ndarray:
@@ -116,7 +128,7 @@ def hashing_vectors(texts: list[str | None], dim: int = 768, low: int = 3, high:
         return np.zeros((len(texts), dim))
     row, token = np.repeat(np.arange(len(texts)), [len(f) for f in found]), np.fromiter((t for f in found for t in f), np.int64)
     pairs, times = np.unique(row * len(known) + token, return_counts=True)
-    slots, signs = zip(*(_slots(t, dim, low, high, digest) for t in known), strict=True)
+    slots, signs = zip(*_slots(list(known), dim, low, high, digest), strict=True)
     sizes = np.fromiter(map(len, slots), np.int64, len(slots))
     slots, signs, first = np.concatenate(slots), np.concatenate(signs), np.cumsum(sizes) - sizes
     row, token = pairs // len(known), pairs % len(known)
