@@ -1,7 +1,8 @@
 """Near-duplicate vectors by PCA-ordered tiled comparison.
 
 Equal vectors are one vector with a count. Unit vectors are turned to principal axes, largest variance first, and dealt
-by their leading coordinates into tiles of bounded size. Two tiles meet unless their bounding boxes are too far apart.
+by their leading coordinates into tiles of bounded size. Two tiles meet unless their bounding boxes are too far apart;
+they travel in groups, so that a tile is sent once to each group that it has work with.
 Within a pair of tiles the leading coordinates are multiplied first; the product of the suffix norms, which rides along
 as one more coordinate, bounds what the others can add, so a pair stops as soon as its cosine can't reach the
 threshold. What is left is computed in double precision from the original vectors.
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import ship_package, stored
+from ..session import drop_stored, ship_package, stored
 from .components import components
 from .vectors import moments, pack_blocks, usable
 
@@ -29,6 +30,9 @@ LEADING = (0.25, 0.5)
 MARGIN = 1e-9
 #: Candidate pairs that are computed exactly at once.
 CHUNK = 100_000
+#: Groups of tiles at least, and vectors of a group: each tile is sent to as many places as there are groups, so what is
+#: shuffled is GROUPS times the vectors up to GROUPS * GROUP of them, and two groups fit a task's memory.
+GROUPS, GROUP = 12, 131_072
 
 
 def _bounded(x: np.ndarray, upto: int) -> np.ndarray:
@@ -50,6 +54,19 @@ def _local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
+def _together(root: np.ndarray, ends: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The roots after further links."""
+    if not ends:
+        return root
+    a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
+    return _local_roots(root[a], root[b], len(root))[root]
+
+
+def _rows(content: bytes, dim: int, n: int) -> np.ndarray:
+    """Packed vectors, stored in single precision where that holds them exactly, in double precision."""
+    return np.frombuffer(content, f"<f{len(content) // (n * dim)}").reshape(n, dim).astype("<f8", copy=False)
+
+
 def close_pairs(x: np.ndarray, y: np.ndarray, axes: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (i, j) of pairs with a cosine of at least the threshold; for equal tiles i < j. x and y: original rows."""
     nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
@@ -110,8 +127,8 @@ def near_vectors(table: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
 
 
 def _linked(distinct: DataFrame, threshold: float) -> DataFrame:
-    """(id, links, other): for each pair of tiles an id's links in it, weighted by copies, and the smallest id of its
-    component within the pair."""
+    """(id, links, other): for each pair of groups of tiles an id's links in it, weighted by copies, and the smallest id
+    of its component within the pair."""
     spark = distinct.sparkSession
     n, total, scatter = moments(distinct)
     dim = len(total)
@@ -126,47 +143,63 @@ def _linked(distinct: DataFrame, threshold: float) -> DataFrame:
     ranked = stored(keyed.withColumn("part", F.spark_partition_id().cast("bigint")), "ordered")
     place = F.row_number().over(Window.partitionBy("part").orderBy("lead", "id")) - 1
     tiled = ranked.withColumn("block", F.col("part") * 1_000_000 + F.floor(place / TILE))
-    blocks = stored(pack_blocks(tiled, "copies"), "tiles")
+    blocks = stored(pack_blocks(tiled, "copies", narrow=True), "tiles")
+    drop_stored(ranked)
+    groups = min(tiles, max(GROUPS, -(-n // GROUP)))
 
     def box(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, vecs in zip(b.column("block").to_pylist(), b.column("vecs").to_pylist(), strict=True):
-                x = np.frombuffer(vecs, "<f8").reshape(-1, dim)
+            for block, vecs, n in zip(*(b.column(c).to_pylist() for c in ("block", "vecs", "n")), strict=True):
+                x = _rows(vecs, dim, n)
                 p = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ axes[:, :8]
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([p.min(0).tolist()]), pa.array([p.max(0).tolist()])], ["block", "lo", "hi"])
 
-    boxes = blocks.mapInArrow(box, "block bigint, lo array<double>, hi array<double>")
+    boxes = blocks.select("block", "vecs", "n").mapInArrow(box, "block bigint, lo array<double>, hi array<double>")
+    boxes = stored(boxes.withColumn("grp", (F.floor(F.col("block") / 1_000_000) * groups / tiles).cast("int")), "boxes")
     # tiles meet by cells of their leading coordinate, as wide as two vectors that link can be apart; then by their boxes
     reach = (2 - 2 * threshold) ** 0.5 + MARGIN
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / reach), F.floor(hi / reach))).alias("cell")
-    one, two = boxes.toDF("i", "lo_i", "hi_i"), boxes.toDF("j", "lo_j", "hi_j")
+    one, two = boxes.toDF("i", "lo_i", "hi_i", "grp_i"), boxes.toDF("j", "lo_j", "hi_j", "grp_j")
     one = one.select("*", cells(F.get("lo_i", F.lit(0)), F.get("hi_i", F.lit(0))))
     two = two.select("*", cells(F.get("lo_j", F.lit(0)) - reach, F.get("hi_j", F.lit(0)) + reach))
     gap = F.expr("aggregate(sequence(0, size(lo_i) - 1), 0D, (s, k) -> s + pow(greatest(0D, lo_i[k] - hi_j[k], lo_j[k] - hi_i[k]), 2))")
-    pairs = one.join(two, "cell").where((F.col("i") <= F.col("j")) & (gap <= 2 - 2 * threshold + MARGIN)).select("i", "j").distinct()
-    left = blocks.select(F.col("block").alias("i"), *(F.col(c).alias(f"{c}_i") for c in ("ids", "copies", "vecs")))
-    right = blocks.select(F.col("block").alias("j"), *(F.col(c).alias(f"{c}_j") for c in ("ids", "copies", "vecs")))
-    work = pairs.join(left, "i").join(right, "j").repartition(max(2 * tiles, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                get = lambda c: b.column(c)[k].as_py()  # noqa: B023, E731
-                same = get("i") == get("j")
-                ids, copies = [np.frombuffer(get(f"ids_{s}"), "<i8") for s in "ij"], [np.frombuffer(get(f"copies_{s}"), "<i8") for s in "ij"]
-                x, y = (np.frombuffer(get(f"vecs_{s}"), "<f8").reshape(-1, dim) for s in "ij")
-                shift = 0 if same else len(x)
-                every = ids[0] if same else np.concatenate(ids)
-                links, root = np.zeros(len(every), np.int64), np.arange(len(every))
-                for p, q in close_pairs(x, y, axes, threshold, same):
-                    np.add.at(links, p, copies[1][q])
-                    np.add.at(links, q + shift, copies[0][p])
+    pairs = one.join(two, "cell").where((F.col("i") <= F.col("j")) & (gap <= 2 - 2 * threshold + MARGIN)).select("i", "j", "grp_i", "grp_j").distinct()
+    # a tile travels once to each pair of groups that has work for it, not once to each tile that it meets
+    square = F.least("grp_i", "grp_j") * groups + F.greatest("grp_i", "grp_j")
+    sent = pairs.select(square.alias("square"), F.explode(F.array("i", "j")).alias("block"), "i", "j")
+    sent = sent.groupBy("square", "block").agg(F.collect_set(F.when(F.col("block") == F.col("i"), F.col("j"))).alias("meets"))
+    # few squares with much work each: in ranges each has a task of its own
+    work = sent.join(blocks, "block").repartitionByRange(groups * (groups + 1) // 2, "square")
+
+    def compare(table: pa.Table) -> pa.Table:
+        at = {b: k for k, b in enumerate(table.column("block").to_pylist())}
+        ids, copies = ([np.frombuffer(x.as_buffer(), "<i8") for x in table.column(c)] for c in ("ids", "copies"))
+        vecs = lambda k: _rows(table.column("vecs")[k].as_buffer(), dim, len(ids[k]))
+        start = np.cumsum([0, *map(len, ids)])
+        every = np.concatenate(ids)
+        links, root = np.zeros(len(every), np.int64), np.arange(len(every))
+        ends: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
+        for i, meets in enumerate(table.column("meets").to_pylist()):
+            x = vecs(i) if meets else None
+            for j in (at[b] for b in meets):
+                y, shift = (x, 0) if i == j else (vecs(j), len(ids[i]))
+                own = np.arange(shift + len(ids[j]))
+                for p, q in close_pairs(x, y, axes, threshold, i == j):
+                    np.add.at(links, start[i] + p, copies[j][q])
+                    np.add.at(links, start[j] + q, copies[i][p])
                     # links of this chunk between the roots so far: the local graph never holds more than a chunk
-                    root = _local_roots(root[p], root[q + shift], len(every))[root]
-                busy = np.flatnonzero(links)
-                if len(busy):
-                    least = np.full(len(every), np.iinfo(np.int64).max)
-                    np.minimum.at(least, root, every)
-                    yield pa.RecordBatch.from_arrays([pa.array(every[busy]), pa.array(links[busy]), pa.array(least[root[busy]])], ["id", "links", "other"])
-
-    return work.mapInArrow(compare, "id bigint, links bigint, other bigint")
+                    own = _local_roots(own[p], own[q + shift], len(own))[own]
+                joined = np.flatnonzero(own != np.arange(len(own)))
+                place = lambda k, i=i, j=j, shift=shift: np.where(k < shift, start[i] + k, start[j] + k - shift) if i != j else start[i] + k
+                ends.append((place(own[joined]), place(joined)))
+                waiting += len(joined)
+                if waiting > CHUNK * 10:
+                    root, ends, waiting = _together(root, ends), [], 0
+        root = _together(root, ends)
+        busy = np.flatnonzero(links)
+        least = np.full(len(every), np.iinfo(np.int64).max)
+        np.minimum.at(least, root, every)
+        return pa.table([pa.array(every[busy]), pa.array(links[busy]), pa.array(least[root[busy]])], names=["id", "links", "other"])
+
+    return work.groupBy("square").applyInArrow(compare, "id bigint, links bigint, other bigint")

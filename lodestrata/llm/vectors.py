@@ -19,16 +19,21 @@ def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.coalesce(sound, F.lit(False)))
 
 
-def pack_blocks(rows: DataFrame, columns: str = "") -> DataFrame:
+def pack_blocks(rows: DataFrame, columns: str = "", narrow: bool = False) -> DataFrame:
     """(block, n, ids, vecs, ...) from (block, id, vec, extra columns of longs): one row for each block, with its columns
-    as little-endian bytes. Blocks must be of bounded size."""
+    as little-endian bytes. Blocks must be of bounded size. narrow: vectors that single precision holds exactly are packed
+    in it, so readers must tell by the length."""
     extra = columns.split()
 
     def run(table: pa.Table) -> pa.Table:
         flat = table.column("vec").combine_chunks()
         flat = flat.flatten() if not isinstance(flat, pa.ChunkedArray) else pa.concat_arrays(c.flatten() for c in flat.chunks)
         cols = [np.asarray(table.column(c).to_numpy()).astype("<i8").tobytes() for c in ("id", *extra)]
-        return pa.table([pa.array([table.column("block")[0].as_py()]), pa.array([table.num_rows]), *(pa.array([c], pa.binary()) for c in cols), pa.array([flat.to_numpy(zero_copy_only=False).astype("<f8").tobytes()], pa.binary())], names=["block", "n", "ids", *extra, "vecs"])
+        values = flat.to_numpy(zero_copy_only=False).astype("<f8")
+        with np.errstate(over="ignore"):
+            small = values.astype("<f4")
+        values = small if narrow and (small == values).all() else values
+        return pa.table([pa.array([table.column("block")[0].as_py()]), pa.array([table.num_rows]), *(pa.array([c], pa.binary()) for c in cols), pa.array([values.tobytes()], pa.binary())], names=["block", "n", "ids", *extra, "vecs"])
 
     schema = "block bigint, n bigint, ids binary" + "".join(f", {c} binary" for c in extra) + ", vecs binary"
     return rows.select("block", "id", "vec", *extra).groupBy("block").applyInArrow(run, schema)

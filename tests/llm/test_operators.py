@@ -555,6 +555,22 @@ def test_near_vectors(spark):
     assert near_vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_travel_in_groups(spark, monkeypatch):
+    """Many tiles in few groups: the same links, also across groups, and no more shuffled rows than tiles times groups."""
+    monkeypatch.setattr(near_vectors, "TILE", 8)
+    monkeypatch.setattr(near_vectors, "GROUPS", 3)
+    monkeypatch.setattr(near_vectors, "LEADING", (0.5, 1.0))
+    df, x = vectors(spark)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors.near_vectors(df).collect()}
+    assert [got[i] for i in range(len(x))] == near.sum(1).tolist()
+    tiles = near_vectors.stored(df.where("vec_id < 900").select(F.col("vec_id").alias("id"), F.lit(1).cast("bigint").alias("copies"), F.col("embedding").cast("array<double>").alias("vec")), "t")
+    found = near_vectors._linked(tiles, 0.95)
+    assert found.groupBy("id").count().agg(F.max("count")).first()[0] <= 3
+
+
 def test_nearest(spark):
     df, x = vectors(spark)
     got = {}
