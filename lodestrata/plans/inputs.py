@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -106,16 +107,23 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 NO_XML = r"[^\x{20}-\x{7E}\n\x{A0}-\x{D7FF}]"
 
 
+def _in_order(rows: pa.Table, *by: str) -> Iterator[dict]:
+    """Rows in order. They stay packed until their turn: a workbook of all rows of a group may be large."""
+    order = pc.sort_indices(rows.select(by), sort_keys=[(c, "ascending") for c in by])
+    for at in range(0, len(order), 1000):
+        yield from rows.take(order.slice(at, 1000)).to_pylist()
+
+
 def workbooks(grid: DataFrame) -> DataFrame:
     """(path, name, content): a grid's files as workbooks."""
     from . import office
 
     def build(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["sheet_idx"], r["row_idx"]))
-        sheets = [(name, [(r["row_idx"], r["cells"]) for r in own]) for (_, name), own in groupby(rows, lambda r: (r["sheet_idx"], r["sheet"]))]
-        sheets.append(("blank", [(0, ["", " "])]))  # holds nothing, so it gives no record
-        name = rows[0]["source_file"].replace(".csv", ".xlsx")
-        return pa.table({"path": [name], "name": [name], "content": pa.array([office.workbook(sheets)], pa.binary())})
+        rows = _in_order(table, "sheet_idx", "row_idx")
+        sheets = ((name, ((r["row_idx"], r["cells"]) for r in own)) for (_, name), own in groupby(rows, lambda r: (r["sheet_idx"], r["sheet"])))
+        blank = ("blank", [(0, ["", " "])])  # holds nothing, so it gives no record
+        name = table.column("source_file")[0].as_py().replace(".csv", ".xlsx")
+        return pa.table({"path": [name], "name": [name], "content": pa.array([office.workbook(chain(sheets, [blank]))], pa.binary())})
 
     ship_package(grid.sparkSession)
     return grid.groupBy("source_file").applyInArrow(build, "path string, name string, content binary")
@@ -153,10 +161,9 @@ def order_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import office
 
     def build(t: pa.Table) -> pa.Table:
-        rows = sorted(t.to_pylist(), key=lambda r: r["k"])
-        cells = [[r["k"], r["price"], (float(r["day"]) if r["k"] % 2 else r["day"] + 0.5,), r["status"] == "O", r["status"]] for r in rows]
-        name = f"orders_{rows[0]['part']}.xlsx"
-        return pa.table({"path": [name], "name": [name], "content": pa.array([office.workbook([("orders", list(enumerate(cells)))])], pa.binary())})
+        cells = ([r["k"], r["price"], (float(r["day"]) if r["k"] % 2 else r["day"] + 0.5,), r["status"] == "O", r["status"]] for r in _in_order(t, "k"))
+        name = f"orders_{t.column('part')[0].as_py()}.xlsx"
+        return pa.table({"path": [name], "name": [name], "content": pa.array([office.workbook([("orders", enumerate(cells))])], pa.binary())})
 
     ship_package(spark)
     orders = table(spark, sf_dir, "orders")
