@@ -11,13 +11,17 @@ import csv
 import io
 import os
 import sys
+import tempfile
 from collections.abc import Callable, Iterator
 from functools import reduce
 from importlib import import_module
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..functions.records import TYPES, as_records
@@ -127,6 +131,9 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
 
 #: What became of a file: read, empty (nothing in it to index), skipped (a library is missing) or failed, with the reason.
 OUTCOME = "struct<path: string, outcome: string, reason: string, items: bigint>"
+OUTCOME_ARROW = pa.struct([("path", pa.string()), ("outcome", pa.string()), ("reason", pa.string()), ("items", pa.int64())])
+#: Rows, and bytes of files, that are parsed before they go on.
+BATCH, BATCH_BYTES = 2_000, 4_000_000
 
 
 def parsed(files: DataFrame, parse: Callable[[str, bytes], Iterator[dict]], schema: str, outcomes: list[DataFrame] | None = None) -> DataFrame:
@@ -135,40 +142,69 @@ def parsed(files: DataFrame, parse: Callable[[str, bytes], Iterator[dict]], sche
     A file that can't be parsed yields nothing and stops no other one. What became of each file is appended to
     ``outcomes`` as a table (path, outcome, reason, items); the parsed rows are then stored, so that both read them."""
     ship_package(files.sparkSession)
-    names = [f.strip().split(" ")[0] for f in _split_schema(schema)]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    types = StructType.fromDDL(schema)
+    names = types.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of small files go on together; those of a file with more than one batch wait, packed, in a temporary file
+        until it is known that the file is sound, so neither many files nor a large one are many Python objects."""
+        kind = pa.schema([("source_file", pa.string()), *((n, to_arrow_type(types[n].dataType)) for n in names), ("_outcome", OUTCOME_ARROW)])
+        packed = lambda rows: pa.RecordBatch.from_pylist(rows, schema=kind)
+        held, size = [], 0
         for b in batches:
-            for path, name, content in zip(b["path"], b["name"], b["content"], strict=True):
-                rows, outcome, reason = [], "read", None
+            for path, name, content in zip(b.column("path"), b.column("name"), b.column("content"), strict=True):
+                path, name, content = path.as_py(), name.as_py(), content.as_py()
+                rows, items, outcome, reason, spool = [], 0, "read", None, None
                 try:
-                    rows = [{"source_file": name, **r} for r in parse(name, bytes(content))]
-                    outcome = "read" if rows else "empty"
+                    for r in parse(name, bytes(content)):
+                        rows.append({"source_file": name, **r})
+                        items += 1
+                        if len(rows) == BATCH:
+                            spool = spool or _Spool(kind)
+                            spool.add(packed(rows))
+                            rows = []
+                    outcome = "read" if items else "empty"
                 except NotInstalled as e:
                     outcome, reason = "skipped", str(e)
                 except MemoryError:
                     raise
                 except Exception as e:  # whatever is wrong with the bytes of one file
                     outcome, reason = "failed", f"{type(e).__name__}: {e}"[:200]
-                rows.append({"source_file": name, "_outcome": {"path": path, "outcome": outcome, "reason": reason, "items": len(rows)}})
-                yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in ("source_file", *names, "_outcome")})
-
-    every = files.select("path", "name", "content").mapInPandas(run, f"source_file string, {schema}, _outcome {OUTCOME}")
+                if outcome not in ("read", "empty"):
+                    rows, items, spool = [], 0, None
+                if spool:
+                    yield from spool.batches()
+                held += rows
+                held.append({"source_file": name, "_outcome": {"path": path, "outcome": outcome, "reason": reason, "items": items}})
+                size += len(content or b"")
+                if len(held) >= BATCH or size >= BATCH_BYTES:
+                    yield packed(held)
+                    held, size = [], 0
+        if held:
+            yield packed(held)
+
+    every = files.select("path", "name", "content").mapInArrow(run, f"source_file string, {schema}, _outcome {OUTCOME}")
     if outcomes is not None:
         every = stored(every, "parsed")
         outcomes.append(every.where("_outcome IS NOT NULL").select("_outcome.*"))
     return every.where("_outcome IS NULL").drop("_outcome")
 
 
-def _split_schema(schema: str) -> list[str]:
-    """Fields at the top level of a DDL string."""
-    out, depth, start = [], 0, 0
-    for i, c in enumerate(schema):
-        depth += (c in "<(") - (c in ">)")
-        if c == "," and not depth:
-            out.append(schema[start:i])
-            start = i + 1
-    return [*out, schema[start:]]
+class _Spool:
+    """Batches that wait in a temporary file."""
+
+    def __init__(self, schema: pa.Schema):
+        self.file = tempfile.TemporaryFile()  # noqa: SIM115
+        self.writer = pa.ipc.new_stream(self.file, schema, options=pa.ipc.IpcWriteOptions(compression="lz4"))
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self.writer.write_batch(batch)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        self.writer.close()
+        self.file.seek(0)
+        with self.file, pa.ipc.open_stream(self.file) as reader:
+            yield from reader
 
 
 GRID = "sheet_idx int, sheet string, row_idx int, cells array<string>"
@@ -250,18 +286,25 @@ def scan_text(name: str, content: bytes) -> Iterator[dict]:
 def scan_records(files: DataFrame, strict_compat: bool = False, outcomes: list[DataFrame] | None = None) -> DataFrame:
     """One record for each scan with text. An image without OCR takes the text of ``<stem>.ocr.txt`` beside it; such a
     sidecar is a record of its own only with strict_compat, or where no image stands beside it."""
+    # bytes of text files are text already; only images need Python
     rows = files.select("path", "name", "content")
-    text = parsed(rows.withColumn("name", F.col("path")), scan_text, "text string, ocr_engine string", outcomes).withColumnRenamed("source_file", "path")
-    folder_stem = F.regexp_replace("path", r"(\.ocr)?\.[^./]*$", "")
-    text = text.withColumn("key", folder_stem).withColumn("sidecar", F.lower("path").endswith(".ocr.txt"))
-    beside = text.where("sidecar").select("key", F.col("text").alias("other"))
-    images = text.where("not lower(path) like '%.txt'")
-    read = images.join(beside, "key", "left").select("path", F.when(T.strip(F.col("text")) != "", F.col("text")).otherwise(F.col("other")).alias("text"), F.when(T.strip(F.col("text")) != "", F.col("ocr_engine")).otherwise("sidecar/plain-text").alias("ocr_engine"))
-    plain = text.where("lower(path) like '%.txt'")
-    if not strict_compat:
-        plain = plain.join(images.select("key").distinct().withColumn("sidecar", F.lit(True)), ["key", "sidecar"], "left_anti")
-    every = read.unionByName(plain.select("path", "text", "ocr_engine")).where(F.col("text").isNotNull() & (T.strip(F.col("text")) != ""))
-    every, name = every.join(files.select("path", "name"), "path"), F.col("name")
+    is_text = F.lower("path").endswith(".txt")
+    own = [] if outcomes is not None else None
+    images = parsed(rows.where(~is_text).withColumn("name", F.col("path")), scan_text, "text string, ocr_engine string", own).withColumnRenamed("source_file", "path")
+    images = images.join(rows.where(~is_text).select("path", "name"), "path")
+    plain = rows.where(is_text).select("path", "name", _decoded(F.col("content")).alias("text"), F.lit("sidecar/plain-text").alias("ocr_engine"))
+    if outcomes is not None:
+        outcomes += own
+        outcomes.append(plain.select("path", F.lit("read").alias("outcome"), F.lit(None).cast("string").alias("reason"), F.lit(1).cast("bigint").alias("items")))
+    # images and the texts beside them meet once, by folder and stem
+    key, sidecar = F.regexp_replace("path", r"(\.ocr)?\.[^./]*$", "").alias("key"), F.lower("path").endswith(".ocr.txt")
+    beside = plain.where(sidecar).select(key, F.struct("name", "text").alias("beside"))
+    both = images.select(key, F.struct("name", "text", "ocr_engine").alias("image")).join(beside, "key", "left" if strict_compat else "full_outer")
+    own_text = T.strip(F.coalesce("image.text", F.lit(""))) != ""
+    seen = both.select(F.coalesce("image.name", "beside.name").alias("name"), F.when(own_text, F.col("image.text")).otherwise(F.col("beside.text")).alias("text"), F.when(own_text, F.col("image.ocr_engine")).otherwise("sidecar/plain-text").alias("ocr_engine"))
+    plain = plain if strict_compat else plain.where(~sidecar)
+    every = seen.unionByName(plain.drop("path")).where(F.col("text").isNotNull() & (T.strip(F.col("text")) != ""))
+    name = F.col("name")
     line = F.get(F.filter(F.transform(F.split("text", T.LINE_END), T.strip), lambda x: x != ""), F.lit(0))
     return every.select(name.alias("source_file"), F.substring(F.coalesce(line, name), 1, 120).alias("title"), F.col("text").alias("raw_text"), F.lit("page 1").alias("row_or_page"), F.lit("scan").alias("source_type"), _extra(ocr_engine=F.col("ocr_engine")))
 
