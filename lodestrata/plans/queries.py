@@ -267,7 +267,12 @@ def cosine_topk_filtered(spark, sf_dir):
 FEW_TOKENS = 20_000
 
 
+#: Fragments of queries, and phrases times queries, up to which all queries are one matrix in each task.
+FEW_FRAGMENTS, FEW_CELLS = 200_000, 8_000_000
+
+
 def _keyword(spark, sf_dir, queries: DataFrame, weights: dict[str, float], fragments: DataFrame | None = None, only: S.Only = None) -> DataFrame:
+    """(qid, id, score), of each query at least the POOL best."""
     fields = N.texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), N.first_line(F.col("text")).alias("title"), F.col("source").alias("recipient"), F.col("lang").alias("keys"), F.col("text").alias("body")).select("id", *weights)
     cut = I.tokenised(fields, tuple(weights))
     parts = stored(S.query_fragments(S.query_terms(queries)) if fragments is None else fragments, "fragments")
@@ -281,6 +286,9 @@ def _keyword(spark, sf_dir, queries: DataFrame, weights: dict[str, float], fragm
         post = I.postings_of(cut)
     corpus = cut.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("avgdl")).first()
     multi, few = None, len(known) <= FEW_TOKENS
+    asked = parts.limit(FEW_FRAGMENTS + 1).collect() if few else []
+    if asked and len(asked) <= FEW_FRAGMENTS and len({(r["phrase"]) for r in asked}) * len({r["qid"] for r in asked}) <= FEW_CELLS:
+        return S.phrase_scores(cut, S.Phrases(asked, weights), corpus["n_docs"], corpus["avgdl"], POOL, only)
     if not few or any(r["n"] > 1 for r in known):
         multi = S.phrase_frequencies(S._small(parts), post, weights).join(cut.select("id", "len"), "id")
     tf = I.term_frequencies(post, weights)

@@ -45,3 +45,22 @@ def test_query(spark, con, name):
         assert cols == sorted(want.columns)
         rows = lambda df: sorted(tuple(map(cell, r)) for r in df[cols].itertuples(index=False))
         assert rows(got) == rows(want)
+
+
+def test_phrases_as_matrices_equal_joins(spark, monkeypatch, tmp_path):
+    """The same ranks from matrices of phrases, in slices of a few rows, as from joined rows; no row for each record and
+    query leaves a task."""
+    from lodestrata.operators import index as I
+    from lodestrata.operators import search as S
+    from lodestrata.plans import queries as Q
+
+    words = ["alpha", "beta", "gamma", "e-mail", "x-ray-y", "mail", "e", "ray"]
+    rows = [(k, " ".join(words[(k * 7 + i * i) % len(words)] for i in range(k % 23)), "de", f"src{k % 3}", 0) for k in range(300)] + [(300, None, None, None, 0)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = spark.createDataFrame([(0, "e-mail alpha"), (1, "x-ray-y ray beta"), (2, "unknown"), (3, "alpha beta gamma mail")], "qid bigint, query string")
+    ranked = lambda: sorted(map(tuple, Q._ranked(Q._keyword(spark, str(tmp_path), asked, I.WEIGHTS), 5).collect()))
+    monkeypatch.setattr(S, "CELLS", 50)
+    got = ranked()
+    assert Q._keyword(spark, str(tmp_path), asked, I.WEIGHTS).groupBy("qid").count().agg({"count": "max"}).first()[0] <= Q.POOL * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(Q, "FEW_FRAGMENTS", 0)
+    assert got == ranked() and {r[0] for r in got} == {0, 1, 3}
