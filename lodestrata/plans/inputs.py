@@ -212,7 +212,7 @@ TAG_PHRASES = (
 
 def tag_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record for each customer: phrases with a topic, places, a date and a department in all combinations, a person."""
-    c = table(spark, sf_dir, "customer")
+    c = texts(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     parts = [F.element_at(F.array(*map(F.lit, x)), (k % len(x) + 1).cast("int")) for x in TAG_PHRASES]
     text = F.concat_ws(" ", *parts, F.concat(F.lit("with Shri Ab"), k.cast("string")))

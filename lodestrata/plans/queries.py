@@ -186,7 +186,7 @@ def shape_rows(spark, sf_dir):
 
 @query(O.EXPLICIT)
 def explicit_category(spark, sf_dir):
-    p = N.table(spark, sf_dir, "part")
+    p = N.texts(spark, sf_dir, "part")
     pair = lambda h, v: F.struct(F.lit(h).alias("h"), v.alias("v"))
     pairs = F.array(pair("Part name", F.col("p_name")), pair("Type", F.col("p_type")), pair("Sub-Category", F.when(F.col("p_size") > 25, F.lit(" war ROOM ")).otherwise(F.col("p_brand"))))
     title = tabular.pick_title(F.transform(pairs, lambda q: F.struct(F.when(q["h"] == "Part name", F.when(F.col("p_size") > 10, "Part name").otherwise("Part")).otherwise(q["h"]).alias("h"), q["v"].alias("v"))))

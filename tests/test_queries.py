@@ -64,3 +64,14 @@ def test_phrases_as_matrices_equal_joins(spark, monkeypatch, tmp_path):
     assert Q._keyword(spark, str(tmp_path), asked, I.WEIGHTS).groupBy("qid").count().agg({"count": "max"}).first()[0] <= Q.POOL * spark.sparkContext.defaultParallelism
     monkeypatch.setattr(Q, "FEW_FRAGMENTS", 0)
     assert got == ranked() and {r[0] for r in got} == {0, 1, 3}
+
+
+def test_small_tables_with_hard_rows_are_dealt_out(spark, tmp_path):
+    """A table in one file is not one task where each row takes long."""
+    from lodestrata.plans import inputs as N
+    from lodestrata.plans import queries as Q
+
+    spark.range(100).selectExpr("id as p_partkey", "'a name' as p_name", "'a type' as p_type", "'b' as p_brand", "cast(id % 50 as int) as p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(100).selectExpr("id as c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    for df in (Q.explicit_category(spark, str(tmp_path)), N.tag_texts(spark, str(tmp_path))):
+        assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
