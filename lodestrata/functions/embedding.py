@@ -6,6 +6,7 @@ import hashlib
 import re
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -92,31 +93,33 @@ _TOKEN = re.compile(r"[\wऀ-ॿ]+")
 
 
 DIGESTS = {"blake2b": lambda x: hashlib.blake2b(x, digest_size=8).digest(), "md5": lambda x: hashlib.md5(x, usedforsecurity=False).digest()}
-#: Tokens whose slots a Python worker keeps.
-KEPT = 200_000
+#: Tokens and runs of characters whose slots a Python worker keeps.
+KEPT, KEPT_RUNS = 200_000, 400_000
 
-_kept: dict[tuple, dict[str, tuple[np.ndarray, np.ndarray]]] = {}
+_kept: dict[tuple, tuple[dict[str, tuple[int, ...]], dict[str, int]]] = {}
 
 
-def _slots(tokens: list[str], dim: int, low: int, high: int, digest: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each token the slots that its features fall into and their signs. Digests of all new tokens are taken apart
-    together."""
-    kept = _kept.setdefault((dim, low, high, digest), {})
-    if len(kept) > KEPT:
-        kept.clear()
-    fresh, hashed, raw, sizes = [t for t in tokens if t not in kept], DIGESTS[digest], [], []
+def _slots(tokens: list[str], dim: int, low: int, high: int, digest: str) -> list[tuple[int, ...]]:
+    """For each token the slots that its features fall into, doubled, and one more where the sign is minus. Tokens share
+    most of their runs of characters, so each new run is hashed once; all digests are taken apart together."""
+    words, runs = _kept.setdefault((dim, low, high, digest), ({}, {}))
+    if len(words) > KEPT:
+        words.clear()
+    if len(runs) > KEPT_RUNS:
+        runs.clear()
+    fresh, hashed, own = [t for t in tokens if t not in words], DIGESTS[digest], []
     for token in fresh:
         padded = f"^{token}$"
-        raw.append(hashed(f"w:{token}".encode()))
-        before = len(raw)
-        raw += [hashed(f"g:{padded[i : i + n]}".encode()) for n in range(low, high + 1) for i in range(len(padded) - n + 1)]
-        sizes.append(1 + len(raw) - before)
+        own.append([padded[i : i + n] for n in range(low, high + 1) for i in range(len(padded) - n + 1)])
     if fresh:
+        new = list(dict.fromkeys(x for xs in own for x in xs if x not in runs))
+        raw = [hashed(b"w:" + t.encode()) for t in fresh] + [hashed(b"g:" + x.encode()) for x in new]
         parts = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
         slots = parts[:, :6].astype(np.int64) @ (1 << np.arange(40, -1, -8)) % dim
-        signs, edges = np.where(parts[:, 6] % 2, 1.0, -1.0), np.cumsum(sizes)[:-1]
-        kept.update(zip(fresh, zip(np.split(slots, edges), np.split(signs, edges), strict=True), strict=True))
-    return [kept[t] for t in tokens]
+        codes = (2 * slots + (parts[:, 6] % 2 == 0)).tolist()
+        runs.update(zip(new, codes[len(fresh) :], strict=True))
+        words.update((t, (c, *map(runs.__getitem__, xs))) for t, c, xs in zip(fresh, codes[: len(fresh)], own, strict=True))
+    return [words[t] for t in tokens]
 
 
 def hashing_vectors(texts: list[str | None], dim: int = 768, low: int = 3, high: int = 5, digest: str = "blake2b") -> np.ndarray:
@@ -128,9 +131,10 @@ def hashing_vectors(texts: list[str | None], dim: int = 768, low: int = 3, high:
         return np.zeros((len(texts), dim))
     row, token = np.repeat(np.arange(len(texts)), [len(f) for f in found]), np.fromiter((t for f in found for t in f), np.int64)
     pairs, times = np.unique(row * len(known) + token, return_counts=True)
-    slots, signs = zip(*_slots(list(known), dim, low, high, digest), strict=True)
-    sizes = np.fromiter(map(len, slots), np.int64, len(slots))
-    slots, signs, first = np.concatenate(slots), np.concatenate(signs), np.cumsum(sizes) - sizes
+    found = _slots(list(known), dim, low, high, digest)
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    codes, first = np.fromiter(chain.from_iterable(found), np.int64, sizes.sum()), np.cumsum(sizes) - sizes
+    slots, signs = codes >> 1, 1.0 - 2 * (codes & 1)
     row, token = pairs // len(known), pairs % len(known)
     n = sizes[token]
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[token], n)

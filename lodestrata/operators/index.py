@@ -1,4 +1,4 @@
-"""The index: segments of records, postings, term frequencies, lengths, vectors and figures, and a table of dead records.
+"""The index: segments of records, postings, lengths, vectors and figures, and a table of dead records.
 
 A segment is written once and never changed. New records become a segment of their own; records of older segments that
 they replace, or that are removed, are listed as dead (tombstones). Readers see all segments without their dead rows, and
@@ -6,8 +6,10 @@ corpus figures are sums over segments less what is dead. When there are too many
 some are merged without tokenizing or embedding anything again. Numbered pointer files name the current segments, and the
 highest one counts, so readers never see half an index.
 
-Term frequencies and postings lie in ranges of (token, id) in small row groups, records and lengths in ranges of id with a
-bloom filter: a few tokens or ids, given as literals, reach the Parquet scan as pushed filters and skip the rest.
+Postings are packed: a row holds all occurrences of a token in a shard, which is some records of together about
+SHARD_TOKENS tokens. They lie in ranges of (token, shard) in small row groups, lengths in ranges of id, records dealt and
+sorted by id, both with a bloom filter: a few tokens or ids, given as literals, reach the Parquet scan as pushed filters and skip the rest. Term
+frequencies are sums of a shard's own postings.
 """
 
 from __future__ import annotations
@@ -15,9 +17,12 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -25,7 +30,7 @@ from pyspark.sql.types import StructType
 from ..functions import text as T
 from ..functions.embedding import Embedder
 from ..functions.records import search_text
-from ..session import spread
+from ..session import ship_package, spread
 
 #: Columns of the keyword index and what an occurrence in each weighs.
 WEIGHTS = {"title": 6.0, "recipient": 16.0, "keys": 8.0, "body": 1.0}
@@ -75,6 +80,77 @@ def postings_of(cut: DataFrame) -> DataFrame:
     return cut.select(*own, F.explode("cols").alias("x")).select(*own, "x.col", F.posexplode("x.toks").alias("pos", "tok"))
 
 
+#: Tokens and records of a shard, about; a longer record is a shard of its own.
+SHARD_TOKENS, SHARD_RECORDS = 2_000_000, 50_000
+#: The row of a shard that names its records has this token, which no text holds: their lengths as held, their ids and docs.
+RECORDS = ""
+PACKED = "tok string, shard bigint, held array<bigint>, ids array<string>, docs array<bigint>"
+#: Bits of an occurrence (held) below the record's place in its shard, and below the column's number in WEIGHTS.
+PLACE, COLUMN = 40, 36
+
+
+def packed_postings(cut: DataFrame) -> DataFrame:
+    """PACKED: for each token and shard its occurrences in order, each one number made of the record's place in the shard,
+    the column and the position. cut is a table that tokenised() makes, with numbers. A shard is named by its first
+    record's number."""
+    ship_package(cut.sparkSession)
+    names = [x.split()[0] for x in PACKED.split(", ")]
+
+    def pack(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        ids, docs, lens, cols = (t.column(c).combine_chunks() for c in ("id", "doc", "len", "cols"))
+        docs, flat = docs.to_numpy(), cols.flatten()
+        toks = flat.field("toks")
+        each = np.diff(toks.offsets.to_numpy())
+        row = np.repeat(np.repeat(np.arange(len(docs)), np.diff(cols.offsets.to_numpy())), each)
+        col = np.repeat(pc.index_in(flat.field("col"), pa.array(list(WEIGHTS))).to_numpy().astype(np.int8), each)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+        words = toks.flatten().dictionary_encode()
+        code = words.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        ends = np.cumsum(np.bincount(code, minlength=len(words.dictionary)))
+        held = np.r_[lens.to_numpy(), ((row << PLACE) | (col.astype(np.int64) << COLUMN) | at)[order]]
+        every = pa.concat_arrays([pa.array([RECORDS]), words.dictionary.cast(pa.string())])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, len(docs), len(docs) + ends].astype(np.int32)), pa.array(held))
+        once = lambda values: pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), pa.nulls(len(ends), pa.list_(values.type))])
+        columns = [every, pa.array(np.full(len(every), docs[0])), lists, once(ids), once(pa.array(docs))]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        tokens = records = 0
+        for b in batches:
+            total, start = np.cumsum(b.column("len").to_numpy()), 0
+            while start < b.num_rows:
+                base = total[start - 1] if start else 0
+                stop = int(np.searchsorted(total, base + SHARD_TOKENS - tokens, side="right"))
+                stop = min(max(stop, start + (not held)), start + SHARD_RECORDS - records)
+                if stop > start:
+                    held.append(b.slice(start, stop - start))
+                    tokens, records = tokens + int(total[stop - 1] - base), records + stop - start
+                start = stop
+                if start < b.num_rows:  # the shard is full
+                    yield pack(held)
+                    held, tokens, records = [], 0, 0
+        if held:
+            yield pack(held)
+
+    return cut.select("id", "doc", "len", "cols").mapInArrow(run, PACKED)
+
+
+def _without_dead(left: pa.Table, right: pa.Table) -> pa.Table:
+    """PACKED rows of a shard without the records whose places aren't in right (place). Places stay what they are."""
+    live, rows = right.column("place").to_numpy(), left.combine_chunks()
+    if not len(live) or not len(rows):
+        return rows.slice(0, 0)
+    tok, held = rows.column("tok").to_pylist(), rows.column("held").combine_chunks()
+    flat, own = held.flatten().to_numpy(), np.repeat(np.arange(len(held)), np.diff(held.offsets.to_numpy()))
+    keep = np.isin(flat >> PLACE, live) | (own == tok.index(RECORDS))
+    offsets = np.r_[0, np.cumsum(np.bincount(own[keep], minlength=len(held)))].astype(np.int32)
+    out = rows.set_column(2, "held", pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[keep])))
+    return out.filter(pa.array(np.diff(offsets) > 0))
+
+
 def weight_of(col: Column, weights: dict[str, float]) -> Column:
     return F.create_map(*(F.lit(x) for item in weights.items() for x in item))[col]
 
@@ -92,9 +168,12 @@ def document_lengths(fields: DataFrame, columns=tuple(WEIGHTS)) -> DataFrame:
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id", order: str = "ordinal") -> DataFrame:
     """Both tables' rows, of each key the one with the highest order. max_by needs one pass and no sort."""
-    both = old.unionByName(new)
-    rest = F.struct(*both.columns)
-    return both.groupBy(key).agg(F.max_by(rest, order).alias("_r")).select("_r.*")
+    return latest_of(old.unionByName(new), key, order)
+
+
+def latest_of(rows: DataFrame, key: str = "id", order: str = "ordinal") -> DataFrame:
+    """Of each key the row with the highest order."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("_r")).select("_r.*")
 
 
 #: More segments than this are merged, the smallest ones first, ``MERGE`` at a time.
@@ -105,6 +184,8 @@ MOST_DEAD = 0.3
 MOST_LITERALS = 400
 #: Bytes of a row group, so that a filter on the sorted column has something to skip.
 ROW_GROUP = 4 << 20
+#: Bytes of a row group's bloom filter at most; 100,000 ids or so fill it.
+BLOOM = 128 << 10
 #: Dead rows that are broadcast at most, and figures that a pointer holds itself at most.
 BROADCAST_DEAD, MOST_FIGURES = 100_000, 10_000
 #: Bitmaps of 4 kB that are broadcast at most.
@@ -128,7 +209,7 @@ def one_of(column: str, values: list) -> Column:
 class Index:
     """An index folder ``root``."""
 
-    TABLES = ("records", "postings", "tf", "lengths", "vectors", "figures", "bitmaps")
+    TABLES = ("records", "postings", "lengths", "vectors", "figures", "bitmaps")
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -229,8 +310,41 @@ class Index:
 
     def table(self, name: str, where: Column | None = None) -> DataFrame:
         """records, postings, tf, lengths or vectors of the whole index, as of now."""
-        rows = self._live(self.meta(), name, where)
-        return rows.drop("doc") if name == "records" else rows
+        meta = self.meta()
+        if name in ("postings", "tf"):
+            rows = self._occurrences(meta) if name == "postings" else self._frequencies(meta)
+            return rows if where is None else rows.where(where)
+        rows = self._live(meta, name, where)
+        return rows.drop("doc", "rows") if name == "records" else rows.drop("shard", "place")
+
+    def _packed(self, meta: dict) -> DataFrame:
+        """PACKED of all segments, dead records too."""
+        return reduce(DataFrame.unionByName, [self._read(meta, s["name"], "postings") for s in meta["segments"]])
+
+    def _single(self, meta: dict) -> DataFrame:
+        """(tok, shard, place, col, pos) of all segments, dead records too."""
+        names, x = F.array(*map(F.lit, WEIGHTS)), F.col("x")
+        rows = self._packed(meta).where(F.col("tok") != RECORDS).select("tok", "shard", F.explode("held").alias("x"))
+        at = F.shiftright(x, COLUMN).bitwiseAND(F.lit((1 << (PLACE - COLUMN)) - 1)).cast("int")
+        return rows.select("tok", "shard", F.shiftright(x, PLACE).alias("place"), F.get(names, at).alias("col"), x.bitwiseAND(F.lit((1 << COLUMN) - 1)).cast("int").alias("pos"))
+
+    def _occurrences(self, meta: dict) -> DataFrame:
+        return self._single(meta).join(self._live(meta, "lengths").select("shard", "place", "id"), ["shard", "place"]).select("id", "col", "pos", "tok")
+
+    def _frequencies(self, meta: dict) -> DataFrame:
+        f = self._single(meta).groupBy("tok", "shard", "place").agg(F.sum(weight_of(F.col("col"), WEIGHTS)).alias("f"))
+        return f.join(self._live(meta, "lengths"), ["shard", "place"]).select("id", "tok", "len", "doc", "f")
+
+    def shards(self, tokens: list[str], only: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+        """PACKED rows of the given tokens, and (shard, place, id, len, picked) of the records of all shards, without dead
+        ones; those that ``only`` leaves are there once more, as picked."""
+        meta = self.meta()
+        wanted = one_of("tok", tokens) if len(tokens) <= MOST_LITERALS else F.col("tok").isin(tokens)
+        lengths, own = self._live(meta, "lengths"), ("shard", "place", "id", "len")
+        records = lengths.select(*own, F.lit(only is None).alias("picked"))
+        if only is not None:
+            records = records.unionByName(only(lengths).select(*own, F.lit(True).alias("picked")))
+        return self._packed(meta).where(wanted).select("tok", "shard", "held"), records
 
     def count(self) -> int:
         return self.meta()["count"]
@@ -328,9 +442,9 @@ class Index:
         return self.write(self.table("records").limit(0), embedder, True, pick)
 
     def _sorted(self, rows: DataFrame, path: str, *by: str, bloom: str | None = None) -> None:
-        writer = rows.write.option("parquet.block.size", ROW_GROUP)
+        writer = rows.write.option("parquet.block.size", ROW_GROUP).option("compression", "zstd")
         if bloom:
-            writer = writer.option(f"parquet.bloom.filter.enabled#{bloom}", "true")
+            writer = writer.option(f"parquet.bloom.filter.enabled#{bloom}", "true").option("parquet.bloom.filter.max.bytes", BLOOM)
         writer.parquet(path)
 
     def _segment(self, records: DataFrame, embedder: Embedder, first: int) -> tuple[dict, dict]:
@@ -338,34 +452,31 @@ class Index:
         name = f"segment-{uuid.uuid4().hex[:12]}"
         path = f"{self.root}/{name}"
         read = lambda table: self.spark.read.parquet(f"{path}/{table}")
-        records.withColumn("ordinal", F.monotonically_increasing_id()).write.parquet(f"{path}/given")
-        given = read("given")
-        latest = upsert(given.limit(0), given).drop("ordinal").repartitionByRange("id").sortWithinPartitions("id")
-        self._sorted(latest.withColumn("doc", F.monotonically_increasing_id() + first), f"{path}/records", bloom="id")
+        # rows of one id meet once; of each the last one is found, and all are sorted, where they lie
+        dealt = records.withColumn("ordinal", F.monotonically_increasing_id()).repartition("id")
+        latest = dealt.groupBy("id").agg(F.max_by(F.struct(*records.columns), "ordinal").alias("_r"), F.count("*").alias("rows")).select("_r.*", "rows")
+        self._sorted(latest.sortWithinPartitions("id").withColumn("doc", F.monotonically_increasing_id() + first), f"{path}/records", bloom="id")
         kept = read("records")
         fields = index_fields(spread(kept))
-        # the text of each record is made and cut once; all other tables come from these two
-        tokenised(fields).write.parquet(f"{path}/tokens")
-        cut = read("tokens")
-        self._ranged(cut.select("id", "doc", "len"), f"{path}/lengths", ["id"], bloom="id")
-        # ranges of (token, id): the postings of a word that is in most records are many ranges
-        self._ranged(postings_of(cut).drop("len", "doc"), f"{path}/postings", ["tok", "id"], ["col", "pos"])
-        # dealt by (token, id) already, so frequencies are summed and sorted where they lie
-        dealt = postings_of(cut).repartitionByRange("tok", "id")
-        self._sorted(term_frequencies(dealt).sortWithinPartitions("tok", "id"), f"{path}/tf")
+        # the text of each record is cut once; lengths and sorted postings come from the packed ones
+        packed_postings(tokenised(fields)).write.option("compression", "zstd").parquet(f"{path}/packed")
+        packed = self.spark.read.schema(PACKED).parquet(f"{path}/packed")
+        named = packed.where(F.col("tok") == RECORDS).select("shard", F.posexplode(F.arrays_zip("ids", "docs", "held")).alias("place", "x"))
+        lengths = named.select(F.col("x.ids").alias("id"), F.col("x.docs").alias("doc"), F.col("x.held").alias("len"), "shard", F.col("place").cast("bigint").alias("place"))
+        self._ranged(lengths, f"{path}/lengths", ["id"], bloom="id")
+        self._ranged(packed, f"{path}/postings", ["tok", "shard"])
         embedder.embed(fields.select("id", "doc", "body"), "body").select("id", "doc", "vec").write.parquet(f"{path}/vectors")
         stats(kept).write.parquet(f"{path}/figures")
         self._sorted(bitmaps(kept).repartitionByRange("key", "value").sortWithinPartitions("key", "value", "bucket"), f"{path}/bitmaps")
         sums = read("lengths").agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("len")).first()
-        last = kept.agg(F.max("doc")).first()[0]
+        last, given = kept.agg(F.max("doc"), F.coalesce(F.sum("rows"), F.lit(0))).first()
         schemas = {t: read(t).schema.jsonValue() for t in self.TABLES}
-        out = {"name": name, "count": sums["n"], "length": sums["len"], "dead": 0, "dead_length": 0, "given": given.count(), "next": first if last is None else ((last >> 33) + 1) << 33}
-        for extra in ("given", "tokens"):
-            self._drop(f"{name}/{extra}")
+        out = {"name": name, "count": sums["n"], "length": sums["len"], "dead": 0, "dead_length": 0, "given": given, "next": first if last is None else ((last >> 33) + 1) << 33}
+        self._drop(f"{name}/packed")
         return out, schemas
 
-    def _ranged(self, rows: DataFrame, path: str, by: list[str], then: list[str] = [], bloom: str | None = None) -> None:  # noqa: B006
-        self._sorted(rows.repartitionByRange(*by).sortWithinPartitions(*by, *then), path, bloom=bloom)
+    def _ranged(self, rows: DataFrame, path: str, by: list[str], bloom: str | None = None) -> None:
+        self._sorted(rows.repartitionByRange(*by).sortWithinPartitions(*by), path, bloom=bloom)
 
     def _drop(self, folder: str) -> None:
         fs, p = self._fs(f"{self.root}/{folder}")
@@ -423,8 +534,14 @@ class Index:
         if chosen:
             name = f"segment-{uuid.uuid4().hex[:12]}"
             path = f"{self.root}/{name}"
-            for table, by, then in (("records", ["id"], []), ("lengths", ["id"], []), ("postings", ["tok", "id"], ["col", "pos"]), ("tf", ["tok", "id"], [])):
-                self._ranged(self._live(meta, table, None, names), f"{path}/{table}", by, then, "id" if by == ["id"] else None)
+            for table in ("records", "lengths"):
+                self._ranged(self._live(meta, table, None, names), f"{path}/{table}", ["id"], bloom="id")
+            own = reduce(DataFrame.unionByName, [self._read(meta, n, "postings") for n in names])
+            if any(s["dead"] for s in chosen):
+                live = self.spark.read.parquet(f"{path}/lengths").select("shard", "place")
+                ship_package(self.spark)
+                own = own.groupBy("shard").cogroup(live.groupBy("shard")).applyInArrow(_without_dead, PACKED)
+            self._ranged(own, f"{path}/postings", ["tok", "shard"])
             self._live(meta, "vectors", None, names).write.parquet(f"{path}/vectors")
             stats(self.spark.read.parquet(f"{path}/records")).write.parquet(f"{path}/figures")
             both = reduce(DataFrame.unionByName, [self._read(meta, n, "bitmaps") for n in names])

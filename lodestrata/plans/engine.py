@@ -124,7 +124,7 @@ def ranked_legs(index: Index, query: str, embedder: str, filters: Mapping | None
     queries = spark.createDataFrame([(0, query)], "qid int, query string")
     expanded = queries.select(T.with_aliases(F.col("query"), " ")).first()[0]
     qvec = spark.createDataFrame([(0, query_vector(spark, chosen, expanded))], "qid int, qvec array<double>")
-    keyword = S.top_k(S.keyword_scores(queries, index, filters), pool)
+    keyword = S.top_k(S.keyword_scores(queries, index, filters, k=pool), pool)
     vectors, only = index.table("vectors"), index.allowed(filters)
     return queries, keyword, S.vector_topk(qvec, only(vectors) if only else vectors, pool, 12)
 

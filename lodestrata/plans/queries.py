@@ -381,7 +381,7 @@ def index_incremental(spark, sf_dir):
     index.write(records.where("sheet = 'de'").withColumn("raw_text", F.concat("raw_text", F.lit(" renewed schtz"))), embedder, append=True)
     index.remove(lambda old: old.where("source_file = 'src7'"), embedder)
     queries = N.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    return _ranked(S.keyword_scores(queries, index), POOL)
+    return _ranked(S.keyword_scores(queries, index, k=POOL), POOL)
 
 
 @query(O.READ_SHEET)
@@ -429,7 +429,7 @@ def index_filtered(spark, sf_dir):
     index, records = I.Index(spark, scratch_path(spark, "filtered")), N.document_records(spark, sf_dir)
     index.write(records.withColumns({"language": F.col("sheet"), "date": F.col("source_file")}), E.HashingEmbedder(8))
     queries = N.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    return _ranked(S.keyword_scores(queries, index, {"language": "de", "date": ["src2", "src5"], "unknown": 1}), POOL)
+    return _ranked(S.keyword_scores(queries, index, {"language": "de", "date": ["src2", "src5"], "unknown": 1}, k=POOL), POOL)
 
 
 @query(O.LOOKUP)

@@ -127,6 +127,23 @@ def test_literal_and_joined_tokens_agree(spark, tmp_path, monkeypatch):
     assert [r[:2] for r in one] == [r[:2] for r in sorted(map(tuple, S.keyword_scores(queries, index).collect()))]
 
 
+def test_best_of_shards_are_the_best_of_all(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "SHARD_TOKENS", 60)
+    index = I.Index(spark, str(tmp_path / "i"))
+    row = lambda i, more="": (f"f{i % 4}", f"t{i}", f"alpha w{i % 3} foo_bar {'beta ' * (i % 5)}{more}")
+    index.write(records(spark, [row(i) for i in range(60)] + [("f0", "none", "")]), EMBEDDER)
+    index.write(records(spark, [row(i, "renewed foo bar") for i in range(0, 60, 7)]), EMBEDDER, True)
+    index.remove(lambda old: old.where("source_file = 'f1'"), EMBEDDER)
+    packed = index._packed(index.meta())
+    assert packed.select("shard").distinct().count() > 10 and packed.count() < index.table("postings").count()
+    queries = spark.createDataFrame([(0, "alpha beta"), (1, "foo_bar w2"), (2, "nothing here"), (3, "renewed")], "qid int, query string")
+    for filters in (None, {"source_type": "unknown"}, {"language": "mar"}):
+        every = S.keyword_scores(queries, index, filters).withColumn("score", F.round("score", 9))
+        for k in (3, 1000):
+            best = lambda rows: sorted(map(tuple, S.top_k(rows, k).select("qid", "rank", "id", "score").collect()))  # noqa: E731, B023
+            assert best(S.keyword_scores(queries, index, filters, k=k)) == best(every), (filters, k)
+
+
 def test_refresh_reads_only_what_changed(spark, tmp_path, monkeypatch):
     source, root = tmp_path / "in", str(tmp_path / "i")
     (source / "sub").mkdir(parents=True)
