@@ -2,7 +2,8 @@
 
 The functions in text.py and tagging.py write each term into the plan, which is right for the few fixed ones. Here terms
 come from a DataFrame ("add a row, gain a synonym"). They go to the tasks in blocks of at most BLOCK terms; each block is
-an Aho-Corasick automaton, built once in each Python worker, that reads a text once.
+an Aho-Corasick automaton, built once in each Python worker, that reads a text once. Words that only count as whole tokens
+are looked up among the text's tokens instead, so their many occurrences within other words are never seen.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from ..session import ship_package
 
 #: Terms of one automaton.
 BLOCK = 500_000
-#: One character of a token, see text.TOKEN.
-TOKEN_CHAR = re.compile(r"[\wऀ-ॿ]")
+#: A token, see text.TOKEN.
+TOKEN = re.compile(r"[\wऀ-ॿ]+")
 
 _built: dict[str, object] = {}
 
@@ -40,31 +41,28 @@ def _automaton(key: str, terms: list):
     return _built[key]
 
 
-def _whole_token(text: str, term: str, end: int) -> bool:
-    """The match that ends at ``end`` is a token of its own."""
-    start = end - len(term) + 1
-    free = lambda k: not 0 <= k < len(text) or TOKEN_CHAR.match(text[k]) is None
-    return free(start - 1) and free(end + 1) and all(TOKEN_CHAR.match(c) for c in term)
-
-
-def _finder(shared, counts: Callable[[str, str, int], bool]):
-    """A UDF from texts to the values of all of a block's terms in them."""
+def _finder(shared):
+    """A UDF from texts to the values of all of a block's terms in them: of words that count as whole tokens, and of terms
+    that count anywhere."""
     key = uuid.uuid4().hex
 
     @F.arrow_udf("array<string>")
     def run(column: pa.Array) -> pa.Array:
-        terms, out = shared.value, []
-        found = _automaton(key, terms) if terms else None
+        words, terms = shared.value
+        found, out = _automaton(key, terms) if terms else None, []
         for text in column.to_pylist():
-            hits = {t: v for end, (t, v) in found.iter(text) if counts(text, t, end)} if text and found else {}
+            hits = {t: words[t] for t in words.keys() & set(TOKEN.findall(text))} if text and words else {}
+            if text and found:
+                hits.update(v for _, v in found.iter(text))
             out.append(list(dict.fromkeys(x for v in hits.values() for x in v)))
         return pa.array(out, pa.list_(pa.string()))
 
     return run
 
 
-def _matches(lexicon: DataFrame, term: str, value: str, counts: Callable[[str, str, int], bool]) -> Callable[[Column], Column]:
-    """A function from a text column to the values (strings) of all terms in it, without repeats."""
+def _matches(lexicon: DataFrame, term: str, value: str, whole: bool = False) -> Callable[[Column], Column]:
+    """A function from a text column to the values (strings) of all terms in it, without repeats. whole: terms without a
+    space count as whole tokens only."""
     spark = lexicon.sparkSession
     ship_package(spark)
     blocks = max(1, -(-lexicon.count() // BLOCK))
@@ -74,13 +72,15 @@ def _matches(lexicon: DataFrame, term: str, value: str, counts: Callable[[str, s
         grouped: dict[str, list[str]] = {}
         for r in own.where(F.col(term) != "").select(term, value).collect():  # about BLOCK rows
             grouped.setdefault(r[0], []).append(r[1])
-        finders.append(_finder(spark.sparkContext.broadcast(sorted(grouped.items())), counts))
+        words = {t: v for t, v in grouped.items() if whole and " " not in t}
+        terms = sorted((t, v) for t, v in grouped.items() if t not in words)
+        finders.append(_finder(spark.sparkContext.broadcast((words, terms))))
     return lambda text: F.array_distinct(F.concat(*(f(text) for f in finders)))
 
 
 def places(df: DataFrame, text: str, gazetteer: DataFrame, out: str = "places") -> DataFrame:
     """tagging.extract_locations for a table (place, rank bigint): places that are substrings, case and all, by rank."""
-    found = _matches(gazetteer.withColumn("_", F.concat(F.lpad(F.col("rank").cast("string"), 19, "0"), F.lit(" "), "place")), "place", "_", lambda *_: True)
+    found = _matches(gazetteer.withColumn("_", F.concat(F.lpad(F.col("rank").cast("string"), 19, "0"), F.lit(" "), "place")), "place", "_")
     return df.withColumn(out, F.transform(F.array_sort(found(F.coalesce(F.col(text), F.lit("")))), lambda x: F.substring(x, 21, 2**31 - 1)))
 
 
@@ -88,7 +88,7 @@ def category(df: DataFrame, text: str, hints: DataFrame, out: str = "category",
     """tagging.infer_category for a table (trigger, category, rank bigint): the category of the first trigger, by rank,
     that is a substring of the lower-cased text."""
     keyed = hints.select(F.lower("trigger").alias("trigger"), F.concat(F.lpad(F.col("rank").cast("string"), 19, "0"), F.lit(" "), "category").alias("_"))
-    found = F.array_min(_matches(keyed, "trigger", "_", lambda *_: True)(F.lower(F.coalesce(F.col(text), F.lit("")))))
+    found = F.array_min(_matches(keyed, "trigger", "_")(F.lower(F.coalesce(F.col(text), F.lit("")))))
     return df.withColumn(out, F.coalesce(F.substring(found, 21, 2**31 - 1), F.lit(default)))
 
 
@@ -98,9 +98,25 @@ def synonyms(df: DataFrame, text: str, lexicon: DataFrame, out: str = "aliases")
     called, member = lexicon.select(F.lower("term").alias("term"), "concept"), lexicon.select(F.col("term").alias("member"), "concept")
     # each word also gives itself, so that it is known which members are tokens of the text
     own = called.where(~F.contains("term", F.lit(" "))).select("term", F.concat(F.lit("token "), "term").alias("_"))
-    pairs = called.join(member, "concept").select("term", F.concat(F.lit("alias "), "member").alias("_")).union(own).distinct()
-    whole = lambda text, term, end: " " in term or _whole_token(text, term, end)
-    found = _matches(pairs, "term", "_", whole)(F.lower(F.coalesce(F.col(text), F.lit(""))))
-    of = lambda kind: F.transform(F.filter(F.col("_found"), lambda x: x.startswith(f"{kind} ")), lambda x: F.substring(x, 7, 2**31 - 1))
-    rows = df.withColumn("_found", found)
-    return rows.withColumn(out, F.array_sort(F.filter(of("alias"), lambda a: ~F.array_contains(of("token"), F.lower(a))))).drop("_found")
+    low = F.lower("member")
+    pairs = called.join(member, "concept").select("term", F.concat(F.lit("alias "), F.lpad(F.length(low).cast("string"), LENGTH, "0"), low, "member").alias("_")).union(own).distinct()
+    found = _matches(pairs, "term", "_", whole=True)(F.lower(F.coalesce(F.col(text), F.lit(""))))
+    return df.withColumn(out, F.arrow_udf(_without_tokens, "array<string>")(found))
+
+
+#: Digits of the length of an alias's lower case, which stands between "alias " and the alias.
+LENGTH = 10
+
+
+def _without_tokens(column: pa.Array) -> pa.Array:
+    """The aliases among what synonyms() finds, in code point order, without those whose lower case is a token."""
+    out, first = [], len("alias ") + LENGTH
+    for found in column.to_pylist():
+        tokens, kept = {x[6:] for x in found if x.startswith("token ")}, set()
+        for x in found:
+            if x.startswith("alias "):
+                at = first + int(x[6:first])
+                if x[first:at] not in tokens:
+                    kept.add(x[at:])
+        out.append(sorted(kept))
+    return pa.array(out, pa.list_(pa.string()))

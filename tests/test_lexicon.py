@@ -40,6 +40,17 @@ def test_tables_equal_the_plan(spark, monkeypatch):
     assert none.where("size(aliases) > 0").count() == 0 == L.synonyms(df.limit(0), "text", table).count()
 
 
+def test_words_are_looked_up_as_tokens(spark, monkeypatch):
+    """No automaton holds words that count as whole tokens only."""
+    shared, inner = [], L._finder
+    monkeypatch.setattr(L, "_finder", lambda x: shared.append(x.value) or inner(x))
+    terms = spark.createDataFrame([("a", 0), ("Beta", 0), ("b c", 0), ("w.r", 1), ("other", 1)], "term string, concept int")
+    docs = spark.createDataFrame([(0, "aaa beta"), (1, "a b cd"), (2, "w.r"), (3, "")], "k int, text string")
+    got = {r["k"]: r["aliases"] for r in L.synonyms(docs, "text", terms).collect()}
+    assert got == {0: ["a", "b c"], 1: ["Beta", "b c"], 2: [], 3: []}
+    assert sorted(shared[0][0]) == ["a", "beta", "other", "w.r"] and [t for t, _ in shared[0][1]] == ["b c"]
+
+
 def test_table_functions(spark):
     tables.register(spark)
     rows = [("a.csv", b"x,y\n1,\n"), ("b.XLSX", xlsx()), ("c.docx", docx()), ("d.pptx", pptx()), ("e.xlsx", b"broken"), ("f.txt", b"text"), ("g.csv", None)]
