@@ -88,28 +88,57 @@ def namesakes(sets: DataFrame) -> Renamed:
     return {(r["set"], r["second"]): int(mix(np.array([r["second"]], np.int64).view(np.uint64) ^ np.uint64(r["set"] % 2**64)).view(np.int64)[0]) for r in found}
 
 
+#: Sets with several rows: their numbers in ascending order, and of each the key of the row that stands for all.
+Copied = tuple[np.ndarray, np.ndarray]
+NO_COPIES: Copied = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+#: Most such sets that every task is told, 16 bytes each. Copies of other sets count as sets of their own until the index.
+MOST_COPIED = 2_000_000
+
+
+def copied_sets(sets: DataFrame) -> Copied:
+    """Of document_sets(): the sets with several rows, each with the least key (a hash of the id) of its rows."""
+    many = sets.where("n_shingles > 0").groupBy("set").agg(F.min(F.xxhash64("id")).alias("key"), F.count("*").alias("rows")).where("rows > 1")
+    found = many.select("set", "key").limit(MOST_COPIED).toArrow()
+    numbers, keys = (found.column(c).to_numpy() for c in ("set", "key"))
+    order = np.argsort(numbers)
+    return numbers[order], keys[order]
+
+
+def _squeezed(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, compressed: of the high bytes only what they tell is left. First the number of bytes."""
+    raw = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+    return raw.size.to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True) if raw.size else b""
+
+
+def _full(data: bytes, kind: str) -> np.ndarray:
+    if not data:
+        return np.zeros(0, kind)
+    raw = np.frombuffer(pa.decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), "zstd"), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _pack(values: np.ndarray) -> bytes:
-    """Ascending 64-bit numbers as differences, byte by byte: the high bytes are mostly zero and compress away."""
-    gaps = np.diff(np.concatenate([np.zeros(1, np.uint64), values]))
-    return gaps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Ascending 64-bit numbers as differences."""
+    return _squeezed(np.diff(np.concatenate([np.zeros(1, np.uint64), values])).astype("<u8"))
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel())
+    return np.cumsum(_full(data, "<u8"))
 
 
 REQUESTS = "bucket bigint, batch bigint, lone binary, places binary, sets binary, repeated binary, counts binary"
 
 
-def packed_postings(docs: DataFrame, width: int, buckets: int, text_col: str, renamed: Renamed = {}) -> DataFrame:  # noqa: B006
+def packed_postings(docs: DataFrame, width: int, buckets: int, id_col: str, text_col: str, renamed: Renamed = {}, copied: Copied = NO_COPIES) -> DataFrame:  # noqa: B006
     """REQUESTS: what the buckets have to know of each batch of sets, and what the batches keep.
 
     A bucket gets the shingles of its range of numbers: those that one set of the batch holds (lone) with the set's
-    place in the batch and the numbers of the sets that occur; those that several hold (repeated) with their number only.
+    place in the batch; those that several hold (repeated) with their number only. Nothing of a set itself goes to the
+    buckets, so that requests don't grow with sets times buckets: of copied sets only the row with the key is sent.
     Bucket -1 - batch, which nothing else has, is the batch's own row: all sets and sizes, and the places of the repeated
     shingles. So a common shingle is one entry of each batch, however many sets hold it.
     """
-    rows = docs.select(F.col(text_col).alias("text"))
+    rows = docs.select(F.xxhash64(id_col).alias("key"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -130,18 +159,21 @@ def packed_postings(docs: DataFrame, width: int, buckets: int, text_col: str, re
             lone, lone_place, repeated, counts = shingles[first[alone]], place[first[alone]], shingles[first[~alone]], count[~alone].astype("<u4")
             cut_lone, cut_repeated = ([0, *np.searchsorted(x, edges).tolist(), len(x)] for x in (lone, repeated))
             batch = task + n_batches
-            out = [(-1 - batch, batch, b"", place[np.repeat(~alone, count)].tobytes(), numbers.astype("<i8").tobytes() + sizes.astype("<i8").tobytes(), _pack(repeated), counts.tobytes())]
+            out = [(-1 - batch, batch, b"", _squeezed(place[np.repeat(~alone, count)]), numbers.astype("<i8").tobytes() + sizes.astype("<i8").tobytes(), _pack(repeated), _squeezed(counts))]
             for k in range(buckets):
                 (a, b), (c, d) = cut_lone[k : k + 2], cut_repeated[k : k + 2]
                 if a < b or c < d:
-                    out.append((k, batch, _pack(lone[a:b]), lone_place[a:b].tobytes(), numbers[np.unique(lone_place[a:b])].astype("<i8").tobytes(), _pack(repeated[c:d]), counts[c:d].tobytes()))
+                    out.append((k, batch, _pack(lone[a:b]), _squeezed(lone_place[a:b]), b"", _pack(repeated[c:d]), _squeezed(counts[c:d])))
             names = [x.split()[0] for x in REQUESTS.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64() if i < 2 else pa.binary()) for i in range(len(names))], names)
 
-        for _, shingles, sizes, numbers, _ in _sets(batches, width, renamed):
-            fresh = np.zeros(len(sizes), bool)
-            for i, (x, size) in enumerate(zip(numbers.tolist(), sizes.tolist(), strict=True)):
-                if size and x not in seen:  # this task has sent an equal set already
+        for b, shingles, sizes, numbers, _ in _sets(batches, width, renamed):
+            fresh, own = np.zeros(len(sizes), bool), sizes > 0
+            if len(copied[0]):  # another row stands for the set
+                at = np.minimum(np.searchsorted(copied[0], numbers), len(copied[0]) - 1)
+                own &= (copied[0][at] != numbers) | (copied[1][at] == b.column("key").to_numpy())
+            for i, (x, mine) in enumerate(zip(numbers.tolist(), own.tolist(), strict=True)):
+                if mine and x not in seen:  # this task has sent an equal set already
                     seen.add(x)
                     fresh[i] = True
             if not fresh.any():
@@ -166,36 +198,26 @@ def _answers(table: pa.Table) -> pa.Table:
     """Of one bucket, for each batch: its lone shingles that another set holds too, with document frequency and place,
     and the frequencies of its repeated ones. A batch's own row goes through.
 
-    Frequencies count distinct sets, except that copies of a set in several batches count again where the shingle is
-    repeated in one; they only order the shingles, and every shingle of two sets has at least 2.
+    Frequencies count sets of batches: copies that several batches hold (rows with one id, or beyond MOST_COPIED) count
+    again. They only order the shingles, and every shingle of two sets has at least 2.
     """
     rows = table.to_pylist()
     if rows[0]["bucket"] < 0:
         out = [(x["batch"], x["bucket"], b"", b"", x["places"], x["sets"], x["repeated"], x["counts"]) for x in rows]
     else:
-        lone, place, sets, repeated = [], [], [], []
-        for x in rows:
-            lone.append(_unpack(x["lone"]))
-            place.append(np.frombuffer(x["places"], "<u2"))
-            sets.append(np.frombuffer(x["sets"], "<i8")[np.unique(place[-1], return_inverse=True)[1]])
-            repeated.append(_unpack(x["repeated"]))
-        s, x = np.concatenate(lone), np.concatenate(sets)
-        order = np.lexsort((x, s))
-        s, x = s[order], x[order]
-        fresh = np.r_[True, (s[1:] != s[:-1]) | (x[1:] != x[:-1])] if len(s) else np.zeros(0, bool)  # equal sets of several tasks
-        s = np.concatenate([s[fresh], *repeated])
-        weight = np.concatenate([np.ones(fresh.sum(), np.int64), *(np.frombuffer(x["counts"], "<u4").astype(np.int64) for x in rows)])
-        del x, order, fresh
+        lone, repeated = [_unpack(x["lone"]) for x in rows], [_unpack(x["repeated"]) for x in rows]
+        s = np.concatenate([*lone, *repeated])
+        weight = np.concatenate([np.ones(sum(map(len, lone)), np.int64), *(_full(x["counts"], "<u4").astype(np.int64) for x in rows)])
         order = np.argsort(s, kind="stable")
         s, weight = s[order], weight[order]
         first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         df = np.add.reduceat(weight, first)
         shared, df = s[first][df > 1], np.minimum(df[df > 1], 2**31 - 1).astype("<i4")
         out = []
-        for row, own, at, many in zip(rows, lone, place, repeated, strict=True):
+        for row, own, many in zip(rows, lone, repeated, strict=True):
             k = np.minimum(np.searchsorted(shared, own), max(len(shared) - 1, 0))
             hit = shared[k] == own if len(shared) else np.zeros(len(own), bool)
-            out.append((row["batch"], row["bucket"], _pack(own[hit]), df[k[hit]].tobytes(), at[hit].tobytes(), b"", b"", df[np.searchsorted(shared, many)].tobytes()))
+            out.append((row["batch"], row["bucket"], _pack(own[hit]), _squeezed(df[k[hit]]), _squeezed(_full(row["places"], "<u2")[hit]), b"", b"", _squeezed(df[np.searchsorted(shared, many)])))
     names = [x.split()[0] for x in ANSWERS.split(", ")]
     return pa.table([pa.array([x[i] for x in out], pa.int64() if i < 2 else pa.binary()) for i in range(len(names))], names=names)
 
@@ -210,10 +232,10 @@ def _indexed(percent: int):
         rows = sorted(table.to_pylist(), key=lambda x: x["bucket"])
         own, rest = rows[0], rows[1:]
         numbers, sizes = np.split(np.frombuffer(own["sets"], "<i8"), 2)
-        counts = np.frombuffer(own["counts"], "<u4")
+        counts = _full(own["counts"], "<u4")
         s = np.concatenate([np.repeat(_unpack(own["repeated"]), counts), *(_unpack(x["shingles"]) for x in rest)])
-        df = np.concatenate([np.repeat(np.frombuffer(b"".join(x["counts"] for x in rest), "<i4"), counts), *(np.frombuffer(x["df"], "<i4") for x in rest)])
-        place = np.concatenate([np.frombuffer(x["places"], "<u2") for x in rows]).astype(np.int64)
+        df = np.concatenate([np.repeat(np.concatenate([_full(x["counts"], "<i4") for x in rest]), counts), *(_full(x["df"], "<i4") for x in rest)])
+        place = np.concatenate([_full(x["places"], "<u2") for x in rows]).astype(np.int64)
         least = (sizes * percent + 99) // 100
         shared = np.bincount(place, minlength=len(sizes))
         busy = np.flatnonzero((shared >= least) & (sizes > 0))
@@ -231,10 +253,10 @@ def need(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100)
 
 
-def index_of(docs: DataFrame, percent: int, width: int, text_col: str, buckets: int, renamed: Renamed = {}) -> DataFrame:  # noqa: B006
+def index_of(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str, buckets: int, renamed: Renamed = {}, copied: Copied = NO_COPIES) -> DataFrame:  # noqa: B006
     """(set, n, shingles, prefix): sets that may link, their shared shingles from rare to common, and how many of these
     lie in the prefix; those not shared come before, so position i of the array is position n - size + i of the set."""
-    answers = packed_postings(docs, width, buckets, text_col, renamed).groupBy("bucket").applyInArrow(_answers, ANSWERS)
+    answers = packed_postings(docs, width, buckets, id_col, text_col, renamed, copied).groupBy("bucket").applyInArrow(_answers, ANSWERS)
     found = answers.groupBy("batch").applyInArrow(_indexed(percent), INDEX)
     return found.dropDuplicates(["set"])  # copies of a set in several batches
 
@@ -435,7 +457,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
         drop_stored(rows)
         rows = stored(document_sets(docs, width, id_col, text_col, renamed), "sets")
     buckets = 1 + (rows.agg(F.sum("n_shingles")).first()[0] or 0) // BUCKET_SHINGLES
-    index = stored(index_of(docs, percent, width, text_col, buckets, renamed), "index")
+    index = stored(index_of(docs, percent, width, id_col, text_col, buckets, renamed, copied_sets(rows)), "index")
     roots = link_components(index, percent)
     drop_stored(index)
     sets = rows.where("n_shingles > 0").groupBy("set").agg(F.min("id").alias("least")).join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))

@@ -210,6 +210,30 @@ def test_jaccard_join(spark, docs, none, monkeypatch):
     assert jaccard_join.jaccard_components(none).count() == 0
 
 
+def test_jaccard_requests_of_sets_and_copies(spark, monkeypatch, tmp_path):
+    """What goes to the buckets doesn't grow with sets times buckets, and equal sets of several tasks go there once."""
+    text = lambda i: " ".join(f"w{i * 7 + k}x{i}" for k in range(30))
+    rows = [(i, text(i)) for i in range(400)]
+    docs = lambda rows, n=1: spark.createDataFrame(rows, "doc_id bigint, text string").repartition(n)
+    sent = lambda df, buckets, *copied: [r for r in jaccard_join.packed_postings(df, 5, buckets, "doc_id", "text", {}, *copied).collect() if r["bucket"] >= 0]
+    size = lambda found: sum(len(r[c]) for r in found for c in ("lone", "places", "sets", "repeated", "counts"))
+    assert size(sent(docs(rows), 40)) < 1.2 * size(sent(docs(rows), 1))
+    # 300 copies of 10 texts in other files, under ids of their own, null ids and ids that are repeated
+    copies = [(None if i % 5 == 0 else i % 50 if i % 5 == 1 else 1000 + i, text(i % 10)) for i in range(300)]
+    spark.createDataFrame(rows + copies, "doc_id bigint, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    many = spark.read.parquet(f"{tmp_path}/docs")
+    copied = jaccard_join.copied_sets(jaccard_join.document_sets(many, 5, "doc_id", "text"))
+    assert len(copied[0]) == 10 and (np.diff(copied[0]) > 0).all()
+    once = sent(many, 1, (copied[0], copied[1]))
+    lone = np.concatenate([jaccard_join._unpack(r["lone"]) for r in once])
+    assert len(np.unique(lone)) == 400 * 26
+    least = {i: min(k for k, x in rows + copies if x == text(i) and k is not None) for i in range(10)}
+    want = sorted((str(k), 26, str(least[i] if (i := int(x.split()[0].split("x")[1])) < 10 else k)) for k, x in rows + copies)
+    for most in (jaccard_join.MOST_COPIED, 3):
+        monkeypatch.setattr(jaccard_join, "MOST_COPIED", most)
+        assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard_join.jaccard_components(many).collect()) == want
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 90), (5, 5), (None, 3)], "a bigint, b bigint")
     got = {r["id"]: r["root"] for r in components(links).collect()}
