@@ -496,7 +496,7 @@ def manifest_changes(spark, sf_dir):
 
 @query(O.MANIFEST)
 def manifest_stream(spark, sf_dir):
-    """The same changes from snapshots that arrive one after the other, by a stream with a state for each path."""
+    """The same changes from snapshots that arrive one after the other, by a stream with a state of each group of paths."""
     base = scratch_path(spark, "snapshots")
     for k, m in enumerate(N.manifests(spark, sf_dir)):
         at = F.timestamp_seconds(F.lit(1_700_000_000 + 60 * k))

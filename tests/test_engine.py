@@ -179,6 +179,25 @@ def test_snapshots_as_a_stream(spark, tmp_path):
     assert got == {(0, "a", "added"), (0, "b", "added"), (1, "a", "changed"), (1, "c", "added"), (1, "b", "removed"), (3, "b", "added"), (3, "a", "removed")}
 
 
+def test_snapshots_keep_their_state_by_groups_of_paths(spark, tmp_path):
+    """One row of state and one call of Python for a group, not for a path; a group of which nothing is left goes."""
+    new = lambda k: F.timestamp_seconds(F.lit(1_700_000_000 + k))
+    paths = [spark.range(60), spark.range(30, 90), spark.range(0)]
+    for k, ids in enumerate(paths):
+        size = F.col("id") * (1 + F.lit(k) * (F.col("id") % 2))
+        rows = ids.select(new(60 * k).alias("at"), F.format_string("p%d", "id").alias("path"), size.alias("size"), F.lit(1).cast("bigint").alias("mtime"))
+        rows = rows.union(spark.createDataFrame([("only", 9, 9)], "path string, size bigint, mtime bigint").select(new(60 * k).alias("at"), "*"))
+        rows.write.mode("append").parquet(f"{tmp_path}/in")
+        query = W.follow_snapshots(spark, f"{tmp_path}/in", f"{tmp_path}/cp", f"{tmp_path}/out", 3)
+        query.awaitTermination()
+        state = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        assert 0 < max(state) <= 3 and (k < 2 or state[-1] == 1)
+    got = sorted((r["at"], r["path"], r["change"]) for r in spark.read.parquet(f"{tmp_path}/out").select(F.unix_seconds("at").alias("at"), "path", "change").collect())
+    want = [(0, f"p{i}", "added") for i in range(60)] + [(0, "only", "added")] + [(60, f"p{i}", "removed") for i in range(30)] + [(60, f"p{i}", "changed") for i in range(31, 60, 2)]
+    want += [(60, f"p{i}", "added") for i in range(60, 90)] + [(120, f"p{i}", "removed") for i in range(30, 90)]
+    assert got == sorted((1_700_000_000 + at, path, change) for at, path, change in want)
+
+
 class FakeDrive:
     """Answers as the drive client does."""
 
