@@ -37,10 +37,10 @@ def markdown_sections(files: DataFrame, name: str = "source_file", text: str = "
         return F.struct(k.alias("n"), title.alias("title"), body.alias("body"))
 
     found = F.filter(F.transform("_heads", section), lambda s: s["body"] != "")
-    whole = F.array(F.struct(F.lit(-1).alias("n"), F.col("_stem").alias("title"), F.lit("").alias("body")))
-    out = rows.select(name, "_text", "_stem", F.explode(F.when(F.size(found) > 0, found).otherwise(whole)).alias("s"))
+    # a file without sections is a null: a test of found beside it would make all sections twice
+    out = rows.select(name, "_text", "_stem", F.explode_outer(found).alias("s"))
     title = F.when(T.strip(F.col("s.title")) == "", F.col("s.title")).otherwise(T.strip(F.col("s.title")))
-    single = F.col("s.n") == -1
+    single = F.col("s").isNull()
     return out.select(
         name,
         F.when(single, F.col("_stem")).otherwise(title).alias("title"),
